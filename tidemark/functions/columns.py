@@ -93,3 +93,27 @@ def clean_text(col, max_len: int = 520) -> Column:
     two = F.regexp_extract(t, r"^(.*?[.!?])(\s+.*?[.!?])?(\s|$)", 0)
     t = F.when(F.length(F.trim(two)) > 0, F.trim(two)).otherwise(t)
     return F.when(F.length(t) > max_len, F.concat(F.rtrim(F.substring(t, 1, max_len - 1)), F.lit("…"))).otherwise(t)
+
+
+def half_up_ratio(num, den) -> Column:
+    """Exact ``round_half_up(num / den)`` for non-negative integers:
+    ``floor((2 num + den) / (2 den))``.  Operands stay far below 2**53, so the
+    double quotient is floored exactly; no binary rounding of a decimal tie
+    can flip the result (Spark and other engines round such ties differently)."""
+    n, d = _c(num).cast("bigint"), _c(den).cast("bigint")
+    return F.floor((F.lit(2) * n + d) / (F.lit(2) * d)).cast("bigint")
+
+
+def scaled_int(col, digits: int) -> Column:
+    """A value with ``digits`` decimals as an exact integer (x * 10^digits)."""
+    return F.round(_c(col) * F.lit(10**digits), 0).cast("bigint")
+
+
+def exact_mean(col, in_digits: int, out_digits: int = 4) -> Column:
+    """Mean of fixed-decimal values rounded half-up to ``out_digits``, exactly:
+    integer sum of scaled values, integer half-up division, one final scale."""
+    s = F.sum(scaled_int(col, in_digits))
+    n = F.count(_c(col))
+    up = 10 ** max(out_digits - in_digits, 0)
+    down = 10 ** max(in_digits - out_digits, 0)
+    return half_up_ratio(s * F.lit(up), n * F.lit(down)) / F.lit(float(10**out_digits))

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import is_subscribed
+from tidemark.functions.columns import half_up_ratio, is_subscribed, scaled_int
 
 # Fixed values of the reference's derivation rules.
 POWER_USER_HOURS = 4.0  # a qualifying day has >= 4.0 coding hours
@@ -196,25 +196,26 @@ def power_user_flag(
 def at_risk_months(terms: DataFrame, spine: DataFrame, key: str = "user_id", month: str = "month_start") -> DataFrame:
     """User-months where the user is a subscriber on the 1st.
 
-    A term covers the 1st when it started before it (or on it as a plan
-    change, T23) and has no end or ends on/after it.  The signup month itself
-    is not at risk.  Equi join on the user + range predicate; a user's terms
-    are few, so the fan-out per spine row is small.
+    A term covers month ``m`` when it started before ``m`` (or on ``m`` as a
+    plan change, T23) and has no end or ends on/after ``m``; the signup month
+    itself is therefore not at risk.  Each term is expanded into the months
+    it covers (bounded by the calendar span; open terms run to the last spine
+    month), de-duplicated with a partial aggregate, and semi-joined to the
+    spine on ``(user, month)`` -- an equi join, never term x month pairs.
     """
-    t = terms.select(
-        F.col(key).alias("_k"),
-        F.col("term_start_date").alias("_s"),
-        F.col("term_end_date").alias("_e"),
-        F.col("is_downgrade").alias("_dg"),
+    m0 = F.trunc(F.col("term_start_date"), "month")
+    first = F.when(F.col("is_downgrade") & (F.col("term_start_date") == m0), m0).otherwise(F.add_months(m0, 1))
+    horizon = F.broadcast(spine.agg(F.max(month).alias("_horizon")))  # one row
+    last = F.coalesce(F.trunc(F.col("term_end_date"), "month"), F.col("_horizon"))
+    covered = (
+        terms.select(F.col(key), "term_start_date", "term_end_date", "is_downgrade")
+        .crossJoin(horizon)
+        .select(F.col(key), first.alias("_f"), last.alias("_l"))
+        .filter(F.col("_f") <= F.col("_l"))
+        .select(F.col(key), F.explode(F.sequence("_f", "_l", F.expr("INTERVAL 1 MONTH"))).alias(month))
+        .distinct()
     )
-    s = spine.select(key, month)
-    m = F.col(month)
-    cond = (
-        (F.col(key) == F.col("_k"))
-        & ((F.col("_s") < m) | ((F.col("_s") == m) & F.col("_dg")))
-        & (F.col("_e").isNull() | (F.col("_e") >= m))
-    )
-    return s.join(t, cond, "left_semi")
+    return spine.select(key, month).join(covered, [key, month], "left_semi")
 
 
 def label_churn(at_risk: DataFrame, terms: DataFrame, key: str = "user_id", month: str = "month_start") -> DataFrame:
@@ -385,32 +386,31 @@ def serving_snapshot(
 # ------------------------------------------------------------------ D17 / D18
 
 
-def build_terms(events: DataFrame, key: str = "user_id", date: str = "event_date", kind: str = "event_type") -> DataFrame:
+def build_terms(
+    events: DataFrame, key: str = "user_id", date: str = "event_date", kind: str = "event_type", tiebreak: str | None = None
+) -> DataFrame:
     """Subscription terms from lifecycle events.
 
-    Each ``signup``/``downgrade``/``reactivate`` opens a term; the next event of
-    the user closes it (a ``cancel`` closes without opening; a plan change
-    closes the previous term the day before).  ``term_index`` is the 0-based
-    order of opening events; status is canceled / downgraded / active.
-    Sequencing uses :func:`ordered_neighbors` (skew-safe).
+    Each ``signup``/``downgrade``/``reactivate`` opens a term; the user's next
+    event closes it: a ``cancel`` ends it that day (status canceled), any
+    other event ends it the day before (status downgraded, a plan change);
+    the last term stays open (active).  Same-day order: openings before a
+    cancel, then ``tiebreak``.  ``term_index`` is the 0-based order of the
+    user's opening events.  Sequencing uses :func:`ordered_neighbors`, so a
+    user with a huge event history is still split over many tasks.
     """
     from tidemark.operators.sequence import ordered_neighbors
 
-    ev = events.select(F.col(key), F.col(date).alias("_d"), F.col(kind).alias("_k"), *[c for c in events.columns if c not in (key, date, kind)])
+    extra = [tiebreak] if tiebreak else []
+    ev = events.select(F.col(key), F.col(date).alias("_d"), F.col(kind).alias("_k"), *extra)
     ev = ev.withColumn("_rank", F.when(F.col("_k") == "cancel", 1).otherwise(0))
     seq = ordered_neighbors(
-        ev,
-        key=key,
-        order=["_d", "_rank"],
-        bucket=F.col("_d"),
-        lead={"_next_d": "_d", "_next_k": "_k"},
-        lag={"_prev_k": "_k"},
+        ev, key=key, order=["_d", "_rank", *extra], bucket=F.col("_d"), lead={"_next_d": "_d", "_next_k": "_k"}
     )
     opening = seq.filter(F.col("_k") != "cancel")
-    end = F.when(F.col("_next_k") == "cancel", F.col("_next_d")).when(F.col("_next_d").isNotNull(), F.date_sub(F.col("_next_d"), 1))
-    status = (
-        F.when(F.col("_next_k") == "cancel", "canceled").when(F.col("_next_d").isNotNull(), "downgraded").otherwise("active")
-    )
+    canceled = F.col("_next_k") == "cancel"
+    end = F.when(canceled, F.col("_next_d")).when(F.col("_next_d").isNotNull(), F.date_sub(F.col("_next_d"), 1))
+    status = F.when(canceled, "canceled").when(F.col("_next_d").isNotNull(), "downgraded").otherwise("active")
     terms = opening.select(
         F.col(key),
         F.col("_d").alias("term_start_date"),
@@ -418,9 +418,12 @@ def build_terms(events: DataFrame, key: str = "user_id", date: str = "event_date
         status.alias("status"),
         (F.col("_k") == "downgrade").alias("is_downgrade"),
         (F.col("_k") == "reactivate").alias("is_reactivation"),
-        F.when(F.col("_next_k") == "cancel", F.col("_next_d")).alias("cancel_date"),
+        F.when(canceled, F.col("_next_d")).alias("cancel_date"),
+        *extra,
+    )
+    return ordered_neighbors(
+        terms, key=key, order=["term_start_date", *extra], bucket=F.col("term_start_date"), index="term_index"
     )
-    return ordered_neighbors(terms, key=key, order=["term_start_date"], bucket=F.col("term_start_date"), index="term_index")
 
 
 def bill_terms(
@@ -444,7 +447,8 @@ def bill_terms(
             "renewals_count": F.when(F.col(period) == "annual", F.floor(F.col("billed_days") / 365))
             .otherwise(F.floor(F.col("billed_days") / 30))
             .cast("bigint"),
-            "revenue_usd": F.round(F.col(mrr) * F.col("billed_days") / F.lit(30.0), 2),
+            # round(mrr x days / 30, 2), half-up on exact cents (no binary tie flips)
+            "revenue_usd": half_up_ratio(scaled_int(F.col(mrr), 2) * F.col("billed_days"), F.lit(30)) / F.lit(100.0),
         }
     )
 
@@ -466,26 +470,32 @@ def in_term(days: DataFrame, terms: DataFrame, date: str, key: str = "user_id",
 
 
 def decline_features(
-    df: DataFrame, value: str, key: str = "user_id", month: str = "month_start", prefix: str | None = None
+    df: DataFrame, value: str, key: str = "user_id", month: str = "month_start", prefix: str = ""
 ) -> DataFrame:
-    """1- and 3-month log declines ``ln(prev_n) - ln(cur)`` on
-    ``log1p`` values, the first value standing in for missing history; clipped
-    to [-1, 2] and [-1, 2.5]; and the ratio cur / mean(previous 3)."""
-    p = prefix or value
+    """Log declines and the month-over-month ratio of an index.
+
+    prev_n = value n months back, the first month's value standing in for
+    missing history; decline_n = clip(-ln(v / max(prev_n, 1e-6))) to [-1, 2]
+    (1 month) and [-1, 2.5] (3 months), a zero index counting as the upper
+    clip; ratio = v / max(prev_1, 1e-6).  Rows must be a dense month spine;
+    the window is bounded by the user's months."""
     w = Window.partitionBy(key).orderBy(month)
     first = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    lag1 = F.coalesce(F.lag(value, 1).over(w), first)
-    lag3 = F.coalesce(F.lag(value, 3).over(w), first)
-    cur = F.log1p(F.col(value))
-    d1 = F.log1p(lag1) - cur
-    d3 = F.log1p(lag3) - cur
-    prev3 = F.avg(value).over(w.rowsBetween(-3, -1))
-    ratio = F.coalesce(F.try_divide(F.col(value) + F.lit(0.1), F.coalesce(prev3, F.col(value)) + F.lit(0.1)), F.lit(1.0))
+    v = F.col(value).cast("double")
+    prev1 = F.coalesce(F.lag(value, 1).over(w), first).cast("double")
+    prev3 = F.coalesce(F.lag(value, 3).over(w), first).cast("double")
+    eps = F.lit(1e-6)
+
+    def decline(prev, lo, hi):
+        raw = -F.ln(v / F.greatest(prev, eps))
+        return F.when(v <= 0, F.lit(hi)).otherwise(F.least(F.greatest(raw, F.lit(lo)), F.lit(hi)))
+
     return df.withColumns(
         {
-            f"{p}_decline_1m": F.round(F.least(F.greatest(d1, F.lit(DECLINE_CLIP_1M[0])), F.lit(DECLINE_CLIP_1M[1])), 4),
-            f"{p}_decline_3m": F.round(F.least(F.greatest(d3, F.lit(DECLINE_CLIP_3M[0])), F.lit(DECLINE_CLIP_3M[1])), 4),
-            f"{p}_ratio_3m": F.round(ratio, 4),
+            # "+ 0.0" turns -0.0 (from -ln(1)) into 0.0
+            f"{prefix}decline_1m": F.round(decline(prev1, *DECLINE_CLIP_1M), 4) + F.lit(0.0),
+            f"{prefix}decline_3m": F.round(decline(prev3, *DECLINE_CLIP_3M), 4) + F.lit(0.0),
+            f"{prefix}decline_ratio": F.round(v / F.greatest(prev1, eps), 4),
         }
     )
 
@@ -493,20 +503,26 @@ def decline_features(
 # ------------------------------------------------------------------------ D21
 
 
-def zscore(df: DataFrame, cols: Sequence[str], log: bool = True, suffix: str = "_z") -> DataFrame:
-    """Population z-scores (``stddev_pop``, as numpy) of ``log1p(x)``.
+def zscore(df: DataFrame, cols: Sequence[str], floor: float = 0.1, eps: float = 1e-9, suffix: str = "_z") -> DataFrame:
+    """Population z-scores (``stddev_pop``, as numpy) of ``ln(max(x, floor))``.
 
-    The global mean/std are one aggregate row cross-joined back as a
-    broadcast (exactly one row, so its size is bounded)."""
-    src = {c: (F.log1p(F.col(c)) if log else F.col(c).cast("double")) for c in cols}
+    The global mean/std are one aggregate row joined back by broadcast (one
+    row, so its size is bounded)."""
+    src = {c: F.ln(F.greatest(F.col(c).cast("double"), F.lit(floor))) for c in cols}
     stats = df.agg(*[F.avg(e).alias(f"_m_{c}") for c, e in src.items()], *[F.stddev_pop(e).alias(f"_s_{c}") for c, e in src.items()])
-    j = df.crossJoin(F.broadcast(stats))  # one-row side
-    out = {}
-    for c, e in src.items():
-        z = F.when(F.col(f"_s_{c}") > 0, (e - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(F.lit(0.0))
-        out[f"{c}{suffix}"] = F.round(z, 4)
-    j = j.withColumns(out)
-    return j.drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
+    j = df.crossJoin(F.broadcast(stats))
+    out = {f"{c}{suffix}": F.round((e - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + F.lit(eps)), 4) for c, e in src.items()}
+    return j.withColumns(out).drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
+
+
+def fixed_z(col, centre: float, scale: float) -> Column:
+    """Fixed-centre z, e.g. acceptance (x - 0.35) / 0.10."""
+    return (_c(col) - F.lit(centre)) / F.lit(scale)
+
+
+def tenure_term(col) -> Column:
+    """``log1p(tenure_months) / ln 13``."""
+    return F.log1p(_c(col)) / F.lit(math.log(13.0))
 
 
 # ------------------------------------------------------------------ D22-D25
@@ -523,24 +539,36 @@ def user_state(df: DataFrame, ratio: str, subscribed: str, lapsed: str, threshol
     return df.withColumn(out, st)
 
 
-def winback_eligible(
+def lapse_state(
     df: DataFrame,
+    subscribed: str = "at_risk",
     churned: str = "churned",
-    reactivations: str = "reactivations",
+    reactivation_starts: str = "reactivation_starts",
     key: str = "user_id",
     month: str = "month_start",
+) -> DataFrame:
+    """Per spine month: last churn month before it, reactivations so far and
+    the lapsed flag (not subscribed, churned earlier).  Running aggregates
+    over the user's month spine (bounded by the calendar span)."""
+    before = Window.partitionBy(key).orderBy(month).rowsBetween(Window.unboundedPreceding, -1)
+    last_churn = F.max(F.when(F.col(churned), F.col(month))).over(before)
+    reacts = F.coalesce(F.sum(F.coalesce(F.col(reactivation_starts), F.lit(0))).over(before), F.lit(0)).cast("bigint")
+    df = df.withColumns({"last_churn_month": last_churn, "reactivations": reacts})
+    return df.withColumn("lapsed", ~F.col(subscribed) & F.col("last_churn_month").isNotNull())
+
+
+def winback_eligible(
+    df: DataFrame,
+    month: str = "month_start",
     months: int = WINBACK_MONTHS,
     cap: int = WINBACK_MAX_REACTIVATIONS,
     out: str = "winback_eligible",
 ) -> DataFrame:
-    """Lapsed at most ``months`` months ago and fewer than ``cap`` reactivations.
-
-    The last churn month so far is a running max over the user's month spine."""
-    w = Window.partitionBy(key).orderBy(month).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last_churn = F.max(F.when(F.col(churned), F.col(month))).over(w)
-    since = F.months_between(F.col(month), last_churn)
-    ok = last_churn.isNotNull() & (since >= 0) & (since <= months) & (F.coalesce(F.col(reactivations), F.lit(0)) < cap)
-    return df.withColumn("months_since_churn", since.cast("bigint")).withColumn(out, ok)
+    """Lapsed, churned at most ``months`` months ago, fewer than ``cap``
+    reactivations so far (columns from :func:`lapse_state`)."""
+    since = F.months_between(F.col(month), F.col("last_churn_month")).cast("bigint")
+    ok = F.col("lapsed") & (since <= months) & (F.col("reactivations") < cap)
+    return df.withColumn("months_since_churn", since).withColumn(out, F.coalesce(ok, F.lit(False)))
 
 
 def segment_eligibility(features: DataFrame, rules: DataFrame, unsubscribes: DataFrame | None = None, key: str = "user_id", segment: str = "target_segment") -> DataFrame:

@@ -88,3 +88,30 @@ def ordered_neighbors(
         result[count] = F.col("_nb_total").cast("bigint")
     out = out.withColumns(result)
     return out.drop(*[c for c in out.columns if c.startswith("_nb_")])
+
+
+def ordered_prefix_sum(
+    df: DataFrame,
+    key: str,
+    order: Sequence[str],
+    bucket: Column,
+    value: str,
+    out: str,
+) -> DataFrame:
+    """Running sum of ``value`` in key order (inclusive of the current row).
+
+    Same two-level split as :func:`ordered_neighbors`: a window over
+    ``(key, bucket)`` for the in-bucket running sum, plus the exclusive prefix
+    of earlier buckets from one summary row per ``(key, bucket)``.  Rows that
+    tie on ``order`` get an arbitrary relative order, so give tied rows a
+    zero ``value`` (or make ``order`` total) when the sum at a row matters.
+    """
+    b = "_ps_bucket"
+    df = df.withColumn(b, bucket)
+    w_in = Window.partitionBy(key, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = df.withColumn("_ps_run", F.sum(value).over(w_in))
+    totals = df.groupBy(key, b).agg(F.sum(value).alias("_ps_tot"))
+    w_key = Window.partitionBy(key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_ps_before", F.coalesce(F.sum("_ps_tot").over(w_key), F.lit(0)))
+    res = local.join(totals.select(key, b, "_ps_before"), [key, b], "inner")
+    return res.withColumn(out, F.col("_ps_before") + F.col("_ps_run")).drop(b, "_ps_run", "_ps_before")

@@ -116,15 +116,24 @@ def do_now(
 
     With an outreach log, users logged within ``days`` of ``as_of`` are
     excluded (``last_touch`` pre-aggregated, then a left join: never touched or
-    touched earlier than the cut-off are kept).  Without a log it is the
+    touched earlier than the cut-off are kept).  ``as_of`` defaults to the
+    current time; ``"latest"`` uses the newest log entry.  Without a log it is the
     fallback form (T18)."""
     src = current_source(serving, predictions).filter(
         (F.col("churn_risk_band") == "high") & (F.col("is_currently_subscribed") == F.lit(True)) & (F.col("crm_touches_30d") == 0)
     )
     if log is not None:
-        cutoff = (F.lit(as_of) if as_of is not None else F.current_timestamp()) - F.expr(f"INTERVAL {int(days)} DAYS")
         lt = last_touch(log)
-        src = src.join(lt, "user_id", "left").filter(F.col("last_touch").isNull() | (F.col("last_touch") < cutoff))
+        src = src.join(lt, "user_id", "left")
+        if isinstance(as_of, str) and as_of == "latest":
+            # the log's own "now": newest entry (one-row aggregate, broadcast)
+            now = F.broadcast(log.agg(F.max("logged_at").alias("_now")))
+            src = src.crossJoin(now)
+            now_c = F.col("_now")
+        else:
+            now_c = F.lit(as_of) if as_of is not None else F.current_timestamp()
+        cutoff = now_c - F.expr(f"INTERVAL {int(days)} DAYS")
+        src = src.filter(F.col("last_touch").isNull() | (F.col("last_touch") < cutoff))
     n = coerce_limit(limit)
     return _project(src.orderBy(F.col("mrr_usd").desc_nulls_last(), F.col("user_id")).limit(n), WORKLIST_COLS)
 

@@ -164,12 +164,72 @@ LEFT JOIN (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY
        ON u.user_id = ls.user_id
 """
 
+FX["fx_feat_first"] = """
+SELECT user_id, campaign_id AS feature_key, CAST(date_trunc('month', min(touch_date)) AS DATE) AS first_month
+FROM fx_touches GROUP BY user_id, campaign_id
+"""
+
+FX["fx_fa"] = """
+SELECT s.user_id, s.month_start, CAST(count(f.user_id) AS BIGINT) AS features_adopted
+FROM fx_spine s LEFT JOIN fx_feat_first f ON f.user_id = s.user_id AND f.first_month <= s.month_start
+GROUP BY s.user_id, s.month_start
+"""
+
+FX["fx_at_risk"] = """
+SELECT s.user_id, s.month_start FROM fx_spine s
+WHERE EXISTS (SELECT 1 FROM fx_subscriptions t
+              WHERE t.user_id = s.user_id
+                AND (t.term_start_date < s.month_start OR (t.term_start_date = s.month_start AND t.is_downgrade))
+                AND (t.term_end_date IS NULL OR t.term_end_date >= s.month_start))
+"""
+
+FX["fx_state0"] = """
+SELECT l.user_id, l.month_start, l.avg_coding_hours, u.plan, u.power_user_flag,
+       (ar.user_id IS NOT NULL) AS at_risk,
+       (ar.user_id IS NOT NULL AND c.cancel IS NOT NULL) AS churned,
+       CASE WHEN ar.user_id IS NOT NULL THEN c.cancel END AS churn_date,
+       coalesce(fa.features_adopted, 0) AS features_adopted,
+       r.n AS reactivation_starts
+FROM fx_labels_e l
+LEFT JOIN fx_at_risk ar ON ar.user_id = l.user_id AND ar.month_start = l.month_start
+LEFT JOIN (SELECT user_id, CAST(date_trunc('month', cancel_date) AS DATE) AS m, max(cancel_date) AS cancel
+           FROM fx_subscriptions WHERE cancel_date IS NOT NULL GROUP BY 1, 2) c
+       ON c.user_id = l.user_id AND c.m = l.month_start
+LEFT JOIN (SELECT user_id, CAST(date_trunc('month', term_start_date) AS DATE) AS m, count(*) AS n
+           FROM fx_subscriptions WHERE is_reactivation GROUP BY 1, 2) r
+       ON r.user_id = l.user_id AND r.m = l.month_start
+LEFT JOIN fx_fa fa ON fa.user_id = l.user_id AND fa.month_start = l.month_start
+LEFT JOIN fx_users_p u ON u.user_id = l.user_id
+"""
+
+FX["fx_state1"] = """
+SELECT user_id, month_start, avg_coding_hours, plan, power_user_flag, at_risk, churned, churn_date, features_adopted,
+       round(CASE WHEN avg_coding_hours <= 0 THEN 2.0
+                  ELSE least(greatest(-ln(avg_coding_hours / greatest(coalesce(lag(avg_coding_hours, 1) OVER w, first_value(avg_coding_hours) OVER w), CAST(1e-6 AS DOUBLE))), -1.0), 2.0) END, 4) + 0.0 AS decline_1m,
+       round(CASE WHEN avg_coding_hours <= 0 THEN 2.5
+                  ELSE least(greatest(-ln(avg_coding_hours / greatest(coalesce(lag(avg_coding_hours, 3) OVER w, first_value(avg_coding_hours) OVER w), CAST(1e-6 AS DOUBLE))), -1.0), 2.5) END, 4) + 0.0 AS decline_3m,
+       round(avg_coding_hours / greatest(coalesce(lag(avg_coding_hours, 1) OVER w, first_value(avg_coding_hours) OVER w), CAST(1e-6 AS DOUBLE)), 4) AS decline_ratio,
+       max(CASE WHEN churned THEN month_start END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_churn_month,
+       CAST(coalesce(sum(coalesce(reactivation_starts, 0)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS reactivations
+FROM fx_state0
+WINDOW w AS (PARTITION BY user_id ORDER BY month_start)
+"""
+
+FX["fx_state"] = """
+SELECT *,
+       CASE WHEN at_risk AND decline_ratio < 0.92 THEN 'at_risk' WHEN at_risk THEN 'active'
+            WHEN lapsed THEN 'lapsed' ELSE 'not_subscribed' END AS user_state,
+       CAST(datediff('month', last_churn_month, month_start) AS BIGINT) AS months_since_churn,
+       coalesce(lapsed AND datediff('month', last_churn_month, month_start) <= 3 AND reactivations < 1, FALSE) AS winback_eligible
+FROM (SELECT *, NOT at_risk AND last_churn_month IS NOT NULL AS lapsed FROM fx_state1) z
+"""
+
 FX["fx_current"] = """
 SELECT s.*, p.churn_risk_band, p.churn_score FROM fx_serving s JOIN fx_predictions p USING (user_id)
 """
 
 _ORDER = list(FX)
-_REF = re.compile(r"\bfx_[a-z_]+\b")
+_REF = re.compile(r"\bfx_[a-z0-9_]+\b")
 
 
 def _deps(name: str, seen: set[str]) -> None:
@@ -192,6 +252,10 @@ def with_fx(body: str, extra: dict[str, str] | None = None) -> str:
             _deps(d, seen)
     ctes = [f"{n} AS ({FX[n].strip()})" for n in _ORDER if n in seen]
     ctes += [f"{n} AS ({t.strip()})" for n, t in extra.items()]
+    body = body.strip()
     if not ctes:
-        return body.strip()
-    return "WITH " + ",\n".join(ctes) + "\n" + body.strip()
+        return body
+    if body[:5].upper() == "WITH ":
+        # merge the body's own CTE list after the fixture CTEs
+        return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
+    return "WITH " + ",\n".join(ctes) + "\n" + body

@@ -14,11 +14,10 @@ from tidemark.sources.fixtures import Tables
 
 # Fixed parameters of the registered queries.
 TPCH_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
-DO_NOW_AS_OF = _dt.datetime(1998, 12, 1)
 
 
 def _t(spark, sf):
-    return Tables(spark, sf)
+    return Tables.of(spark, sf)
 
 
 # --------------------------------------------------------------------- D16
@@ -200,13 +199,13 @@ def do_now_count(spark, sf):
        LEFT JOIN (SELECT user_id, max(CAST(touch_date AS TIMESTAMP)) AS last_touch FROM fx_touches GROUP BY user_id) o
               ON o.user_id = c.user_id
        WHERE c.churn_risk_band = 'high' AND c.is_currently_subscribed = TRUE AND c.crm_touches_30d = 0
-         AND (o.last_touch IS NULL OR o.last_touch < TIMESTAMP '1998-12-01 00:00:00' - INTERVAL 30 DAY)
+         AND (o.last_touch IS NULL OR o.last_touch < (SELECT max(CAST(touch_date AS TIMESTAMP)) FROM fx_touches) - INTERVAL 30 DAY)
        ORDER BY c.mrr_usd DESC NULLS LAST, c.user_id LIMIT 100""",
 )
 def do_now_queue(spark, sf):
     t = _t(spark, sf)
     log = t.touches().select("user_id", F.col("touch_date").cast("timestamp_ntz").alias("logged_at"))
-    return wl.do_now(t.predictions(), t.serving(), log=log, as_of=DO_NOW_AS_OF, limit=100)
+    return wl.do_now(t.predictions(), t.serving(), log=log, as_of="latest", limit=100)
 
 
 # ------------------------------------------------------------------ U1 / U2
@@ -215,11 +214,11 @@ def do_now_queue(spark, sf):
 @register(
     "at_risk_users",
     """SELECT user_id, churn_score, churn_risk_band, geo, persona, tier, mrr_usd, coding_hours_trend_30d, crm_touches_30d
-       FROM fx_current WHERE is_currently_subscribed = TRUE AND churn_score >= 0.8""",
+       FROM fx_current WHERE is_currently_subscribed = TRUE AND churn_score >= 0.7""",
 )
 def at_risk_users(spark, sf):
     t = _t(spark, sf)
-    return wl.at_risk_users(t.predictions(), t.serving(), min_score=0.8)
+    return wl.at_risk_users(t.predictions(), t.serving(), min_score=0.7)
 
 
 @register(

@@ -47,11 +47,43 @@ class Tables:
     twice shares the same plan (Spark can then reuse the exchange).
     """
 
+    _registry: dict[tuple[int, str], "Tables"] = {}
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
         self._memo: dict[str, DataFrame] = {}
 
+    @classmethod
+    def of(cls, spark: SparkSession, root: str) -> "Tables":
+        """One instance per (session, root): views and their size checks are reused."""
+        k = (id(spark), root.rstrip("/"))
+        if k not in cls._registry:
+            cls._registry[k] = cls(spark, root)
+        return cls._registry[k]
+
+    MATERIALIZABLE = ("users_profile", "subscriptions", "touches", "labels_enriched", "predictions", "serving", "usage", "tickets")
+
+    def materialize(self, names=MATERIALIZABLE, folder: str | None = None) -> dict[str, str]:
+        """Write views as parquet tables (silver/gold) and read them back.
+
+        The folder defaults to a sub-folder of the shared ``spark.checkpoint.dir``
+        so executors on any node can read it; writing also cuts the lineage, so
+        a lost executor recomputes from the written table, not from raw files.
+        """
+        from tidemark.session import scratch_path
+        import hashlib
+
+        base = folder or scratch_path(self.spark, "gold-" + hashlib.sha1(self.root.encode()).hexdigest()[:12])
+        paths = {}
+        for n in names:
+            df = getattr(self, n)()
+            path = f"{base}/{n}"
+            df.write.mode("overwrite").parquet(path)
+            self._memo[n] = self.spark.read.parquet(path)
+            paths[n] = path
+        return paths
+
     def _get(self, name, build):
         if name not in self._memo:
             self._memo[name] = build()
@@ -176,7 +208,7 @@ class Tables:
     # -------------------------------------------------------------- campaigns
     def campaigns(self) -> DataFrame:
         def build():
-            num = F.substring("p_brand", 7, 1000).cast("int") % 4
+            num = F.substring("campaign_id", 7, 1000).cast("int") % 4
             return (
                 self.raw("part")
                 .groupBy(F.col("p_brand").alias("campaign_id"))
@@ -342,6 +374,87 @@ class Tables:
 
         return self._get("users_profile", build)
 
+    def feature_days(self) -> DataFrame:
+        """Feature usage rows: a touch of a brand counts as using that feature
+        (user, feature_key, date, activations)."""
+
+        def build():
+            return self.touches().groupBy(
+                "user_id", F.col("campaign_id").alias("feature_key"), F.col("touch_date").alias("date")
+            ).agg(F.count(F.lit(1)).cast("bigint").alias("activations"))
+
+        return self._get("feature_days", build)
+
+    def feature_weights(self) -> DataFrame:
+        """Stickiness weight per feature: mean part retail price / 1000 (4 dp)."""
+
+        def build():
+            return self.raw("part").groupBy(F.col("p_brand").alias("feature_key")).agg(
+                F.round(F.avg("p_retailprice") / 1000, 4).alias("weight")
+            )
+
+        return self._get("feature_weights", build)
+
+    def at_risk(self) -> DataFrame:
+        def build():
+            from tidemark.operators.derive import at_risk_months
+
+            return at_risk_months(self.subscriptions(), self.spine())
+
+        return self._get("at_risk", build)
+
+    def monthly_state(self) -> DataFrame:
+        """User x spine month: at-risk (D7), churn (D8), features adopted (D12),
+        declines (D20), lapse/reactivation state, user state (D23), winback (D24)."""
+
+        def build():
+            from tidemark.operators import derive as D
+
+            terms = self.subscriptions()
+            lab = self.labels_enriched().select("user_id", "month_start", "avg_coding_hours")
+            ar = self.at_risk().withColumn("_ar", F.lit(True))
+            cancels = (
+                terms.filter(F.col("cancel_date").isNotNull())
+                .groupBy("user_id", F.trunc("cancel_date", "month").alias("month_start"))
+                .agg(F.max("cancel_date").alias("_cancel"))
+            )
+            reacts = (
+                terms.filter(F.col("is_reactivation"))
+                .groupBy("user_id", F.trunc("term_start_date", "month").alias("month_start"))
+                .agg(F.count(F.lit(1)).alias("reactivation_starts"))
+            )
+            fa = D.features_adopted(self.feature_days(), self.spine(), date="date").select(
+                "user_id", "month_start", "features_adopted"
+            )
+            prof = self.users_profile().select("user_id", "plan", "power_user_flag")
+            k = ["user_id", "month_start"]
+            at_risk = F.coalesce(F.col("_ar"), F.lit(False))
+            base = (
+                lab.join(ar, k, "left")
+                .join(cancels, k, "left")
+                .join(reacts, k, "left")
+                .join(fa, k, "left")
+                .join(prof, "user_id", "left")
+                .select(
+                    "user_id",
+                    "month_start",
+                    "avg_coding_hours",
+                    "plan",
+                    "power_user_flag",
+                    at_risk.alias("at_risk"),
+                    (at_risk & F.col("_cancel").isNotNull()).alias("churned"),
+                    F.when(at_risk, F.col("_cancel")).alias("churn_date"),
+                    F.coalesce(F.col("features_adopted"), F.lit(0)).cast("bigint").alias("features_adopted"),
+                    "reactivation_starts",
+                )
+            )
+            st = D.decline_features(base, "avg_coding_hours")
+            st = D.lapse_state(st, subscribed="at_risk", churned="churned")
+            st = D.user_state(st, ratio="decline_ratio", subscribed="at_risk", lapsed="lapsed")
+            return D.winback_eligible(st).drop("reactivation_starts")
+
+        return self._get("monthly_state", build)
+
     def serving(self) -> DataFrame:
         def build():
             from tidemark.operators.derive import serving_snapshot

@@ -101,7 +101,7 @@ def half_up_ratio(num, den) -> Column:
     double quotient is floored exactly; no binary rounding of a decimal tie
     can flip the result (Spark and other engines round such ties differently)."""
     n, d = _c(num).cast("bigint"), _c(den).cast("bigint")
-    return F.floor((F.lit(2) * n + d) / (F.lit(2) * d)).cast("bigint")
+    return F.floor(F.try_divide(F.lit(2) * n + d, F.lit(2) * d)).cast("bigint")
 
 
 def scaled_int(col, digits: int) -> Column:

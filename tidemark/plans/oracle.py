@@ -49,6 +49,7 @@ FROM events GROUP BY user_id, CAST(ts AS DATE)
 FX["fx_tickets"] = """
 SELECT event_id AS ticket_id, user_id, CAST(ts AS DATE) AS created_date,
        CASE k % 4 WHEN 0 THEN 'email' WHEN 1 THEN 'in_app_chat' WHEN 2 THEN 'phone' ELSE 'community_forum' END AS channel,
+       CASE k % 3 WHEN 0 THEN 'billing' WHEN 1 THEN 'technical' ELSE 'account' END AS category,
        k % 10 AS chat_message_count, value AS resolution_hours, k % 7 = 0 AS is_escalated,
        CASE WHEN k % 5 = 0 THEN NULL ELSE CAST(1 + k % 5 AS DOUBLE) END AS csat_score
 FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM events WHERE event_type = 'error') a
@@ -224,6 +225,39 @@ SELECT *,
 FROM (SELECT *, NOT at_risk AND last_churn_month IS NOT NULL AS lapsed FROM fx_state1) z
 """
 
+FX["fx_cl"] = """
+SELECT l.month_start, l.user_id, l.geo, st.churned, st.churn_date, l.tenure_months, l.active_days,
+       l.avg_coding_hours, l.avg_acceptance_rate, l.avg_session_frequency, l.coding_hours_trend_30d,
+       l.support_tickets_30d, st.features_adopted, l.crm_touches_30d
+FROM fx_labels_e l JOIN fx_state st ON st.user_id = l.user_id AND st.month_start = l.month_start
+WHERE st.at_risk
+"""
+
+FX["fx_fd"] = """
+SELECT user_id, feature_key, CAST(date_trunc('month', date) AS DATE) AS m,
+                          CAST(count(DISTINCT date) AS BIGINT) AS fdays, CAST(sum(activations) AS BIGINT) AS acts
+                   FROM (SELECT user_id, campaign_id AS feature_key, touch_date AS date, count(*) AS activations
+                         FROM fx_touches GROUP BY 1, 2, 3) x GROUP BY 1, 2, 3
+"""
+
+FX["fx_ud"] = """
+SELECT user_id, CAST(date_trunc('month', d) AS DATE) AS m, count(*) AS udays
+                   FROM (SELECT DISTINCT user_id, touch_date AS d FROM fx_touches) y GROUP BY 1, 2
+"""
+
+FX["fx_feature_adoption"] = """
+SELECT a.month_start, a.user_id, f.feature_key,
+              f.first_month <= a.month_start AS is_adopted,
+              CASE WHEN f.first_month <= a.month_start THEN f.first_month END AS first_activation_date,
+              CAST(CASE WHEN f.first_month <= a.month_start THEN coalesce(fd.acts, 0) ELSE 0 END AS BIGINT) AS activation_count,
+              CAST(CASE WHEN f.first_month <= a.month_start THEN coalesce(fd.fdays, 0) ELSE 0 END AS BIGINT) AS active_days,
+              round(CASE WHEN coalesce(ud.udays, 0) > 0 AND f.first_month <= a.month_start
+                         THEN least(greatest(CAST(coalesce(fd.fdays, 0) AS DOUBLE) / ud.udays, 0.0), 1.0) ELSE 0.0 END, 4) AS depth_score
+       FROM fx_at_risk a JOIN fx_feat_first f ON f.user_id = a.user_id
+       LEFT JOIN fx_fd fd ON fd.user_id = a.user_id AND fd.feature_key = f.feature_key AND fd.m = a.month_start
+       LEFT JOIN fx_ud ud ON ud.user_id = a.user_id AND ud.m = a.month_start
+"""
+
 FX["fx_current"] = """
 SELECT s.*, p.churn_risk_band, p.churn_score FROM fx_serving s JOIN fx_predictions p USING (user_id)
 """

@@ -83,23 +83,9 @@ def at_risk_months(spark, sf):
     return _t(spark, sf).at_risk()
 
 
-@register(
-    "churn_labels",
-    """SELECT l.month_start, l.user_id, l.geo, st.churned, st.churn_date, l.tenure_months, l.active_days,
-              l.avg_coding_hours, l.avg_acceptance_rate, l.avg_session_frequency, l.coding_hours_trend_30d,
-              l.support_tickets_30d, st.features_adopted, l.crm_touches_30d
-       FROM fx_labels_e l JOIN fx_state st ON st.user_id = l.user_id AND st.month_start = l.month_start
-       WHERE st.at_risk""",
-)
+@register("churn_labels", "SELECT * FROM fx_cl")
 def churn_labels(spark, sf):
-    t = _t(spark, sf)
-    st = t.monthly_state().filter("at_risk").select("user_id", "month_start", "churned", "churn_date", "features_adopted")
-    lab = t.labels_enriched().drop("churned")
-    return D.churn_labels(st, lab.join(st, ["user_id", "month_start"])).select(
-        "month_start", "user_id", "geo", "churned", "churn_date", "tenure_months", "active_days", "avg_coding_hours",
-        "avg_acceptance_rate", "avg_session_frequency", "coding_hours_trend_30d", "support_tickets_30d",
-        "features_adopted", "crm_touches_30d",
-    )
+    return _t(spark, sf).churn_labels()
 
 
 @register(
@@ -148,25 +134,7 @@ def stickiness(spark, sf):
     return r.select("user_id", "month_start", F.round(F.coalesce("stickiness", F.lit(0.0)), 4).alias("stickiness"))
 
 
-@register(
-    "feature_adoption",
-    """WITH fd AS (SELECT user_id, feature_key, CAST(date_trunc('month', date) AS DATE) AS m,
-                          CAST(count(DISTINCT date) AS BIGINT) AS fdays, CAST(sum(activations) AS BIGINT) AS acts
-                   FROM (SELECT user_id, campaign_id AS feature_key, touch_date AS date, count(*) AS activations
-                         FROM fx_touches GROUP BY 1, 2, 3) x GROUP BY 1, 2, 3),
-            ud AS (SELECT user_id, CAST(date_trunc('month', d) AS DATE) AS m, count(*) AS udays
-                   FROM (SELECT DISTINCT user_id, touch_date AS d FROM fx_touches) y GROUP BY 1, 2)
-       SELECT a.month_start, a.user_id, f.feature_key,
-              f.first_month <= a.month_start AS is_adopted,
-              CASE WHEN f.first_month <= a.month_start THEN f.first_month END AS first_activation_date,
-              CAST(CASE WHEN f.first_month <= a.month_start THEN coalesce(fd.acts, 0) ELSE 0 END AS BIGINT) AS activation_count,
-              CAST(CASE WHEN f.first_month <= a.month_start THEN coalesce(fd.fdays, 0) ELSE 0 END AS BIGINT) AS active_days,
-              round(CASE WHEN coalesce(ud.udays, 0) > 0 AND f.first_month <= a.month_start
-                         THEN least(greatest(CAST(coalesce(fd.fdays, 0) AS DOUBLE) / ud.udays, 0.0), 1.0) ELSE 0.0 END, 4) AS depth_score
-       FROM fx_at_risk a JOIN fx_feat_first f ON f.user_id = a.user_id
-       LEFT JOIN fd ON fd.user_id = a.user_id AND fd.feature_key = f.feature_key AND fd.m = a.month_start
-       LEFT JOIN ud ON ud.user_id = a.user_id AND ud.m = a.month_start""",
-)
+@register("feature_adoption", "SELECT * FROM fx_feature_adoption")
 def feature_adoption(spark, sf):
     t = _t(spark, sf)
     days = t.touches().select("user_id", F.col("touch_date").alias("event_date")).distinct()

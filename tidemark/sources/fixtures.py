@@ -62,7 +62,10 @@ class Tables:
             cls._registry[k] = cls(spark, root)
         return cls._registry[k]
 
-    MATERIALIZABLE = ("users_profile", "subscriptions", "touches", "labels_enriched", "predictions", "serving", "usage", "tickets")
+    MATERIALIZABLE = (
+        "users_profile", "subscriptions", "touches", "usage", "tickets", "labels_enriched", "predictions", "serving",
+        "monthly_state", "churn_labels",
+    )
 
     def materialize(self, names=MATERIALIZABLE, folder: str | None = None) -> dict[str, str]:
         """Write views as parquet tables (silver/gold) and read them back.
@@ -197,6 +200,7 @@ class Tables:
                 .when(k % 4 == 2, "phone")
                 .otherwise("community_forum")
                 .alias("channel"),
+                F.when(k % 3 == 0, "billing").when(k % 3 == 1, "technical").otherwise("account").alias("category"),
                 (k % 10).alias("chat_message_count"),
                 F.col("value").alias("resolution_hours"),
                 (k % 7 == 0).alias("is_escalated"),
@@ -455,6 +459,22 @@ class Tables:
 
         return self._get("monthly_state", build)
 
+    def churn_labels(self) -> DataFrame:
+        """Behaviour columns for at-risk user-months, with D8 churn."""
+
+        def build():
+            from tidemark.operators.derive import churn_labels
+
+            st = self.monthly_state().filter("at_risk").select("user_id", "month_start", "churned", "churn_date", "features_adopted")
+            lab = self.labels_enriched().drop("churned")
+            return churn_labels(st, lab.join(st, ["user_id", "month_start"])).select(
+                "month_start", "user_id", "geo", "churned", "churn_date", "tenure_months", "active_days", "avg_coding_hours",
+                "avg_acceptance_rate", "avg_session_frequency", "coding_hours_trend_30d", "support_tickets_30d",
+                "features_adopted", "crm_touches_30d",
+            )
+
+        return self._get("churn_labels", build)
+
     def serving(self) -> DataFrame:
         def build():
             from tidemark.operators.derive import serving_snapshot

@@ -1,3 +1,266 @@
-"""Registered queries."""
+"""Data-quality queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import quality as Q
+from tidemark.plans import specs as S
+from tidemark.plans.catalog import register
+from tidemark.sources.fixtures import Tables
+from tidemark.streaming import tables as IT
+from tidemark.streaming.ingest import expectation_report
+
+# Fixed parameter: target monthly churn rate and tolerance of the rate check.
+CHURN_TARGET = 0.05
+CHURN_TOLERANCE = 0.005
+
+
+def _t(spark, sf):
+    return Tables.of(spark, sf)
+
+
+FK_EDGES = [
+    ("subscriptions.user_id->users", "fx_subscriptions", "user_id", "fx_users", "user_id"),
+    ("usage_events.user_id->users", "fx_usage", "user_id", "fx_users", "user_id"),
+    ("support_tickets.user_id->users", "fx_tickets", "user_id", "fx_users", "user_id"),
+    ("crm_touches.user_id->users", "fx_touches", "user_id", "fx_users", "user_id"),
+    ("crm_touches.campaign_id->crm_campaigns", "fx_touches", "campaign_id", "fx_campaigns", "campaign_id"),
+    ("churn_labels.user_id->users", "fx_labels", "user_id", "fx_users", "user_id"),
+]
+
+
+def _fk_sql():
+    parts = []
+    for edge, child, ck, parent, pk in FK_EDGES:
+        parts.append(
+            f"""SELECT '{edge}' AS edge, CAST(count(*) FILTER (WHERE p.k IS NULL) AS BIGINT) AS orphan_keys,
+                       CAST(count(*) AS BIGINT) AS child_keys, count(*) FILTER (WHERE p.k IS NULL) = 0 AS ok
+                FROM (SELECT DISTINCT {ck} AS k FROM {child}) c LEFT JOIN (SELECT DISTINCT {pk} AS k FROM {parent}) p ON c.k = p.k"""
+        )
+    return " UNION ALL ".join(parts)
+
+
+@register("fk_orphans", _fk_sql())
+def fk_orphans(spark, sf):
+    t = _t(spark, sf)
+    views = {
+        "fx_subscriptions": t.subscriptions(), "fx_usage": t.usage(), "fx_tickets": t.tickets(), "fx_touches": t.touches(),
+        "fx_users": t.users(), "fx_campaigns": t.campaigns(), "fx_labels": t.labels(),
+    }
+    return Q.fk_report([(e, views[c], views[p], ck, pk) for e, c, ck, p, pk in FK_EDGES])
+
+
+PK_CHECKS = [
+    ("crm_touches", "fx_touches", ("touch_id",)),
+    ("subscriptions", "fx_subscriptions", ("subscription_id",)),
+    ("usage_events", "fx_usage", ("user_id", "event_date")),
+    ("support_tickets", "fx_tickets", ("ticket_id",)),
+    ("churn_labels", "fx_labels", ("user_id", "month_start")),
+]
+
+
+@register(
+    "pk_duplicates",
+    " UNION ALL ".join(
+        f"""SELECT '{n}' AS table_name, '{",".join(k)}' AS key_cols, CAST(count(*) AS BIGINT) AS total_rows,
+                   CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT {", ".join(k)} FROM {v}) d) AS BIGINT) AS duplicate_rows
+            FROM {v}"""
+        for n, v, k in PK_CHECKS
+    ),
+)
+def pk_duplicates(spark, sf):
+    t = _t(spark, sf)
+    views = {"fx_touches": t.touches(), "fx_subscriptions": t.subscriptions(), "fx_usage": t.usage(), "fx_tickets": t.tickets(), "fx_labels": t.labels()}
+    out = None
+    for n, v, k in PK_CHECKS:
+        r = Q.pk_duplicates(views[v], k, n)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def _exp_sql(name, view, spec):
+    parts = []
+    rules = [(n, r, "drop") for n, r in spec.expect_drop.items()] + [(n, r, "keep") for n, r in spec.expect_keep.items()]
+    for n, r, a in rules:
+        parts.append(
+            f"""SELECT '{name}' AS dataset, '{n}' AS rule, '{a}' AS action,
+                       CAST(count(*) - count_if(NOT coalesce({r}, FALSE)) AS BIGINT) AS passed,
+                       CAST(count_if(NOT coalesce({r}, FALSE)) AS BIGINT) AS failed FROM {view}"""
+        )
+    return " UNION ALL ".join(parts)
+
+
+@register(
+    "expectations",
+    _exp_sql("usage_events", "fx_usage", IT.USAGE_EVENTS) + " UNION ALL " + _exp_sql("support_tickets", "fx_tickets", IT.SUPPORT_TICKETS),
+)
+def expectations(spark, sf):
+    t = _t(spark, sf)
+    return expectation_report(t.usage(), IT.USAGE_EVENTS).unionByName(expectation_report(t.tickets(), IT.SUPPORT_TICKETS))
+
+
+@register(
+    "uncovered_touches",
+    """SELECT t.* FROM fx_touches t
+       WHERE NOT EXISTS (SELECT 1 FROM fx_subscriptions s
+                         WHERE s.user_id = t.user_id AND t.touch_date >= s.term_start_date
+                           AND (s.term_end_date IS NULL OR t.touch_date <= s.term_end_date))""",
+)
+def uncovered_touches(spark, sf):
+    t = _t(spark, sf)
+    return Q.uncovered(t.touches(), t.subscriptions(), on="user_id", at="touch_date")
+
+
+@register(
+    "events_after_cancel",
+    """SELECT t.* FROM fx_touches t
+       JOIN (SELECT user_id, max(cancel_date) AS lc FROM fx_subscriptions WHERE cancel_date IS NOT NULL GROUP BY user_id) c
+         ON c.user_id = t.user_id
+       WHERE t.user_id NOT IN (SELECT user_id FROM fx_subscriptions WHERE is_reactivation) AND t.touch_date > c.lc""",
+)
+def events_after_cancel(spark, sf):
+    t = _t(spark, sf)
+    return Q.events_after_cancel(t.touches(), t.subscriptions(), date="touch_date")
+
+
+@register(
+    "term_overlaps",
+    """SELECT *, CASE WHEN term_end_date IS NULL THEN 'open_not_last' ELSE 'overlap' END AS violation
+       FROM (SELECT *, lead(term_start_date) OVER (PARTITION BY user_id ORDER BY term_start_date, term_index) AS next_start
+             FROM fx_subscriptions) z
+       WHERE next_start IS NOT NULL AND (term_end_date IS NULL OR term_end_date > next_start)""",
+)
+def term_overlaps(spark, sf):
+    return Q.term_overlaps(_t(spark, sf).subscriptions())
+
+
+@register(
+    "touch_term_count_mismatch",
+    """SELECT coalesce(a.user_id, b.user_id) AS user_id, CAST(coalesce(a.n, 0) AS BIGINT) AS reactivated_touches,
+              CAST(coalesce(b.n, 0) AS BIGINT) AS reactivation_terms
+       FROM (SELECT user_id, count(*) AS n FROM fx_touches WHERE reactivated GROUP BY user_id) a
+       FULL JOIN (SELECT user_id, count(*) AS n FROM fx_subscriptions WHERE is_reactivation GROUP BY user_id) b ON a.user_id = b.user_id
+       WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""",
+)
+def touch_term_count_mismatch(spark, sf):
+    t = _t(spark, sf)
+    return Q.count_mismatch(
+        t.touches().filter("reactivated"), t.subscriptions().filter("is_reactivation"), "user_id", "reactivated_touches", "reactivation_terms"
+    )
+
+
+TOUCH_RULES = {
+    "opened_implies_delivered": "NOT opened OR delivered",
+    "clicked_implies_opened": "NOT clicked OR opened",
+    "reactivated_implies_clicked": "NOT reactivated OR clicked",
+    "cost_non_negative": "cost_usd >= 0",
+}
+USAGE_RULES = {
+    "hours_in_range": "coding_hours BETWEEN 0 AND 16",
+    "acceptance_in_range": "ai_acceptance_rate BETWEEN 0 AND 1",
+    "sessions_positive": "session_frequency >= 1",
+    "in_window": "event_date BETWEEN DATE '2024-01-01' AND DATE '2024-12-31'",
+}
+
+
+def _range_sql(name, view, rules):
+    return " UNION ALL ".join(
+        f"""SELECT '{name}' AS table_name, '{k}' AS check_name, CAST(count_if(NOT coalesce({r}, FALSE)) AS BIGINT) AS bad,
+                   CAST(count(*) AS BIGINT) AS total, count_if(NOT coalesce({r}, FALSE)) = 0 AS ok FROM {view}"""
+        for k, r in rules.items()
+    )
+
+
+@register("range_checks", _range_sql("crm_touches", "fx_touches", TOUCH_RULES) + " UNION ALL " + _range_sql("usage_events", "fx_usage", USAGE_RULES))
+def range_checks(spark, sf):
+    t = _t(spark, sf)
+    return Q.range_checks(t.touches(), TOUCH_RULES, "crm_touches").unionByName(Q.range_checks(t.usage(), USAGE_RULES, "usage_events"))
+
+
+@register(
+    "churn_rate_check",
+    f"""SELECT 'monthly_churn_rate' AS check_name, round(avg(CAST(churned AS DOUBLE)), 4) AS rate, CAST({CHURN_TARGET} AS DOUBLE) AS target,
+              abs(avg(CAST(churned AS DOUBLE)) - {CHURN_TARGET}) <= {CHURN_TOLERANCE} AS ok FROM fx_cl""",
+)
+def churn_rate_check(spark, sf):
+    return Q.rate_check(_t(spark, sf).churn_labels(), "churned", CHURN_TARGET, CHURN_TOLERANCE, "monthly_churn_rate")
+
+
+@register(
+    "touches_before_signup",
+    """SELECT t.* FROM fx_touches t JOIN fx_users u ON u.user_id = t.user_id WHERE t.touch_date < u.signup_date""",
+)
+def touches_before_signup(spark, sf):
+    t = _t(spark, sf)
+    return Q.outside_parent_dates(t.touches(), t.users(), "user_id", "touch_date", "signup_date")
+
+
+@register(
+    "touches_outside_campaign",
+    """SELECT t.* FROM fx_touches t JOIN (
+         SELECT campaign_id, CAST(DATE '1995-01-01' + to_months(CAST(offers % 12 AS INT)) AS DATE) AS s,
+                greatest(least(last_day(CAST(DATE '1995-01-01' + to_months(CAST(offers % 12 AS INT) + CAST(6 + offers % 80 AS INT) - 1) AS DATE)),
+                               DATE '2001-08-31'), CAST(DATE '1995-01-01' + to_months(CAST(offers % 12 AS INT)) AS DATE)) AS e
+         FROM fx_campaigns) c ON c.campaign_id = t.campaign_id
+       WHERE t.touch_date < c.s OR t.touch_date > c.e""",
+)
+def touches_outside_campaign(spark, sf):
+    from tidemark.plans.queries_derive import campaign_dates
+
+    t = _t(spark, sf)
+    cd = campaign_dates(spark, sf).select("campaign_id", "start_date", "end_date")
+    return Q.outside_parent_dates(t.touches(), F.broadcast(cd), "campaign_id", "touch_date", "start_date", "end_date")
+
+
+@register(
+    "label_geo_mismatch",
+    """SELECT l.* FROM fx_labels l JOIN fx_users u ON u.user_id = l.user_id WHERE l.geo IS DISTINCT FROM u.geo""",
+)
+def label_geo_mismatch(spark, sf):
+    t = _t(spark, sf)
+    return Q.column_mismatch(t.labels(), t.users(), ["user_id"], "geo")
+
+
+@register(
+    "check_report",
+    """SELECT *, bad = 0 AS ok FROM (SELECT 'fk_orphan_user_ids' AS check_name,
+              CAST((SELECT count(*) FROM (SELECT DISTINCT user_id FROM fx_touches) c WHERE user_id NOT IN (SELECT user_id FROM fx_users)) AS BIGINT) AS bad,
+              CAST((SELECT count(DISTINCT user_id) FROM fx_touches) AS BIGINT) AS total
+       UNION ALL SELECT 'touch_pk_duplicates',
+              CAST((SELECT count(*) FROM fx_touches) - (SELECT count(DISTINCT touch_id) FROM fx_touches) AS BIGINT),
+              CAST((SELECT count(*) FROM fx_touches) AS BIGINT)
+       UNION ALL SELECT 'touches_after_cancel',
+              CAST((SELECT count(*) FROM fx_touches t JOIN (SELECT user_id, max(cancel_date) AS lc FROM fx_subscriptions
+                                                             WHERE cancel_date IS NOT NULL GROUP BY user_id) c ON c.user_id = t.user_id
+                    WHERE t.user_id NOT IN (SELECT user_id FROM fx_subscriptions WHERE is_reactivation) AND t.touch_date > c.lc) AS BIGINT),
+              CAST((SELECT count(*) FROM fx_touches) AS BIGINT)
+       UNION ALL SELECT 'reactivation_count_mismatch',
+              CAST((SELECT count(*) FROM (SELECT user_id, count(*) AS n FROM fx_touches WHERE reactivated GROUP BY user_id) a
+                    FULL JOIN (SELECT user_id, count(*) AS n FROM fx_subscriptions WHERE is_reactivation GROUP BY user_id) b
+                    ON a.user_id = b.user_id WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)) AS BIGINT),
+              CAST((SELECT count(DISTINCT user_id) FROM fx_subscriptions) AS BIGINT)) r""",
+)
+def check_report(spark, sf):
+    t = _t(spark, sf)
+    touches, terms = t.touches(), t.subscriptions()
+    orphans = Q.fk_orphans(touches, t.users(), "user_id").select(F.col("orphan_keys").alias("bad"), F.col("child_keys").alias("total"))
+    dupes = Q.pk_duplicates(touches, ["touch_id"]).select(F.col("duplicate_rows").alias("bad"), F.col("total_rows").alias("total"))
+    leak = Q.count_as_check(Q.events_after_cancel(touches, terms, date="touch_date"), touches)
+    mism = Q.count_as_check(
+        Q.count_mismatch(touches.filter("reactivated"), terms.filter("is_reactivation"), "user_id"), terms.select("user_id").distinct()
+    )
+    return Q.check_report(
+        [("fk_orphan_user_ids", orphans), ("touch_pk_duplicates", dupes), ("touches_after_cancel", leak), ("reactivation_count_mismatch", mism)]
+    )
+
+
+@register(
+    "conformed_subscriptions",
+    """SELECT subscription_id, user_id, term_start_date, term_end_date, term_index, status, billing_period, mrr_usd,
+              coalesce(is_downgrade, FALSE) AS is_downgrade, coalesce(is_reactivation, FALSE) AS is_reactivation, cancel_date
+       FROM fx_subscriptions""",
+)
+def conformed_subscriptions(spark, sf):
+    """Q4: conform the subscriptions view to its declared spec."""
+    return Q.conform(_t(spark, sf).subscriptions(), S.SUBSCRIPTIONS)

@@ -1,3 +1,242 @@
-"""Registered queries."""
+"""Sync, sink, streaming and governance queries (S1-S14, ST1-ST5, P12).
+
+These operators have side effects (they write tables); each query runs the
+operation into a fresh folder under the shared ``spark.checkpoint.dir`` and
+returns the resulting table read back, so its content can be checked against
+the oracle text over the source tables.
+"""
 
 from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tidemark.session import scratch_path
+from tidemark.sources import io as IO
+from tidemark.sources.fixtures import Tables
+from tidemark.plans.catalog import register
+
+# Business-word aliases for regions.
+REGION_ALIASES = [
+    ("europe", "EMEA"),
+    ("middle east", "MEA"),
+    ("africa", "MEA"),
+    ("asia", "APAC"),
+    ("america", "NA"),
+]
+
+
+def _t(spark, sf):
+    return Tables.of(spark, sf)
+
+
+def _scratch(spark, name):
+    return scratch_path(spark, f"ops/{name}-{uuid.uuid4().hex[:12]}")
+
+
+# ------------------------------------------------------------------ S10 / ST5
+
+
+@register("highwater_append", "SELECT * FROM fx_subscriptions")
+def highwater_append(spark, sf):
+    """Three syncs of a growing source: target absent (take all of the early
+    state), then the full source (append ids above the watermark), then again
+    (nothing new, no write).  Returns the target."""
+    src = _t(spark, sf).subscriptions()
+    target = _scratch(spark, "highwater")
+    pivot = src.agg(F.max("subscription_id")).first()[0] // 2  # one scalar
+    IO.append_above_watermark(src.filter(F.col("subscription_id") <= pivot), target, "subscription_id")
+    IO.append_above_watermark(src, target, "subscription_id")
+    n3 = IO.append_above_watermark(src, target, "subscription_id")
+    assert n3 == 0
+    return spark.read.parquet(target)
+
+
+# ------------------------------------------------------------------------ S11
+
+
+@register(
+    "outreach_log_append",
+    """SELECT CAST(row_number() OVER (ORDER BY logged_at, user_id, channel, note) AS BIGINT) AS id, user_id, channel, note, logged_at
+       FROM (SELECT user_id, 'app' AS channel, 'campaign ' || campaign_id AS note, CAST(touch_date AS TIMESTAMP) AS logged_at
+             FROM fx_touches WHERE delivered) z""",
+)
+def outreach_log_append(spark, sf):
+    """Append outreach events with dense ids ``max(id)+1...`` in two
+    batches (ids continue across batches)."""
+    t = _t(spark, sf)
+    ev = t.touches().filter("delivered").select(
+        "user_id", F.lit("app").alias("channel"), F.concat(F.lit("campaign "), F.col("campaign_id")).alias("note"),
+        F.col("touch_date").cast("timestamp_ntz").alias("logged_at"),
+    )
+    order = ["logged_at", "user_id", "channel", "note"]
+    cut = ev.agg(F.percentile_approx("logged_at", 0.5)).first()[0]
+    target = _scratch(spark, "outreach_log")
+    IO.append_log(ev.filter(F.col("logged_at") <= F.lit(cut)), target, "id", order)
+    IO.append_log(ev.filter(F.col("logged_at") > F.lit(cut)), target, "id", order)
+    return spark.read.parquet(target)
+
+
+# ------------------------------------------------------------------------ S12
+
+
+@register(
+    "upsert_latest",
+    """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY term_index DESC) AS rn
+                                  FROM fx_subscriptions) z WHERE rn = 1""",
+)
+def upsert_latest(spark, sf):
+    """base = each user's latest term before 1998; updates = every term
+    from 1998 (several per key); keyed upsert keeps the newest by term_index."""
+    from tidemark.operators.derive import latest_per_key
+
+    subs = _t(spark, sf).subscriptions()
+    early = F.col("term_start_date") < F.lit("1998-01-01").cast("date")
+    base = latest_per_key(subs.filter(early), "user_id", "term_index").select(*subs.columns)
+    return IO.upsert_latest(base, subs.filter(~early), ["user_id"], "term_index")
+
+
+# ------------------------------------------------------------------------- S9
+
+
+@register("published_snapshot", "SELECT * FROM fx_serving")
+def published_snapshot(spark, sf):
+    """Publish the serving table as a new version + pointer swap; return
+    what a reader of the pointer sees."""
+    target = _scratch(spark, "serving_snapshot")
+    IO.publish_snapshot(_t(spark, sf).serving(), target, "user_id")
+    return IO.read_snapshot(spark, target)
+
+
+# ------------------------------------------------------------------------ S13
+
+
+@register(
+    "content_digest",
+    "SELECT 'crm_touches' AS table_name, CAST(count(*) AS BIGINT) AS rows, TRUE AS same FROM fx_touches",
+)
+def content_digest(spark, sf):
+    """Two independent builds of the touches table have equal digests."""
+    a = IO.content_digest(Tables(spark, sf).touches(), "crm_touches")
+    b = IO.content_digest(Tables(spark, sf).touches().repartition(7), "crm_touches")
+    return IO.compare_digests(a, b)
+
+
+# ------------------------------------------------------------------ S6 / S7
+
+
+@register(
+    "partitioned_manifest",
+    """SELECT 'crm_touches' AS table_name, CAST(count(*) AS BIGINT) AS rows,
+              'campaign_id,clicked,cost_usd,delivered,opened,reactivated,touch_date,touch_id,touch_month,user_id' AS columns,
+              'touch_month' AS partition_by, CAST(count(DISTINCT date_trunc('month', touch_date)) AS BIGINT) AS partitions
+       FROM fx_touches""",
+)
+def partitioned_manifest(spark, sf):
+    """Write touches Hive-partitioned by month, then the manifest."""
+    target = _scratch(spark, "touches_by_month")
+    df = _t(spark, sf).touches().withColumn("touch_month", F.date_format("touch_date", "yyyy-MM"))
+    IO.write_partitioned(df, target, by=["touch_month"], files_per_value=2)
+    m = IO.manifest(spark, {"crm_touches": target}, {"crm_touches": ["touch_month"]})
+    parts = spark.read.parquet(target).select(F.count_distinct("touch_month").cast("bigint").alias("partitions"))
+    cols = ",".join(sorted(spark.read.parquet(target).columns))
+    return m.crossJoin(parts).select("table_name", "rows", F.lit(cols).alias("columns"), "partition_by", "partitions")
+
+
+# -------------------------------------------------------------- S1-S4, ST1-ST3
+
+
+def _land_usage(spark, sf, landing):
+    """Land daily usage as Hive-partitioned parquet (event_date in the path, T24)."""
+    u = _t(spark, sf).usage().select(
+        "user_id", "coding_hours", F.col("ai_acceptance_rate").alias("ai_suggestion_acceptance_rate"),
+        F.col("session_frequency").cast("bigint").alias("session_frequency"), "event_date",
+    )
+    u.write.mode("overwrite").partitionBy("event_date").parquet(landing)
+
+
+@register(
+    "bronze_silver_stream",
+    "SELECT user_id, event_date, coding_hours, ai_acceptance_rate, session_frequency FROM fx_usage WHERE user_id IS NOT NULL",
+)
+def bronze_silver_stream(spark, sf):
+    """S1-S4/ST1/ST2: availableNow bronze then silver; a second run on the same
+    files adds nothing (checkpointed progress)."""
+    from tidemark.streaming.ingest import run_pipeline
+    from tidemark.streaming.tables import USAGE_EVENTS
+
+    root = _scratch(spark, "ingest")
+    _land_usage(spark, sf, f"{root}/landing")
+    run_pipeline(spark, USAGE_EVENTS, f"{root}/landing", root)
+    run_pipeline(spark, USAGE_EVENTS, f"{root}/landing", root)  # restart: no new files
+    return spark.read.parquet(f"{root}/silver/usage_events")
+
+
+@register(
+    "stream_expectation_metrics",
+    """SELECT 'usage_events' AS dataset, rule, action, CAST(sum(passed) AS BIGINT) AS passed, CAST(sum(failed) AS BIGINT) AS failed FROM (
+         SELECT 'valid_user' AS rule, 'drop' AS action, count(*) - count_if(NOT coalesce(user_id IS NOT NULL, FALSE)) AS passed,
+                count_if(NOT coalesce(user_id IS NOT NULL, FALSE)) AS failed FROM fx_usage
+         UNION ALL SELECT 'valid_hours', 'keep', count(*) - count_if(NOT coalesce(coding_hours BETWEEN 0 AND 16, FALSE)),
+                count_if(NOT coalesce(coding_hours BETWEEN 0 AND 16, FALSE)) FROM fx_usage
+         UNION ALL SELECT 'valid_acceptance', 'keep', count(*) - count_if(NOT coalesce(ai_acceptance_rate BETWEEN 0 AND 1, FALSE)),
+                count_if(NOT coalesce(ai_acceptance_rate BETWEEN 0 AND 1, FALSE)) FROM fx_usage
+         UNION ALL SELECT 'valid_sessions', 'keep', count(*) - count_if(NOT coalesce(session_frequency >= 1, FALSE)),
+                count_if(NOT coalesce(session_frequency >= 1, FALSE)) FROM fx_usage) z
+       GROUP BY rule, action""",
+)
+def stream_expectation_metrics(spark, sf):
+    """ST3/Q2: per-micro-batch rule counts written by the silver stream,
+    summed per rule (each batch id counted once)."""
+    from tidemark.streaming.ingest import run_pipeline
+    from tidemark.streaming.tables import USAGE_EVENTS
+
+    root = _scratch(spark, "ingest_metrics")
+    _land_usage(spark, sf, f"{root}/landing")
+    paths = run_pipeline(spark, USAGE_EVENTS, f"{root}/landing", root)
+    m = spark.read.parquet(paths["metrics"]).dropDuplicates(["batch_id", "rule"])
+    return m.groupBy("dataset", "rule", "action").agg(
+        F.sum("passed").cast("bigint").alias("passed"), F.sum("failed").cast("bigint").alias("failed")
+    )
+
+
+# ------------------------------------------------------------------------ ST4
+
+
+@register(
+    "live_last_touch",
+    "SELECT user_id, max(CAST(touch_date AS TIMESTAMP)) AS last_touch FROM fx_touches GROUP BY user_id",
+)
+def live_last_touch(spark, sf):
+    """ST4: outreach events arrive as files in two drops; a streaming max per
+    user in update mode is upserted into a keyed table after each run."""
+    from tidemark.streaming.ingest import start_last_touch
+
+    root = _scratch(spark, "last_touch")
+    log = _t(spark, sf).touches().select("user_id", F.col("touch_date").cast("timestamp_ntz").alias("logged_at"))
+    cut = log.agg(F.percentile_approx("logged_at", 0.5)).first()[0]
+    schema = "user_id BIGINT, logged_at TIMESTAMP_NTZ"
+    log.filter(F.col("logged_at") <= F.lit(cut)).write.mode("append").parquet(f"{root}/landing/drop=1")
+    stream = spark.readStream.schema(schema).parquet(f"{root}/landing/*")
+    start_last_touch(stream, f"{root}/table", f"{root}/_ckpt").awaitTermination()
+    log.filter(F.col("logged_at") > F.lit(cut)).write.mode("append").parquet(f"{root}/landing/drop=2")
+    stream = spark.readStream.schema(schema).parquet(f"{root}/landing/*")
+    start_last_touch(stream, f"{root}/table", f"{root}/_ckpt").awaitTermination()
+    return spark.read.parquet(f"{root}/table")
+
+
+# ------------------------------------------------------------------------ P12
+
+
+def _alias_sql():
+    cases = " ".join(f"WHEN lower(geo) = '{w}' THEN '{c}'" for w, c in REGION_ALIASES)
+    return f"SELECT user_id, CASE {cases} ELSE geo END AS geo FROM fx_users"
+
+
+@register("alias_resolution", _alias_sql())
+def alias_resolution(spark, sf):
+    from tidemark.operators.worklist import alias_values
+
+    aliases = spark.createDataFrame(REGION_ALIASES, "word string, canonical string")
+    return alias_values(_t(spark, sf).users().select("user_id", "geo"), "geo", aliases)

@@ -196,23 +196,25 @@ def read_snapshot(spark: SparkSession, target: str) -> DataFrame:
 # ----------------------------------------------------------------- S10 / S11
 
 
-def high_watermark(spark: SparkSession, target: str, id_col: str = "id") -> int:
-    """``COALESCE(MAX(id), 0)``; 0 when the target does not exist yet."""
+def high_watermark(spark: SparkSession, target: str, id_col: str = "id") -> int | None:
+    """``MAX(id)`` of the target (a footer-statistics aggregate); None when the
+    target does not exist yet or is empty (then everything is new)."""
     if not path_exists(spark, target):
-        return 0
+        return None
     hi = spark.read.parquet(target).agg(F.max(id_col).alias("hi")).first()["hi"]
-    return int(hi) if hi is not None else 0
+    return int(hi) if hi is not None else None
 
 
 def append_above_watermark(source: DataFrame, target: str, id_col: str = "id") -> int:
     """S10/ST5: append rows of ``source`` with ``id > max(target.id)``.
 
-    The ``id > hi`` filter is pushed into the source scan.  Returns the number
-    of appended rows; an empty increment writes nothing.
+    The ``id > hi`` filter is pushed into the source scan (parquet row-group
+    skipping, or a JDBC ``WHERE``).  Returns the number of appended rows; an
+    empty increment writes nothing.
     """
     spark = source.sparkSession
     hi = high_watermark(spark, target, id_col)
-    new = source.filter(F.col(id_col) > F.lit(hi))
+    new = source if hi is None else source.filter(F.col(id_col) > F.lit(hi))
     n = new.count()
     if n == 0:
         return 0
@@ -230,7 +232,7 @@ def append_log(events: DataFrame, target: str, id_col: str = "id", order: Sequen
     from tidemark.operators.derive import dense_index
 
     spark = events.sparkSession
-    hi = high_watermark(spark, target, id_col)
+    hi = high_watermark(spark, target, id_col) or 0
     order = list(order) or list(events.columns)
     with_ids = dense_index(events, order, out=id_col, start=hi + 1)
     with_ids = with_ids.select(id_col, *[c for c in events.columns if c != id_col])

@@ -226,10 +226,12 @@ FROM (SELECT *, NOT at_risk AND last_churn_month IS NOT NULL AS lapsed FROM fx_s
 """
 
 FX["fx_cl"] = """
-SELECT l.month_start, l.user_id, l.geo, st.churned, st.churn_date, l.tenure_months, l.active_days,
+SELECT l.month_start, l.user_id, l.geo, st.churned, st.churn_date, l.tenure_months,
+       pw.user_id IS NOT NULL AS is_power_user_month, l.active_days,
        l.avg_coding_hours, l.avg_acceptance_rate, l.avg_session_frequency, l.coding_hours_trend_30d,
        l.support_tickets_30d, st.features_adopted, l.crm_touches_30d
 FROM fx_labels_e l JOIN fx_state st ON st.user_id = l.user_id AND st.month_start = l.month_start
+LEFT JOIN fx_power_weeks pw ON pw.user_id = l.user_id AND pw.month_start = l.month_start
 WHERE st.at_risk
 """
 

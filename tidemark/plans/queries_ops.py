@@ -240,3 +240,82 @@ def alias_resolution(spark, sf):
 
     aliases = spark.createDataFrame(REGION_ALIASES, "word string, canonical string")
     return alias_values(_t(spark, sf).users().select("user_id", "geo"), "geo", aliases)
+
+
+# --------------------------------------------------------------------- ML U3-U12
+
+# Fixed parameter: boosting rounds of the registered (check-sized) model run;
+# the library default is the reference's 300.
+CHECK_GBT_ITERS = 20
+_MODELS: dict = {}
+
+
+def _model(spark, sf):
+    from tidemark.operators import ml as M
+
+    key = (id(spark), sf)
+    if key not in _MODELS:
+        root = _scratch(spark, "models")
+        model, valid, holdout = M.train(_t(spark, sf).churn_labels(), {"maxIter": CHECK_GBT_ITERS})
+        version = M.save_version(spark, model, root)
+        loaded, v = M.load_alias(spark, root)
+        _MODELS[key] = (loaded, v, valid)
+    return _MODELS[key]
+
+
+@register(
+    "temporal_split",
+    """SELECT CASE WHEN month_start = (SELECT max(month_start) FROM fx_cl) THEN 'valid' ELSE 'train' END AS split,
+              CAST(count(*) AS BIGINT) AS rows, CAST(count_if(churned) AS BIGINT) AS positives
+       FROM fx_cl GROUP BY 1""",
+)
+def temporal_split(spark, sf):
+    from tidemark.operators import ml as M
+
+    tr, va, _ = M.temporal_split(_t(spark, sf).churn_labels())
+    agg = [F.count(F.lit(1)).cast("bigint").alias("rows"), F.count_if("churned").cast("bigint").alias("positives")]
+    return tr.agg(*agg).select(F.lit("train").alias("split"), "*").unionByName(va.agg(*agg).select(F.lit("valid").alias("split"), "*"))
+
+
+@register(
+    "class_weights",
+    """SELECT churned, CAST(count(*) AS BIGINT) AS rows, weight FROM (
+         SELECT churned, round(CASE WHEN p <= 0 OR p >= 1 THEN 1.0 WHEN churned THEN (1 - p) / p ELSE 1.0 END, 4) AS weight
+         FROM fx_cl, (SELECT avg(CAST(churned AS DOUBLE)) AS p FROM fx_cl) a) z
+       GROUP BY churned, weight""",
+)
+def class_weights(spark, sf):
+    from tidemark.operators import ml as M
+
+    w = M.with_class_weight(_t(spark, sf).churn_labels())
+    return w.groupBy("churned", F.round("weight", 4).alias("weight")).agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
+
+
+@register("gbt_scores")
+def gbt_scores(spark, sf):
+    """U9/U10 (rows-only): champion model scores each user's latest label."""
+    from tidemark.operators import ml as M
+
+    model, version, _ = _model(spark, sf)
+    return M.score_latest(model, _t(spark, sf).churn_labels(), version)
+
+
+@register("model_evaluation")
+def model_evaluation(spark, sf):
+    """U8 (rows-only): holdout ROC-AUC / PR-AUC / base rate."""
+    from tidemark.operators import ml as M
+
+    model, _, valid = _model(spark, sf)
+    return M.evaluate(model, valid)
+
+
+@register(
+    "bands_by_capacity",
+    """SELECT user_id, as_of_month, churn_score, churn_risk_band, score_rank,
+              CASE WHEN score_rank <= 100 THEN 'high' WHEN score_rank <= 400 THEN 'medium' ELSE 'low' END AS capacity_band
+       FROM (SELECT *, CAST(row_number() OVER (ORDER BY churn_score DESC, user_id) AS BIGINT) AS score_rank FROM fx_predictions) z""",
+)
+def bands_by_capacity(spark, sf):
+    from tidemark.operators import ml as M
+
+    return M.bands_by_capacity(_t(spark, sf).predictions(), n_high=100, n_medium=300)

@@ -34,7 +34,8 @@ CH = "CAST(churned AS INT)"
     "monthly_summary",
     f"""SELECT month_start, CAST(count(*) AS BIGINT) AS at_risk_users, CAST(count_if(churned) AS BIGINT) AS churn_events,
               {xm(CH, 0)} AS monthly_churn_rate, {xm('avg_coding_hours', 3)} AS avg_coding_hours,
-              {xm('avg_acceptance_rate', 4)} AS avg_acceptance_rate, {xm('avg_session_frequency', 3)} AS avg_session_frequency
+              {xm('avg_acceptance_rate', 4)} AS avg_acceptance_rate, {xm('avg_session_frequency', 3)} AS avg_session_frequency,
+              CAST(count_if(is_power_user_month) AS BIGINT) AS power_user_months
        FROM fx_cl GROUP BY month_start""",
 )
 def monthly_summary(spark, sf):

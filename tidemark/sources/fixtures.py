@@ -465,12 +465,17 @@ class Tables:
         def build():
             from tidemark.operators.derive import churn_labels
 
+            from tidemark.operators.derive import power_weeks
+
             st = self.monthly_state().filter("at_risk").select("user_id", "month_start", "churned", "churn_date", "features_adopted")
             lab = self.labels_enriched().drop("churned")
-            return churn_labels(st, lab.join(st, ["user_id", "month_start"])).select(
-                "month_start", "user_id", "geo", "churned", "churn_date", "tenure_months", "active_days", "avg_coding_hours",
-                "avg_acceptance_rate", "avg_session_frequency", "coding_hours_trend_30d", "support_tickets_30d",
-                "features_adopted", "crm_touches_30d",
+            pw = power_weeks(self.usage()).select("user_id", "month_start", F.lit(True).alias("_pw"))
+            beh = lab.join(st, ["user_id", "month_start"]).join(pw, ["user_id", "month_start"], "left")
+            beh = beh.withColumn("is_power_user_month", F.coalesce(F.col("_pw"), F.lit(False)))
+            return churn_labels(st, beh).select(
+                "month_start", "user_id", "geo", "churned", "churn_date", "tenure_months", "is_power_user_month", "active_days",
+                "avg_coding_hours", "avg_acceptance_rate", "avg_session_frequency", "coding_hours_trend_30d",
+                "support_tickets_30d", "features_adopted", "crm_touches_30d",
             )
 
         return self._get("churn_labels", build)

@@ -39,8 +39,7 @@ def ordered_neighbors(
     b = "_nb_bucket"
     df = df.withColumn(b, bucket)
     w_in = Window.partitionBy(key, b).orderBy(*order)
-    w_all = Window.partitionBy(key, b)
-    cols = {"_nb_rn": F.row_number().over(w_in), "_nb_cnt": F.count(F.lit(1)).over(w_all)}
+    cols = {"_nb_rn": F.row_number().over(w_in)}
     for out, src in lead.items():
         cols[f"_nb_ld_{out}"] = F.lead(src).over(w_in)
     for out, src in lag.items():
@@ -48,18 +47,15 @@ def ordered_neighbors(
     local = df.withColumns(cols)
 
     # One summary row per (key, bucket): size, first-row and last-row values.
-    aggs = [F.max("_nb_cnt").alias("_nb_n")]
+    # Aggregated straight from the source (partial aggregation, no second
+    # sort/window pass over the rows).
+    ordering = F.struct(*[F.col(c) for c in order])
+    aggs = [F.count(F.lit(1)).alias("_nb_n")]
     for out, src in lead.items():
-        aggs.append(F.first(F.when(F.col("_nb_rn") == 1, F.col(src)), ignorenulls=True).alias(f"_nb_first_{out}"))
+        aggs.append(F.min_by(F.col(src), ordering).alias(f"_nb_first_{out}"))
     for out, src in lag.items():
-        aggs.append(
-            F.first(F.when(F.col("_nb_rn") == F.col("_nb_cnt"), F.col(src)), ignorenulls=True).alias(f"_nb_last_{out}")
-        )
-    summary = (
-        local.filter((F.col("_nb_rn") == 1) | (F.col("_nb_rn") == F.col("_nb_cnt")))
-        .groupBy(key, b)
-        .agg(*aggs)
-    )
+        aggs.append(F.max_by(F.col(src), ordering).alias(f"_nb_last_{out}"))
+    summary = df.groupBy(key, b).agg(*aggs)
     w_key = Window.partitionBy(key).orderBy(b)
     scols = {
         "_nb_before": F.coalesce(
@@ -79,7 +75,7 @@ def ordered_neighbors(
     if index:
         result[index] = (F.col("_nb_before") + F.col("_nb_rn") - 1).cast("bigint")
     for o in lead:
-        result[o] = F.when(F.col("_nb_rn") == F.col("_nb_cnt"), F.col(f"_nb_next_{o}")).otherwise(
+        result[o] = F.when(F.col("_nb_rn") == F.col("_nb_n"), F.col(f"_nb_next_{o}")).otherwise(
             F.col(f"_nb_ld_{o}")
         )
     for o in lag:

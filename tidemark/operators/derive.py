@@ -85,6 +85,7 @@ def mom_ratio(
     lo: float = TREND_LO,
     hi: float = TREND_HI,
     digits: int = 4,
+    value_digits: int | None = None,
 ) -> DataFrame:
     """``value / previous calendar month's value`` on a user x month spine.
 
@@ -97,6 +98,11 @@ def mom_ratio(
     prev_m = F.lag(month).over(w)
     prev_v = F.lag(value).over(w)
     prev = F.when(prev_m == F.add_months(F.col(month), -1), prev_v).otherwise(F.lit(0.0))
+    if value_digits is not None and lo <= 0:
+        # fixed-decimal values: exact half-up ratio (non-negative), then the upper clip
+        num = scaled_int(F.col(value), value_digits) * F.lit(10**digits)
+        q = half_up_ratio(num, scaled_int(prev, value_digits)) / F.lit(float(10**digits))
+        return df.withColumn(out, F.when(prev > 0, F.least(q, F.lit(hi))).otherwise(F.lit(1.0)))
     ratio = F.try_divide(F.col(value).cast("double"), prev.cast("double"))
     ratio = F.when((prev > 0) & ratio.isNotNull() & ~F.isnan(ratio), ratio).otherwise(F.lit(1.0))
     return df.withColumn(out, F.round(F.least(F.greatest(ratio, F.lit(lo)), F.lit(hi)), digits))
@@ -176,20 +182,23 @@ def power_user_flag(
     pw = power_weeks(events, window_start, min_hours, min_days, key, date, hours)
     qualifying = pw.groupBy(key).agg(F.count(F.lit(1)).cast("bigint").alias("qualifying_months"))
     j = observed.join(qualifying, key, "full").fillna(0, ["observed_months", "qualifying_months"])
-    need = F.ceil(F.lit(share) * F.greatest(F.col("observed_months"), F.lit(1)))
     return j.select(
         key,
         "observed_months",
         "qualifying_months",
-        (
-            (F.col("observed_months") >= min_months)
-            & (F.col("qualifying_months") >= need)
-            & (F.col("qualifying_months") > 0)
-        ).alias("power_user_flag"),
+        sustained_flag("observed_months", "qualifying_months", share, min_months).alias("power_user_flag"),
         (F.col("qualifying_months") > 0).alias("ever_power_user"),
     )
 
 
+def sustained_flag(observed, qualifying, share: float = POWER_USER_MONTH_SHARE, min_months: int = POWER_USER_MIN_MONTHS) -> Column:
+    """D3 predicate: observed >= min_months, qualifying >= ceil(share x
+    max(observed, 1)) and qualifying > 0."""
+    o, q = _c(observed), _c(qualifying)
+    need = F.ceil(F.lit(share) * F.greatest(o, F.lit(1)))
+    return (o >= min_months) & (q >= need) & (q > 0)
+
+
 # ------------------------------------------------------------------ D7 / D8
 
 
@@ -267,23 +276,20 @@ def features_adopted(
         val = F.coalesce(F.col("weight"), F.lit(0.0))
     else:
         val = F.lit(1)
-    per_month = first.groupBy(F.col(key), F.col("_first").alias(month)).agg(F.sum(val).alias("_new"))
+    # A feature first seen before the user's first spine month counts from that
+    # month on: clamp to the user's spine start (one row per user), so a single
+    # pass over the activations feeds the running sum.
+    m0 = spine.groupBy(key).agg(F.min(month).alias("_m0"))
+    per_month = (
+        first.join(m0, key)
+        .groupBy(F.col(key), F.greatest(F.col("_first"), F.col("_m0")).alias(month))
+        .agg(F.sum(val).alias("_new"))
+    )
     w = Window.partitionBy(key).orderBy(month).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = F.sum(F.coalesce(F.col("_new"), F.lit(0))).over(w)
     j = spine.join(per_month, [key, month], "left")
-    # features first seen before the user's first spine month still count
-    before = (
-        spine.groupBy(key)
-        .agg(F.min(month).alias("_m0"))
-        .join(first, key)
-        .filter(F.col("_first") < F.col("_m0"))
-        .groupBy(key)
-        .agg(F.sum(val).alias("_pre"))
-    )
-    j = j.join(before, key, "left")
-    res = F.coalesce(F.col("_pre"), F.lit(0)) + running
-    res = res.cast("bigint") if weights is None else F.round(res, 4)
-    return j.withColumn(out, res).drop("_new", "_pre")
+    res = running.cast("bigint") if weights is None else F.round(running, 4)
+    return j.withColumn(out, res).drop("_new")
 
 
 def feature_adoption(
@@ -470,7 +476,7 @@ def in_term(days: DataFrame, terms: DataFrame, date: str, key: str = "user_id",
 
 
 def decline_features(
-    df: DataFrame, value: str, key: str = "user_id", month: str = "month_start", prefix: str = ""
+    df: DataFrame, value: str, key: str = "user_id", month: str = "month_start", prefix: str = "", value_digits: int | None = None
 ) -> DataFrame:
     """Log declines and the month-over-month ratio of an index.
 
@@ -490,12 +496,17 @@ def decline_features(
         raw = -F.ln(v / F.greatest(prev, eps))
         return F.when(v <= 0, F.lit(hi)).otherwise(F.least(F.greatest(raw, F.lit(lo)), F.lit(hi)))
 
+    ratio = F.round(v / F.greatest(prev1, eps), 4)
+    if value_digits is not None:
+        # fixed-decimal index: exact half-up when the previous value is positive
+        exact = half_up_ratio(scaled_int(v, value_digits) * F.lit(10_000), scaled_int(prev1, value_digits)) / F.lit(10_000.0)
+        ratio = F.when(prev1 > 0, exact).otherwise(ratio)
     return df.withColumns(
         {
             # "+ 0.0" turns -0.0 (from -ln(1)) into 0.0
             f"{prefix}decline_1m": F.round(decline(prev1, *DECLINE_CLIP_1M), 4) + F.lit(0.0),
             f"{prefix}decline_3m": F.round(decline(prev3, *DECLINE_CLIP_3M), 4) + F.lit(0.0),
-            f"{prefix}decline_ratio": F.round(v / F.greatest(prev1, eps), 4),
+            f"{prefix}decline_ratio": ratio,
         }
     )
 

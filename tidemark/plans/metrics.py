@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import exact_mean, half_up_ratio
+
 
 @dataclass
 class MetricView:
@@ -67,15 +69,17 @@ def latest_period(df: DataFrame, col: str) -> DataFrame:
 
 def monthly_view(labels: DataFrame) -> MetricView:
     """Certified monthly measures over one row per at-risk user-month (T5)."""
+    # Averages are exact half-up 4-dp means of the fixed-decimal label columns
+    # (scale 0 for the churn flag, 3 for hours, 4 for rates and trends).
     measures = {
         "At risk users": F.count(F.lit(1)),
         "Churned users": F.count_if(F.col("churned")),
-        "Churn rate": F.avg(F.col("churned").cast("int")),
-        "Avg coding hours": F.avg("avg_coding_hours"),
-        "Avg acceptance rate": F.avg("avg_acceptance_rate"),
+        "Churn rate": exact_mean(F.col("churned").cast("int"), 0),
+        "Avg coding hours": exact_mean(F.col("avg_coding_hours"), 3),
+        "Avg acceptance rate": exact_mean(F.col("avg_acceptance_rate"), 4),
     }
     if "coding_hours_trend_30d" in labels.columns:
-        measures["Avg coding hours trend"] = F.avg("coding_hours_trend_30d")
+        measures["Avg coding hours trend"] = exact_mean(F.col("coding_hours_trend_30d"), 4)
     dims = {"Month": F.col("month_start"), "Geo": F.col("geo")}
     if "is_power_user_month" in labels.columns:
         dims["Is power user month"] = F.col("is_power_user_month")
@@ -99,10 +103,10 @@ def current_view(serving: DataFrame, predictions: DataFrame) -> MetricView:
         "Total MRR": F.sum("mrr_usd"),
         # SUM(mrr) FILTER (WHERE subscribed): NULL flags are skipped
         "MRR at risk": F.sum(F.when(sub, F.col("mrr_usd"))),
-        "Avg churn score": F.avg("churn_score"),
-        "Avg coding hours trend": F.avg("coding_hours_trend_30d"),
-        "Avg acceptance rate": F.avg("avg_acceptance_rate"),
-        "Avg session frequency": F.avg("avg_session_frequency"),
+        "Avg churn score": exact_mean(F.col("churn_score"), 4),
+        "Avg coding hours trend": exact_mean(F.col("coding_hours_trend_30d"), 4),
+        "Avg acceptance rate": exact_mean(F.col("avg_acceptance_rate"), 4),
+        "Avg session frequency": exact_mean(F.col("avg_session_frequency"), 3),
     }
     dims = {
         "Geo": F.col("geo"),
@@ -126,7 +130,7 @@ def kpi_header(current: MetricView, monthly: MetricView) -> DataFrame:
     lm =monthly.source.agg(F.max("month_start").alias("_m"))
     latest = (
         monthly.source.join(F.broadcast(lm), F.col("month_start") == F.col("_m"), "left_semi")
-        .agg(F.round(F.avg(F.col("churned").cast("int")) * 100, 2).alias("churn_rate_pct"))
+        .agg((half_up_ratio(F.count_if("churned") * 10_000, F.count(F.lit(1))) / F.lit(100.0)).alias("churn_rate_pct"))
     )
     sub = F.col("is_currently_subscribed")
     mrr = F.when(sub, F.col("mrr_usd"))

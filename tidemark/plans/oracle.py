@@ -26,7 +26,7 @@ SELECT subscription_id, user_id, term_start_date,
        CAST(ti AS BIGINT) AS term_index,
        CASE st WHEN 'F' THEN 'canceled' WHEN 'P' THEN 'downgraded' ELSE 'active' END AS status,
        CASE WHEN pr IN ('1-URGENT', '2-HIGH') THEN 'annual' ELSE 'monthly' END AS billing_period,
-       round(price / 1000, 2) AS mrr_usd,
+       ((2 * CAST(round(price * 100) AS BIGINT) + 1000) // 2000) / 100.0 AS mrr_usd,
        st = 'P' AS is_downgrade, coalesce(prev = 'F', FALSE) AS is_reactivation,
        CASE WHEN st = 'F' THEN lapse END AS cancel_date
 FROM (SELECT *, CAST(least(term_start_date + INTERVAL 30 DAY, coalesce(nx, term_start_date + INTERVAL 30 DAY)) AS DATE) AS lapse
@@ -41,7 +41,7 @@ FROM (SELECT *, CAST(least(term_start_date + INTERVAL 30 DAY, coalesce(nx, term_
 FX["fx_usage"] = """
 SELECT user_id, CAST(ts AS DATE) AS event_date,
        round(least(sum(value) / 25, 16.0), 3) AS coding_hours,
-       round(CAST(sum(CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 4) AS ai_acceptance_rate,
+       ((2 * 10000 * sum(CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END) + count(*)) // (2 * count(*))) / 10000.0 AS ai_acceptance_rate,
        CAST(count(*) AS INT) AS session_frequency
 FROM events GROUP BY user_id, CAST(ts AS DATE)
 """
@@ -87,8 +87,8 @@ FX["fx_labels"] = """
 SELECT s.user_id, s.month_start, u.geo,
        s.month_start = x.m1 AND s.month_start <= DATE '2000-08-01' AS churned,
        CAST(coalesce(a.n, 0) AS BIGINT) AS active_days,
-       round(coalesce(a.h, CAST(0 AS DOUBLE)), 3) AS avg_coding_hours,
-       round(coalesce(a.r, CAST(0 AS DOUBLE)), 4) AS avg_acceptance_rate,
+       coalesce(((2 * a.hc + a.n * 5000) // (2 * a.n * 5000)) / 1000.0, CAST(0 AS DOUBLE)) AS avg_coding_hours,
+       coalesce(((2 * 10000 * a.k + a.n) // (2 * a.n)) / 10000.0, CAST(0 AS DOUBLE)) AS avg_acceptance_rate,
        CAST(coalesce(a.n, 0) AS DOUBLE) AS avg_session_frequency,
        CAST(coalesce(a.f, 0) AS BIGINT) AS support_tickets_30d,
        CAST(coalesce(t.n, 0) AS BIGINT) AS crm_touches_30d
@@ -96,7 +96,7 @@ FROM fx_spine s
 JOIN fx_users u ON u.user_id = s.user_id
 JOIN fx_span x ON x.user_id = s.user_id
 LEFT JOIN (SELECT o_custkey AS user_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, count(*) AS n,
-                  avg(o_totalprice) / 50000 AS h, avg(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS r,
+                  sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS hc, sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS k,
                   sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS f
            FROM orders GROUP BY o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE)) a
        ON a.user_id = s.user_id AND a.m = s.month_start
@@ -107,9 +107,10 @@ LEFT JOIN (SELECT user_id, CAST(date_trunc('month', touch_date) AS DATE) AS m, c
 
 FX["fx_labels_e"] = """
 SELECT l.*,
-       round(CASE WHEN lag(l.avg_coding_hours) OVER w > 0
-                  THEN least(greatest(l.avg_coding_hours / lag(l.avg_coding_hours) OVER w, 0.0), 5.0)
-                  ELSE 1.0 END, 4) AS coding_hours_trend_30d,
+       CASE WHEN lag(l.avg_coding_hours) OVER w > 0
+            THEN least(((2 * 10000 * CAST(round(l.avg_coding_hours * 1000) AS BIGINT) + CAST(round(lag(l.avg_coding_hours) OVER w * 1000) AS BIGINT))
+                        // (2 * CAST(round(lag(l.avg_coding_hours) OVER w * 1000) AS BIGINT))) / 10000.0, 5.0)
+            ELSE 1.0 END AS coding_hours_trend_30d,
        CAST(greatest(datediff('month', date_trunc('month', u.signup_date), l.month_start), 0) AS BIGINT) AS tenure_months
 FROM fx_labels l LEFT JOIN fx_users u ON u.user_id = l.user_id
 WINDOW w AS (PARTITION BY l.user_id ORDER BY l.month_start)
@@ -209,7 +210,11 @@ SELECT user_id, month_start, avg_coding_hours, plan, power_user_flag, at_risk, c
                   ELSE least(greatest(-ln(avg_coding_hours / greatest(coalesce(lag(avg_coding_hours, 1) OVER w, first_value(avg_coding_hours) OVER w), CAST(1e-6 AS DOUBLE))), -1.0), 2.0) END, 4) + 0.0 AS decline_1m,
        round(CASE WHEN avg_coding_hours <= 0 THEN 2.5
                   ELSE least(greatest(-ln(avg_coding_hours / greatest(coalesce(lag(avg_coding_hours, 3) OVER w, first_value(avg_coding_hours) OVER w), CAST(1e-6 AS DOUBLE))), -1.0), 2.5) END, 4) + 0.0 AS decline_3m,
-       round(avg_coding_hours / greatest(coalesce(lag(avg_coding_hours, 1) OVER w, first_value(avg_coding_hours) OVER w), CAST(1e-6 AS DOUBLE)), 4) AS decline_ratio,
+       CASE WHEN coalesce(lag(avg_coding_hours, 1) OVER w, first_value(avg_coding_hours) OVER w) > 0
+            THEN ((2 * 10000 * CAST(round(avg_coding_hours * 1000) AS BIGINT)
+                   + CAST(round(coalesce(lag(avg_coding_hours, 1) OVER w, first_value(avg_coding_hours) OVER w) * 1000) AS BIGINT))
+                  // (2 * CAST(round(coalesce(lag(avg_coding_hours, 1) OVER w, first_value(avg_coding_hours) OVER w) * 1000) AS BIGINT))) / 10000.0
+            ELSE round(avg_coding_hours / CAST(1e-6 AS DOUBLE), 4) END AS decline_ratio,
        max(CASE WHEN churned THEN month_start END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_churn_month,
        CAST(coalesce(sum(coalesce(reactivation_starts, 0)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS reactivations
 FROM fx_state0
@@ -295,3 +300,13 @@ def with_fx(body: str, extra: dict[str, str] | None = None) -> str:
         # merge the body's own CTE list after the fixture CTEs
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+def xm(col: str, s: int, out: int = 4) -> str:
+    """SQL text of the exact half-up mean of a ``s``-decimal column to ``out``
+    decimals (mirror of :func:`tidemark.functions.columns.exact_mean`)."""
+    up, down = 10 ** max(out - s, 0), 10 ** max(s - out, 0)
+    return (
+        f"((2 * {up} * sum(CAST(round({col} * {10 ** s}) AS BIGINT)) + count({col}) * {down}) "
+        f"// (2 * count({col}) * {down})) / {float(10 ** out)}"
+    )

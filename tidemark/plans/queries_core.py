@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import worklist as wl
 from tidemark.plans.catalog import register
+from tidemark.plans.oracle import xm
+from tidemark.functions.columns import exact_mean
 from tidemark.plans.metrics import current_view, kpi_header, latest_period, monthly_view
 from tidemark.sources.fixtures import Tables
 
@@ -33,7 +35,7 @@ def serving_snapshot(spark, sf):
 
 @register(
     "churn_rate_latest",
-    """SELECT round(avg(CAST(churned AS INT)), 4) AS churn_rate,
+    f"""SELECT {xm("CAST(churned AS INT)", 0)} AS churn_rate,
               CAST(count(*) AS BIGINT) AS at_risk_users
        FROM fx_labels_e WHERE month_start = (SELECT max(month_start) FROM fx_labels_e)""",
 )
@@ -47,7 +49,7 @@ def churn_rate_latest(spark, sf):
 
 @register(
     "churn_trend",
-    """SELECT month_start AS month, round(avg(CAST(churned AS INT)), 4) AS churn_rate,
+    f"""SELECT month_start AS month, {xm("CAST(churned AS INT)", 0)} AS churn_rate,
               CAST(count_if(churned) AS BIGINT) AS churned_users, CAST(count(*) AS BIGINT) AS at_risk_users
        FROM fx_labels_e GROUP BY month_start""",
 )
@@ -61,7 +63,7 @@ def churn_trend(spark, sf):
 
 @register(
     "churn_by_geo_latest",
-    """SELECT geo, round(avg(CAST(churned AS INT)), 4) AS churn_rate
+    f"""SELECT geo, {xm("CAST(churned AS INT)", 0)} AS churn_rate
        FROM fx_labels_e WHERE month_start = (SELECT max(month_start) FROM fx_labels_e) GROUP BY geo""",
 )
 def churn_by_geo_latest(spark, sf):
@@ -75,14 +77,14 @@ def churn_by_geo_latest(spark, sf):
 
 @register(
     "users_by_band",
-    """SELECT churn_risk_band, CAST(count(*) AS BIGINT) AS users, round(avg(churn_score), 3) AS avg_score
+    f"""SELECT churn_risk_band, CAST(count(*) AS BIGINT) AS users, {xm("churn_score", 4, 3)} AS avg_score
        FROM fx_predictions GROUP BY churn_risk_band""",
 )
 def users_by_band(spark, sf):
     p = _t(spark, sf).predictions()
     return (
         p.groupBy("churn_risk_band")
-        .agg(F.count(F.lit(1)).cast("bigint").alias("users"), F.round(F.avg("churn_score"), 3).alias("avg_score"))
+        .agg(F.count(F.lit(1)).cast("bigint").alias("users"), exact_mean(F.col("churn_score"), 4, 3).alias("avg_score"))
         .orderBy(F.col("avg_score").desc())
     )
 
@@ -104,7 +106,7 @@ def mrr_at_risk_by_band(spark, sf):
 
 @register(
     "trend_by_band",
-    """SELECT churn_risk_band, round(avg(coding_hours_trend_30d), 4) AS avg_coding_trend
+    f"""SELECT churn_risk_band, {xm("coding_hours_trend_30d", 4)} AS avg_coding_trend
        FROM fx_current GROUP BY churn_risk_band""",
 )
 def trend_by_band(spark, sf):
@@ -131,7 +133,7 @@ def persona_plan_risk(spark, sf):
 
 @register(
     "score_by_power",
-    """SELECT power_user_flag, round(avg(churn_score), 4) AS avg_churn_score, CAST(count(*) AS BIGINT) AS users
+    f"""SELECT power_user_flag, {xm("churn_score", 4)} AS avg_churn_score, CAST(count(*) AS BIGINT) AS users
        FROM fx_current GROUP BY power_user_flag""",
 )
 def score_by_power(spark, sf):
@@ -141,8 +143,8 @@ def score_by_power(spark, sf):
 
 @register(
     "engagement_by_band",
-    """SELECT churn_risk_band, round(avg(coding_hours_trend_30d), 4) AS avg_coding_trend,
-              round(avg(avg_acceptance_rate), 4) AS avg_acceptance_rate, CAST(count(*) AS BIGINT) AS users
+    f"""SELECT churn_risk_band, {xm("coding_hours_trend_30d", 4)} AS avg_coding_trend,
+              {xm("avg_acceptance_rate", 4)} AS avg_acceptance_rate, CAST(count(*) AS BIGINT) AS users
        FROM fx_current GROUP BY churn_risk_band""",
 )
 def engagement_by_band(spark, sf):
@@ -164,7 +166,7 @@ def engagement_by_band(spark, sf):
 @register(
     "kpi_header",
     """SELECT * FROM
-       (SELECT round(avg(CAST(churned AS INT)) * 100, 2) AS churn_rate_pct FROM fx_labels_e
+       (SELECT ((2 * 10000 * count_if(churned) + count(*)) // (2 * count(*))) / 100.0 AS churn_rate_pct FROM fx_labels_e
         WHERE month_start = (SELECT max(month_start) FROM fx_labels_e)) a,
        (SELECT round(coalesce(sum(mrr_usd) FILTER (WHERE is_currently_subscribed), 0.0), 2) AS mrr_at_risk_total,
                round(coalesce(sum(mrr_usd) FILTER (WHERE is_currently_subscribed AND churn_risk_band = 'high'), 0.0), 2) AS mrr_at_risk_high,

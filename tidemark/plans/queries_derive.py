@@ -124,7 +124,8 @@ def features_adopted(spark, sf):
     """SELECT s.user_id, s.month_start, round(coalesce(sum(w.weight), 0.0), 4) AS stickiness
        FROM fx_spine s
        LEFT JOIN fx_feat_first f ON f.user_id = s.user_id AND f.first_month <= s.month_start
-       LEFT JOIN (SELECT p_brand AS feature_key, round(avg(p_retailprice) / 1000, 4) AS weight FROM part GROUP BY p_brand) w
+       LEFT JOIN (SELECT p_brand AS feature_key, ((2 * sum(CAST(round(p_retailprice * 100) AS BIGINT)) + 10 * count(*)) // (20 * count(*))) / 10000.0 AS weight
+                  FROM part GROUP BY p_brand) w
               ON w.feature_key = f.feature_key
        GROUP BY s.user_id, s.month_start""",
 )

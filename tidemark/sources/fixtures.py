@@ -25,7 +25,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import risk_band
+from tidemark.functions.columns import half_up_ratio, risk_band, scaled_int
 from tidemark.operators.sequence import ordered_neighbors
 from tidemark.sources.io import bounded_broadcast
 
@@ -160,7 +160,8 @@ class Tables:
                 F.col("term_index").cast("bigint").alias("term_index"),
                 F.when(finished, "canceled").when(F.col("st") == "P", "downgraded").otherwise("active").alias("status"),
                 F.when(F.col("pr").isin("1-URGENT", "2-HIGH"), "annual").otherwise("monthly").alias("billing_period"),
-                F.round(F.col("price") / 1000, 2).alias("mrr_usd"),
+                # round(price / 1000, 2), half-up on exact cents
+                (half_up_ratio(scaled_int(F.col("price"), 2), F.lit(1000)) / F.lit(100.0)).alias("mrr_usd"),
                 (F.col("st") == "P").alias("is_downgrade"),
                 F.coalesce(F.col("prev") == "F", F.lit(False)).alias("is_reactivation"),
                 F.when(finished, lapse).alias("cancel_date"),
@@ -178,7 +179,7 @@ class Tables:
             engaged = F.when(F.col("event_type").isin("click", "purchase"), 1).otherwise(0)
             return e.groupBy("user_id", day.alias("event_date")).agg(
                 F.round(F.least(F.sum("value") / HOURS_DIVISOR, F.lit(HOURS_CAP)), 3).alias("coding_hours"),
-                F.round(F.sum(engaged).cast("double") / F.count(F.lit(1)), 4).alias("ai_acceptance_rate"),
+                (half_up_ratio(F.sum(engaged) * 10_000, F.count(F.lit(1))) / F.lit(10_000.0)).alias("ai_acceptance_rate"),
                 F.count(F.lit(1)).cast("int").alias("session_frequency"),
             )
 
@@ -286,8 +287,8 @@ class Tables:
                 .groupBy(F.col("o_custkey").alias("user_id"), month.alias("month_start"))
                 .agg(
                     F.count(F.lit(1)).alias("n"),
-                    (F.avg("o_totalprice") / ORDER_HOURS_DIVISOR).alias("h"),
-                    F.avg(hi_pri).alias("r"),
+                    F.sum(scaled_int(F.col("o_totalprice"), 2)).alias("hc"),
+                    F.sum(hi_pri.cast("int")).alias("k"),
                     F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("f"),
                 )
             )
@@ -312,8 +313,11 @@ class Tables:
                     "churned"
                 ),
                 F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("active_days"),
-                F.round(F.coalesce(F.col("h"), zero), 3).alias("avg_coding_hours"),
-                F.round(F.coalesce(F.col("r"), zero), 4).alias("avg_acceptance_rate"),
+                # avg(price) / 50000 to 3 dp and avg(high priority) to 4 dp, exact half-up
+                F.coalesce(half_up_ratio(F.col("hc"), F.col("n") * int(ORDER_HOURS_DIVISOR * 100 / 1000)) / F.lit(1000.0), zero).alias(
+                    "avg_coding_hours"
+                ),
+                F.coalesce(half_up_ratio(F.col("k") * 10_000, F.col("n")) / F.lit(10_000.0), zero).alias("avg_acceptance_rate"),
                 F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("avg_session_frequency"),
                 F.coalesce(F.col("f"), F.lit(0)).cast("bigint").alias("support_tickets_30d"),
                 F.coalesce(F.col("tn"), F.lit(0)).cast("bigint").alias("crm_touches_30d"),
@@ -327,7 +331,7 @@ class Tables:
         def build():
             from tidemark.operators.derive import mom_ratio, tenure_months
 
-            lab = mom_ratio(self.labels(), value="avg_coding_hours", out="coding_hours_trend_30d")
+            lab = mom_ratio(self.labels(), value="avg_coding_hours", out="coding_hours_trend_30d", value_digits=3)
             users = self.users().select("user_id", "signup_date")
             return tenure_months(lab.join(users, "user_id", "left"), start="signup_date", at="month_start").drop(
                 "signup_date"
@@ -394,7 +398,8 @@ class Tables:
 
         def build():
             return self.raw("part").groupBy(F.col("p_brand").alias("feature_key")).agg(
-                F.round(F.avg("p_retailprice") / 1000, 4).alias("weight")
+                # avg(price) / 1000 to 4 dp, exact half-up
+                (half_up_ratio(F.sum(scaled_int(F.col("p_retailprice"), 2)), F.count(F.lit(1)) * 10) / F.lit(10_000.0)).alias("weight")
             )
 
         return self._get("feature_weights", build)
@@ -452,7 +457,7 @@ class Tables:
                     "reactivation_starts",
                 )
             )
-            st = D.decline_features(base, "avg_coding_hours")
+            st = D.decline_features(base, "avg_coding_hours", value_digits=3)
             st = D.lapse_state(st, subscribed="at_risk", churned="churned")
             st = D.user_state(st, ratio="decline_ratio", subscribed="at_risk", lapsed="lapsed")
             return D.winback_eligible(st).drop("reactivation_starts")

@@ -29,6 +29,12 @@ def get_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # small local inputs: keep AQE from coalescing a stage into one task
+        # (on a cluster the platform's defaults / data volume govern this)
+        .config(
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize",
+            os.environ.get("TIDEMARK_MIN_PARTITION_SIZE", "64k"),
+        )
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"))
     )

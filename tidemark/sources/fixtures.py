@@ -77,7 +77,10 @@ class Tables:
         from tidemark.session import scratch_path
         import hashlib
 
-        base = folder or scratch_path(self.spark, "gold-" + hashlib.sha1(self.root.encode()).hexdigest()[:12])
+        import uuid
+
+        run = hashlib.sha1(self.root.encode()).hexdigest()[:12] + "-" + uuid.uuid4().hex[:8]
+        base = folder or scratch_path(self.spark, f"gold-{run}")
         paths = {}
         for n in names:
             df = getattr(self, n)()
@@ -275,32 +278,32 @@ class Tables:
         return self._get("spine", build)
 
     # ----------------------------------------------------------------- labels
-    def labels(self) -> DataFrame:
-        """One row per user per spine month with monthly behaviour columns."""
+    def _labels_base(self) -> DataFrame:
+        """Spine x monthly behaviour, with ``signup_date`` carried for tenure."""
 
         def build():
-            span = self.order_span()
             month = F.trunc(F.col("o_orderdate").cast("date"), "month")
-            hi_pri = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lit(1.0)).otherwise(F.lit(0.0))
+            hi_pri = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 1).otherwise(0)
             monthly = (
                 self.raw("orders")
                 .groupBy(F.col("o_custkey").alias("user_id"), month.alias("month_start"))
                 .agg(
                     F.count(F.lit(1)).alias("n"),
                     F.sum(scaled_int(F.col("o_totalprice"), 2)).alias("hc"),
-                    F.sum(hi_pri.cast("int")).alias("k"),
+                    F.sum(hi_pri).alias("k"),
                     F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("f"),
                 )
             )
-            touches = self.touches()
-            tmonthly = touches.groupBy(
-                "user_id", F.trunc("touch_date", "month").alias("month_start")
-            ).agg(F.count(F.lit(1)).alias("tn"))
-            s = self.spine()
-            users = self.users().select("user_id", "geo")
+            tmonthly = self.touches().groupBy("user_id", F.trunc("touch_date", "month").alias("month_start")).agg(
+                F.count(F.lit(1)).alias("tn")
+            )
+            # spine generated with the user's last month kept (no join back to the span)
+            s = self.order_span().select(
+                "user_id", "m1", F.explode(F.sequence("m0", "m1", F.expr("INTERVAL 1 MONTH"))).alias("month_start")
+            )
+            users = self.users().select("user_id", "geo", "signup_date")
             j = (
                 s.join(users, "user_id")
-                .join(span.select("user_id", "m1"), "user_id")
                 .join(monthly, ["user_id", "month_start"], "left")
                 .join(tmonthly, ["user_id", "month_start"], "left")
             )
@@ -321,9 +324,14 @@ class Tables:
                 F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("avg_session_frequency"),
                 F.coalesce(F.col("f"), F.lit(0)).cast("bigint").alias("support_tickets_30d"),
                 F.coalesce(F.col("tn"), F.lit(0)).cast("bigint").alias("crm_touches_30d"),
+                "signup_date",
             )
 
-        return self._get("labels", build)
+        return self._get("labels_base", build)
+
+    def labels(self) -> DataFrame:
+        """One row per user per spine month with monthly behaviour columns."""
+        return self._get("labels", lambda: self._labels_base().drop("signup_date"))
 
     def labels_enriched(self) -> DataFrame:
         """``labels`` plus the derived month-over-month trend (D5) and tenure."""
@@ -331,11 +339,8 @@ class Tables:
         def build():
             from tidemark.operators.derive import mom_ratio, tenure_months
 
-            lab = mom_ratio(self.labels(), value="avg_coding_hours", out="coding_hours_trend_30d", value_digits=3)
-            users = self.users().select("user_id", "signup_date")
-            return tenure_months(lab.join(users, "user_id", "left"), start="signup_date", at="month_start").drop(
-                "signup_date"
-            )
+            lab = mom_ratio(self._labels_base(), value="avg_coding_hours", out="coding_hours_trend_30d", value_digits=3)
+            return tenure_months(lab, start="signup_date", at="month_start").drop("signup_date")
 
         return self._get("labels_enriched", build)
 
@@ -346,7 +351,7 @@ class Tables:
         def build():
             from tidemark.operators.derive import latest_per_key
 
-            last = latest_per_key(self.labels(), "user_id", "month_start")
+            last = latest_per_key(self.labels_enriched().select(*self.labels().columns), "user_id", "month_start")
             z = (
                 F.lit(SCORE_COEF_HOURS) * F.col("avg_coding_hours")
                 - F.lit(SCORE_COEF_TICKETS) * F.col("support_tickets_30d")

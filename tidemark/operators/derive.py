@@ -463,13 +463,11 @@ def bill_terms(
 
 
 def in_term(days: DataFrame, terms: DataFrame, date: str, key: str = "user_id", out: str = "in_term") -> DataFrame:
-    """Flag rows whose date falls inside any of the user's terms
-    ``[start, end or open]`` (semi join on user + range, no fan-out)."""
-    t = terms.select(F.col(key).alias("_k"), F.col("term_start_date").alias("_s"), F.col("term_end_date").alias("_e"))
-    cond = (F.col(key) == F.col("_k")) & (F.col(date) >= F.col("_s")) & (F.col("_e").isNull() | (F.col(date) <= F.col("_e")))
-    hit = days.join(t, cond, "left_semi").withColumn(out, F.lit(True))
-    miss = days.join(t, cond, "left_anti").withColumn(out, F.lit(False))
-    return hit.unionByName(miss)
+    """Subscribed-day test (see :func:`tidemark.operators.quality.in_term`:
+    a sweep over starts/points/ends, no range join)."""
+    from tidemark.operators.quality import in_term as _in_term
+
+    return _in_term(days, terms, date, key, out)
 
 
 # ------------------------------------------------------------------------ D20

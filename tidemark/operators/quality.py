@@ -118,37 +118,59 @@ def rate_check(df: DataFrame, flag: str, target: float, tol: float = 0.005, name
 # ------------------------------------------------------------------------ J5
 
 
-def uncovered(
+def coverage_sweep(
     points: DataFrame,
     intervals: DataFrame,
     on: str = "user_id",
     at: str = "touch_date",
     start: str = "term_start_date",
     end: str = "term_end_date",
+    out: str = "open_intervals",
 ) -> DataFrame:
-    """Rows of ``points`` whose date lies in none of the key's intervals
-    ``[start, end]`` (``end`` NULL = open).
+    """Number of the key's intervals ``[start, end]`` (``end`` NULL = open)
+    that contain each point's date, without a range join.
 
-    A sweep, not a join: interval starts (+1), points (0) and interval ends
-    (-1, after points of the same day since ends are inclusive) are merged in
-    date order per key; a point is covered when the running count is > 0.
-    The running count uses :func:`ordered_prefix_sum` (skew-safe)."""
+    Interval starts (+1), points (0) and interval ends (-1, after points of
+    the same day since ends are inclusive) are merged in date order per key;
+    the running sum at a point is the number of open intervals.  The running
+    sum uses :func:`ordered_prefix_sum` (skew-safe: split by day)."""
     pcols = points.columns
     p = points.select(
         F.col(on).alias("_k"), F.col(at).cast("date").alias("_d"), F.lit(1).alias("_kind"), F.lit(0).alias("_delta"),
         F.struct(*[F.col(c) for c in pcols]).alias("_row"),
     )
+    row_type = p.schema["_row"].dataType
     s = intervals.select(
         F.col(on).alias("_k"), F.col(start).cast("date").alias("_d"), F.lit(0).alias("_kind"), F.lit(1).alias("_delta"),
-        F.lit(None).cast(p.schema["_row"].dataType).alias("_row"),
+        F.lit(None).cast(row_type).alias("_row"),
     )
     e = intervals.filter(F.col(end).isNotNull()).select(
         F.col(on).alias("_k"), F.col(end).cast("date").alias("_d"), F.lit(2).alias("_kind"), F.lit(-1).alias("_delta"),
-        F.lit(None).cast(p.schema["_row"].dataType).alias("_row"),
+        F.lit(None).cast(row_type).alias("_row"),
     )
     ev = p.unionByName(s).unionByName(e)
     swept = ordered_prefix_sum(ev, key="_k", order=["_d", "_kind"], bucket=F.col("_d"), value="_delta", out="_open")
-    return swept.filter((F.col("_kind") == 1) & (F.col("_open") <= 0)).select("_row.*")
+    pts = swept.filter(F.col("_kind") == 1)
+    return pts.select("_row.*", F.greatest(F.col("_open"), F.lit(0)).cast("bigint").alias(out))
+
+
+def uncovered(
+    points: DataFrame,
+    intervals: DataFrame,
+    on: str = "user_id",
+    at: str = "touch_date",
+    start: str = "term_start_date",
+    end: str = "term_end_date",
+) -> DataFrame:
+    """Rows of ``points`` whose date lies in none of the key's intervals."""
+    swept = coverage_sweep(points, intervals, on, at, start, end, out="_open")
+    return swept.filter(F.col("_open") <= 0).drop("_open")
+
+
+def in_term(points: DataFrame, terms: DataFrame, date: str, key: str = "user_id", out: str = "in_term") -> DataFrame:
+    """Flag each row whose date falls inside any of the user's terms."""
+    swept = coverage_sweep(points, terms, key, date, out="_open")
+    return swept.withColumn(out, F.col("_open") > 0).drop("_open")
 
 
 # ------------------------------------------------------------------------ J6

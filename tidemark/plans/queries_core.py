@@ -285,3 +285,32 @@ def risk_bands(spark, sf):
     return p.groupBy("churn_risk_band").agg(
         F.count(F.lit(1)).cast("bigint").alias("users"), F.min("churn_score").alias("min_score"), F.max("churn_score").alias("max_score")
     )
+
+
+@register(
+    "user_search",
+    """SELECT user_id, geo, persona, plan FROM fx_users WHERE contains(lower(CAST(user_id AS VARCHAR)), '12')""",
+)
+def user_search(spark, sf):
+    """Case-insensitive substring search on the user id."""
+    return wl.search(_t(spark, sf).users().select("user_id", "geo", "persona", "plan"), "12")
+
+
+@register(
+    "worklist_page",
+    """SELECT user_id, geo, persona, plan, mrr, score, band, coding_trend, crm_touches FROM (
+         SELECT user_id, geo, persona, plan, mrr_usd AS mrr, churn_score AS score, churn_risk_band AS band,
+                coding_hours_trend_30d AS coding_trend, crm_touches_30d AS crm_touches,
+                row_number() OVER (ORDER BY churn_score DESC, user_id) AS rn
+         FROM fx_current WHERE is_currently_subscribed = TRUE) z
+       WHERE rn > 50 AND rn <= 100""",
+)
+def worklist_page(spark, sf):
+    """K6: second page of the subscribed worklist by key-based pagination:
+    rows strictly after page one's last (score, user_id), next 50."""
+    t = _t(spark, sf)
+    rows = wl.worklist(t.predictions(), t.serving(), limit=500)
+    first = wl.page(rows, [("score", True), ("user_id", False)], None, 50)
+    last = first.orderBy(F.col("score").asc(), F.col("user_id").desc()).limit(1).collect()  # the cursor: one row
+    after = {"score": last[0]["score"], "user_id": last[0]["user_id"]} if last else None
+    return wl.page(rows, [("score", True), ("user_id", False)], after, 50)

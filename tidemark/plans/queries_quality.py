@@ -264,3 +264,53 @@ def check_report(spark, sf):
 def conformed_subscriptions(spark, sf):
     """Q4: conform the subscriptions view to its declared spec."""
     return Q.conform(_t(spark, sf).subscriptions(), S.SUBSCRIPTIONS)
+
+
+@register(
+    "tickets_in_term",
+    """SELECT t.*, EXISTS (SELECT 1 FROM fx_subscriptions s WHERE s.user_id = t.user_id AND t.created_date >= s.term_start_date
+                                AND (s.term_end_date IS NULL OR t.created_date <= s.term_end_date)) AS in_term
+       FROM fx_tickets t""",
+)
+def tickets_in_term(spark, sf):
+    """Is each ticket's day inside one of the user's terms."""
+    t = _t(spark, sf)
+    return Q.in_term(t.tickets(), t.subscriptions(), "created_date")
+
+
+@register(
+    "feature_days_exceed",
+    """SELECT f.* FROM fx_feature_adoption f JOIN fx_ud u ON u.user_id = f.user_id AND u.m = f.month_start
+       WHERE f.active_days > u.udays""",
+)
+def feature_days_exceed(spark, sf):
+    """Feature-active days never exceed the user's active days (two-key join)."""
+    from tidemark.operators.derive import feature_adoption
+
+    t = _t(spark, sf)
+    days = t.touches().select("user_id", F.col("touch_date").alias("event_date")).distinct()
+    fa = feature_adoption(days, t.at_risk(), t.feature_days())
+    ud = days.groupBy("user_id", F.trunc("event_date", "month").alias("month_start")).agg(F.count(F.lit(1)).alias("udays"))
+    return Q.column_mismatch(fa, ud, ["user_id", "month_start"], "active_days", "udays", op=">")
+
+
+@register(
+    "key_set_equality",
+    """SELECT 'users_without_terms' AS edge,
+              CAST(count(*) FILTER (WHERE s.k IS NULL) AS BIGINT) AS orphan_keys, CAST(count(*) AS BIGINT) AS child_keys,
+              count(*) FILTER (WHERE s.k IS NULL) = 0 AS ok
+       FROM (SELECT DISTINCT user_id AS k FROM fx_users) u LEFT JOIN (SELECT DISTINCT user_id AS k FROM fx_subscriptions) s ON u.k = s.k
+       UNION ALL
+       SELECT 'terms_without_users', CAST(count(*) FILTER (WHERE u.k IS NULL) AS BIGINT), CAST(count(*) AS BIGINT),
+              count(*) FILTER (WHERE u.k IS NULL) = 0
+       FROM (SELECT DISTINCT user_id AS k FROM fx_subscriptions) s LEFT JOIN (SELECT DISTINCT user_id AS k FROM fx_users) u ON u.k = s.k""",
+)
+def key_set_equality(spark, sf):
+    """users = users with terms, checked as anti joins both ways."""
+    t = _t(spark, sf)
+    return Q.fk_report(
+        [
+            ("users_without_terms", t.users(), t.subscriptions(), "user_id", "user_id"),
+            ("terms_without_users", t.subscriptions(), t.users(), "user_id", "user_id"),
+        ]
+    )

@@ -272,7 +272,9 @@ def features_adopted(
     """
     first = activations.groupBy(key, feature).agg(F.trunc(F.min(_c(date)), "month").alias("_first"))
     if weights is not None:
-        first = first.join(F.broadcast(weights), feature, "left")
+        from tidemark.sources.io import bounded_broadcast
+
+        first = first.join(bounded_broadcast(weights, 1_000_000), feature, "left")
         val = F.coalesce(F.col("weight"), F.lit(0.0))
     else:
         val = F.lit(1)
@@ -598,7 +600,9 @@ def segment_eligibility(features: DataFrame, rules: DataFrame, unsubscribes: Dat
         ).alias("_rule"),
     ).filter(F.col("_rule.ok"))
     stacked = stacked.withColumn("condition", F.col("_rule.condition")).drop("_rule", *[f"_r{i}" for i in range(len(conds))])
-    out = stacked.join(F.broadcast(rules), "condition").drop("condition")
+    from tidemark.sources.io import bounded_broadcast
+
+    out = stacked.join(bounded_broadcast(rules, 10_000), "condition").drop("condition")
     if unsubscribes is not None:
         unsub = unsubscribes.select(key, "channel", F.col("unsub_date"))
         prior = (F.col(key) == F.col("_u")) & (F.col("channel") == F.col("_ch")) & (F.col("_ud") <= F.col("month_start"))
@@ -659,7 +663,7 @@ def dense_index(df: DataFrame, order: Sequence[str], out: str = "row_no", start:
     offsets = sizes.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).select("_pid", "_off")
-    res = tagged.join(F.broadcast(offsets), "_pid").withColumn(out, (F.col("_off") + F.col("_pos") + F.lit(start)).cast("bigint"))
+    res = tagged.join(F.broadcast(offsets), "_pid")  # one row per partition.withColumn(out, (F.col("_off") + F.col("_pos") + F.lit(start)).cast("bigint"))
     return res.drop("_pid", "_mid", "_pos", "_off")
 
 

@@ -170,7 +170,7 @@ def bronze_silver_stream(spark, sf):
     _land_usage(spark, sf, f"{root}/landing")
     run_pipeline(spark, USAGE_EVENTS, f"{root}/landing", root)
     run_pipeline(spark, USAGE_EVENTS, f"{root}/landing", root)  # restart: no new files
-    return spark.read.parquet(f"{root}/silver/usage_events")
+    return spark.read.parquet(f"{root}/silver/usage_events").drop("batch_id")
 
 
 @register(
@@ -195,7 +195,7 @@ def stream_expectation_metrics(spark, sf):
     root = _scratch(spark, "ingest_metrics")
     _land_usage(spark, sf, f"{root}/landing")
     paths = run_pipeline(spark, USAGE_EVENTS, f"{root}/landing", root)
-    m = spark.read.parquet(paths["metrics"]).dropDuplicates(["batch_id", "rule"])
+    m = spark.read.parquet(paths["metrics"])  # one folder per batch id
     return m.groupBy("dataset", "rule", "action").agg(
         F.sum("passed").cast("bigint").alias("passed"), F.sum("failed").cast("bigint").alias("failed")
     )
@@ -223,7 +223,7 @@ def live_last_touch(spark, sf):
     log.filter(F.col("logged_at") > F.lit(cut)).write.mode("append").parquet(f"{root}/landing/drop=2")
     stream = spark.readStream.schema(schema).parquet(f"{root}/landing/*")
     start_last_touch(stream, f"{root}/table", f"{root}/_ckpt").awaitTermination()
-    return spark.read.parquet(f"{root}/table")
+    return IO.read_snapshot(spark, f"{root}/table")
 
 
 # ------------------------------------------------------------------------ P12

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import quality as Q
 from tidemark.plans import specs as S
 from tidemark.plans.catalog import register
+from tidemark.sources import io as IO
 from tidemark.sources.fixtures import Tables
 from tidemark.streaming import tables as IT
 from tidemark.streaming.ingest import expectation_report
@@ -210,7 +211,8 @@ def touches_outside_campaign(spark, sf):
 
     t = _t(spark, sf)
     cd = campaign_dates(spark, sf).select("campaign_id", "start_date", "end_date")
-    return Q.outside_parent_dates(t.touches(), F.broadcast(cd), "campaign_id", "touch_date", "start_date", "end_date")
+    cd = IO.bounded_broadcast(cd, 100_000)  # campaign dimension: size proven before the hint
+    return Q.outside_parent_dates(t.touches(), cd, "campaign_id", "touch_date", "start_date", "end_date")
 
 
 @register(

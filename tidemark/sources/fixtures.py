@@ -62,32 +62,55 @@ class Tables:
             cls._registry[k] = cls(spark, root)
         return cls._registry[k]
 
-    MATERIALIZABLE = (
-        "users_profile", "subscriptions", "touches", "usage", "tickets", "labels_enriched", "predictions", "serving",
-        "monthly_state", "churn_labels",
+    # Tables of the silver/gold layer in dependency levels: the tables of one
+    # level only read raw tables or tables of earlier levels.
+    LEVELS = (
+        ("users_profile", "subscriptions", "touches", "usage", "tickets"),
+        ("labels_enriched",),
+        ("predictions", "monthly_state"),
+        ("serving", "churn_labels"),
     )
+    MATERIALIZABLE = tuple(n for level in LEVELS for n in level)
 
-    def materialize(self, names=MATERIALIZABLE, folder: str | None = None) -> dict[str, str]:
+    def materialize(self, names=MATERIALIZABLE, folder: str | None = None, parallel: bool = True) -> dict[str, str]:
         """Write views as parquet tables (silver/gold) and read them back.
 
-        The folder defaults to a sub-folder of the shared ``spark.checkpoint.dir``
-        so executors on any node can read it; writing also cuts the lineage, so
-        a lost executor recomputes from the written table, not from raw files.
+        The folder defaults to a fresh sub-folder of the shared
+        ``spark.checkpoint.dir`` so executors on any node can read it; writing
+        also cuts the lineage, so a lost executor recomputes from the written
+        table, not from raw files.  Independent tables of one level are written
+        as concurrent Spark jobs (the scheduler interleaves their stages).
         """
-        from tidemark.session import scratch_path
         import hashlib
-
         import uuid
+        from concurrent.futures import ThreadPoolExecutor
+
+        from tidemark.session import scratch_path
 
         run = hashlib.sha1(self.root.encode()).hexdigest()[:12] + "-" + uuid.uuid4().hex[:8]
         base = folder or scratch_path(self.spark, f"gold-{run}")
+        wanted = list(names)
+        levels = [[n for n in lvl if n in wanted] for lvl in self.LEVELS] + [[n for n in wanted if n not in self.MATERIALIZABLE]]
         paths = {}
-        for n in names:
-            df = getattr(self, n)()
+
+        def write(n):
             path = f"{base}/{n}"
-            df.write.mode("overwrite").parquet(path)
-            self._memo[n] = self.spark.read.parquet(path)
-            paths[n] = path
+            getattr(self, n)().write.mode("overwrite").parquet(path)
+            return n, path
+
+        for lvl in levels:
+            if not lvl:
+                continue
+            for n in lvl:  # build plans on this thread (memo is not shared across threads)
+                getattr(self, n)()
+            if parallel and len(lvl) > 1:
+                with ThreadPoolExecutor(max_workers=len(lvl)) as pool:
+                    done = list(pool.map(write, lvl))
+            else:
+                done = [write(n) for n in lvl]
+            for n, path in done:
+                self._memo[n] = self.spark.read.parquet(path)
+                paths[n] = path
         return paths
 
     def _get(self, name, build):

@@ -663,7 +663,8 @@ def dense_index(df: DataFrame, order: Sequence[str], out: str = "row_no", start:
     offsets = sizes.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).select("_pid", "_off")
-    res = tagged.join(F.broadcast(offsets), "_pid")  # one row per partition.withColumn(out, (F.col("_off") + F.col("_pos") + F.lit(start)).cast("bigint"))
+    # offsets has one row per partition, so the broadcast is bounded by the partition count
+    res = tagged.join(F.broadcast(offsets), "_pid").withColumn(out, (F.col("_off") + F.col("_pos") + F.lit(start)).cast("bigint"))
     return res.drop("_pid", "_mid", "_pos", "_off")
 
 

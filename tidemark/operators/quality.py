@@ -130,28 +130,28 @@ def coverage_sweep(
     """Number of the key's intervals ``[start, end]`` (``end`` NULL = open)
     that contain each point's date, without a range join.
 
-    Interval starts (+1), points (0) and interval ends (-1, after points of
-    the same day since ends are inclusive) are merged in date order per key;
-    the running sum at a point is the number of open intervals.  The running
-    sum uses :func:`ordered_prefix_sum` (skew-safe: split by day)."""
-    pcols = points.columns
-    p = points.select(
-        F.col(on).alias("_k"), F.col(at).cast("date").alias("_d"), F.lit(1).alias("_kind"), F.lit(0).alias("_delta"),
-        F.struct(*[F.col(c) for c in pcols]).alias("_row"),
-    )
-    row_type = p.schema["_row"].dataType
-    s = intervals.select(
-        F.col(on).alias("_k"), F.col(start).cast("date").alias("_d"), F.lit(0).alias("_kind"), F.lit(1).alias("_delta"),
-        F.lit(None).cast(row_type).alias("_row"),
+    Points are first reduced to distinct ``(key, day)`` (a map-side combined
+    aggregate), so a key with millions of rows on one day adds one sweep row.
+    Interval starts (+1), point days (0) and interval ends (-1, after points
+    of the same day since ends are inclusive) are merged in date order per
+    key; the running sum at a point day is the number of open intervals.  The
+    running sum uses :func:`ordered_prefix_sum` (split by day), so the sweep
+    per key is bounded by its distinct days.  The count goes back to the
+    points by an equi join on ``(key, day)`` (one row per day on the sweep
+    side, so a hot day is a plain skewed join that AQE can split)."""
+    day = F.col(at).cast("date")
+    p = points.select(F.col(on).alias("_k"), day.alias("_d")).distinct().select(
+        "_k", "_d", F.lit(1).alias("_kind"), F.lit(0).alias("_delta")
     )
+    s = intervals.select(F.col(on).alias("_k"), F.col(start).cast("date").alias("_d"), F.lit(0).alias("_kind"), F.lit(1).alias("_delta"))
     e = intervals.filter(F.col(end).isNotNull()).select(
-        F.col(on).alias("_k"), F.col(end).cast("date").alias("_d"), F.lit(2).alias("_kind"), F.lit(-1).alias("_delta"),
-        F.lit(None).cast(row_type).alias("_row"),
+        F.col(on).alias("_k"), F.col(end).cast("date").alias("_d"), F.lit(2).alias("_kind"), F.lit(-1).alias("_delta")
     )
     ev = p.unionByName(s).unionByName(e)
     swept = ordered_prefix_sum(ev, key="_k", order=["_d", "_kind"], bucket=F.col("_d"), value="_delta", out="_open")
-    pts = swept.filter(F.col("_kind") == 1)
-    return pts.select("_row.*", F.greatest(F.col("_open"), F.lit(0)).cast("bigint").alias(out))
+    per_day = swept.filter(F.col("_kind") == 1).select("_k", "_d", F.greatest(F.col("_open"), F.lit(0)).cast("bigint").alias(out))
+    j = points.withColumn("_pd", day).join(per_day, (F.col(on) == F.col("_k")) & (F.col("_pd") == F.col("_d")), "left")
+    return j.withColumn(out, F.coalesce(F.col(out), F.lit(0).cast("bigint"))).drop("_k", "_d", "_pd")
 
 
 def uncovered(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import worklist as wl
 from tidemark.plans.catalog import register
 from tidemark.plans.oracle import xm
-from tidemark.functions.columns import exact_mean
+from tidemark.functions.columns import clean_text, exact_mean
 from tidemark.plans.metrics import current_view, kpi_header, latest_period, monthly_view
 from tidemark.sources.fixtures import Tables
 
@@ -314,3 +314,23 @@ def worklist_page(spark, sf):
     last = first.orderBy(F.col("score").asc(), F.col("user_id").desc()).limit(1).collect()  # the cursor: one row
     after = {"score": last[0]["score"], "user_id": last[0]["user_id"]} if last else None
     return wl.page(rows, [("score", True), ("user_id", False)], after, 50)
+
+
+@register(
+    "answer_cleanup",
+    r"""WITH a AS (
+         SELECT conv_id, turn, length(text) AS raw_chars,
+                trim(regexp_replace(regexp_replace(regexp_replace(text, '[*_`#>]+', '', 'g'), '["“”]', '', 'g'), '\s+', ' ', 'g')) AS t
+         FROM conversations WHERE role = 'assistant'),
+       b AS (SELECT conv_id, turn, raw_chars, t, trim(regexp_extract(t, '^(.*?[.!?])(\s+.*?[.!?])?(\s|$)', 0)) AS two FROM a),
+       c AS (SELECT conv_id, turn, raw_chars, CASE WHEN length(two) > 0 THEN two ELSE t END AS t FROM b)
+       SELECT conv_id, turn, raw_chars,
+              CASE WHEN length(t) > 520 THEN rtrim(substr(t, 1, 519)) || '…' ELSE t END AS answer
+       FROM c""",
+)
+def answer_cleanup(spark, sf):
+    """TX1: display clean-up of every assistant answer (whitespace collapse,
+    markdown/quote strip, first two sentences, length cap).  A row-level
+    column expression: runs inside the scan's codegen stage, no shuffle."""
+    conv = spark.read.parquet(f"{sf}/conversations.parquet").filter(F.col("role") == "assistant")
+    return conv.select("conv_id", "turn", F.length("text").alias("raw_chars"), clean_text("text").alias("answer"))

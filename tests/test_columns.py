@@ -64,3 +64,9 @@ def test_worklist_rejects_unknown_band_and_geo():
         W.worklist_filter(band="critical")
     with pytest.raises(ValueError):
         W.worklist_filter(geo="XX")
+
+
+def test_reround_half_up_on_decimal_ties(spark):
+    got = _vals(spark, [0.1235, 0.1225, 0.1234, 0.9995, 0.0], lambda c: W.reround(c, 4, 3))
+    assert got == [0.124, 0.123, 0.123, 1.0, 0.0]
+    assert _vals(spark, [1.005, 2.4950, 0.0049], lambda c: W.reround(c, 4, 2)) == [1.01, 2.5, 0.0]

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import GEOS, RISK_BANDS, USER_ID_PATTERN
+from tidemark.functions.columns import GEOS, RISK_BANDS, USER_ID_PATTERN, half_up_ratio, scaled_int
 from tidemark.plans.metrics import current_source
 
 # Limits of the reference's lists.
@@ -223,6 +223,30 @@ def at_risk_users(predictions: DataFrame, serving: DataFrame, min_score: float =
     ).orderBy(F.col("churn_score").desc(), "user_id")
 
 
+def reround(col, digits_in: int, digits_out: int) -> Column:
+    """P10: present a non-negative ``digits_in``-decimal value at ``digits_out``
+    decimals, half-up on exact integers (a decimal tie such as 0.1235 -> 0.124
+    rounds the same on every engine)."""
+    step = 10 ** (digits_in - digits_out)
+    return half_up_ratio(scaled_int(col, digits_in), F.lit(step)) / F.lit(float(10**digits_out))
+
+
+def highest_risk(predictions: DataFrame, serving: DataFrame, n: int = 50) -> DataFrame:
+    """K4: the top ``n`` high-band subscribers by score (ties by user id), with
+    profile, MRR, trend and touches; score shown at 3 dp, trend at 2 dp."""
+    src = current_source(serving, predictions).filter(
+        (F.col("churn_risk_band") == "high") & (F.col("is_currently_subscribed") == F.lit(True))
+    )
+    top = src.orderBy(F.col("churn_score").desc(), F.col("user_id")).limit(coerce_limit(n, 50))
+    return top.select(
+        "user_id",
+        reround(F.col("churn_score"), 4, 3).alias("churn_score"),
+        "geo", "persona", "tier", "mrr_usd",
+        reround(F.col("coding_hours_trend_30d"), 4, 2).alias("coding_hours_trend_30d"),
+        "crm_touches_30d",
+    )
+
+
 def untouched_at_risk_users(predictions: DataFrame, serving: DataFrame, band: str = "high") -> DataFrame:
     """Subscribed users of a band with zero CRM touches, MRR desc."""
     if band not in RISK_BANDS:

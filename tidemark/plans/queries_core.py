@@ -334,3 +334,18 @@ def answer_cleanup(spark, sf):
     column expression: runs inside the scan's codegen stage, no shuffle."""
     conv = spark.read.parquet(f"{sf}/conversations.parquet").filter(F.col("role") == "assistant")
     return conv.select("conv_id", "turn", F.length("text").alias("raw_chars"), clean_text("text").alias("answer"))
+
+
+@register(
+    "highest_risk_top50",
+    """SELECT user_id, ((2 * CAST(round(churn_score * 10000) AS BIGINT) + 10) // 20) / 1000.0 AS churn_score,
+              geo, persona, tier, mrr_usd,
+              ((2 * CAST(round(coding_hours_trend_30d * 10000) AS BIGINT) + 100) // 200) / 100.0 AS coding_hours_trend_30d,
+              crm_touches_30d
+       FROM fx_current WHERE churn_risk_band = 'high' AND is_currently_subscribed = TRUE
+       ORDER BY fx_current.churn_score DESC, user_id LIMIT 50""",
+)
+def highest_risk_top50(spark, sf):
+    """K4: highest-risk subscribers to contact now (a top-k report)."""
+    t = _t(spark, sf)
+    return wl.highest_risk(t.predictions(), t.serving(), 50)

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from tidemark.operators.sequence import ordered_neighbors, ordered_prefix_sum
+from tidemark.operators.sequence import ordered_neighbors
 
 
 # ------------------------------------------------------------------------ Q4
@@ -130,28 +130,28 @@ def coverage_sweep(
     """Number of the key's intervals ``[start, end]`` (``end`` NULL = open)
     that contain each point's date, without a range join.
 
-    Points are first reduced to distinct ``(key, day)`` (a map-side combined
-    aggregate), so a key with millions of rows on one day adds one sweep row.
-    Interval starts (+1), point days (0) and interval ends (-1, after points
-    of the same day since ends are inclusive) are merged in date order per
-    key; the running sum at a point day is the number of open intervals.  The
-    running sum uses :func:`ordered_prefix_sum` (split by day), so the sweep
-    per key is bounded by its distinct days.  The count goes back to the
-    points by an equi join on ``(key, day)`` (one row per day on the sweep
-    side, so a hot day is a plain skewed join that AQE can split)."""
+    Point days, interval starts and interval ends are reduced to one row per
+    ``(key, day)`` (starts that day, ends that day, any point that day) by a
+    map-side combined aggregate, so a key with millions of rows on one day
+    adds one row.  The open count on a point day is the starts that day plus
+    the running ``starts - ends`` of the key's earlier days (ends are
+    inclusive): one running window per key, bounded by its distinct days.
+    The count goes back to the points by an equi join on ``(key, day)`` (one
+    row per day on that side, so a hot day is a plain skewed join that AQE
+    can split)."""
     day = F.col(at).cast("date")
-    p = points.select(F.col(on).alias("_k"), day.alias("_d")).distinct().select(
-        "_k", "_d", F.lit(1).alias("_kind"), F.lit(0).alias("_delta")
-    )
-    s = intervals.select(F.col(on).alias("_k"), F.col(start).cast("date").alias("_d"), F.lit(0).alias("_kind"), F.lit(1).alias("_delta"))
+    zero = F.lit(0).cast("bigint")
+    p = points.select(F.col(on).alias("_k"), day.alias("_d"), zero.alias("_s"), zero.alias("_e"), F.lit(True).alias("_p"))
+    s = intervals.select(F.col(on).alias("_k"), F.col(start).cast("date").alias("_d"), F.lit(1).cast("bigint").alias("_s"), zero.alias("_e"), F.lit(False).alias("_p"))
     e = intervals.filter(F.col(end).isNotNull()).select(
-        F.col(on).alias("_k"), F.col(end).cast("date").alias("_d"), F.lit(2).alias("_kind"), F.lit(-1).alias("_delta")
+        F.col(on).alias("_k"), F.col(end).cast("date").alias("_d"), zero.alias("_s"), F.lit(1).cast("bigint").alias("_e"), F.lit(False).alias("_p")
     )
-    ev = p.unionByName(s).unionByName(e)
-    swept = ordered_prefix_sum(ev, key="_k", order=["_d", "_kind"], bucket=F.col("_d"), value="_delta", out="_open")
-    per_day = swept.filter(F.col("_kind") == 1).select("_k", "_d", F.greatest(F.col("_open"), F.lit(0)).cast("bigint").alias(out))
+    days = p.unionByName(s).unionByName(e).groupBy("_k", "_d").agg(F.sum("_s").alias("_s"), F.sum("_e").alias("_e"), F.max("_p").alias("_p"))
+    before = Window.partitionBy("_k").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    open_now = F.coalesce(F.sum(F.col("_s") - F.col("_e")).over(before), zero) + F.col("_s")
+    per_day = days.withColumn(out, F.greatest(open_now, zero)).filter(F.col("_p")).select("_k", "_d", out)
     j = points.withColumn("_pd", day).join(per_day, (F.col(on) == F.col("_k")) & (F.col("_pd") == F.col("_d")), "left")
-    return j.withColumn(out, F.coalesce(F.col(out), F.lit(0).cast("bigint"))).drop("_k", "_d", "_pd")
+    return j.withColumn(out, F.coalesce(F.col(out), zero)).drop("_k", "_d", "_pd")
 
 
 def uncovered(

@@ -71,6 +71,11 @@ class Tables:
         ("serving", "churn_labels"),
     )
     MATERIALIZABLE = tuple(n for level in LEVELS for n in level)
+    # Gold tables with one row per user or per user x month: written bucketed
+    # by user_id so their user joins and per-user aggregates need no shuffle.
+    # A user's rows here are bounded by the month span, so a bucket cannot
+    # hold a hot user's event volume; per-event tables are left unbucketed.
+    BUCKETED = ("users_profile", "labels_enriched", "predictions", "monthly_state", "serving", "churn_labels")
 
     def materialize(self, names=MATERIALIZABLE, folder: str | None = None, parallel: bool = True) -> dict[str, str]:
         """Write views as parquet tables (silver/gold) and read them back.
@@ -93,10 +98,26 @@ class Tables:
         levels = [[n for n in lvl if n in wanted] for lvl in self.LEVELS] + [[n for n in wanted if n not in self.MATERIALIZABLE]]
         paths = {}
 
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
         def write(n):
             path = f"{base}/{n}"
-            getattr(self, n)().write.mode("overwrite").parquet(path)
-            return n, path
+            df = getattr(self, n)()
+            if n in self.BUCKETED and "user_id" in df.columns:
+                # one hash shuffle on user_id, then each task writes exactly one
+                # file of its bucket (same hash as the bucket id)
+                table = f"tidemark_{run.replace('-', '_')}_{n}"
+                (
+                    df.repartition(buckets, "user_id")
+                    .write.mode("overwrite")
+                    .format("parquet")
+                    .bucketBy(buckets, "user_id")
+                    .option("path", path)
+                    .saveAsTable(table)
+                )
+                return n, path, self.spark.table(table)
+            df.write.mode("overwrite").parquet(path)
+            return n, path, self.spark.read.parquet(path)
 
         for lvl in levels:
             if not lvl:
@@ -108,8 +129,8 @@ class Tables:
                     done = list(pool.map(write, lvl))
             else:
                 done = [write(n) for n in lvl]
-            for n, path in done:
-                self._memo[n] = self.spark.read.parquet(path)
+            for n, path, written in done:
+                self._memo[n] = written
                 paths[n] = path
         return paths
 

@@ -63,10 +63,12 @@ class Tables:
         return cls._registry[k]
 
     # Tables of the silver/gold layer in dependency levels: the tables of one
-    # level only read raw tables or tables of earlier levels.
+    # level only read raw tables or tables of earlier levels.  The power-user
+    # flags in users_profile read the written user x day usage table, not the
+    # raw events again (events is the largest input).
     LEVELS = (
-        ("users_profile", "subscriptions", "touches", "usage", "tickets"),
-        ("labels_enriched",),
+        ("subscriptions", "touches", "usage", "tickets"),
+        ("users_profile", "labels_enriched"),
         ("predictions", "monthly_state"),
         ("serving", "churn_labels"),
     )

@@ -138,3 +138,12 @@ def test_sample_users_keeps_whole_users(spark):
     s = D.sample_users(df, num=1, den=4)
     counts = {r.user_id: r["count"] for r in s.groupBy("user_id").count().collect()}
     assert counts and all(c == 3 for c in counts.values()) and len(counts) < 200
+
+
+def test_sample_users_md5_is_portable(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(u,) for u in range(500)], "user_id long")
+    got = {r.user_id for r in D.sample_users(df, num=1, den=10, seed=1729, hash="md5").collect()}
+    want = {u for u in range(500) if int(hashlib.md5(f"{u}:1729".encode()).hexdigest()[:8], 16) % 10 < 1}
+    assert got == want and 20 < len(got) < 80

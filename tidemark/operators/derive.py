@@ -676,10 +676,24 @@ def surrogate_keys(df: DataFrame, order: Sequence[str], fmt: str = "TCK-%09d", o
 # ------------------------------------------------------------------------ D28
 
 
-def sample_users(df: DataFrame, key: str = "user_id", num: int = 1, den: int = 10, seed: int = 1729) -> DataFrame:
+def sample_users(
+    df: DataFrame, key: str = "user_id", num: int = 1, den: int = 10, seed: int = 1729, hash: str = "xxhash64"
+) -> DataFrame:
     """Deterministic user-level sample: all rows of a sampled user are kept
-    (``pmod(xxhash64(key, seed), den) < num``); children follow by semi join."""
-    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(den)) < F.lit(num))
+    (``pmod(h(key, seed), den) < num``); children follow by semi join.
+
+    ``hash="xxhash64"`` is Spark's fast built-in; ``hash="md5"`` takes the
+    first 32 bits of ``md5('<key>:<seed>')``, which any SQL engine can
+    reproduce (the same users are sampled everywhere).  Hash the key table
+    (one row per user), not the children."""
+    if hash == "xxhash64":
+        h = F.xxhash64(F.col(key), F.lit(seed))
+    elif hash == "md5":
+        text = F.concat(F.col(key).cast("string"), F.lit(f":{int(seed)}"))
+        h = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    else:
+        raise ValueError(f"unknown hash: {hash}")
+    return df.filter(F.pmod(h, F.lit(den)) < F.lit(num))
 
 
 # ------------------------------------------------------------------------ D29

@@ -30,7 +30,7 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_oracle_or_is_rows_only():
     orc = E.oracle_sql()
-    rows_only = {"user_sample", "gbt_scores", "model_evaluation"}
+    rows_only = {"gbt_scores", "model_evaluation"}
     assert set(NAMES) - set(orc) == rows_only
 
 

@@ -40,6 +40,9 @@ SCORE_COEF_TICKETS = 0.5
 SCORE_INTERCEPT = 0.8
 
 
+GOLD_BUCKETS_CONF = "spark.tidemark.gold.buckets"
+
+
 class Tables:
     """Lazily read driver tables under ``root`` and build the fixture views.
 
@@ -100,7 +103,10 @@ class Tables:
         levels = [[n for n in lvl if n in wanted] for lvl in self.LEVELS] + [[n for n in wanted if n not in self.MATERIALIZABLE]]
         paths = {}
 
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # bucket count: sized to the per-user tables (spark.tidemark.gold.buckets),
+        # else the shuffle partition count; two tables with the same count
+        # join bucket to bucket, other sides are shuffled to match
+        buckets = int(self.spark.conf.get(GOLD_BUCKETS_CONF, None) or self.spark.conf.get("spark.sql.shuffle.partitions"))
 
         def write(n):
             path = f"{base}/{n}"

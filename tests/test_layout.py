@@ -26,3 +26,30 @@ def test_bucketed_gold_join_has_no_exchange(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_partitioned_write_splits_a_hot_value(spark):
+    import os
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from tidemark.session import scratch_path
+    from tidemark.sources import io as IO
+
+    df = spark.range(0, 40_000).select(
+        "id", F.when(F.col("id") % 10 == 0, F.concat(F.lit("v"), (F.col("id") % 7).cast("string"))).otherwise("hot").alias("k"),
+        F.sha2(F.col("id").cast("string"), 256).alias("pad"),
+    )
+    target = scratch_path(spark, f"test-rebalance-{uuid.uuid4().hex[:8]}")
+    prev = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        IO.write_partitioned(df, target, by=["k"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", prev)
+    local = target[len("file:"):] if target.startswith("file:") else target
+    hot_files = [f for f in os.listdir(os.path.join(local, "k=hot")) if f.endswith(".parquet")]
+    assert len(hot_files) > 1  # the hot value was split over several tasks
+    back = spark.read.parquet(target)
+    assert back.count() == 40_000 and back.filter("k = 'hot'").count() == 36_000

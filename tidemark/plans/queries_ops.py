@@ -137,7 +137,7 @@ def partitioned_manifest(spark, sf):
     """Write touches Hive-partitioned by month, then the manifest."""
     target = _scratch(spark, "touches_by_month")
     df = _t(spark, sf).touches().withColumn("touch_month", F.date_format("touch_date", "yyyy-MM"))
-    IO.write_partitioned(df, target, by=["touch_month"], files_per_value=2)
+    IO.write_partitioned(df, target, by=["touch_month"])
     m = IO.manifest(spark, {"crm_touches": target}, {"crm_touches": ["touch_month"]})
     parts = spark.read.parquet(target).select(F.count_distinct("touch_month").cast("bigint").alias("partitions"))
     cols = ",".join(sorted(spark.read.parquet(target).columns))

@@ -86,17 +86,16 @@ def write_partitioned(
     by: Sequence[str] = (),
     fmt: str = "parquet",
     mode: str = "overwrite",
-    files_per_value: int = 1,
 ) -> None:
     """Hive ``col=value`` layout in parquet (snappy), csv, or ``both``.
 
-    Rows are clustered by the partition columns before writing so each task
-    writes few files; a hot partition value is split over ``files_per_value``
-    tasks by a hash of the row, so one value never lands in one task.
+    Rows are rebalanced by the partition columns (``REBALANCE`` hint) so each
+    task writes few files; AQE splits the partition of a hot value into
+    several tasks and merges small ones from runtime sizes, so one value never
+    lands whole in one task and no sampling pass is needed.
     """
     if by:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(max(files_per_value, 1)))
-        df = df.repartition(*[F.col(c) for c in by], salt)
+        df = df.hint("rebalance", *by)
     formats = ["parquet", "csv"] if fmt == "both" else [fmt]
     for f in formats:
         target = path if len(formats) == 1 else f"{path.rstrip('/')}/{f}"

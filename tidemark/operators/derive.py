@@ -214,11 +214,10 @@ def at_risk_months(terms: DataFrame, spine: DataFrame, key: str = "user_id", mon
     """
     m0 = F.trunc(F.col("term_start_date"), "month")
     first = F.when(F.col("is_downgrade") & (F.col("term_start_date") == m0), m0).otherwise(F.add_months(m0, 1))
-    horizon = F.broadcast(spine.agg(F.max(month).alias("_horizon")))  # one row
-    last = F.coalesce(F.trunc(F.col("term_end_date"), "month"), F.col("_horizon"))
+    horizon = spine.agg(F.max(month)).scalar()  # scalar subquery, computed once
+    last = F.coalesce(F.trunc(F.col("term_end_date"), "month"), horizon)
     covered = (
         terms.select(F.col(key), "term_start_date", "term_end_date", "is_downgrade")
-        .crossJoin(horizon)
         .select(F.col(key), first.alias("_f"), last.alias("_l"))
         .filter(F.col("_f") <= F.col("_l"))
         .select(F.col(key), F.explode(F.sequence("_f", "_l", F.expr("INTERVAL 1 MONTH"))).alias(month))
@@ -517,13 +516,15 @@ def decline_features(
 def zscore(df: DataFrame, cols: Sequence[str], floor: float = 0.1, eps: float = 1e-9, suffix: str = "_z") -> DataFrame:
     """Population z-scores (``stddev_pop``, as numpy) of ``ln(max(x, floor))``.
 
-    The global mean/std are one aggregate row joined back by broadcast (one
-    row, so its size is bounded)."""
+    The global mean/std are scalar subqueries over one aggregate (Spark
+    merges them into a single pass), not a join."""
     src = {c: F.ln(F.greatest(F.col(c).cast("double"), F.lit(floor))) for c in cols}
     stats = df.agg(*[F.avg(e).alias(f"_m_{c}") for c, e in src.items()], *[F.stddev_pop(e).alias(f"_s_{c}") for c, e in src.items()])
-    j = df.crossJoin(F.broadcast(stats))
-    out = {f"{c}{suffix}": F.round((e - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + F.lit(eps)), 4) for c, e in src.items()}
-    return j.withColumns(out).drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
+    out = {
+        f"{c}{suffix}": F.round((e - stats.select(f"_m_{c}").scalar()) / (stats.select(f"_s_{c}").scalar() + F.lit(eps)), 4)
+        for c, e in src.items()
+    }
+    return df.withColumns(out)
 
 
 def fixed_z(col, centre: float, scale: float) -> Column:

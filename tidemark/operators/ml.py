@@ -60,13 +60,10 @@ def temporal_split(df: DataFrame, month: str = "month_start"):
 def with_class_weight(df: DataFrame, label: str = LABEL, out: str = "weight") -> DataFrame:
     """Positives weigh (1-p)/p, negatives 1; p in {0, 1} -> all 1.
 
-    p is a one-row aggregate joined back by broadcast (one row, bounded)."""
-    p = df.agg(F.avg(F.col(label).cast("double")).alias("_p"))
-    j = df.crossJoin(F.broadcast(p))
-    w = F.when((F.col("_p") <= 0) | (F.col("_p") >= 1), F.lit(1.0)).when(
-        F.col(label), (F.lit(1.0) - F.col("_p")) / F.col("_p")
-    ).otherwise(F.lit(1.0))
-    return j.withColumn(out, w).drop("_p")
+    p is a scalar subquery (one aggregate, computed once), not a join."""
+    p = df.agg(F.avg(F.col(label).cast("double"))).scalar()
+    w = F.when((p <= 0) | (p >= 1), F.lit(1.0)).when(F.col(label), (F.lit(1.0) - p) / p).otherwise(F.lit(1.0))
+    return df.withColumn(out, w)
 
 
 def build_pipeline(params: dict | None = None, weight_col: str | None = "weight", validation_col: str | None = None) -> Pipeline:

@@ -224,8 +224,8 @@ def subscription_mix(terms: DataFrame, users: DataFrame) -> DataFrame:
         F.count_if("is_reactivation").cast("bigint").alias("reactivation_terms"),
         (F.sum(F.round(F.col("revenue_usd") * 100, 0).cast("bigint")) / F.lit(100.0)).alias("total_revenue_usd"),
     )
-    u = users.agg(F.count(F.lit(1)).cast("bigint").alias("users"))
-    return t.crossJoin(u).withColumn(
+    u = users.agg(F.count(F.lit(1)).cast("bigint")).scalar()
+    return t.withColumn("users", u).withColumn(
         "terms_per_user", half_up_ratio(F.col("terms") * F.lit(1000), F.col("users")) / F.lit(1000.0)
     )
 

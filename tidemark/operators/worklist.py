@@ -126,10 +126,8 @@ def do_now(
         lt = last_touch(log)
         src = src.join(lt, "user_id", "left")
         if isinstance(as_of, str) and as_of == "latest":
-            # the log's own "now": newest entry (one-row aggregate, broadcast)
-            now = F.broadcast(log.agg(F.max("logged_at").alias("_now")))
-            src = src.crossJoin(now)
-            now_c = F.col("_now")
+            # the log's own "now": newest entry (a scalar subquery, computed once)
+            now_c = log.agg(F.max("logged_at")).scalar()
         else:
             now_c = F.lit(as_of) if as_of is not None else F.current_timestamp()
         cutoff = now_c - F.expr(f"INTERVAL {int(days)} DAYS")

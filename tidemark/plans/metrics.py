@@ -142,7 +142,8 @@ def kpi_header(current: MetricView, monthly: MetricView) -> DataFrame:
         F.round(F.coalesce(F.sum(F.when(band == "low", mrr)), F.lit(0.0)), 2).alias("mrr_at_risk_low"),
         F.count_if(sub).cast("bigint").alias("active_subscribers"),
     )
-    return latest.crossJoin(money)
+    # one-row aggregates side by side: scalar subqueries (merged into one pass)
+    return latest.select("*", *[money.select(c).scalar().alias(c) for c in money.columns])
 
 
 # Fixed constants of the annual-impact formula.

@@ -256,8 +256,8 @@ def touch_outcome(spark, sf):
 )
 def outreach_30d(spark, sf):
     log = _t(spark, sf).touches().select("user_id", F.col("touch_date").cast("timestamp_ntz").alias("logged_at"))
-    now = log.agg(F.max("logged_at").alias("_now"))
-    return D.rolling_touches(log.crossJoin(F.broadcast(now)), F.col("_now"), days=30)
+    now = log.agg(F.max("logged_at")).scalar()  # the log's own "now", a scalar subquery
+    return D.rolling_touches(log, now, days=30)
 
 
 @register(

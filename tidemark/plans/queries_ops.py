@@ -141,7 +141,7 @@ def partitioned_manifest(spark, sf):
     m = IO.manifest(spark, {"crm_touches": target}, {"crm_touches": ["touch_month"]})
     parts = spark.read.parquet(target).select(F.count_distinct("touch_month").cast("bigint").alias("partitions"))
     cols = ",".join(sorted(spark.read.parquet(target).columns))
-    return m.crossJoin(parts).select("table_name", "rows", F.lit(cols).alias("columns"), "partition_by", "partitions")
+    return m.select("table_name", "rows", F.lit(cols).alias("columns"), "partition_by", parts.scalar().alias("partitions"))
 
 
 # -------------------------------------------------------------- S1-S4, ST1-ST3

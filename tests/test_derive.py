@@ -147,3 +147,14 @@ def test_sample_users_md5_is_portable(spark):
     got = {r.user_id for r in D.sample_users(df, num=1, den=10, seed=1729, hash="md5").collect()}
     want = {u for u in range(500) if int(hashlib.md5(f"{u}:1729".encode()).hexdigest()[:8], 16) % 10 < 1}
     assert got == want and 20 < len(got) < 80
+
+
+def test_zscore_matches_numpy_population_std(spark):
+    import numpy as np
+
+    xs = [0.0, 0.05, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0]  # 0 and 0.05 both sit at the 0.1 floor
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i long, hours double")
+    got = {r.i: r.hours_z for r in D.zscore(df, ["hours"]).collect()}
+    v = np.log(np.maximum(np.array(xs), 0.1))
+    want = np.round((v - v.mean()) / (v.std() + 1e-9), 4)  # numpy std is population (T21)
+    assert [got[i] for i in range(len(xs))] == [float(w) for w in want]

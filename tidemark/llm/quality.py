@@ -25,34 +25,46 @@ THRESHOLDS = 48
 #: labelled rows that a rule must find, grown and held back each
 MIN_ROWS = 3
 
-SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
-SYMBOLS = "#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-FEATURES = ["n_words", "mean_word", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "digit_rate", "distinct_rate", "words_per_line", "stop_rate"]
+FEATURES = ["n_words", "mean_word", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "digit_rate", "distinct_rate", "words_per_line"]
+
+
+def _window(i: Column) -> list[Column]:
+    return [F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)]
+
+
+def _packed() -> Column:
+    """For each 3-word window its hash, the low ``bits`` bits replaced by its place, in order."""
+    place = F.expr("shiftleft(-1L, bits)")
+    return F.sort_array(
+        F.transform(
+            F.sequence(F.lit(0), F.size("words") - 3),
+            lambda i: F.xxhash64(*_window(i)).bitwiseAND(place).bitwiseOR(i.cast("long")),
+        )
+    )
+
+
+def _candidates() -> Column:
+    """Places of windows whose packed hash has an equal neighbour: all repeated ones, hardly any other."""
+    same = lambda x, k: F.coalesce(F.call_function("shiftright", x.bitwiseXOR(F.get("packed", k)), F.col("bits")) == 0, F.lit(False))
+    hits = F.filter("packed", lambda x, k: same(x, k - 1) | same(x, k + 1))
+    return F.transform(hits, lambda x: x.bitwiseAND(F.expr("~shiftleft(-1L, bits)")).cast("int"))
 
 
 def _repeat_words() -> Column:
     """Words inside 3-word windows that occur twice or more in the text.
 
-    Distinct hashes prove that no window repeats.  Else the windows are put in
-    order with their positions, equal neighbours are the repeated ones, and
-    the words that their positions cover are summed from left to right.
+    The candidates are put in order by their words; equal neighbours are the
+    repeated windows, and the words that their places cover are summed from
+    left to right.
     """
-    window = F.transform(
-        F.sequence(F.lit(0), F.size("words") - 3),
-        lambda i: F.struct(
-            F.concat_ws(" ", F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("w"), i.alias("i")
-        ),
-    )
+    ordered = F.sort_array(F.transform("found", lambda i: F.struct(F.concat_ws(" ", *_window(i)).alias("w"), i.alias("i"))))
     same = lambda a, b: F.coalesce(a["w"] == b["w"], F.lit(False))
-    ordered = F.sort_array(window)
     # bind the ordered windows once: the outer lambda has them as its only element
     repeated = F.flatten(
         F.transform(
             F.array(ordered),
-            lambda o: F.transform(
-                F.filter(o, lambda x, k: same(F.get(o, k - 1), x) | same(F.get(o, k + 1), x)), lambda x: x["i"]
-            ),
+            lambda o: F.transform(F.filter(o, lambda x, k: same(F.get(o, k - 1), x) | same(F.get(o, k + 1), x)), lambda x: x["i"]),
         )
     )
     covered = F.aggregate(
@@ -61,53 +73,39 @@ def _repeat_words() -> Column:
         lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")),
         lambda a: a["n"],
     )
-    return (
-        F.when(F.size("words") < 4, 0)
-        .when(F.size(F.array_distinct("hashes")) == F.size("hashes"), 0)
-        .otherwise(covered)
-        .cast("long")
-    )
+    return F.when(F.size("found") > 0, covered).otherwise(0).cast("long")
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc, statistics...): ``doc`` is a struct of the row's own columns, whatever their names."""
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bare = base.select(
+    parts = base.select(
         "doc",
-        "text",
-        F.translate("text", SPACE, "").alias("bare"),
+        F.regexp_replace("text", r"[\x20\x09-\x0D]+", "").alias("bare"),
         F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("words"),
         F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+    ).select(
+        "*",
+        F.regexp_replace("bare", "[^A-Z0-9#*$%&|<>]+", "").alias("marks"),
+        F.greatest(F.lit(1), F.ceil(F.log2(F.size("words") + 1))).cast("int").alias("bits"),
     )
-    hashed = bare.select(
-        "doc",
-        "bare",
-        "words",
-        "lines",
-        F.when(
-            F.size("words") >= 4,
-            F.transform(
-                F.sequence(F.lit(0), F.size("words") - 3),
-                lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)),
-            ),
-        ).alias("hashes"),
-    )
+    packed = parts.withColumn("packed", F.when(F.size("words") >= 4, _packed()))
+    found = packed.withColumn("found", F.when(F.col("packed").isNotNull(), _candidates()))
     long = lambda c: c.cast("long")
-    stats = hashed.select(
+    stats = found.select(
         "doc",
         long(F.size("words")).alias("n_words"),
         long(F.length("bare")).alias("word_chars"),
-        long(F.length("bare") - F.length(F.translate("bare", SYMBOLS, ""))).alias("n_symbols"),
+        long(F.length(F.regexp_replace("marks", "[A-Z0-9]+", ""))).alias("n_symbols"),
         long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         _repeat_words().alias("n_repeat_words"),
         long(F.size("lines")).alias("n_lines"),
-        F.length(F.regexp_replace("bare", "[^A-Z]+", "")).alias("n_upper"),
-        F.length(F.regexp_replace("bare", "[^0-9]+", "")).alias("n_digits"),
+        F.length(F.regexp_replace("marks", "[^A-Z]+", "")).alias("n_upper"),
+        F.length(F.regexp_replace("marks", "[^0-9]+", "")).alias("n_digits"),
         F.size(F.array_distinct("words")).alias("n_distinct"),
-        F.size(F.filter("words", lambda w: F.length(w) <= 3)).alias("n_short"),
     )
     rate = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0)), 6)
-    return stats.select(
+    rates = stats.select(
         "doc",
         *BASE,
         rate("word_chars", "n_words").alias("mean_word"),
@@ -118,8 +116,10 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         rate("n_digits", "word_chars").alias("digit_rate"),
         rate("n_distinct", "n_words").alias("distinct_rate"),
         rate("n_words", "n_lines").alias("words_per_line"),
-        rate("n_short", "n_words").alias("stop_rate"),
     )
+    # a one-element explode: filters on a statistic stay above it, else they would
+    # be pushed down and repeat the whole expressions once per level
+    return rates.select("doc", F.explode(F.array(F.struct(*rates.columns[1:]))).alias("s")).select("doc", "s.*")
 
 
 @dataclass
@@ -186,6 +186,16 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], y: np.ndarray) -> tuple[Rule, f
     return best
 
 
+def thresholds(values: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Midpoints between neighbouring values at quantiles of all rows and of the low-quality ones."""
+    known = np.unique(values)
+    grid = np.linspace(0, 1, THRESHOLDS)
+    picks = [np.quantile(v, grid, method="lower") for v in (values, values[low], values[~low]) if len(v)]
+    at = np.unique(np.searchsorted(known, np.concatenate(picks)))
+    at = np.unique(np.r_[at[at > 0], at[at < len(known) - 1] + 1])
+    return (known[at - 1] + known[at]) / 2 if len(at) else known
+
+
 def learn_rules(rows: list[tuple], min_precision: float = MIN_PRECISION) -> list[Rule]:
     """Sequential covering over (label is low, held back, *FEATURES) rows."""
     if not rows:
@@ -193,10 +203,7 @@ def learn_rules(rows: list[tuple], min_precision: float = MIN_PRECISION) -> list
     table = np.array(rows, float)
     y, held = table[:, 0] > 0, table[:, 1] > 0
     x = {n: table[:, k + 2] for k, n in enumerate(FEATURES)}
-    cuts = {n: np.unique(np.quantile(v, np.linspace(0, 1, THRESHOLDS), method="lower")) for n, v in x.items()}
-    # low-quality rows are few: their own quantiles give thresholds where it matters
-    if y.any():
-        cuts = {n: np.unique(np.r_[c, np.quantile(x[n][y], np.linspace(0, 1, THRESHOLDS), method="lower")]) for n, c in cuts.items()}
+    cuts = {n: thresholds(v, y) for n, v in x.items()}
     rules, left = [], np.ones(len(y), bool)
     while len(rules) < MAX_RULES:
         sub = lambda m: ({n: v[m] for n, v in x.items()}, y[m])  # noqa: B023, E731

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, quality, simhash, suffixes
+from tidemark.llm import decontam, linechunks, pieces, quality, simhash, suffixes, tokenids
 from tidemark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,24 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@register("op4_token_ids")
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as planes and read back."""
+    return tokenids.ids_report(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op6_line_dedup")
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the chunks of lines that occurred before."""
+    return linechunks.chunks_report(read(spark, sf_dir, "documents"))
+
+
+@register("op7_sentencepiece")
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, encoded and decoded."""
+    return pieces.pieces_report(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @register("op8_quality_rules")
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned quality rules over all documents."""

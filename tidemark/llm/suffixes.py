@@ -142,11 +142,11 @@ def _contexts(keyed: DataFrame, edges: DataFrame, length: int) -> DataFrame:
 
 
 def _blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
-    """(doc_id, th, key, at, core, span, first, n, bytes): runs cut into blocks of windows.
+    """(doc_id, th, run, core, span, first, n): runs cut into blocks of windows.
 
     Blocks are counted from the anchor, so equal windows fall into equal
     blocks.  The core lies in every window of a whole block, also where the
-    run begins or ends inside it.
+    run begins or ends inside it; its hash takes the run's anchor along.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,38 +155,41 @@ def _blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
             rows = []
             for doc, th, key, at, first, n, data in zip(*[c.to_pylist() for c in batch.columns]):
                 far, near = at - first, at - (first + n - 1)  # of the windows' starts before the anchor
+                seed = key & 0xFFFFFFFFFFFFFFFF
                 for j in range(near // block, far // block + 1):
                     lo, hi = max(near, j * block), min(far, j * block + block - 1)
                     a = at - hi - first
-                    core = data[far - j * block : far - j * block - block + 1 + length]
-                    piece = data[a : a + hi - lo + length]
-                    rows.append((doc, th, key, digest(core, j) - (1 << 63), digest(piece, 1000 * lo + hi) - (1 << 63), at - hi, hi - lo + 1, piece))
+                    core = digest(data[far - j * block : far - j * block - block + 1 + length], seed + j & 0xFFFFFFFFFFFFFFFF)
+                    span = digest(data[a : a + hi - lo + length], 1000 * lo + hi)
+                    rows.append((doc, th, first, core - (1 << 63), span - (1 << 63), at - hi, hi - lo + 1))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
-                    names=["doc_id", "th", "key", "core", "span", "first", "n", "bytes"],
+                    [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "th", "run", "core", "span", "first", "n"]
                 )
 
-    return contexts.mapInArrow(make, "doc_id long, th long, key long, core long, span long, first int, n int, bytes binary")
+    return contexts.mapInArrow(make, "doc_id long, th long, run int, core long, span long, first int, n int")
 
 
-def _windows(blocks: DataFrame, length: int) -> DataFrame:
+def _windows(contexts: DataFrame, blocks: DataFrame, length: int) -> DataFrame:
     """(doc_id, th, core, first, whole): each window of the blocks left open."""
+    by_run = blocks.groupBy("doc_id", "th", "run").agg(F.collect_set(F.struct("core", "first", "n")).alias("blocks"))
+    same = _same_doc(contexts, by_run) & (contexts["first"] == by_run.run)
+    joined = contexts.join(by_run, same).select(contexts.doc_id, contexts.th, "run", "bytes", "blocks")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in slices(batches, 4 * ROWS):
-            rows = [
-                (doc, th, core, first + k, digest(data[k : k + length]) - (1 << 63))
-                for doc, th, core, first, n, data in zip(*[c.to_pylist() for c in batch.columns])
-                for k in range(n)
-            ]
+            rows = []
+            for doc, th, run, data, open_ in zip(*[c.to_pylist() for c in batch.columns]):
+                for b in open_:
+                    for k in range(b["first"], b["first"] + b["n"]):
+                        rows.append((doc, th, b["core"], k, digest(data[k - run : k - run + length]) - (1 << 63)))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "th", "core", "first", "whole"])
 
-    return blocks.select("doc_id", "th", "core", "first", "n", "bytes").mapInArrow(make, "doc_id long, th long, core long, first int, whole long")
+    return joined.mapInArrow(make, "doc_id long, th long, core long, first int, whole long")
 
 
 def _pass(rows: DataFrame, group: str, digit: str, name: str) -> DataFrame:
@@ -210,10 +213,10 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     block = min(block, max(1, length // 2))
     runs = stored(_runs(keyed, length, min(gram, length)), "runs")
     one = stored(_pass(runs, "key", "span", "open-runs"), "settled-runs")
-    contexts = _contexts(keyed, one.where("open"), length)
+    contexts = stored(_contexts(keyed, one.where("open"), length), "contexts")
     blocks = stored(_blocks(contexts, length, block), "blocks")
     two = stored(_pass(blocks, "core", "span", "open-blocks"), "settled-blocks")
-    windows = stored(_windows(two.where("open"), length), "windows")
+    windows = stored(_windows(contexts, two.where("open"), length), "windows")
     again = windows.groupBy("core", "whole").agg(F.count("*").alias("count")).where("count > 1").select("core", "whole")
     three = windows.join(again, ["core", "whole"])
     place = ["doc_id", "th", "first"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, linechunks, pieces, quality, simhash, suffixes, tokenids, toxicity
+from tidemark.llm import decontam, langid, linechunks, pieces, quality, simhash, suffixes, tokenids, toxicity
 from tidemark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,12 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.ids_report(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@register("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from rows that are not held out."""
+    return langid.language_report(read(spark, sf_dir, "documents"))
+
+
 @register("op6_line_dedup")
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the chunks of lines that occurred before."""

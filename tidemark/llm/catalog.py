@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, langid, linechunks, pieces, quality, simhash, suffixes, tokenids, toxicity
+from tidemark.llm import decontam, langid, linechunks, pieces, private, quality, simhash, suffixes, tokenids, toxicity
 from tidemark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@register("op3_private_data")
+def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return private.private_report(read(spark, sf_dir, "documents"))
+
+
 @register("op4_token_ids")
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as planes and read back."""

@@ -119,6 +119,16 @@ def test_near_duplicates_edge_rows(spark):
     assert got == sorted(((i, f"{f:016x}", c) for i, f, c in zip(ids, fps, comps)), key=str)
 
 
+def test_keep_one(spark):
+    rows = [(5, "a b c d e f", 1), (3, "A b c d e f", 2), (3, "A b c d e f", 1), (4, "", 0), (9, None, 0), (8, "q r s t u", 7), (8, "1 2 3 4 5", 7)]
+    rows += [(None, "no id here at all", 1), (None, "no id here at all", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, th int")
+    got = sorted(map(tuple, simhash.keep_one(df).collect()), key=str)
+    want = [(3, "A b c d e f", 1), (4, "", 0), (8, "q r s t u", 7), (8, "1 2 3 4 5", 7), (None, "no id here at all", 1)]
+    assert got == sorted(want, key=str)
+    assert simhash.keep_one(df.limit(0)).collect() == [] and simhash.keep_one(df).columns == df.columns
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).collect() == []

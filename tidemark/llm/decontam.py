@@ -180,6 +180,15 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WI
     )
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that no benchmark window occurs in, with all their columns."""
+    name = "contamination"
+    while name in docs.columns:
+        name += "_"
+    found = find_contamination(docs, benchmark, window, out_col=name)
+    return found.where(F.size(F.col(name)["word_runs"]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 #: the report in DuckDB SQL, windows of each length that items have
 ORACLE = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),

@@ -52,18 +52,22 @@ def text_fingerprint(text: bytes | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): one row per row of ``docs``; fp is the fingerprint's bits as a signed long.
+    """(id, th, fp): one row per row of ``docs``; th is a hash of the text, fp the fingerprint's bits as a signed long.
 
     A null or wordless text has fingerprint zero.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps = np.array([text_fingerprint(t, shingle) for t in utf8(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            fps = np.array([text_fingerprint(t, shingle) for t in utf8(batch.column(2))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["id", "th", "fp"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(make, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), _text_hash(text), text.alias("text")).mapInArrow(make, "id long, th long, fp long")
+
+
+def _text_hash(text):
+    return F.xxhash64(F.coalesce(text, F.lit(""))).alias("th")
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -231,14 +235,47 @@ def near_duplicates(
     columns of ``docs`` are not read.  An empty table gives no rows.
     """
     fps = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(links(fps.select("fp").distinct(), max_bits, hot_bucket))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    rooted = stored(rooted, "classes")
+    rooted = _rooted(fps, max_bits, hot_bucket)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(labels, "fp").select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def _rooted(fps: DataFrame, max_bits: int, hot_bucket: int) -> DataFrame:
+    """(fp, least, root): each fingerprint with its least id and its component."""
+    classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    roots = connected_components(links(fps.select("fp").distinct(), max_bits, hot_bucket))
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return stored(rooted, "classes")
+
+
+def keep_one(
+    docs: DataFrame,
+    shingle: int = 4,
+    max_bits: int = 4,
+    hot_bucket: int = HOT_BUCKET,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row of ``docs`` of each component, with all its columns.
+
+    It is the row with the least id (null last), of rows that share it the one
+    with the least hash of its text, and of rows alike in both the least row.
+    """
+    fps = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    rooted = _rooted(fps, max_bits, hot_bucket).select("fp", "root")
+    first = fps.join(rooted, "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("first"))
+    chosen = first.select("first.id", "first.th")
+    repeats = fps.groupBy("id", "th").agg((F.count("*") > 1).alias("repeated"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("id"), _text_hash(F.col(text_col).cast("string")))
+    same = lambda a, b: a.id.eqNullSafe(b.id) & (a.th == b.th)
+    marked = stored(chosen.join(repeats, same(chosen, repeats)).select(chosen.id, chosen.th, "repeated"), "chosen")
+    kept = rows.join(marked, same(rows, marked)).select("doc", rows.id, rows.th, "repeated")
+    single = kept.where("NOT repeated").select("doc.*")
+    # rows alike in id and text are few; only they are brought together
+    if marked.where("repeated").isEmpty():
+        return single
+    again = kept.where("repeated").groupBy("id", "th").agg(F.min("doc").alias("doc")).select("doc.*")
+    return single.unionAll(again)

@@ -37,7 +37,7 @@ END_ID = 2
 BLOCK_IDS = 1 << 16
 LEVEL = 3
 #: units whose ids a worker remembers, and the longest of them
-CACHE_UNITS = 300_000
+CACHE_UNITS = 800_000
 LONGEST_UNIT = 64
 
 CHUNK = (
@@ -60,64 +60,100 @@ CHUNK_ARROW = pa.schema(
 class Encoder:
     """The tokenizer's ids of whole texts, remembered unit by unit.
 
-    A byte-level BPE's pre-tokens never cross a single space or line feed
-    between two characters that are no white space; texts are cut there, and
-    each distinct unit goes through the tokenizer once.
+    A byte-level BPE's pre-tokens always end before a blank, and before and
+    after a line feed, that no white space follows.  Texts are cut there into
+    units, a word with the blank or line feed before it, and each distinct unit
+    goes through the tokenizer once.  Unknown units go through together, as a
+    text of their own, whose ids are dealt back by the bytes that they spell.
     """
 
-    ODD = re.compile(r"\s\s|^\s|\s$")
-    CUT = re.compile(r"(?<=\S)([ \n])(?=\S)")
+    ODD = re.compile(r"[ \n](?:\s|\Z)")
+    CUT = re.compile(r"(?=[ \n]\S)")
+    OTHER = re.compile(r"[^\S \n]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spelled = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has a character per byte
+        for token, i in vocab.items():
+            self.spelled[i] = len(token)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = f"<u{self.width}"
-
-    def units(self, text: str) -> list[str]:
-        """Pieces whose ids, one after another, are those of the text."""
-        if not self.ODD.search(text):
-            first, *rest = text.split(" ")
-            out = [first, *[" " + w for w in rest]]
-            if "\n" not in text:
-                return out
-            cut: list[str] = []
-            for u in out:
-                if "\n" in u:
-                    head, *tail = u.split("\n")
-                    cut.append(head)
-                    for t in tail:
-                        cut += ("\n", t)
-                else:
-                    cut.append(u)
-            return cut
-        parts = self.CUT.split(text)
-        out = [parts[0]]
-        for sep, part in zip(parts[1::2], parts[2::2]):
-            out += (" " + part,) if sep == " " else ("\n", part)
-        return out
+        self.line = len(self.ids("\n")) * self.width
+        # units by their word, the blank before it left out; two generations, the older one dropped in time
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def units(self, text: str) -> list[str] | None:
+        """The units of a line feed and the text; None where white space stands together."""
+        whole = "\n" + text
+        if self.ODD.search(whole):
+            return None
+        return whole.replace("\n", " \n").split(" ")[1:]
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+
+    def learn(self, new: list[str]) -> None:
+        """Put the ids of unknown units among the known."""
+        for at in range(0, len(new), 256):
+            units = new[at : at + 256]
+            parts = [u if u[0] == "\n" else " " + u for u in units]
+            text = "".join(parts)
+            if self.OTHER.search(text) or any(a in text for a in self.added):
+                # white space inside or after a unit, or an added token: neighbours could matter
+                for u, part in zip(units, parts):
+                    self.known[u] = self.ids(part).tobytes()
+                continue
+            found = self.ids(text)
+            ends = np.cumsum(self.spelled[found])
+            borders = np.searchsorted(ends, np.cumsum([len(part.encode()) for part in parts])) + 1
+            data, start = found.tobytes(), 0
+            for u, end in zip(units, (borders * self.width).tolist()):
+                self.known[u] = data[start:end]
+                start = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``width`` bytes."""
+        if len(self.known) > CACHE_UNITS // 2:
+            self.known, self.older = {}, self.known
         cut = [self.units(t) for t in texts]
-        known = self.known
-        new = list({u for units in cut for u in units} - known.keys())
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        fresh = {u: np.array(e.ids, self.type).tobytes() for u, e in zip(new, found)}
-        if len(known) + len(fresh) > CACHE_UNITS:
-            known.clear()
+        known, older = self.known, self.older
+        new = []
+        for u in set().union(*[units for units in cut if units]) - known.keys():
+            ids = older.get(u)
+            if ids is None:
+                new.append(u)
+            else:
+                known[u] = ids
+        self.learn(new)
         out = []
-        for units in cut:
-            try:
-                out.append(b"".join([known[u] if u in known else fresh[u] for u in units]))
-            except KeyError:  # forgotten just now
-                again = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-                out.append(b"".join(np.array(e.ids, self.type).tobytes() for e in again))
-        known.update((u, v) for u, v in fresh.items() if len(u) <= LONGEST_UNIT)
+        for text, units in zip(texts, cut):
+            if units is None:
+                out.append(b"".join([self.ids(part).tobytes() for part in self.pieces(text)]))
+            else:
+                out.append(b"".join(map(known.__getitem__, units))[self.line :])
+        for u in new:
+            if len(u) > LONGEST_UNIT:
+                del known[u]
         return out
 
+    def pieces(self, text: str) -> list[str]:
+        """A text with odd white space in pieces of some thousand characters, cut before a blank that a word follows."""
+        parts = [p for p in self.CUT.split(text) if p]
+        out: list[list[str]] = [[]]
+        size = 0
+        for p in parts:
+            if size > 4096 and p[0] == " ":
+                out.append([])
+                size = 0
+            out[-1].append(p)
+            size += len(p)
+        return ["".join(x) for x in out]
+
 
 def to_planes(ids: np.ndarray, kind: str, level: int = LEVEL) -> list[bytes]:
     """Compressed planes of a block of unsigned little-endian ids, most significant first."""

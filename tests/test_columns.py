@@ -70,3 +70,15 @@ def test_reround_half_up_on_decimal_ties(spark):
     got = _vals(spark, [0.1235, 0.1225, 0.1234, 0.9995, 0.0], lambda c: W.reround(c, 4, 3))
     assert got == [0.124, 0.123, 0.123, 1.0, 0.0]
     assert _vals(spark, [1.005, 2.4950, 0.0049], lambda c: W.reround(c, 4, 2)) == [1.01, 2.5, 0.0]
+
+
+def test_half_up_ratio_beyond_doubles_and_longs(spark):
+    df = spark.createDataFrame([(72057594037927939, 1), (5, 0)], "n long, d long")
+    assert [r[0] for r in df.select(C.half_up_ratio("n", "d")).collect()] == [72057594037927939, None]
+    big = spark.range(1).select(C.half_up_ratio(F.lit("60000000000000000000").cast("decimal(36,0)"), F.lit(7)))
+    assert big.first()[0] == 8571428571428571429
+
+
+def test_exact_mean_of_large_sums(spark):
+    df = spark.range(1000).selectExpr("900000000000000 + id AS v")  # sums to 9e19 hundredths
+    assert df.agg(C.exact_mean(F.col("v"), 2, 2)).first()[0] == 900000000000499.5

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -158,3 +159,19 @@ def test_zscore_matches_numpy_population_std(spark):
     v = np.log(np.maximum(np.array(xs), 0.1))
     want = np.round((v - v.mean()) / (v.std() + 1e-9), 4)  # numpy std is population (T21)
     assert [got[i] for i in range(len(xs))] == [float(w) for w in want]
+
+
+@pytest.mark.parametrize("parts", ["4", "8"])
+def test_dense_index_with_a_payload_column(spark, parts):
+    # a payload that is no sort key, and more rows than the range sample holds
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.range(300_000).selectExpr("xxhash64(id) AS g", "id * 3 AS payload")
+        got = D.dense_index(df, ["g"], out="rn")
+        r = got.agg(F.countDistinct("rn").alias("d"), F.count("*").alias("n"), F.max("rn").alias("m"), F.min("rn").alias("lo")).first()
+        assert (r.d, r.n, r.m, r.lo) == (300_000, 300_000, 300_000, 1)
+        w = got.orderBy("rn").select("g").limit(1000).collect()
+        assert [x.g for x in w] == sorted(x.g for x in w)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

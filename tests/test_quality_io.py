@@ -73,7 +73,7 @@ def test_events_after_cancel_excludes_reactivated(spark):
 
 
 def test_conform(spark):
-    spec = S.TableSpec("t", "row", S._cols(("a", "int64", "", False), ("b", "bool", "", False), ("c", "string", "", True)))
+    spec = S.Table("t", "a BIGINT NOT NULL, b BOOLEAN NOT NULL, c STRING")
     ok = spark.createDataFrame([(1, None, None)], "a long, b boolean, c string")
     assert Q.conform(ok, spec).first().b is False  # NULL bool -> FALSE before the NOT NULL check
     with pytest.raises(Q.ConformError):
@@ -87,9 +87,9 @@ def test_conform(spark):
 def test_ddl_and_comment_coverage(spark):
     ddl = S.render_ddl()
     assert "CREATE TABLE IF NOT EXISTS retention.silver.churn_labels" in ddl and "PARTITIONED BY (month_start)" in ddl
-    df = spark.createDataFrame([], S.LABELS.struct())
+    df = spark.createDataFrame([], S.LABELS.schema)
     r = Q.comment_coverage(df).first()
-    assert r.commented == r.columns == len(S.LABELS.columns)
+    assert r.commented == r.columns == len(S.LABELS.schema)
 
 
 def test_highwater_append_cycle(spark):
@@ -165,3 +165,18 @@ def test_trend_buckets_right_closed(spark):
     got = [r[0] for r in df.select(R.trend_bucket("t")).collect()]
     assert got == ["<=0.50 (collapsing)", "0.50-0.75 (steep decline)", "0.90-1.00 (flat/slight dip)", "1.00-1.25 (growing)",
                    ">1.25 (surging)", None]
+
+
+def test_append_log_ids_are_dense_with_payload(spark):
+    target = os.path.join(_scratch(), "log")
+    for k in range(2):
+        ev = spark.range(30_000).selectExpr("xxhash64(id) AS at", "id AS note")
+        IO.append_log(ev, target, order=["at"])
+    ids = spark.read.parquet(target).selectExpr("count(DISTINCT id) d", "count(*) n", "max(id) m").first()
+    assert tuple(ids) == (60_000, 60_000, 60_000)
+
+
+def test_labels_declaration_fits_the_table(spark, sf_small):
+    from tidemark.sources.fixtures import Tables
+
+    Q.conform(Tables.of(spark, sf_small).churn_labels(), S.LABELS)

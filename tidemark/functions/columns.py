@@ -97,11 +97,12 @@ def clean_text(col, max_len: int = 520) -> Column:
 
 def half_up_ratio(num, den) -> Column:
     """Exact ``round_half_up(num / den)`` for non-negative integers:
-    ``floor((2 num + den) / (2 den))``.  Operands stay far below 2**53, so the
-    double quotient is floored exactly; no binary rounding of a decimal tie
-    can flip the result (Spark and other engines round such ties differently)."""
-    n, d = _c(num).cast("bigint"), _c(den).cast("bigint")
-    return F.floor(F.try_divide(F.lit(2) * n + d, F.lit(2) * d)).cast("bigint")
+    ``(2 num + den) div (2 den)`` in whole DECIMAL(38, 0) numbers, so neither a
+    double's 53 bits nor a BIGINT's range bounds the operands; NULL where
+    ``den`` is 0.  The quotient itself must fit a BIGINT."""
+    n, d = _c(num).cast("decimal(36,0)"), _c(den).cast("decimal(36,0)")
+    two = F.lit(2).cast("decimal(1,0)")
+    return F.call_function("div", two * n + d, F.nullif(two * d, F.lit(0).cast("decimal(1,0)")))
 
 
 def scaled_int(col, digits: int) -> Column:
@@ -112,8 +113,8 @@ def scaled_int(col, digits: int) -> Column:
 def exact_mean(col, in_digits: int, out_digits: int = 4) -> Column:
     """Mean of fixed-decimal values rounded half-up to ``out_digits``, exactly:
     integer sum of scaled values, integer half-up division, one final scale."""
-    s = F.sum(scaled_int(col, in_digits))
+    s = F.sum(scaled_int(col, in_digits).cast("decimal(19,0)"))
     n = F.count(_c(col))
     up = 10 ** max(out_digits - in_digits, 0)
     down = 10 ** max(in_digits - out_digits, 0)
-    return half_up_ratio(s * F.lit(up), n * F.lit(down)) / F.lit(float(10**out_digits))
+    return half_up_ratio(s.cast("decimal(30,0)") * F.lit(up), n * F.lit(down)) / F.lit(float(10**out_digits))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import half_up_ratio, is_subscribed, scaled_int
+from tidemark.session import checkpoint_dir
 
 # Fixed values of the reference's derivation rules.
 POWER_USER_HOURS = 4.0  # a qualifying day has >= 4.0 coding hours
@@ -271,9 +272,7 @@ def features_adopted(
     """
     first = activations.groupBy(key, feature).agg(F.trunc(F.min(_c(date)), "month").alias("_first"))
     if weights is not None:
-        from tidemark.sources.io import bounded_broadcast
-
-        first = first.join(bounded_broadcast(weights, 1_000_000), feature, "left")
+        first = first.join(weights, feature, "left")
         val = F.coalesce(F.col("weight"), F.lit(0.0))
     else:
         val = F.lit(1)
@@ -601,9 +600,7 @@ def segment_eligibility(features: DataFrame, rules: DataFrame, unsubscribes: Dat
         ).alias("_rule"),
     ).filter(F.col("_rule.ok"))
     stacked = stacked.withColumn("condition", F.col("_rule.condition")).drop("_rule", *[f"_r{i}" for i in range(len(conds))])
-    from tidemark.sources.io import bounded_broadcast
-
-    out = stacked.join(bounded_broadcast(rules, 10_000), "condition").drop("condition")
+    out = stacked.join(rules, "condition").drop("condition")
     if unsubscribes is not None:
         unsub = unsubscribes.select(key, "channel", F.col("unsub_date"))
         prior = (F.col(key) == F.col("_u")) & (F.col("channel") == F.col("_ch")) & (F.col("_ud") <= F.col("month_start"))
@@ -651,15 +648,17 @@ def dense_index(df: DataFrame, order: Sequence[str], out: str = "row_no", start:
 
     Range-partition and sort by ``order``, number rows inside each partition,
     and add the number of rows in all earlier partitions (a table with one row
-    per partition, so bounded by the partition count).  ``order`` must be a
-    total order for the result to be deterministic on recompute.
+    per partition, so bounded by the partition count).  The partitioned rows
+    are checkpointed first: numbers and partition sizes must come from one and
+    the same partitioning, and Spark samples each range exchange anew.
     """
     spark = df.sparkSession
+    checkpoint_dir(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n_parts, *[F.col(c) for c in order]).sortWithinPartitions(*order)
-    tagged = ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     # monotonically_increasing_id = (partition << 33) + position in partition
-    tagged = tagged.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
+    placed = ordered.withColumn("_mid", F.monotonically_increasing_id()).checkpoint()
+    tagged = placed.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

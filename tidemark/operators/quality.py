@@ -30,19 +30,19 @@ def conform(df: DataFrame, spec) -> DataFrame:
 
     The NOT NULL check is one aggregate over all required columns; it runs
     eagerly so a bad table fails here, as in the reference."""
-    names = [c.name for c in spec.columns]
+    names = spec.schema.names
     missing = [n for n in names if n not in df.columns]
     extra = [n for n in df.columns if n not in names]
     if missing or extra:
         raise ConformError(f"{spec.name}: missing {missing}, extra {extra}")
     cols = []
-    for c in spec.columns:
-        e = F.col(c.name).cast(c.spark_type())
-        if isinstance(c.spark_type(), BooleanType):
+    for c in spec.schema:
+        e = F.col(c.name).cast(c.dataType)
+        if isinstance(c.dataType, BooleanType):
             e = F.coalesce(e, F.lit(False))
         cols.append(e.alias(c.name))
     out = df.select(*cols)
-    required = [c.name for c in spec.columns if not c.nullable]
+    required = [c.name for c in spec.schema if not c.nullable]
     if required:
         nulls = out.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in required]).first().asDict()
         bad = {k: v for k, v in nulls.items() if v}

@@ -286,9 +286,7 @@ def reactivation_kpi(touches: DataFrame, campaigns: DataFrame) -> DataFrame:
     """G22 (J8): reactivation rate over *delivered* touches of winback
     campaigns (semi join on the small campaign table), with num/den (T15)."""
     wb = campaigns.filter(F.col("objective") == "winback").select("campaign_id")
-    from tidemark.sources.io import bounded_broadcast
-
-    t = touches.join(bounded_broadcast(wb, 1_000_000), "campaign_id", "left_semi").filter(F.col("delivered"))
+    t = touches.join(wb, "campaign_id", "left_semi").filter(F.col("delivered"))
     return t.agg(
         F.count_if("reactivated").cast("bigint").alias("reactivated"),
         F.count(F.lit(1)).cast("bigint").alias("delivered_winback_touches"),

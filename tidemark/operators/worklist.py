@@ -83,6 +83,19 @@ def worklist_filter(
     return cond
 
 
+def worklist_rows(
+    predictions: DataFrame,
+    serving: DataFrame,
+    band: str | None = None,
+    geo: str | None = None,
+    no_crm: bool = False,
+    min_score=None,
+    geos: Sequence[str] = GEOS,
+) -> DataFrame:
+    """The whole filtered worklist, unordered and uncapped (for bulk callers and :func:`page`)."""
+    return _project(current_source(serving, predictions).filter(worklist_filter(band, geo, no_crm, min_score, geos)), WORKLIST_COLS)
+
+
 def worklist(
     predictions: DataFrame,
     serving: DataFrame,
@@ -92,11 +105,15 @@ def worklist(
     min_score=None,
     limit=None,
     geos: Sequence[str] = GEOS,
+    maximum: int = MAX_LIMIT,
 ) -> DataFrame:
-    """Filtered worklist, score desc (user_id tiebreak), clamped limit."""
-    src = current_source(serving, predictions).filter(worklist_filter(band, geo, no_crm, min_score, geos))
-    n = coerce_limit(limit)
-    return _project(src.orderBy(F.col("churn_score").desc(), F.col("user_id")).limit(n), WORKLIST_COLS)
+    """The top of the filtered worklist, score desc (user_id tiebreak).
+
+    ``limit`` is the user's request, clamped to ``maximum`` rows (the screen's
+    500 by default); bulk callers pass their own maximum, or take
+    :func:`worklist_rows`."""
+    rows = worklist_rows(predictions, serving, band, geo, no_crm, min_score, geos)
+    return rows.orderBy(F.col("score").desc(), F.col("user_id")).limit(coerce_limit(limit, maximum=maximum))
 
 
 def last_touch(log: DataFrame, key: str = "user_id", ts: str = "logged_at") -> DataFrame:
@@ -111,6 +128,7 @@ def do_now(
     as_of=None,
     limit=None,
     days: int = DO_NOW_DAYS,
+    maximum: int = MAX_LIMIT,
 ) -> DataFrame:
     """High-risk subscribers with no CRM touch, by MRR desc.
 
@@ -118,7 +136,7 @@ def do_now(
     excluded (``last_touch`` pre-aggregated, then a left join: never touched or
     touched earlier than the cut-off are kept).  ``as_of`` defaults to the
     current time; ``"latest"`` uses the newest log entry.  Without a log it is the
-    fallback form (T18)."""
+    fallback form (T18).  ``limit`` is clamped to ``maximum`` rows."""
     src = current_source(serving, predictions).filter(
         (F.col("churn_risk_band") == "high") & (F.col("is_currently_subscribed") == F.lit(True)) & (F.col("crm_touches_30d") == 0)
     )
@@ -132,7 +150,7 @@ def do_now(
             now_c = F.lit(as_of) if as_of is not None else F.current_timestamp()
         cutoff = now_c - F.expr(f"INTERVAL {int(days)} DAYS")
         src = src.filter(F.col("last_touch").isNull() | (F.col("last_touch") < cutoff))
-    n = coerce_limit(limit)
+    n = coerce_limit(limit, maximum=maximum)
     return _project(src.orderBy(F.col("mrr_usd").desc_nulls_last(), F.col("user_id")).limit(n), WORKLIST_COLS)
 
 
@@ -268,8 +286,6 @@ def search(df: DataFrame, q: str, col: str = "user_id") -> DataFrame:
 def alias_values(df: DataFrame, col: str, aliases: DataFrame, out: str | None = None) -> DataFrame:
     """Business-word aliasing: ``lower(word)`` equi left join to a small
     (word, canonical) table, falling back to the word itself."""
-    from tidemark.sources.io import bounded_broadcast
-
-    a = bounded_broadcast(aliases.select(F.lower("word").alias("_w"), F.col("canonical").alias("_canon")), 100_000)
+    a = aliases.select(F.lower("word").alias("_w"), F.col("canonical").alias("_canon"))
     j = df.join(a, F.lower(F.col(col)) == F.col("_w"), "left")
     return j.withColumn(out or col, F.coalesce(F.col("_canon"), F.col(col))).drop("_w", "_canon")

@@ -40,7 +40,7 @@ FROM (SELECT *, CAST(least(term_start_date + INTERVAL 30 DAY, coalesce(nx, term_
 
 FX["fx_usage"] = """
 SELECT user_id, CAST(ts AS DATE) AS event_date,
-       round(least(sum(value) / 25, 16.0), 3) AS coding_hours,
+       round(sum(value) / 25, 3) AS coding_hours,
        ((2 * 10000 * sum(CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END) + count(*)) // (2 * count(*))) / 10000.0 AS ai_acceptance_rate,
        CAST(count(*) AS INT) AS session_frequency
 FROM events GROUP BY user_id, CAST(ts AS DATE)

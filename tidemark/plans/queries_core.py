@@ -310,7 +310,7 @@ def worklist_page(spark, sf):
     """K6: second page of the subscribed worklist by key-based pagination:
     rows strictly after page one's last (score, user_id), next 50."""
     t = _t(spark, sf)
-    rows = wl.worklist(t.predictions(), t.serving(), limit=500)
+    rows = wl.worklist_rows(t.predictions(), t.serving())
     first = wl.page(rows, [("score", True), ("user_id", False)], None, 50)
     last = first.orderBy(F.col("score").asc(), F.col("user_id").desc()).limit(1).collect()  # the cursor: one row
     after = {"score": last[0]["score"], "user_id": last[0]["user_id"]} if last else None

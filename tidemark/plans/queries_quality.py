@@ -211,7 +211,6 @@ def touches_outside_campaign(spark, sf):
 
     t = _t(spark, sf)
     cd = campaign_dates(spark, sf).select("campaign_id", "start_date", "end_date")
-    cd = IO.bounded_broadcast(cd, 100_000)  # campaign dimension: size proven before the hint
     return Q.outside_parent_dates(t.touches(), cd, "campaign_id", "touch_date", "start_date", "end_date")
 
 

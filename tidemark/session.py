@@ -48,11 +48,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (HDFS/S3/ABFS) folder there; we read it and never
-    invent a machine-local one.  Only when it is unset (local tests) do we set
-    a scratch folder of our own.
+    invent a machine-local one: without the setting a cluster session raises.
+    Only a local session (tests, bench) gets a scratch folder of its own.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="tidemark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -14,8 +14,8 @@ Scale notes
   so a customer with a third of all orders is still spread over many tasks.
 * Aggregations pre-aggregate map-side before any join (``signup_date`` is a
   ``min`` per customer joined to customers, not a join then group).
-* Small dimensions (region, nation) are joined through
-  :func:`tidemark.sources.io.bounded_broadcast`, which checks the row count.
+* Small dimensions (region, nation) are plain joins: AQE broadcasts them by
+  their run-time bytes.
 """
 
 from __future__ import annotations
@@ -27,12 +27,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import half_up_ratio, risk_band, scaled_int
 from tidemark.operators.sequence import ordered_neighbors
-from tidemark.sources.io import bounded_broadcast
 
 # Fixed values of the fixture mapping (must equal the oracle SQL text).
 CHURN_CUTOFF_MONTH = _dt.date(2000, 8, 1)  # last month a final order month counts as churn
 HOURS_DIVISOR = 25.0  # events.value -> coding hours
-HOURS_CAP = 16.0
 ORDER_HOURS_DIVISOR = 50000.0  # orders.o_totalprice -> monthly avg coding hours
 LAPSE_DAYS = 30  # a finished order's term lapses 30 days after it starts
 SCORE_COEF_HOURS = 0.6  # fixture churn score: 1/(1+exp(0.6*hours - 0.5*tickets - 0.8))
@@ -157,11 +155,10 @@ class Tables:
     def users(self) -> DataFrame:
         def build():
             c = self.raw("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-            geo = bounded_broadcast(
+            geo = (
                 self.raw("nation")
                 .join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-                .select(F.col("n_nationkey"), F.col("r_name").alias("geo")),
-                max_rows=100_000,
+                .select(F.col("n_nationkey"), F.col("r_name").alias("geo"))
             )
             first_order = (
                 self.raw("orders")
@@ -236,7 +233,7 @@ class Tables:
             day = F.col("ts").cast("date")
             engaged = F.when(F.col("event_type").isin("click", "purchase"), 1).otherwise(0)
             return e.groupBy("user_id", day.alias("event_date")).agg(
-                F.round(F.least(F.sum("value") / HOURS_DIVISOR, F.lit(HOURS_CAP)), 3).alias("coding_hours"),
+                F.round(F.sum("value") / HOURS_DIVISOR, 3).alias("coding_hours"),
                 (half_up_ratio(F.sum(engaged) * 10_000, F.count(F.lit(1))) / F.lit(10_000.0)).alias("ai_acceptance_rate"),
                 F.count(F.lit(1)).cast("int").alias("session_frequency"),
             )

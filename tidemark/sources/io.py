@@ -13,22 +13,10 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 # --------------------------------------------------------------------- helpers
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
-
-    The check is a bounded ``limit(max_rows + 1).count()``; beyond the bound the
-    DataFrame is returned unhinted and AQE picks the join strategy from runtime
-    statistics (sort-merge or shuffled hash).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def _jvm_fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     hconf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -70,10 +58,10 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str, spec=None, columns: Sequence[str] | None = None) -> DataFrame:
-    """Parquet scan with an explicit schema (from a TableSpec) and column pruning."""
+    """Parquet scan with an explicit schema (from a declared table) and column pruning."""
     reader = spark.read
     if spec is not None:
-        reader = reader.schema(spec.struct())
+        reader = reader.schema(spec.schema)
     df = reader.parquet(path)
     if columns:
         df = df.select(*columns)
@@ -299,6 +287,3 @@ def union_all(frames: Iterable[DataFrame]) -> DataFrame:
         out = out.unionByName(f)
     return out
 
-
-def schema_of(spec) -> StructType:
-    return spec.struct()

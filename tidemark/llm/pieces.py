@@ -32,9 +32,10 @@ from tidemark.llm.common import Lazy, slices
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE_UNITS = 300_000
+CACHE_UNITS = 800_000
 LONGEST_UNIT = 64
-PAIRS = 2_000_000
+#: steps between pieces that are remembered
+PAIRS = 1_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -100,13 +101,21 @@ class Transducer:
                 self.unknown = i if kind == UNKNOWN else self.unknown
                 self.spelled.append(" ⁇ ".encode() if kind == UNKNOWN else b"")
         self.fallback = len(self.bytes) == 256
-        self.longest = max(map(len, self.pieces), default=1)
         # no piece goes from a character into a mark: units between them are encoded apart
         self.apart = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces)
-        self.line_apart = not any("\n" in p and len(p) > 1 for p in self.pieces)
-        self.steps: dict[tuple[str, str], bool] = {}
+        self.begins = {p[:k] for p in self.pieces for k in range(1, len(p))}
+        # marks that stand behind a letter, and letters behind a line feed, in no piece: no piece spans these places
+        letters = [chr(c) for c in range(128) if chr(c).isalpha()]
+        together = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        marks = [b for b in "\n" + "".join(map(chr, range(33, 127))) if not b.isalnum() and not any(a + b in together for a in letters)]
+        places = [f"(?<=[A-Za-z])(?=[{re.escape(''.join(marks))}])"] if marks else []
+        places += [r"(?<=\n)"] if not any("\n" in p[:-1] for p in self.pieces) else []
+        self.cuts = re.compile("|".join(places)) if places else None
+        self.steps: dict[str, dict[str, float]] = {}
+        self.pairs = 0
         self.alone: dict[str, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     # ---- the weights of steps between pieces
 
@@ -125,38 +134,55 @@ class Transducer:
         return parts
 
     def step(self, before: str, piece: str) -> float:
-        """Weight of taking ``piece`` after ``before`` ("" at the start)."""
+        """Weight of taking ``piece`` after ``before`` ("" at the start); log probabilities make no weight negative."""
         if self.kind == UNIGRAM:
             i = self.pieces.get(piece)
-            return -self.scores[i] if i is not None else 1e6 * len(piece)
+            return -self.scores[i] if i is not None else 1e6
         ok = self.alone.get(piece)
         if ok is None:
             ok = self.alone[piece] = len(piece) == 1 or self.merged(piece) == [piece]
-        if ok and before:
-            pair = (before, piece)
-            ok = self.steps.get(pair)
-            if ok is None:
-                if len(self.steps) >= PAIRS:
-                    self.steps.clear()
-                ok = self.steps[pair] = self.merged(before + piece) == [before, piece]
-        return 0.0 if ok else math.inf
+        return 0.0 if ok and (not before or self.merged(before + piece) == [before, piece]) else math.inf
+
+    def steps_after(self, before: str) -> dict[str, float]:
+        """The known weights after a piece (of a unigram model, after any)."""
+        if self.kind == UNIGRAM:
+            before = ""
+        self.pairs += 1
+        if self.pairs > PAIRS:
+            self.steps, self.pairs = {}, 0
+        return self.steps.setdefault(before, {})
 
     def shortest(self, unit: str) -> list[str]:
-        """The spellings along the least path through the unit's lattice."""
+        """The spellings along the least path through the unit's lattice.
+
+        Places are settled from left to right; the arcs that leave a place end
+        where no piece goes on.
+        """
         n = len(unit)
         weight = [0.0, *[math.inf] * n]
         come = [0] * (n + 1)
         last = [""] * (n + 1)
-        pieces, step = self.pieces, self.step
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
+        pieces, begins = self.pieces, self.begins
+        for i in range(n):
+            base = weight[i]
+            if base == math.inf:
+                continue
+            before = last[i]
+            known = self.steps.get(before)
+            if known is None:
+                known = self.steps_after(before)
+            for j in range(i + 1, n + 1):
                 arc = unit[i:j]
-                if (i + 1 == j or arc in pieces) and weight[i] < math.inf:
-                    w = weight[i] + step(last[i], arc)
-                    if w < weight[j]:
-                        weight[j], come[j], last[j] = w, i, arc
-                        if self.kind == BPE:
-                            break  # the one finite path to here
+                if base < weight[j] and (arc in pieces or j == i + 1):
+                    w = known.get(arc)
+                    if w is None:
+                        w = self.step(before, arc)
+                        known = self.steps_after(before)
+                        known[arc] = w
+                    if base + w < weight[j]:
+                        weight[j], come[j], last[j] = base + w, i, arc
+                if arc not in begins:
+                    break
         out, j = [], n
         while j:
             out.append(last[j])
@@ -173,15 +199,29 @@ class Transducer:
         """32-bit ids of a unit of normalised text."""
         got = self.known.get(unit)
         if got is None:
-            if self.line_apart and "\n" in unit and len(unit) > 1:
-                return b"".join(map(self.unit, [x for x in re.split("(\n)", unit) if x]))
-            got = np.array([i for arc in self.shortest(unit) for i in self.ids(arc)], "<i4").tobytes()
+            got = self.older.get(unit)
+            if got is None:
+                parts = [p for p in self.cuts.split(unit) if p] if self.cuts else [unit]
+                got = b"".join(map(self.part, parts))
             if len(unit) <= LONGEST_UNIT:
-                if len(self.known) >= CACHE_UNITS:
-                    self.known.clear()
-                self.known[unit] = got
+                self.keep(unit, got)
         return got
 
+    def part(self, part: str) -> bytes:
+        """32-bit ids of a part of a unit that no piece leaves."""
+        got = self.known.get(part) or self.older.get(part)
+        if got is None:
+            got = np.array([i for arc in self.shortest(part) for i in self.ids(arc)], "<i4").tobytes()
+            if len(part) <= LONGEST_UNIT:
+                self.keep(part, got)
+        return got
+
+    def keep(self, unit: str, ids: bytes) -> None:
+        """Remember in two generations, the older one dropped in time."""
+        if len(self.known) >= CACHE_UNITS // 2:
+            self.known, self.older = {}, self.known
+        self.known[unit] = ids
+
     # ---- whole texts
 
     def encode(self, text: str) -> bytes:
@@ -195,8 +235,7 @@ class Transducer:
             units = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", whole)
         else:
             units = [MARK + w for w in whole[1:].split(MARK)]
-        known, unit = self.known.get, self.unit
-        return b"".join([known(u) or unit(u) for u in units])
+        return b"".join([self.known.get(u) or self.unit(u) for u in units])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that ids spell; bytes that are no UTF-8 become U+FFFD."""
@@ -251,7 +290,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "piece_ids", out_col:
 
 
 def pieces_report(docs: DataFrame, model: str) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_pieces, ids_sha256 of the comma-joined ids, round_trip.
+    """Per row of ``docs``: doc_id, n_pieces, ids_hash (Spark's xxhash64 of the array of ids), round_trip.
 
     round_trip: decoding gives the text back, its blank marks read as blanks.
     """
@@ -260,6 +299,6 @@ def pieces_report(docs: DataFrame, model: str) -> DataFrame:
     return back.select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_pieces"),
-        F.sha2(F.array_join("piece_ids", ","), 256).alias("ids_sha256"),
+        F.xxhash64("piece_ids").alias("ids_hash"),
         (F.col("decoded") == F.translate("text", MARK, " ")).alias("round_trip"),
     )

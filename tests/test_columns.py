@@ -82,3 +82,20 @@ def test_half_up_ratio_beyond_doubles_and_longs(spark):
 def test_exact_mean_of_large_sums(spark):
     df = spark.range(1000).selectExpr("900000000000000 + id AS v")  # sums to 9e19 hundredths
     assert df.agg(C.exact_mean(F.col("v"), 2, 2)).first()[0] == 900000000000499.5
+
+
+def test_clean_text_rules(spark):
+    cases = {
+        "the user_id is 3 # points": "the user_id is 3 # points",
+        "“__Bold__ and _soft_ and *x*”": "Bold and soft and x",
+        "Churn rose to 4% across 12 rows shown.": "Churn rose to 4%.",
+        "Churn rose , based on all 3 rows": "Churn rose",
+        "One . Two ! Three ?": "One. Two!",
+        None: "",
+        "a" * 600: "a" * 520 + "…",
+        "b" * 300 + ". " + "c" * 400: "b" * 300 + ".",
+        "b" * 100 + ". " + "c" * 500: "b" * 100 + ". " + "c" * 418 + "…",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "x string, y string")
+    for r in df.select("x", "y", C.clean_text("x").alias("got")).collect():
+        assert r.got == r.y, r.x

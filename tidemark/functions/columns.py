@@ -83,16 +83,35 @@ def valid_user_id(col) -> Column:
     return _c(col).rlike(USER_ID_PATTERN)
 
 
+#: wrapping quotes of an answer, fixed values
+QUOTES = "\"'“”‘’"
+#: the note on its result's rows that an answer may end with, fixed words
+ROWS_NOTE = r"(?i)[,;]?\s*(?:across|in|based on|over|from)\s+(?:all\s+)?[0-9]+\s+rows?(?:\s+\w+){0,2}(\.?)\s*$"
+
+
 def clean_text(col, max_len: int = 520) -> Column:
-    """TX1: collapse whitespace, strip markdown emphasis/heading/quote marks,
-    keep the first two sentences, cap the length (with an ellipsis)."""
-    t = _c(col)
-    t = F.regexp_replace(t, r"[*_`#>]+", "")
-    t = F.regexp_replace(t, r"[\"“”]", "")
-    t = F.trim(F.regexp_replace(t, r"\s+", " "))
-    two = F.regexp_extract(t, r"^(.*?[.!?])(\s+.*?[.!?])?(\s|$)", 0)
-    t = F.when(F.length(F.trim(two)) > 0, F.trim(two)).otherwise(t)
-    return F.when(F.length(t) > max_len, F.concat(F.rtrim(F.substring(t, 1, max_len - 1)), F.lit("…"))).otherwise(t)
+    """TX1: an answer as plain text of at most two sentences.
+
+    White space is collapsed, wrapping quotes and paired emphasis marks go
+    (a mark without its pair stays, as in ``user_id``), and so does a closing
+    "across N rows shown".  Longer answers end at their last sentence end
+    within ``max_len``, or, where that is too early, with an ellipsis."""
+    t = F.trim(F.regexp_replace(F.coalesce(_c(col), F.lit("")), r"\s+", " "))
+    t = F.trim(F.regexp_replace(t, f"^[{QUOTES}]+|[{QUOTES}]+$", ""))
+    for mark in (r"\*\*", "__", r"\*", "_"):
+        t = F.regexp_replace(t, f"{mark}(.+?){mark}", "$1")
+    t = F.regexp_replace(t, ROWS_NOTE, "$1")
+    t = F.trim(F.regexp_replace(t, r"\s+([.!?])", "$1"))
+    sentences = F.regexp_extract_all(t, F.lit("[^.!?]+[.!?]+"), F.lit(0))
+    two = F.concat_ws(" ", F.trim(F.get(sentences, 0)), F.trim(F.get(sentences, 1)))
+    t = F.when(F.size(sentences) > 2, two).otherwise(t)
+    cut = F.substring(t, 1, max_len)
+    back = F.reverse(cut)
+    # a sentence end followed by a blank: the first such pair from the back
+    ends = [F.when(F.instr(back, f" {mark}") > 0, F.length(cut) - F.instr(back, f" {mark}")).otherwise(0) for mark in ".!?"]
+    stop = F.greatest(*ends)
+    short = F.when(stop > int(max_len * 0.4) + 1, F.substr(cut, F.lit(1), stop)).otherwise(F.concat(F.rtrim(cut), F.lit("…")))
+    return F.when(F.length(t) > max_len, short).otherwise(t)
 
 
 def half_up_ratio(num, den) -> Column:

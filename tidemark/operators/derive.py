@@ -400,8 +400,10 @@ def build_terms(
     Each ``signup``/``downgrade``/``reactivate`` opens a term; the user's next
     event closes it: a ``cancel`` ends it that day (status canceled), any
     other event ends it the day before (status downgraded, a plan change);
-    the last term stays open (active).  Same-day order: openings before a
-    cancel, then ``tiebreak``.  ``term_index`` is the 0-based order of the
+    the last term stays open (active); a canceled winback has status
+    churned_after_reactivation.  Same-day order: openings before a cancel, then
+    ``tiebreak``; of several openings on one day the last one counts, so no
+    term ends before it starts.  ``term_index`` is the 0-based order of the
     user's opening events.  Sequencing uses :func:`ordered_neighbors`, so a
     user with a huge event history is still split over many tasks.
     """
@@ -413,10 +415,11 @@ def build_terms(
     seq = ordered_neighbors(
         ev, key=key, order=["_d", "_rank", *extra], bucket=F.col("_d"), lead={"_next_d": "_d", "_next_k": "_k"}
     )
-    opening = seq.filter(F.col("_k") != "cancel")
     canceled = F.col("_next_k") == "cancel"
+    replaced = F.coalesce(~canceled & (F.col("_next_d") == F.col("_d")), F.lit(False))
+    opening = seq.filter((F.col("_k") != "cancel") & ~replaced)
     end = F.when(canceled, F.col("_next_d")).when(F.col("_next_d").isNotNull(), F.date_sub(F.col("_next_d"), 1))
-    status = F.when(canceled, "canceled").when(F.col("_next_d").isNotNull(), "downgraded").otherwise("active")
+    status = F.when(canceled & (F.col("_k") == "reactivate"), "churned_after_reactivation").when(canceled, "canceled").when(F.col("_next_d").isNotNull(), "downgraded").otherwise("active")
     terms = opening.select(
         F.col(key),
         F.col("_d").alias("term_start_date"),

@@ -91,11 +91,16 @@ def prepare(df: DataFrame, label: str = LABEL) -> DataFrame:
 
 
 def train(labels: DataFrame, params: dict | None = None):
-    """Split, weight, fit.  Returns (model, valid_df, holdout_month)."""
+    """Split, weight, fit.  Returns (model, valid_df, holdout_month).
+
+    A tenth of the training rows, chosen by a hash of their key, is held back;
+    boosting ends early once the loss on them no longer falls."""
     assert_feature_contract(labels.schema)
     tr, va, holdout = temporal_split(labels)
-    tr = with_class_weight(prepare(tr))
-    model = build_pipeline(params).fit(tr)
+    tr = with_class_weight(prepare(tr)).withColumn(
+        "is_validation", F.pmod(F.xxhash64("user_id", "month_start"), F.lit(10)) == 0
+    )
+    model = build_pipeline(params, validation_col="is_validation").fit(tr)
     return model, prepare(va), holdout
 
 

@@ -320,14 +320,23 @@ def worklist_page(spark, sf):
 @register(
     "answer_cleanup",
     r"""WITH a AS (
-         SELECT conv_id, turn, length(text) AS raw_chars,
-                trim(regexp_replace(regexp_replace(regexp_replace(text, '[*_`#>]+', '', 'g'), '["“”]', '', 'g'), '\s+', ' ', 'g')) AS t
+         SELECT conv_id, turn, length(text) AS raw_chars, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t
          FROM conversations WHERE role = 'assistant'),
-       b AS (SELECT conv_id, turn, raw_chars, t, trim(regexp_extract(t, '^(.*?[.!?])(\s+.*?[.!?])?(\s|$)', 0)) AS two FROM a),
-       c AS (SELECT conv_id, turn, raw_chars, CASE WHEN length(two) > 0 THEN two ELSE t END AS t FROM b)
+       b AS (SELECT conv_id, turn, raw_chars, trim(regexp_replace(t, '^["''“”‘’]+|["''“”‘’]+$', '', 'g')) AS t FROM a),
+       c AS (SELECT conv_id, turn, raw_chars, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
+               '\*\*(.+?)\*\*', '\1', 'g'), '__(.+?)__', '\1', 'g'), '\*(.+?)\*', '\1', 'g'), '_(.+?)_', '\1', 'g') AS t FROM b),
+       d AS (SELECT conv_id, turn, raw_chars, trim(regexp_replace(regexp_replace(t,
+               '[,;]?\s*(?:across|in|based on|over|from)\s+(?:all\s+)?[0-9]+\s+rows?(?:\s+\w+){0,2}(\.?)\s*$', '\1', 'i'),
+               '\s+([.!?])', '\1', 'g')) AS t FROM c),
+       e AS (SELECT conv_id, turn, raw_chars, t, regexp_extract_all(t, '[^.!?]+[.!?]+') AS s FROM d),
+       f AS (SELECT conv_id, turn, raw_chars, CASE WHEN len(s) > 2 THEN trim(s[1]) || ' ' || trim(s[2]) ELSE t END AS t FROM e),
+       g AS (SELECT conv_id, turn, raw_chars, t, substr(t, 1, 520) AS cut, reverse(substr(t, 1, 520)) AS back FROM f),
+       h AS (SELECT *, greatest(CASE WHEN instr(back, ' .') > 0 THEN length(cut) - instr(back, ' .') ELSE 0 END,
+                                CASE WHEN instr(back, ' !') > 0 THEN length(cut) - instr(back, ' !') ELSE 0 END,
+                                CASE WHEN instr(back, ' ?') > 0 THEN length(cut) - instr(back, ' ?') ELSE 0 END) AS stop FROM g)
        SELECT conv_id, turn, raw_chars,
-              CASE WHEN length(t) > 520 THEN rtrim(substr(t, 1, 519)) || '…' ELSE t END AS answer
-       FROM c""",
+              CASE WHEN length(t) > 520 THEN CASE WHEN stop > 209 THEN substr(cut, 1, stop) ELSE rtrim(cut) || '…' END ELSE t END AS answer
+       FROM h""",
 )
 def answer_cleanup(spark, sf):
     """TX1: display clean-up of every assistant answer (whitespace collapse,

@@ -152,11 +152,12 @@ def feature_adoption(spark, sf):
                   FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY d, CASE WHEN k = 'cancel' THEN 1 ELSE 0 END, event_id))
        SELECT user_id, d AS term_start_date,
               CASE WHEN nk = 'cancel' THEN nd WHEN nd IS NOT NULL THEN CAST(nd - INTERVAL 1 DAY AS DATE) END AS term_end_date,
-              CASE WHEN nk = 'cancel' THEN 'canceled' WHEN nd IS NOT NULL THEN 'downgraded' ELSE 'active' END AS status,
+              CASE WHEN nk = 'cancel' AND k = 'reactivate' THEN 'churned_after_reactivation'
+                   WHEN nk = 'cancel' THEN 'canceled' WHEN nd IS NOT NULL THEN 'downgraded' ELSE 'active' END AS status,
               k = 'downgrade' AS is_downgrade, k = 'reactivate' AS is_reactivation,
               CASE WHEN nk = 'cancel' THEN nd END AS cancel_date, event_id,
               CAST(row_number() OVER (PARTITION BY user_id ORDER BY d, event_id) - 1 AS BIGINT) AS term_index
-       FROM s WHERE k <> 'cancel'""",
+       FROM s WHERE k <> 'cancel' AND NOT coalesce(nk <> 'cancel' AND nd = d, FALSE)""",
 )
 def subscription_terms(spark, sf):
     e = _t(spark, sf).raw("events").filter(F.col("event_type").isin(*LIFECYCLE_KINDS))

@@ -244,9 +244,6 @@ def alias_resolution(spark, sf):
 
 # --------------------------------------------------------------------- ML U3-U12
 
-# Fixed parameter: boosting rounds of the registered (check-sized) model run;
-# the library default is the reference's 300.
-CHECK_GBT_ITERS = 20
 _MODELS: dict = {}
 
 
@@ -256,7 +253,7 @@ def _model(spark, sf):
     key = (id(spark), sf)
     if key not in _MODELS:
         root = _scratch(spark, "models")
-        model, valid, holdout = M.train(_t(spark, sf).churn_labels(), {"maxIter": CHECK_GBT_ITERS})
+        model, valid, holdout = M.train(_t(spark, sf).churn_labels())
         version = M.save_version(spark, model, root)
         loaded, v = M.load_alias(spark, root)
         _MODELS[key] = (loaded, v, valid)
@@ -291,22 +288,41 @@ def class_weights(spark, sf):
     return w.groupBy("churned", F.round("weight", 4).alias("weight")).agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
 
 
-@register("gbt_scores")
+@register(
+    "gbt_scores",
+    """SELECT user_id, max(month_start) AS as_of_month, 'churn_gbt' AS model_name, TRUE AS in_range, TRUE AS band_fits
+       FROM fx_cl GROUP BY user_id""",
+)
 def gbt_scores(spark, sf):
-    """U9/U10 (rows-only): champion model scores each user's latest label."""
+    """The champion model scores each user's latest label row; what can
+    be checked of a score: its range and that the band is the score's."""
+    from tidemark.functions.columns import risk_band
     from tidemark.operators import ml as M
 
     model, version, _ = _model(spark, sf)
-    return M.score_latest(model, _t(spark, sf).churn_labels(), version)
+    scored = M.score_latest(model, _t(spark, sf).churn_labels(), version)
+    edge = F.col("churn_score").isin(0.3, 0.6)  # a rounded score may sit on a band's edge
+    return scored.select(
+        "user_id",
+        "as_of_month",
+        "model_name",
+        F.col("churn_score").between(0, 1).alias("in_range"),
+        (edge | (F.col("churn_risk_band") == risk_band(F.col("churn_score")))).alias("band_fits"),
+    )
 
 
-@register("model_evaluation")
+@register(
+    "model_evaluation",
+    """SELECT CAST(count(*) AS BIGINT) AS rows, round(avg(CAST(churned AS DOUBLE)), 6) AS base_rate, TRUE AS areas_in_range
+       FROM fx_cl WHERE month_start = (SELECT max(month_start) FROM fx_cl)""",
+)
 def model_evaluation(spark, sf):
-    """U8 (rows-only): holdout ROC-AUC / PR-AUC / base rate."""
+    """U8: holdout rows and base rate; the ROC and PR areas lie in [0, 1]."""
     from tidemark.operators import ml as M
 
     model, _, valid = _model(spark, sf)
-    return M.evaluate(model, valid)
+    areas = F.col("roc_auc").between(0, 1) & F.col("pr_auc").between(0, 1)
+    return M.evaluate(model, valid).select("rows", F.round("base_rate", 6).alias("base_rate"), areas.alias("areas_in_range"))
 
 
 @register(

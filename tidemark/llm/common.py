@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: rows of a record batch that a task holds as Python objects at a time
 SLICE_ROWS = 256
+#: rows of a record batch, where the session leaves Spark's default
+BATCH_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,6 +48,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def batched(df: DataFrame) -> DataFrame:
+    """``df``, its session sending Python workers ``BATCH_ROWS`` rows at a time unless it says otherwise.
+
+    Spark's default of 10,000 rows is made for narrow rows; whole texts of
+    that many rows fill an executor's memory outside the heap.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 class Lazy:
     """A value that each Python worker builds once: broadcast it and call ``get``."""
 

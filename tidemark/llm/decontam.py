@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Lazy, slices, stored, utf8
+from tidemark.llm.common import Lazy, batched, slices, stored, utf8
 
 WINDOW = 10
 #: benchmark text that one automaton holds; a larger benchmark takes several scans
@@ -129,7 +129,7 @@ def _scan(docs: DataFrame, block: DataFrame, window: int, text_col: str, out_col
     kept = [c for c in names if c != out_col]
     # positional names: the columns of docs may hold any name
     schema = ", ".join(f"`{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept))
-    out = docs.mapInArrow(scan, f"{schema}, `{len(kept)}` {RESULT}")
+    out = docs.transform(batched).mapInArrow(scan, f"{schema}, `{len(kept)}` {RESULT}")
     return out.toDF(*kept, out_col)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, utf8
+from tidemark.llm.common import batched, slices, utf8
 
 WINDOW = 256
 EMBED = 8
@@ -154,7 +154,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Net | None:
                     parts.append(whole[k * len(whole) // min(SAMPLE_WINDOWS, len(whole))].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], names=["lang", "bytes"])
 
-    found = chosen.select("lang", F.col("text").cast("string")).mapInArrow(cut, "lang string, bytes binary").collect()
+    found = chosen.select("lang", F.col("text").cast("string")).transform(batched).mapInArrow(cut, "lang string, bytes binary").collect()
     found = sorted((r["lang"], bytes(r["bytes"])) for r in found)
     net = Net(sorted({lang for lang, _ in found}))
     if not found:
@@ -204,4 +204,4 @@ def language_report(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFram
             )
 
     rows = docs.select("doc_id", (remainder(F.col("doc_id")) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return rows.transform(batched).mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Lazy, slices
+from tidemark.llm.common import Lazy, batched, slices
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -268,7 +268,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", out_col: str = "
 
     # positional names: the columns of docs may hold any name
     schema = ", ".join(f"`{i}` {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    return docs.mapInArrow(make, f"{schema}, `{len(names)}` array<int>").toDF(*names, out_col)
+    return docs.transform(batched).mapInArrow(make, f"{schema}, `{len(names)}` array<int>").toDF(*names, out_col)
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:
@@ -286,7 +286,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "piece_ids", out_col:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[str(i) for i in range(len(names) + 1)])
 
     schema = ", ".join(f"`{i}` {f.dataType.simpleString()}" for i, f in enumerate(encoded.schema.fields))
-    return encoded.mapInArrow(make, f"{schema}, `{len(names)}` string").toDF(*names, out_col)
+    return encoded.transform(batched).mapInArrow(make, f"{schema}, `{len(names)}` string").toDF(*names, out_col)
 
 
 def pieces_report(docs: DataFrame, model: str) -> DataFrame:

@@ -10,6 +10,7 @@ an equal variant are verified by counting their differing bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, stored, utf8
+from tidemark.llm.common import batched, slices, stored, utf8
 from tidemark.llm.components import connected_components
 
 SEED = 42
@@ -63,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["id", "th", "fp"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), _text_hash(text), text.alias("text")).mapInArrow(make, "id long, th long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), _text_hash(text), text.alias("text")).transform(batched).mapInArrow(make, "id long, th long, fp long")
 
 
 def _text_hash(text):
@@ -199,9 +200,9 @@ def links(fps: DataFrame, max_bits: int = 4, hot_bucket: int = HOT_BUCKET) -> Da
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_f = np.empty(0, np.int64), np.empty(0, np.uint64)
-        for batch in batches:
-            k = np.concatenate([held_k, batch.column(0).to_numpy()])
-            f = np.concatenate([held_f, batch.column(1).to_numpy().view(np.uint64)])
+        while some := list(islice(batches, 64)):
+            k = np.concatenate([held_k, *[b.column(0).to_numpy() for b in some]])
+            f = np.concatenate([held_f, *[b.column(1).to_numpy().view(np.uint64) for b in some]])
             if not len(k):
                 continue
             last = int(np.searchsorted(k, k[-1]))  # the last bucket may go on
@@ -214,7 +215,7 @@ def links(fps: DataFrame, max_bits: int = 4, hot_bucket: int = HOT_BUCKET) -> Da
     def pack(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
+    return keyed.repartition("key").sortWithinPartitions("key").transform(batched).mapInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, stored, utf8
+from tidemark.llm.common import batched, slices, stored, utf8
 
 LENGTH = 400
 GRAM = 32
@@ -115,7 +115,7 @@ def _runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                 arrays += [pa.array(np.concatenate(c).astype(t)) for c, t in zip(cols[2:], (np.int64, np.int64, np.int32, np.int32, np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "th", "key", "span", "at", "first", "n"])
 
-    return keyed.mapInArrow(make, "doc_id long, th long, key long, span long, at int, first int, n int")
+    return keyed.transform(batched).mapInArrow(make, "doc_id long, th long, key long, span long, at int, first int, n int")
 
 
 def _same_doc(a: DataFrame, b: DataFrame):
@@ -138,7 +138,7 @@ def _contexts(keyed: DataFrame, edges: DataFrame, length: int) -> DataFrame:
                     [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "th", "key", "at", "first", "n", "bytes"]
                 )
 
-    return joined.mapInArrow(make, "doc_id long, th long, key long, at int, first int, n int, bytes binary")
+    return joined.transform(batched).mapInArrow(make, "doc_id long, th long, key long, at int, first int, n int, bytes binary")
 
 
 def _blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
@@ -168,7 +168,7 @@ def _blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
                     [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "th", "run", "core", "span", "first", "n"]
                 )
 
-    return contexts.mapInArrow(make, "doc_id long, th long, run int, core long, span long, first int, n int")
+    return contexts.transform(batched).mapInArrow(make, "doc_id long, th long, run int, core long, span long, first int, n int")
 
 
 def _windows(contexts: DataFrame, blocks: DataFrame, length: int) -> DataFrame:
@@ -189,7 +189,7 @@ def _windows(contexts: DataFrame, blocks: DataFrame, length: int) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "th", "core", "first", "whole"])
 
-    return joined.mapInArrow(make, "doc_id long, th long, core long, first int, whole long")
+    return joined.transform(batched).mapInArrow(make, "doc_id long, th long, core long, first int, whole long")
 
 
 def _pass(rows: DataFrame, group: str, digit: str, name: str) -> DataFrame:
@@ -265,7 +265,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
                 [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
             )
 
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.transform(batched).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def repeats_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:

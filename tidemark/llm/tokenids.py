@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Lazy, shared_folder, slices
+from tidemark.llm.common import Lazy, batched, shared_folder, slices
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
@@ -236,7 +236,7 @@ def write_ids(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), F.monotonically_increasing_id().alias("row"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("th"), F.col("row")]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(encode, CHUNK).write.parquet(path)
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").transform(batched).mapInArrow(encode, CHUNK).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -255,7 +255,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["part", "chunk", "doc_id", "start", "n", "ids"])
 
-    pieces = blocks.mapInArrow(decode, "part int, chunk int, doc_id long, start long, n long, ids binary")
+    pieces = blocks.transform(batched).mapInArrow(decode, "part int, chunk int, doc_id long, start long, n long, ids binary")
     whole = F.octet_length("ids") == 4 * F.col("n")
     # only documents over a block's edge are put together, each by itself
     joined = (

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Lazy, slices, utf8
+from tidemark.llm.common import Lazy, batched, slices, utf8
 
 #: labelled rows per class that are learned from at most, taken by a hash of their ids
 SAMPLE_ROWS = 3000
@@ -215,7 +215,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             some = [b"".join(spread(windows(t), SAMPLE_WINDOWS)) for t in utf8(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(some, pa.binary())], names=["toxic", "fold", "text"])
 
-    texts = sample.mapInArrow(cut, "toxic boolean, fold int, text binary").distinct().collect()
+    texts = sample.transform(batched).mapInArrow(cut, "toxic boolean, fold int, text binary").distinct().collect()
     texts = [(r.toxic, r.fold, bytes(r.text)) for r in texts]
     prior = (sum(t for t, _, _ in texts) + 0.5) / (len(texts) + 1)
     whole = dictionaries([(t, x) for t, _, x in texts])
@@ -230,7 +230,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             x = [own[f](t) for f, t in zip(batch.column(1).to_pylist(), utf8(batch.column(2)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    rows = sorted((r.toxic, r.x) for r in sample.mapInArrow(measure, "toxic boolean, x array<double>").collect())
+    rows = sorted((r.toxic, r.x) for r in sample.transform(batched).mapInArrow(measure, "toxic boolean, x array<double>").collect())
     x, y = np.array([r[1] for r in rows]), np.array([r[0] for r in rows], float)
     return *whole, *fit_logistic(x, y), prior
 
@@ -252,5 +252,5 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores], names=["doc_id", "held_out", "score"])
 
     rows = docs.select("doc_id", (remainder(F.col("doc_id")) == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
+    scored = rows.transform(batched).mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
     return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))

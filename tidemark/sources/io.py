@@ -11,7 +11,7 @@ import json
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # --------------------------------------------------------------------- helpers
@@ -30,13 +30,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small text file through the Hadoop FS (works on shared storage)."""
+    """Replace a small text file through Hadoop's file systems (works on shared storage).
+
+    The text goes to a file of its own that is then renamed over the old one,
+    so a reader sees the old text or the new one, never a part."""
     fs, p, jvm = _jvm_fs(spark, path)
-    out = fs.create(p, True)
+    own = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(own, True)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    p = fs.makeQualified(p)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), fs.getConf()).rename(fs.makeQualified(own), p, over)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -152,15 +161,16 @@ def manifest_json(summary: DataFrame) -> str:
 def publish_snapshot(df: DataFrame, target: str, pk: str | Sequence[str]) -> dict:
     """Full-snapshot publish, readers see the old or the new version.
 
-    The executors write ``target/_v=<id>``; after a count verification and a
-    primary-key uniqueness check (both Spark aggregates), a small pointer file
-    ``target/_CURRENT`` is replaced.  ``read_snapshot`` follows the pointer.
+    The executors write ``target/_v=<id>``, counting the source's rows as they
+    pass; the written rows must be as many, with unique keys, before the small
+    pointer file ``target/_CURRENT`` is replaced.  ``read_snapshot`` follows the pointer.
     """
     spark = df.sparkSession
     keys = [pk] if isinstance(pk, str) else list(pk)
     version = uuid.uuid4().hex
     vpath = f"{target.rstrip('/')}/_v={version}"
-    df.write.mode("overwrite").parquet(vpath)
+    sent = Observation()
+    df.observe(sent, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(vpath)
     written = spark.read.parquet(vpath)
     stats = written.agg(
         F.count(F.lit(1)).alias("n"),
@@ -169,6 +179,8 @@ def publish_snapshot(df: DataFrame, target: str, pk: str | Sequence[str]) -> dic
             "null_keys"
         ),
     ).first()
+    if stats["n"] != sent.get["rows"]:
+        raise ValueError(f"snapshot rejected: {sent.get['rows']} rows sent, {stats['n']} written")
     if stats["n"] != stats["k"] or stats["null_keys"]:
         raise ValueError(f"snapshot rejected: {stats['n']} rows, {stats['k']} distinct keys, {stats['null_keys']} null keys")
     write_text(spark, f"{target.rstrip('/')}/_CURRENT", version)
@@ -184,7 +196,7 @@ def read_snapshot(spark: SparkSession, target: str) -> DataFrame:
 
 
 def high_watermark(spark: SparkSession, target: str, id_col: str = "id") -> int | None:
-    """``MAX(id)`` of the target (a footer-statistics aggregate); None when the
+    """``MAX(id)`` of the target (one aggregate over its id column); None when the
     target does not exist yet or is empty (then everything is new)."""
     if not path_exists(spark, target):
         return None
@@ -196,17 +208,15 @@ def append_above_watermark(source: DataFrame, target: str, id_col: str = "id") -
     """S10/ST5: append rows of ``source`` with ``id > max(target.id)``.
 
     The ``id > hi`` filter is pushed into the source scan (parquet row-group
-    skipping, or a JDBC ``WHERE``).  Returns the number of appended rows; an
-    empty increment writes nothing.
+    skipping, or a JDBC ``WHERE``).  Returns the number of appended rows, counted
+    as they are written, so the source runs once.
     """
     spark = source.sparkSession
     hi = high_watermark(spark, target, id_col)
     new = source if hi is None else source.filter(F.col(id_col) > F.lit(hi))
-    n = new.count()
-    if n == 0:
-        return 0
-    new.write.mode("append").parquet(target)
-    return n
+    sent = Observation()
+    new.observe(sent, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(target)
+    return int(sent.get["rows"])
 
 
 def append_log(events: DataFrame, target: str, id_col: str = "id", order: Sequence[str] = ()) -> int:

@@ -175,3 +175,23 @@ def test_dense_index_with_a_payload_column(spark, parts):
         assert [x.g for x in w] == sorted(x.g for x in w)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_feature_adoption_keeps_never_adopted_features(spark):
+    d = dt.date
+    spine = spark.createDataFrame([(1, d(2025, 1, 1)), (1, d(2025, 2, 1)), (2, d(2025, 2, 1))], "user_id long, month_start date")
+    days = spark.createDataFrame([(1, "a", d(2025, 2, 3), 4), (2, "b", d(2025, 1, 5), 1)], "user_id long, feature_key string, date date, activations long")
+    usage = spark.createDataFrame([(1, d(2025, 2, 3)), (1, d(2025, 2, 4))], "user_id long, event_date date")
+    got = {(r.user_id, r.feature_key, r.month_start.month): (r.is_adopted, r.activation_count, r.depth_score) for r in D.feature_adoption(usage, spine, days).collect()}
+    assert got == {
+        (1, "a", 1): (False, 0, 0.0), (1, "b", 1): (False, 0, 0.0), (1, "a", 2): (True, 4, 0.5),
+        (1, "b", 2): (False, 0, 0.0), (2, "a", 2): (False, 0, 0.0), (2, "b", 2): (True, 0, 0.0),
+    }
+
+
+def test_same_day_openings_merge_and_winback_churn(spark):
+    d = dt.date
+    rows = [(1, d(2025, 1, 1), "signup", 1), (1, d(2025, 1, 1), "downgrade", 2), (1, d(2025, 2, 1), "cancel", 3), (1, d(2025, 3, 1), "reactivate", 4), (1, d(2025, 3, 1), "cancel", 5)]
+    ev = spark.createDataFrame(rows, "user_id long, event_date date, event_type string, n long")
+    got = sorted((r.term_index, r.term_start_date, r.term_end_date, r.status) for r in D.build_terms(ev, tiebreak="n").collect())
+    assert got == [(0, d(2025, 1, 1), d(2025, 2, 1), "canceled"), (1, d(2025, 3, 1), d(2025, 3, 1), "churned_after_reactivation")]

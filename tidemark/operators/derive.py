@@ -300,9 +300,11 @@ def feature_adoption(
     month: str = "month_start",
     feature: str = "feature_key",
 ) -> DataFrame:
-    """One row per user x feature x spine month.
+    """One row per user x feature x spine month, never adopted features too.
 
-    ``feature_days`` has (user, feature, date, activations) usage rows.
+    ``feature_days`` has (user, feature, date, activations) usage rows; the
+    features are its distinct keys (a catalogue, one value each), exploded per
+    spine row, so the size is the result's own.
     is_adopted = first activation month <= month; first_activation_date = the
     first day of the first month (NULL until adopted); activation_count and
     active_days for the month; depth = clip(feature_days / user active days,
@@ -315,9 +317,11 @@ def feature_adoption(
     ud = usage.groupBy(F.col(key), F.trunc("event_date", "month").alias(month)).agg(
         F.count(F.lit(1)).cast("bigint").alias("_udays")
     )
-    grid = spine.join(first, key)  # user-month x features the user ever used
+    catalogue = feature_days.select(feature).distinct().agg(F.sort_array(F.collect_set(feature))).scalar()
+    every = spine.select(key, month).withColumn("_features", catalogue).select(key, month, F.explode("_features").alias(feature))
+    grid = every.join(first, [key, feature], "left")
     j = grid.join(fm, [key, feature, month], "left").join(ud, [key, month], "left")
-    adopted = F.col("_first") <= F.col(month)
+    adopted = F.coalesce(F.col("_first") <= F.col(month), F.lit(False))
     fdays = F.when(adopted, F.coalesce(F.col("_fdays"), F.lit(0))).otherwise(0).cast("bigint")
     udays = F.coalesce(F.col("_udays"), F.lit(0))
     depth = F.when(

@@ -253,15 +253,16 @@ SELECT user_id, CAST(date_trunc('month', d) AS DATE) AS m, count(*) AS udays
 """
 
 FX["fx_feature_adoption"] = """
-SELECT a.month_start, a.user_id, f.feature_key,
-              f.first_month <= a.month_start AS is_adopted,
+SELECT a.month_start, a.user_id, k.feature_key,
+              coalesce(f.first_month <= a.month_start, FALSE) AS is_adopted,
               CASE WHEN f.first_month <= a.month_start THEN f.first_month END AS first_activation_date,
               CAST(CASE WHEN f.first_month <= a.month_start THEN coalesce(fd.acts, 0) ELSE 0 END AS BIGINT) AS activation_count,
               CAST(CASE WHEN f.first_month <= a.month_start THEN coalesce(fd.fdays, 0) ELSE 0 END AS BIGINT) AS active_days,
               round(CASE WHEN coalesce(ud.udays, 0) > 0 AND f.first_month <= a.month_start
                          THEN least(greatest(CAST(coalesce(fd.fdays, 0) AS DOUBLE) / ud.udays, 0.0), 1.0) ELSE 0.0 END, 4) AS depth_score
-       FROM fx_at_risk a JOIN fx_feat_first f ON f.user_id = a.user_id
-       LEFT JOIN fx_fd fd ON fd.user_id = a.user_id AND fd.feature_key = f.feature_key AND fd.m = a.month_start
+       FROM fx_at_risk a CROSS JOIN (SELECT DISTINCT feature_key FROM fx_fd) k
+       LEFT JOIN fx_feat_first f ON f.user_id = a.user_id AND f.feature_key = k.feature_key
+       LEFT JOIN fx_fd fd ON fd.user_id = a.user_id AND fd.feature_key = k.feature_key AND fd.m = a.month_start
        LEFT JOIN fx_ud ud ON ud.user_id = a.user_id AND ud.m = a.month_start
 """
 

@@ -40,6 +40,8 @@ MIN_SHARE = 0.03
 MIN_RATIO = 10
 REPEATS = 8
 LONGEST = 24
+#: texts whose grams are counted at a time
+COUNT_TEXTS = 256
 THRESHOLD = 0.7
 FEATURES = 7
 RIDGE = 0.1
@@ -111,19 +113,35 @@ def grams(data: bytes) -> np.ndarray:
 
 
 def _counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, texts that have it, its occurrences of which a text counts REPEATS at most)."""
-    own = [np.unique(grams(t), return_counts=True) for t in texts]
-    every, place = np.unique(np.concatenate([g for g, _ in own]), return_inverse=True)
-    return every, np.bincount(place), np.bincount(place, np.minimum(np.concatenate([n for _, n in own]), REPEATS))
+    """(gram, texts that have it, its occurrences of which a text counts REPEATS at most), COUNT_TEXTS texts at a time."""
+    every, often, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for at in range(0, len(texts), COUNT_TEXTS):
+        own = [np.unique(grams(t), return_counts=True) for t in texts[at : at + COUNT_TEXTS]]
+        every, place = np.unique(np.concatenate([every, *[g for g, _ in own]]), return_inverse=True)
+        once = np.ones(sum(len(g) for g, _ in own), np.int64)
+        often = np.bincount(place, np.concatenate([often, once])).astype(np.int64)
+        total = np.bincount(place, np.concatenate([total, *[np.minimum(n, REPEATS) for _, n in own]])).astype(np.int64)
+    return every, often, total
+
+
+def _occurrences(texts: list[bytes], wanted: np.ndarray) -> np.ndarray:
+    """Occurrences of each wanted gram (sorted), of which a text counts REPEATS at most."""
+    out = np.zeros(len(wanted), np.int64)
+    for t in texts if len(wanted) else ():
+        g = grams(t)
+        at = np.minimum(np.searchsorted(wanted, g), len(wanted) - 1)
+        place, n = np.unique(at[wanted[at] == g], return_counts=True)
+        out[place] += np.minimum(n, REPEATS)
+    return out
 
 
 def toxic_words(ordinary: list[bytes], toxic: list[bytes]) -> list[bytes]:
     """Words of toxic texts, with their blanks, that hold grams common there and rare in ordinary ones."""
-    known, _, seen = _counts(ordinary)
     found, often, total = _counts(toxic)
-    at = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
-    rare = np.where(known[at] == found, seen[at], 0) if len(known) else np.zeros(len(found))
-    marked = found[(often >= max(3, MIN_SHARE * len(toxic))) & (total / len(toxic) >= MIN_RATIO * (rare + 0.5) / len(ordinary))]
+    common = often >= max(3, MIN_SHARE * len(toxic))
+    found, total = found[common], total[common]
+    rare = _occurrences(ordinary, found)
+    marked = found[total / len(toxic) >= MIN_RATIO * (rare + 0.5) / len(ordinary)]
     out = []
     for text in toxic:
         done = -1

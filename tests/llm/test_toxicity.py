@@ -65,3 +65,36 @@ def test_query_on_held_out_labels(spark):
     yes, no = ([r.score for r in got if r.toxic == side] for side in (1, 0))
     assert sum(a > b for a in yes for b in no) > 0.88 * len(yes) * len(no)
     assert sum(s >= 0.7 for s in no) < 0.02 * len(no)
+
+
+def test_words_of_few_texts_count():
+    rng = random.Random(3)
+    say = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    one, two = (["".join(rng.choices(letters, k=rng.randint(2, 8))) for _ in range(300)] for letters in ("abcdeilnorstu", "fghjkmpqvwxyz"))
+    rows = [(False, say(one, 80)) for _ in range(600)] + [(True, say(one, 80) + " " + say(BAD, 4)) for _ in range(400)]
+    # a small language: 2% of the toxic texts
+    rows += [(False, say(two, 80)) for _ in range(80)] + [(True, say(two, 40) + " bocooxy " + say(two, 40)) for _ in range(8)]
+    marks = toxicity.dictionaries([(y, t.encode()) for y, t in rows])[1]
+    assert all(w.encode() in marks for w in [*BAD, "bocooxy"])
+
+
+def test_short_words_count():
+    rows = [(False, f"plain words number {i} here") for i in range(200)] + [(True, f"plain zut number {i} here") for i in range(200)]
+    assert toxicity.dictionaries([(y, t.encode()) for y, t in rows])[1].endswith(b" zut ")
+
+
+def test_any_two_classes_give_a_model(spark):
+    docs, labels = corpus(spark, 16)
+    varied = spark.createDataFrame([(i, f"{'bad' if i % 4 else 'good'}{i} text number{i * 7919} of its own") for i in range(16)], "doc_id long, text string")
+    for table in (docs, varied):
+        for few in (labels, labels.where("toxic = 0 OR doc_id = 0")):
+            ordinary, toxic, _, _, weights, _ = toxicity.learn(table, few)
+            assert ordinary and toxic and weights is not None
+
+
+def test_query_finds_held_out_toxic_documents(spark):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic")
+    got = catalog.queries()["op2_toxicity"](spark, d).where("held_out").join(labels, "doc_id").collect()
+    found = [r.predicted for r in got if r.toxic == 1]
+    assert sum(found) > 0.5 * len(found)

@@ -2,8 +2,9 @@
 
 Two zstandard dictionaries are made, one of ordinary and one of toxic text.
 The ordinary one is zstandard's training; of the toxic text the words count
-that ordinary text seldom has, the most frequent first (zstandard's training
-on them fills the room with rare ones and finds less).  The toxic side
+that more toxic than ordinary texts have, by the likelihood ratio of the two
+shares, the surest first (zstandard's training fills the room with rare words
+and finds less).  The toxic side
 compresses with both dictionaries, so that the two lengths of a window differ
 by what toxic words save.  A text's windows are
 compressed both ways; the largest and mean savings are calibrated into a
@@ -33,13 +34,11 @@ SLACK = 64
 LEVEL = 6
 ORDINARY_BYTES = 16 << 10
 TOXIC_BYTES = 2 << 10
-#: bytes of the grams compared between the classes, the share of toxic texts that must
-#: have one, and how many times its ordinary occurrences per text its toxic ones must be
+#: bytes of the grams compared between the classes (words shorter than that count whole)
 GRAM = 6
-MIN_SHARE = 0.03
-MIN_RATIO = 10
-REPEATS = 8
 LONGEST = 24
+#: words that are taken for one gram at most
+EXAMPLES = 3
 #: texts whose grams are counted at a time
 COUNT_TEXTS = 256
 THRESHOLD = 0.7
@@ -104,66 +103,90 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def grams(data: bytes) -> np.ndarray:
-    a = np.frombuffer(data, np.uint8).astype(np.uint64)
-    h = np.zeros(max(0, len(a) - GRAM + 1), np.uint64)
-    for k in range(GRAM if len(h) else 0):
-        h = h * np.uint64(257) + a[k : len(h) + k]
-    return h
-
-
-def _counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, texts that have it, its occurrences of which a text counts REPEATS at most), COUNT_TEXTS texts at a time."""
-    every, often, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def grams(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, place, bytes) of the grams without a blank inside and of the shorter words with their blanks."""
+    a = np.frombuffer(data, np.uint8)
+    blank = a == 32
+    before = np.r_[0, np.cumsum(blank)]
+    h = np.zeros(len(a), np.uint64)
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for n in range(1, min(GRAM, len(a)) + 1):
+        h = h[: len(a) - n + 1] * np.uint64(257) + a[n - 1 :].astype(np.uint64)
+        if n >= 3:
+            at = np.arange(len(h))
+            whole = before[at + n - 1] == before[at + 1]
+            if n < GRAM:
+                whole &= blank[at] & blank[at + n - 1]
+            at = at[whole]
+            out.append((h[whole], at, np.full(len(at), n)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, texts that have it), COUNT_TEXTS texts at a time."""
+    every, often = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for at in range(0, len(texts), COUNT_TEXTS):
-        own = [np.unique(grams(t), return_counts=True) for t in texts[at : at + COUNT_TEXTS]]
-        every, place = np.unique(np.concatenate([every, *[g for g, _ in own]]), return_inverse=True)
-        once = np.ones(sum(len(g) for g, _ in own), np.int64)
-        often = np.bincount(place, np.concatenate([often, once])).astype(np.int64)
-        total = np.bincount(place, np.concatenate([total, *[np.minimum(n, REPEATS) for _, n in own]])).astype(np.int64)
-    return every, often, total
+        own = [np.unique(grams(t)[0]) for t in texts[at : at + COUNT_TEXTS]]
+        once = np.ones(sum(map(len, own)), np.int64)
+        every, place = np.unique(np.concatenate([every, *own]), return_inverse=True)
+        often = np.bincount(place, np.concatenate([often, once]), len(every)).astype(np.int64)
+    return every, often
 
 
-def _occurrences(texts: list[bytes], wanted: np.ndarray) -> np.ndarray:
-    """Occurrences of each wanted gram (sorted), of which a text counts REPEATS at most."""
+def _having(texts: list[bytes], wanted: np.ndarray) -> np.ndarray:
+    """Texts that have each wanted gram (sorted)."""
     out = np.zeros(len(wanted), np.int64)
     for t in texts if len(wanted) else ():
-        g = grams(t)
+        g = np.unique(grams(t)[0])
         at = np.minimum(np.searchsorted(wanted, g), len(wanted) - 1)
-        place, n = np.unique(at[wanted[at] == g], return_counts=True)
-        out[place] += np.minimum(n, REPEATS)
+        out[at[wanted[at] == g]] += 1
     return out
 
 
-def toxic_words(ordinary: list[bytes], toxic: list[bytes]) -> list[bytes]:
-    """Words of toxic texts, with their blanks, that hold grams common there and rare in ordinary ones."""
-    found, often, total = _counts(toxic)
-    common = often >= max(3, MIN_SHARE * len(toxic))
-    found, total = found[common], total[common]
-    rare = _occurrences(ordinary, found)
-    marked = found[total / len(toxic) >= MIN_RATIO * (rare + 0.5) / len(ordinary)]
-    out = []
-    for text in toxic:
-        done = -1
-        for at in np.flatnonzero(np.isin(grams(text), marked)).tolist():
-            if at < done:
-                continue
-            inside = text[at : at + 1] != b" "
-            start = max(text.rfind(b" ", 0, at) if inside else at, at - LONGEST, 0)
-            end = text.find(b" ", at + GRAM - 1 if inside else at + 1)
-            end = end + 1 if 0 <= end < at + LONGEST else at + GRAM
-            out.append(text[start:end])
-            done = end - 1
-    return out
+def evidence(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
+    """Log-likelihood ratio of a of n toxic and b of m ordinary texts having a gram, 0 where no more toxic ones do."""
+
+    def bits(k, of, share):
+        return k * np.log(np.maximum(share, 1e-300)) + (of - k) * np.log(np.maximum(1 - share, 1e-300))
+
+    both = (a + b) / (n + m)
+    ratio = 2 * (bits(a, n, a / n) + bits(b, m, b / m) - bits(a, n, both) - bits(b, m, both))
+    return np.where(a / n > b / m, ratio, 0)
 
 
-def frequent(words: list[bytes], size: int) -> bytes:
-    """A raw dictionary of the most frequent words, the most frequent last, where matches are cheapest."""
+def toxic_words(ordinary: list[bytes], toxic: list[bytes]) -> list[bytes]:
+    """Words of toxic texts, with their blanks, that hold grams of more toxic than ordinary ones, the surest first.
+
+    A gram counts whose evidence is above what the best of so many grams has
+    by chance; where none has that, all do.
+    """
+    found, often = _counts(toxic)
+    if not len(found):
+        return []
+    value = evidence(often, len(toxic), _having(ordinary, found), len(ordinary))
+    chosen = value >= 2 * np.log(len(found))
+    if not chosen.any():
+        chosen = value > 0
+    marked, value = found[chosen], value[chosen]
+    words = [Counter() for _ in marked]
+    for text in toxic if len(marked) else ():
+        g, place, size = grams(text)
+        at = np.minimum(np.searchsorted(marked, g), len(marked) - 1)
+        hit = np.flatnonzero(marked[at] == g)
+        for k, first, n in zip(at[hit].tolist(), place[hit].tolist(), size[hit].tolist()):
+            start = text.rfind(b" ", max(0, first - LONGEST), first + 1)
+            start = start if start >= 0 else first
+            end = text.find(b" ", first + n - 1, first + LONGEST)
+            words[k][text[start : end + 1 if end >= 0 else first + n]] += 1
+    order = np.argsort(-value, kind="stable").tolist()
+    return [w for k in order for w, _ in sorted(words[k].items(), key=lambda x: (-x[1], x[0]))[:EXAMPLES]]
+
+
+def surest(words: list[bytes], size: int) -> bytes:
+    """A raw dictionary of the first words that fit, the first of all last, where matches are cheapest."""
     out = b""
-    for word, _ in sorted(Counter(words).items(), key=lambda x: (-x[1], x[0])):
-        if word not in out:
-            if len(out) + len(word) > size:
-                break
+    for word in words:
+        if word not in out and len(out) + len(word) <= size:
             out = word + out
     return out
 
@@ -211,19 +234,21 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def dictionaries(texts: list[tuple[bool, bytes]]) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) dictionaries of (toxic, text) rows; empty where a class or a toxic word is missing."""
+    """(ordinary, toxic) dictionaries of (toxic, text) rows; empty where a class is missing."""
     ordinary, toxic = (sorted(t for label, t in texts if label == side) for side in (False, True))
     if not ordinary or not toxic:
         return b"", b""
-    marks = frequent(toxic_words(ordinary, toxic), TOXIC_BYTES)
-    return (train([w for t in ordinary for w in windows(t)], ORDINARY_BYTES, 200, 8), marks) if marks else (b"", b"")
+    # texts without any gram of their own still give their windows
+    marks = surest(toxic_words(ordinary, toxic), TOXIC_BYTES) or b" ".join(dict.fromkeys(toxic))[:TOXIC_BYTES]
+    return train([w for t in ordinary for w in windows(t)], ORDINARY_BYTES, 200, 8), marks
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple:
     """Arguments of a Scorer, learned from labelled rows that are not held out.
 
     The weights are calibrated across two folds, each scored with the other
-    fold's dictionaries; the dictionaries in use are those of both folds.
+    fold's dictionaries, or with those of both where the other lacks a class;
+    the dictionaries in use are those of both folds.
     """
     fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(2)).cast("int").alias("fold")
     sample = _sample(docs, labels, sample_rows).select("toxic", fold, "text")
@@ -237,9 +262,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     texts = [(r.toxic, r.fold, bytes(r.text)) for r in texts]
     prior = (sum(t for t, _, _ in texts) + 0.5) / (len(texts) + 1)
     whole = dictionaries([(t, x) for t, _, x in texts])
-    folds = [dictionaries([(t, x) for t, f, x in texts if f == other]) for other in (1, 0)]
-    if not whole[1] or not all(marks for _, marks in folds):
+    if not whole[1]:
         return b"", b"", None, None, None, prior
+    folds = [dictionaries([(t, x) for t, f, x in texts if f == other]) for other in (1, 0)]
+    folds = [f if f[1] else whole for f in folds]
     scorers = [docs.sparkSession.sparkContext.broadcast(Lazy(Scorer, *f)) for f in folds]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

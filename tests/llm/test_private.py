@@ -107,3 +107,49 @@ def test_query_matches_brute_force(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w[3] == k for w in want) for k in private.KINDS]
         assert set(listed) <= set(r.spans.split(",")) | {""} - {"x"} if listed else True
+
+
+def planted():
+    """(rows, loose spans by doc_id, look-alikes by doc_id)"""
+    rng = random.Random(8)
+    part = lambda: str(rng.randint(1, 254))
+
+    def card():
+        d = "4" + "".join(rng.choices("0123456789", k=14))
+        return next(d + c for c in "0123456789" if good("card", d + c))
+
+    out, loose, alike = [], {}, {}
+    for i in range(900):
+        w = ["".join(rng.choices("abcdefghi", k=5)) for _ in range(20)]
+        c, n = card(), [str(rng.randint(200, 999)), str(rng.randint(200, 999)), str(rng.randint(1000, 9999))]
+        ip = [part() for _ in range(4)]
+        strict = [f"{w[0]}@mail.{w[1]}.com", ".".join(ip), " ".join(c[k : k + 4] for k in (0, 4, 8, 12)), f"+1 ({n[0]}) {n[1]}-{n[2]}"]
+        forms = [f"{w[0]} (at) host.{w[1]}.com", "[.]".join(ip), "/".join(c[k : k + 4] for k in (0, 4, 8, 12)), f"({n[0]}) {n[1]}-{n[2]}"]
+        others = [f"{w[0]} @ {w[1]}", f"{ip[0]}.{ip[1]}.{ip[2]}", f"{rng.randint(10, 99)}/{rng.randint(10, 99)}/{rng.randint(1990, 2020)}", f"{rng.randint(100, 999)} {rng.randint(1000, 9999)}"]
+        put = [strict, others, forms][0 if i % 10 < 4 else 1 if i % 10 < 9 else 2][i // 10 % 4]
+        out.append((i, " ".join([*w[:7], put, *w[7:]])))
+        if put in forms:
+            loose[i] = put
+        if put in others:
+            alike[i] = put
+    return out, loose, alike
+
+
+def test_loose_forms_are_found_and_look_alikes_are_not(spark):
+    rows, loose, alike = planted()
+    got = {r.doc.doc_id: r for r in private.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    held = lambda i, value: any(r.start <= got[i].text.index(value) and r.end >= got[i].text.index(value) + len(value) for r in got[i].spans)
+    for k, kind in enumerate(private.KINDS):
+        own = [i for i in loose if i // 10 % 4 == k]
+        assert own and sum(held(i, loose[i]) for i in own) >= 0.9 * len(own), kind
+    assert sum(bool(got[i].spans) for i in alike) <= 0.02 * len(alike)
+
+
+def test_loose_email_beside_look_alikes(spark):
+    table = rows()
+    got = private.find_private(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    for r in got:
+        values = [r.text[x.start : x.end] for x in r.spans]
+        if re.search(r"(^| )[a-i]{5}\(at\)host\.[a-i]{5}\.com( |$)", r.text):  # not run into the other planted span
+            assert any("(at)host" in v for v in values), r.text
+        assert not any(" @ " in v for v in values)

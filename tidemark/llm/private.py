@@ -1,10 +1,12 @@
 """Personal data by candidate gradient boosting, in native Spark expressions.
 
 Strict patterns give the base spans.  Looser generators propose overlapping
-candidates for each kind; boosted trees over their format and context, learned
-on a bounded sample where the strict patterns tell which candidates are real,
-score them inside the row, and per-kind thresholds calibrated on held-back
-candidates select which are added to the base.
+candidates for each kind; boosted trees over their format and context score
+those apart from the base inside the row, and per-kind thresholds calibrated on
+held-back candidates select which are added to it.  The trees are learned on a
+bounded sample: real ones are base spans written in a looser form in their own
+context, false ones the candidates that are not strict when written out; those
+that are may be either and are not learned from.
 """
 
 from __future__ import annotations
@@ -40,14 +42,28 @@ BASE = {
 }
 #: the generators: high recall, overlapping the base and each other
 LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9.-]{2,255}+",
+    "email": r"[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9.-]{2,255}+(?![(\[]at[)\]])",
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}+){2,5}+",
     "card": r"(?<![0-9])[0-9]{2,7}+(?:[\x20./_-]{0,2}+[0-9]{2,7}+){1,6}+",
     "phone": r"(?:\+|\(|(?<![0-9]))[0-9]{1,5}+(?:[\x20()./-]{1,3}+[0-9]{2,8}+){1,5}+",
 }
+#: characters beside a base span that a looser form of it is searched in
+BESIDE = 64
+#: the looser forms of base spans that are learned from: (pattern, replacement) in turn
+FORMS = {
+    "email": [[("@", at)] for at in ("(at)", "[at]", " (at) ", " [at] ", " @ ", " @", "@ ")],
+    "ip": [[(r"\.", dot)] for dot in ("[.]", "(.)")],
+    "card": [[(r"[^0-9]", ""), (r"([0-9]{4})(?=[0-9])", f"$1{by}")] for by in (".", "/", "_", " - ", "--")],
+    "phone": [
+        [(r"^\+[0-9]{1,3}[\x20.-]*(?=\()", "")],
+        [(r"^\+", "")],
+        [(r"^\+", "00")],
+        [(r"^\+[0-9]{1,3}[\x20.-]+", ""), (r"[()]", ""), (r"[\x20.]", "-")],
+    ],
+}
 #: words near personal data, fixed values
 WORDS = "(?i)mail|contact|phone|tel|call|fax|mobile|card|visa|credit|account|host|addr|server|ip"
-FEATURES = ("chars", "digits", "letters", "blanks", "dots", "dashes", "brackets", "plus", "at", "first_run", "last_run", "touches_before", "touches_after", "word_near")
+FEATURES = ("chars", "digits", "letters", "blanks", "dots", "dashes", "brackets", "plus", "at", "first_run", "last_run", "touches_before", "touches_after", "word_near", "written_out")
 
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
@@ -108,7 +124,20 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def features(text: Column, c: Column) -> Column:
+def written_out(kind: str, value: Column) -> Column:
+    """Whether a candidate in looser form is strict when written out."""
+    if kind == "email":
+        return F.regexp_replace(value, r"\x20?(?:@|\(at\)|\[at\])\x20?", "@").rlike(rf"^{BASE['email']}\.?$")
+    if kind == "ip":
+        plain = F.regexp_replace(value, r"[()\[\]]", "")
+        return plain.rlike(r"^[0-9]+(?:\.[0-9]+){3}$") & _valid("ip", plain)
+    if kind == "card":
+        return _valid("card", value)
+    shape = r"^\+|\(|^00|^[0-9]{3}([\x20.-])[0-9]{3}\1[0-9]{4}$"
+    return _valid("phone", value) & value.rlike(shape)
+
+
+def features(kind: str, text: Column, c: Column) -> Column:
     """Format and context of a candidate, as an array of ints in the order of FEATURES."""
     value, start, end = c["value"], c["start"], c["end"]
     count = lambda pattern: F.length(F.regexp_replace(value, f"[^{pattern}]+", ""))
@@ -128,6 +157,7 @@ def features(text: Column, c: Column) -> Column:
         before.rlike(r"[\p{L}0-9@=\"'_-]$").cast("int"),
         F.substr(text, end + 1, F.lit(1)).rlike(r"[\p{L}0-9@=\"'_-]").cast("int"),
         before.rlike(WORDS).cast("int"),
+        written_out(kind, value).cast("int"),
     )
 
 
@@ -238,8 +268,35 @@ def boost(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Boosted | None:
     return model
 
 
+def _loosened(placed: DataFrame, kind: str) -> DataFrame:
+    """(kind, held, x) of base spans of ``placed`` that are written in a looser form, which a hash chooses, in their context."""
+    spans = placed.select("held", "text", F.explode(f"base_{kind}").alias("s")).select(
+        "held",
+        F.col("s.value").alias("value"),
+        F.substr("text", F.greatest(F.lit(1), F.col("s.start") + 1 - BESIDE), F.least(F.lit(BESIDE), F.col("s.start"))).alias("before"),
+        F.substr("text", F.col("s.end") + 1, F.lit(BESIDE)).alias("after"),
+    )
+    loose, chosen = F.col("value"), F.pmod(F.xxhash64("value", "before"), F.lit(len(FORMS[kind])))
+    for k, steps in enumerate(FORMS[kind]):
+        own = F.col("value")
+        for pattern, by in steps:
+            own = F.regexp_replace(own, pattern, by)
+        loose = F.when(chosen == k, own).otherwise(loose)
+    written = spans.select("held", F.length("before").alias("at"), loose.alias("loose"), F.concat("before", loose, "after").alias("text"))
+    found = written.select("held", "at", "loose", "text", F.explode(locate(F.col("text"), LOOSE[kind])).alias("c"))
+    end = F.col("at") + F.length("loose")
+    # the candidate that holds the greater part of the span
+    inside = F.least(end, F.col("c.end")) - F.greatest("at", F.col("c.start"))
+    real = found.where((2 * inside > F.length("loose")) & written_out(kind, F.col("c.value")))
+    return real.select(F.lit(kind).alias("kind"), "held", F.lit(True).alias("real"), features(kind, F.col("text"), F.col("c")).alias("x"))
+
+
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> dict[str, Boosted]:
-    """The models by kind; a kind without enough real and false candidates has none."""
+    """The models by kind; a kind without base spans, or without a precise enough threshold, has none.
+
+    Where no candidate is known to be false, those are selected that are
+    strict when written out.
+    """
     total = docs.count()
     if not total:
         return {}
@@ -247,22 +304,26 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
         F.pmod(F.xxhash64("id"), F.lit(million)) < min(million, million * sample_docs // total + 1)
     )
-    placed = _placed(some, "text")
-    held = F.pmod(F.xxhash64("doc.id", F.lit("held")), F.lit(3)) == 0
+    placed = _placed(some, "text").withColumn("held", F.pmod(F.xxhash64("doc.id", F.lit("held")), F.lit(3)) == 0)
 
     def marked(k: str):
-        return lambda c: F.struct(
-            F.lit(k).alias("kind"), held.alias("held"), _overlaps(c, F.col(f"base_{k}")).alias("real"), features(F.col("text"), c).alias("x")
-        )
+        return lambda c: F.struct(F.lit(k).alias("kind"), F.col("held"), F.lit(False).alias("real"), features(k, F.col("text"), c).alias("x"))
 
-    every = placed.select(F.explode(F.concat(*[F.transform(f"loose_{k}", marked(k)) for k in KINDS])).alias("c")).select("c.*")
+    apart = lambda k: lambda c: ~_overlaps(c, F.col(f"base_{k}"))
+    every = placed.select(F.explode(F.concat(*[F.transform(F.filter(f"loose_{k}", apart(k)), marked(k)) for k in KINDS])).alias("c")).select("c.*")
+    every = every.where(F.element_at("x", -1) == 0)
+    for k in KINDS:
+        every = every.unionByName(_loosened(placed, k))
     models = {}
     found = every.groupBy("kind", "held", "real", "x").agg(F.count("*").alias("n")).orderBy("kind", F.xxhash64("x"), "held", "real").collect()
     for k in KINDS:
         own = [r for r in found if r.kind == k]
-        repeat = np.array([min(r.n, 50) for r in own], int)
-        if not len(own):
+        if not any(r.real for r in own):
+            continue
+        if all(r.real for r in own):
+            models[k] = Boosted(0.0, [Split(len(FEATURES) - 1, 0.5, -1.0, 1.0)])
             continue
+        repeat = np.array([min(r.n, 50) for r in own], int)
         x, y, held = (np.repeat(np.array(v, float), repeat, axis=0)[:SAMPLE_CANDIDATES] for v in ([r.x for r in own], [r.real for r in own], [r.held for r in own]))
         model = boost(x, y, held > 0)
         if model:
@@ -286,7 +347,7 @@ def find_private(docs: DataFrame, models: dict[str, Boosted] | None = None, id_c
     more = []
     for k, model in models.items():
         free = F.filter(f"loose_{k}", apart(k))
-        scored = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), features(F.col("text"), c).alias("x")))
+        scored = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), features(k, F.col("text"), c).alias("x")))
         more.append(F.transform(F.filter(scored, selected(model)), span(k)))
     out = placed.select("doc", "text", base.alias("base"), F.concat(*more).alias("more") if more else F.array().alias("more"))
     spans = F.array_distinct(F.concat("base", "more")) if more else F.col("base")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, langid, linechunks, pieces, private, quality, simhash, suffixes, tokenids, toxicity
+from tidemark.llm import alignment, centroids, decontam, langid, linechunks, pieces, private, quality, rankbpe, simhash, suffixes, tokenids, toxicity
 from tidemark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+@register("op11_rank_bpe")
+def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents by a local rank file, and the bytes they spell."""
+    return rankbpe.ranks_report(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@register("op12_centroids")
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in 16 clusters, three rounds."""
+    return centroids.clusters_report(read(spark, sf_dir, "embeddings"))
+
+
+@register("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers aligned on the bytes of all documents."""
+    return alignment.alignment_report(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,20 +62,22 @@ def batched(df: DataFrame) -> DataFrame:
     return df
 
 
-class Lazy:
-    """A value that each Python worker builds once: broadcast it and call ``get``."""
+def lazy(spark: SparkSession, build: Callable, *args) -> Broadcast:
+    """Broadcast how to build a value that each Python worker makes once: see ``made``.
 
-    def __init__(self, build: Callable, *args):
-        self.build, self.args = build, args
-        self.made = None
+    The builder travels by value, as bytes in a plain dict, so that a worker
+    needs no copy of this package on its path.
+    """
+    return spark.sparkContext.broadcast({"how": cloudpickle.dumps((build, args))})
 
-    def __getstate__(self):
-        return {"build": self.build, "args": self.args, "made": None}
 
-    def get(self):
-        if self.made is None:
-            self.made = self.build(*self.args)
-        return self.made
+def made(how: Broadcast):
+    """The value of ``lazy`` in this worker, kept with the broadcast from task to task."""
+    kept = how.value
+    if "made" not in kept:
+        build, args = pickle.loads(kept["how"])
+        kept["made"] = build(*args)
+    return kept["made"]
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Lazy, batched, slices, stored, utf8
+from tidemark.llm.common import batched, lazy, made, slices, stored, utf8
 
 WINDOW = 10
 #: benchmark text that one automaton holds; a larger benchmark takes several scans
@@ -102,12 +102,12 @@ def char_spans(text: str, runs: list[list[int]]) -> list[list[int]]:
 def _scan(docs: DataFrame, block: DataFrame, window: int, text_col: str, out_col: str) -> DataFrame:
     spark = docs.sparkSession
     rows = [(r.item, r.text.encode()) for r in block.toLocalIterator()]
-    index = spark.sparkContext.broadcast(Lazy(Windows, rows, window))
+    index = lazy(spark, Windows, rows, window)
     names = docs.columns
     earlier = out_col in names
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = index.value.get().find
+        find = made(index).find
         for batch in slices(batches):
             n_words, found = [], []
             texts = utf8(batch.column(names.index(text_col)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batched, slices, utf8
+from tidemark.llm.common import batched, lazy, made, slices, utf8
 
 WINDOW = 256
 EMBED = 8
@@ -193,11 +193,11 @@ def language_report(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFram
     letter and where no row has a language to learn from.  Rows that repeat a
     doc_id are predicted each; a null id is never held out.
     """
-    net = docs.sparkSession.sparkContext.broadcast(learn(docs, sample_rows))
+    net = lazy(docs.sparkSession, lambda learned: learned, learn(docs, sample_rows))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = predict(net.value, utf8(batch.column(2)))
+            found = predict(made(net), utf8(batch.column(2)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"],

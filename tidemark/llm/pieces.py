@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Lazy, batched, slices
+from tidemark.llm.common import batched, lazy, made, slices
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -257,12 +257,12 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", out_col: str = "
     """
     if out_col in docs.columns:
         raise ValueError(f"docs has a column {out_col}")
-    machine = docs.sparkSession.sparkContext.broadcast(Lazy(Transducer, model))
+    machine = lazy(docs.sparkSession, Transducer, model)
     names = docs.columns
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            m = machine.value.get()
+            m = made(machine)
             found = [m.encode(t) if t else b"" for t in batch.column(names.index(text_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, _ids_list(found)], names=[str(i) for i in range(len(names) + 1)])
 
@@ -275,12 +275,12 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "piece_ids", out_col:
     """``encoded`` with the text that its piece ids spell; null ids spell the empty text."""
     if out_col in encoded.columns:
         raise ValueError(f"the frame has a column {out_col}")
-    machine = encoded.sparkSession.sparkContext.broadcast(Lazy(Transducer, model))
+    machine = lazy(encoded.sparkSession, Transducer, model)
     names = encoded.columns
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            m = machine.value.get()
+            m = made(machine)
             ids = batch.column(names.index(ids_col))
             texts = [m.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[str(i) for i in range(len(names) + 1)])

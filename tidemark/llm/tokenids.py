@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Lazy, batched, shared_folder, slices
+from tidemark.llm.common import batched, lazy, made, shared_folder, slices
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
@@ -220,10 +220,10 @@ def write_ids(
     first; rows that share one are ordered by a hash of their text.  Other
     columns are not read.
     """
-    encoder = docs.sparkSession.sparkContext.broadcast(Lazy(Encoder, tokenizer))
+    encoder = lazy(docs.sparkSession, Encoder, tokenizer)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder.value.get()
+        e = made(encoder)
         end = np.array([end_id], e.type).tobytes()
         out = _Blocks(TaskContext.get().partitionId(), e.width, block, kind)
         for batch in slices(batches):

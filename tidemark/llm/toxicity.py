@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Lazy, batched, slices, utf8
+from tidemark.llm.common import batched, lazy, made, slices, utf8
 
 #: labelled rows per class that are learned from at most, taken by a hash of their ids
 SAMPLE_ROWS = 3000
@@ -266,11 +266,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         return b"", b"", None, None, None, prior
     folds = [dictionaries([(t, x) for t, f, x in texts if f == other]) for other in (1, 0)]
     folds = [f if f[1] else whole for f in folds]
-    scorers = [docs.sparkSession.sparkContext.broadcast(Lazy(Scorer, *f)) for f in folds]
+    scorers = [lazy(docs.sparkSession, Scorer, *f) for f in folds]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            own = [s.value.get().features for s in scorers]
+            own = [made(s).features for s in scorers]
             x = [own[f](t) for f, t in zip(batch.column(1).to_pylist(), utf8(batch.column(2)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
 
@@ -287,11 +287,11 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     share of toxic ones.  Rows that repeat a doc_id are scored each; of
     conflicting labels the mean decides; a null id is never held out.
     """
-    model = docs.sparkSession.sparkContext.broadcast(Lazy(Scorer, *learn(docs, labels, sample_rows)))
+    model = lazy(docs.sparkSession, Scorer, *learn(docs, labels, sample_rows))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            score = model.value.get().score
+            score = made(model).score
             scores = pa.array([score(t) for t in utf8(batch.column(2))], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores], names=["doc_id", "held_out", "score"])
 

@@ -39,6 +39,8 @@ LEVEL = 3
 #: units whose ids a worker remembers, and the longest of them
 CACHE_UNITS = 800_000
 LONGEST_UNIT = 64
+#: marks that are looked for at the end of units
+MARKS = ".,;:!?"
 
 CHUNK = (
     "part int, chunk int, n_ids int, width int, kind string, planes array<binary>, "
@@ -86,6 +88,7 @@ class Encoder:
         # units by their word, the blank before it left out; two generations, the older one dropped in time
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def units(self, text: str) -> list[str] | None:
         """The units of a line feed and the text; None where white space stands together."""
@@ -98,7 +101,33 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
 
     def learn(self, new: list[str]) -> None:
-        """Put the ids of unknown units among the known."""
+        """Put the ids of unknown units among the known.
+
+        A punctuation mark that ends a unit after an ASCII letter is a
+        pre-token of its own, so such units share the ids of what is before it.
+        """
+        known = self.known
+        ended = [u for u in new if u[-1] in MARKS and u[-2:-1].isascii() and u[-2:-1].isalpha()]
+        if ended:
+            stems = {u[:-1] for u in ended} - known.keys()
+            for stem in stems & self.older.keys():
+                known[stem] = self.older[stem]
+            self.through([*set(new).difference(ended).union(stems - known.keys())])
+            for u in ended:
+                known[u] = known[u[:-1]] + self.mark(u[-1])
+            for stem in stems:
+                if len(stem) > LONGEST_UNIT:
+                    del known[stem]
+        else:
+            self.through(new)
+
+    def mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = self.ids(mark).tobytes()
+        return self.marks[mark]
+
+    def through(self, new: list[str]) -> None:
+        """Units go through the tokenizer."""
         for at in range(0, len(new), 256):
             units = new[at : at + 256]
             parts = [u if u[0] == "\n" else " " + u for u in units]
@@ -110,7 +139,8 @@ class Encoder:
                 continue
             found = self.ids(text)
             ends = np.cumsum(self.spelled[found])
-            borders = np.searchsorted(ends, np.cumsum([len(part.encode()) for part in parts])) + 1
+            sizes = list(map(len, parts)) if text.isascii() else [len(part.encode()) for part in parts]
+            borders = np.searchsorted(ends, np.cumsum(sizes)) + 1
             data, start = found.tobytes(), 0
             for u, end in zip(units, (borders * self.width).tolist()):
                 self.known[u] = data[start:end]
@@ -240,32 +270,43 @@ def write_ids(
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): each document of the files; ids are little-endian 32-bit."""
+    """(doc_id, start, n_tokens, ids): each document of the files; ids are little-endian 32-bit.
+
+    Ids are not shuffled, but for the pieces of documents that lie over a
+    block's edge: each row of blocks gets the number of ids before its part
+    (one row per part, as many as the write had tasks), and whole documents
+    leave the decoder as they are.
+    """
     blocks = spark.read.schema(CHUNK).parquet(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per part
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("ids")).select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4):
-            rows = []
-            for b in batch.to_pylist():
-                ids = from_planes(b["planes"], b["n_ids"], b["width"], b["kind"]).astype("<u4").tobytes()
-                rows += [(b["part"], b["chunk"], d["doc_id"], d["start"], d["n"], ids[4 * d["at"] : 4 * (d["at"] + d["size"])]) for d in b["docs"]]
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["part", "chunk", "doc_id", "start", "n", "ids"])
-
-    pieces = blocks.transform(batched).mapInArrow(decode, "part int, chunk int, doc_id long, start long, n long, ids binary")
-    whole = F.octet_length("ids") == 4 * F.col("n")
-    # only documents over a block's edge are put together, each by itself
-    joined = (
-        pieces.where(~whole)
-        .groupBy("part", "start")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("x"))
-        .select("part", "doc_id", "start", "n", F.expr("aggregate(x, X'', (a, p) -> concat(a, p.ids))").alias("ids"))
-    )
-    every = pieces.where(whole).select("part", "doc_id", "start", "n", "ids").unionAll(joined)
-    return every.join(parts, "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), F.col("n").alias("n_tokens"), "ids")
+    placed = blocks.join(F.broadcast(parts), "part").select("base", "chunk", "n_ids", "width", "kind", "planes", "docs").transform(batched)
+
+    def decoder(whole: bool):
+        def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 4):
+                rows = []
+                for b in batch.to_pylist():
+                    own = [d for d in b["docs"] if (d["size"] == d["n"]) == whole]
+                    if own:
+                        ids = from_planes(b["planes"], b["n_ids"], b["width"], b["kind"]).astype("<u4").tobytes()
+                        rows += [(b["chunk"], d["doc_id"], b["base"] + d["start"], d["n"], ids[4 * d["at"] : 4 * (d["at"] + d["size"])]) for d in own]
+                if rows:
+                    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["chunk", "doc_id", "start", "n", "ids"])
+
+        return placed.mapInArrow(decode, "chunk int, doc_id long, start long, n long, ids binary")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 16):
+            ids = [b"".join([piece["ids"] for piece in pieces]) for pieces in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+
+    # no two documents begin at one place: each has its end id
+    pieces = decoder(False).groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("pieces"))
+    result = "doc_id long, start long, n_tokens long, ids binary"
+    joined = pieces.select("doc_id", "start", "n", "pieces").mapInArrow(join, result)
+    return decoder(True).select("doc_id", "start", F.col("n").alias("n_tokens"), "ids").unionAll(joined)
 
 
 def ids_report(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block: int = BLOCK_IDS, kind: str = "byte") -> DataFrame:

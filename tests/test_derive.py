@@ -73,6 +73,60 @@ def test_at_risk_plan_change_on_first(spark):
     assert got == [d(2025, 2, 1), d(2025, 3, 1), d(2025, 4, 1)]
 
 
+def test_at_risk_overlapping_and_same_month_terms(spark):
+    terms = _terms(
+        spark,
+        [
+            (1, d(2025, 1, 1), d(2025, 2, 1), False),  # February only: no change of plan on January 1st
+            (1, d(2025, 1, 20), d(2025, 4, 2), False),  # overlaps
+            (1, d(2025, 4, 5), d(2025, 4, 20), False),  # begins and ends inside a month: none
+            (1, d(2024, 1, 1), d(2024, 3, 1), False),  # before the spine
+            (2, d(2025, 2, 1), None, True),
+        ],
+    )
+    bounds = spark.createDataFrame([(1, d(2025, 1, 1), d(2025, 6, 1)), (2, d(2025, 1, 1), d(2025, 3, 1)), (3, d(2025, 1, 1), d(2025, 2, 1))], "user_id long, a date, b date")
+    got = sorted(map(tuple, D.at_risk_months(terms, D.user_month_spine(bounds, "a", "b")).collect()))
+    assert got == [(1, d(2025, 2, 1)), (1, d(2025, 3, 1)), (1, d(2025, 4, 1)), (2, d(2025, 2, 1)), (2, d(2025, 3, 1))]
+
+
+def test_at_risk_does_not_expand_terms(spark):
+    rows = [(1, d(1900, 1, 15), d(2025, 3, 1), False), (1, d(1901, 1, 15), None, False)]
+    deltas = D.cover_deltas(_terms(spark, rows)).collect()
+    assert sorted(map(tuple, deltas)) == [(1, d(1900, 2, 1), 1), (1, d(1901, 2, 1), 1), (1, d(2025, 4, 1), -1)]
+
+
+def test_dense_months(spark):
+    rows = [
+        (1, d(2024, 12, 1), 0, 1, 5), (1, d(2025, 1, 1), 2, 0, 0), (1, d(2025, 4, 1), 1, -1, 7), (1, d(2025, 9, 1), 0, 3, 9),
+        (2, d(2025, 2, 1), 1, 0, 0), (3, d(2025, 2, 1), 0, 4, 0),
+    ]
+    df = spark.createDataFrame(rows, "user_id long, month_start date, n int, d int, v int")
+    got = D.dense_months(df, "n", {"open": "d"}, ["n"], ["v"]).orderBy("user_id", "month_start").collect()
+    assert [tuple(r) for r in got] == [
+        (1, d(2025, 1, 1), 1, 2, 0, d(2025, 4, 1)), (1, d(2025, 2, 1), 1, 0, None, d(2025, 4, 1)), (1, d(2025, 3, 1), 1, 0, None, d(2025, 4, 1)),
+        (1, d(2025, 4, 1), 0, 1, 7, d(2025, 4, 1)), (2, d(2025, 2, 1), 0, 1, 0, d(2025, 2, 1)),
+    ]
+
+
+def test_labels_read_orders_and_line_items_at_most_twice(spark):
+    from conftest import SF_SMALL
+
+    from tidemark.sources.fixtures import Tables
+
+    plan = Tables(spark, SF_SMALL).churn_labels()._jdf.queryExecution().optimizedPlan().toString()
+    # the ordered terms read their source twice, once for the summary per day
+    assert plan.count("l_shipdate#") and plan.count("l_orderkey") and len([x for x in plan.splitlines() if "Relation" in x and "l_shipdate" in x]) == 1
+    assert len([x for x in plan.splitlines() if "Relation" in x and "o_totalprice" in x]) <= 3
+
+
+def test_latest_churn_is_of_at_risk_rows(spark, sf_small):
+    from tidemark.plans import catalog
+
+    trend = catalog.queries()["churn_trend"](spark, sf_small).collect()
+    late = [r for r in trend if str(r.month) >= "2000-09-01"]
+    assert late and any(r.churned_users > 0 for r in late)
+
+
 def test_bill_terms(spark):
     t = spark.createDataFrame(
         [(1, d(2025, 1, 1), d(2025, 2, 14), 20.0, "monthly"), (2, d(2024, 1, 1), d(2025, 2, 3), 16.0, "annual")],

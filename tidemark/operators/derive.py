@@ -203,38 +203,80 @@ def sustained_flag(observed, qualifying, share: float = POWER_USER_MONTH_SHARE,
 # ------------------------------------------------------------------ D7 / D8
 
 
-def at_risk_months(terms: DataFrame, spine: DataFrame, key: str = "user_id", month: str = "month_start") -> DataFrame:
-    """User-months where the user is a subscriber on the 1st.
+def cover_deltas(terms: DataFrame, key: str = "user_id", month: str = "month_start", out: str = "delta") -> DataFrame:
+    """D7's terms as differences: +1 in the first month a term covers, -1 in the month after its last.
 
     A term covers month ``m`` when it started before ``m`` (or on ``m`` as a
     plan change, T23) and has no end or ends on/after ``m``; the signup month
-    itself is therefore not at risk.  Each term is expanded into the months
-    it covers (bounded by the calendar span; open terms run to the last spine
-    month), de-duplicated with a partial aggregate, and semi-joined to the
-    spine on ``(user, month)`` -- an equi join, never term x month pairs.
+    itself is therefore not at risk.  At most two rows per term, however long
+    it runs; an open term has no -1.
     """
+    return terms.select(F.col(key), F.explode(F.array(*cover_events())).alias("_e")).select(
+        F.col(key), F.col("_e.month").alias(month), F.col("_e.delta").alias(out)
+    ).where(F.col(month).isNotNull())
+
+
+def cover_events() -> tuple[Column, Column]:
+    """(month, delta) of a term's first covered month and of the month after its last; a null month where there is none."""
     m0 = F.trunc(F.col("term_start_date"), "month")
     first = F.when(F.col("is_downgrade") & (F.col("term_start_date") == m0), m0).otherwise(F.add_months(m0, 1))
-    horizon = spine.agg(F.max(month)).scalar()  # scalar subquery, computed once
-    last = F.coalesce(F.trunc(F.col("term_end_date"), "month"), horizon)
-    covered = (
-        terms.select(F.col(key), "term_start_date", "term_end_date", "is_downgrade")
-        .select(F.col(key), first.alias("_f"), last.alias("_l"))
-        .filter(F.col("_f") <= F.col("_l"))
-        .select(F.col(key), F.explode(F.sequence("_f", "_l", F.expr("INTERVAL 1 MONTH"))).alias(month))
-        .distinct()
-    )
-    return spine.select(key, month).join(covered, [key, month], "left_semi")
+    end = F.trunc(F.col("term_end_date"), "month")
+    covers = end.isNull() | (first <= end)
+    begins = F.struct(F.when(covers, first).alias("month"), F.lit(1).alias("delta"))
+    over = F.struct(F.when(covers, F.add_months(end, 1)).alias("month"), F.lit(-1).alias("delta"))
+    return begins, over
+
+
+def at_risk_months(terms: DataFrame, spine: DataFrame, key: str = "user_id", month: str = "month_start") -> DataFrame:
+    """User-months of ``spine`` where the user is a subscriber on the 1st.
 
+    The union of a user's terms comes from counted starts and ends
+    (:func:`cover_deltas`): one row per user and month with a change or in the
+    spine, combined before the shuffle, and a running sum over them, which is
+    bounded by the calendar span.  No term is expanded into its months.
+    """
+    marked = spine.select(key, month).distinct().withColumns({"_d": F.lit(0), "_spine": F.lit(True)})
+    changes = cover_deltas(terms, key, month, "_d").withColumn("_spine", F.lit(False))
+    rows = marked.unionByName(changes).groupBy(key, month).agg(F.sum("_d").alias("_d"), F.max("_spine").alias("_spine"))
+    run = Window.partitionBy(key).orderBy(month).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("_open", F.sum("_d").over(run)).where((F.col("_open") > 0) & F.col("_spine")).select(key, month)
+
+
+def dense_months(
+    rows: DataFrame,
+    present: str,
+    running: dict[str, str],
+    sums: list[str],
+    keep: list[str] = (),
+    key: str = "user_id",
+    month: str = "month_start",
+) -> DataFrame:
+    """Every month from a user's first to last row with ``present`` > 0, from one row per user and month with any event.
 
-def label_churn(at_risk: DataFrame, terms: DataFrame, key: str = "user_id", month: str = "month_start") -> DataFrame:
-    """churned = a cancel falls inside the at-risk month; churn_date = that day."""
-    cancels = (
-        terms.filter(F.col("cancel_date").isNotNull())
-        .groupBy(F.col(key), F.trunc("cancel_date", "month").alias(month))
-        .agg(F.max("cancel_date").alias("churn_date"))
+    ``running`` (out -> column) are sums over all months so far, also those
+    before the first; ``sums`` are the month's own values, 0 in months without
+    events; ``keep`` are the month's own values too, null there.  Months in
+    between are generated from the row before them, so the rows are read once:
+    one window per user, bounded by the calendar span.
+    """
+    own = Window.partitionBy(key)
+    order = own.orderBy(month)
+    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = F.when(F.col(present) > 0, F.col(month))
+    wide = rows.withColumns(
+        {
+            **{out: F.coalesce(F.sum(c).over(run), F.lit(0)) for out, c in running.items()},
+            "_m0": F.min(seen).over(own),
+            "_m1": F.max(seen).over(own),
+            "_till": F.add_months(F.lead(month).over(order), -1),
+        }
     )
-    return at_risk.join(cancels, [key, month], "left").withColumn("churned", F.col("churn_date").isNotNull())
+    begin = F.greatest(month, "_m0")
+    end = F.least(F.coalesce("_till", "_m1"), F.col("_m1"))
+    filled = wide.where(begin <= end).withColumn("_m", F.explode(F.sequence(begin, end, F.expr("INTERVAL 1 MONTH"))))
+    here = F.col("_m") == F.col(month)
+    columns = [F.coalesce(F.when(here, F.col(c)), F.lit(0)).alias(c) for c in sums] + [F.when(here, F.col(c)).alias(c) for c in keep]
+    return filled.select(key, F.col("_m").alias(month), *running, *columns, F.col("_m1").alias("last_month"))
 
 
 # ----------------------------------------------------------------- D10 / D11
@@ -342,10 +384,10 @@ def feature_adoption(
 # ------------------------------------------------------------------------ D15
 
 
-def churn_labels(at_risk_rows: DataFrame, behaviour: DataFrame, key: str = "user_id", month: str = "month_start") -> DataFrame:
-    """Keep the behaviour columns (computed on the dense spine, so trends
-    see zero months) only for at-risk user-months."""
-    return behaviour.join(at_risk_rows.select(key, month), [key, month], "left_semi")
+def churn_labels(behaviour: DataFrame, at_risk: str = "at_risk") -> DataFrame:
+    """The rows of at-risk user-months, of behaviour columns computed on
+    the dense spine (so trends see zero months)."""
+    return behaviour.where(at_risk)
 
 
 # ------------------------------------------------------------------------ D16

@@ -83,9 +83,38 @@ SELECT user_id, CAST(unnest(generate_series(m0, m1, INTERVAL 1 MONTH)) AS DATE)
 FROM fx_span
 """
 
+FX["fx_cover0"] = """
+SELECT user_id, first, last
+FROM (SELECT user_id,
+             CASE WHEN is_downgrade AND term_start_date = date_trunc('month', term_start_date) THEN term_start_date
+                  ELSE CAST(date_trunc('month', term_start_date) + INTERVAL 1 MONTH AS DATE) END AS first,
+             CAST(date_trunc('month', term_end_date) AS DATE) AS last
+      FROM fx_subscriptions) z
+WHERE last IS NULL OR first <= last
+"""
+
+FX["fx_cover"] = """
+SELECT user_id, first AS m, 1 AS d FROM fx_cover0
+UNION ALL SELECT user_id, CAST(last + INTERVAL 1 MONTH AS DATE), -1 FROM fx_cover0 WHERE last IS NOT NULL
+"""
+
+FX["fx_at_risk"] = """
+SELECT user_id, month_start
+FROM (SELECT user_id, m AS month_start, sp, sum(d) OVER (PARTITION BY user_id ORDER BY m) AS n
+      FROM (SELECT user_id, m, sum(d) AS d, max(sp) AS sp
+            FROM (SELECT user_id, m, d, 0 AS sp FROM fx_cover UNION ALL SELECT user_id, month_start, 0, 1 FROM fx_spine) a
+            GROUP BY user_id, m) b) c
+WHERE n > 0 AND sp = 1
+"""
+
+FX["fx_cancels"] = """
+SELECT user_id, CAST(date_trunc('month', cancel_date) AS DATE) AS m, max(cancel_date) AS cancel
+FROM fx_subscriptions WHERE cancel_date IS NOT NULL GROUP BY 1, 2
+"""
+
 FX["fx_labels"] = """
 SELECT s.user_id, s.month_start, u.geo,
-       s.month_start = x.m1 AND s.month_start <= DATE '2000-08-01' AS churned,
+       ar.user_id IS NOT NULL AND cn.cancel IS NOT NULL AS churned,
        CAST(coalesce(a.n, 0) AS BIGINT) AS active_days,
        coalesce(((2 * a.hc + a.n * 5000) // (2 * a.n * 5000)) / 1000.0, CAST(0 AS DOUBLE)) AS avg_coding_hours,
        coalesce(((2 * 10000 * a.k + a.n) // (2 * a.n)) / 10000.0, CAST(0 AS DOUBLE)) AS avg_acceptance_rate,
@@ -94,7 +123,8 @@ SELECT s.user_id, s.month_start, u.geo,
        CAST(coalesce(t.n, 0) AS BIGINT) AS crm_touches_30d
 FROM fx_spine s
 JOIN fx_users u ON u.user_id = s.user_id
-JOIN fx_span x ON x.user_id = s.user_id
+LEFT JOIN fx_at_risk ar ON ar.user_id = s.user_id AND ar.month_start = s.month_start
+LEFT JOIN fx_cancels cn ON cn.user_id = s.user_id AND cn.m = s.month_start
 LEFT JOIN (SELECT o_custkey AS user_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, count(*) AS n,
                   sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS hc, sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS k,
                   sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS f
@@ -172,31 +202,23 @@ FROM fx_touches GROUP BY user_id, campaign_id
 """
 
 FX["fx_fa"] = """
-SELECT s.user_id, s.month_start, CAST(count(f.user_id) AS BIGINT) AS features_adopted
-FROM fx_spine s LEFT JOIN fx_feat_first f ON f.user_id = s.user_id AND f.first_month <= s.month_start
-GROUP BY s.user_id, s.month_start
-"""
-
-FX["fx_at_risk"] = """
-SELECT s.user_id, s.month_start FROM fx_spine s
-WHERE EXISTS (SELECT 1 FROM fx_subscriptions t
-              WHERE t.user_id = s.user_id
-                AND (t.term_start_date < s.month_start OR (t.term_start_date = s.month_start AND t.is_downgrade))
-                AND (t.term_end_date IS NULL OR t.term_end_date >= s.month_start))
+SELECT s.user_id, s.month_start, CAST(coalesce(sum(n) OVER (PARTITION BY s.user_id ORDER BY s.month_start), 0) AS BIGINT) AS features_adopted
+FROM fx_spine s
+LEFT JOIN (SELECT f.user_id, greatest(f.first_month, x.m0) AS m, count(*) AS n
+           FROM fx_feat_first f JOIN fx_span x ON x.user_id = f.user_id GROUP BY 1, 2) g
+       ON g.user_id = s.user_id AND g.m = s.month_start
 """
 
 FX["fx_state0"] = """
 SELECT l.user_id, l.month_start, l.avg_coding_hours, u.plan, u.power_user_flag,
        (ar.user_id IS NOT NULL) AS at_risk,
-       (ar.user_id IS NOT NULL AND c.cancel IS NOT NULL) AS churned,
+       l.churned,
        CASE WHEN ar.user_id IS NOT NULL THEN c.cancel END AS churn_date,
        coalesce(fa.features_adopted, 0) AS features_adopted,
        r.n AS reactivation_starts
 FROM fx_labels_e l
 LEFT JOIN fx_at_risk ar ON ar.user_id = l.user_id AND ar.month_start = l.month_start
-LEFT JOIN (SELECT user_id, CAST(date_trunc('month', cancel_date) AS DATE) AS m, max(cancel_date) AS cancel
-           FROM fx_subscriptions WHERE cancel_date IS NOT NULL GROUP BY 1, 2) c
-       ON c.user_id = l.user_id AND c.m = l.month_start
+LEFT JOIN fx_cancels c ON c.user_id = l.user_id AND c.m = l.month_start
 LEFT JOIN (SELECT user_id, CAST(date_trunc('month', term_start_date) AS DATE) AS m, count(*) AS n
            FROM fx_subscriptions WHERE is_reactivation GROUP BY 1, 2) r
        ON r.user_id = l.user_id AND r.m = l.month_start
@@ -292,7 +314,7 @@ def with_fx(body: str, extra: dict[str, str] | None = None) -> str:
         if d in FX:
             seen.add(d)
             _deps(d, seen)
-    ctes = [f"{n} AS ({FX[n].strip()})" for n in _ORDER if n in seen]
+    ctes = [f"{n} AS MATERIALIZED ({FX[n].strip()})" for n in _ORDER if n in seen]
     ctes += [f"{n} AS ({t.strip()})" for n, t in extra.items()]
     body = body.strip()
     if not ctes:

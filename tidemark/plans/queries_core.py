@@ -37,10 +37,10 @@ def serving_snapshot(spark, sf):
     "churn_rate_latest",
     f"""SELECT {xm("CAST(churned AS INT)", 0)} AS churn_rate,
               CAST(count(*) AS BIGINT) AS at_risk_users
-       FROM fx_labels_e WHERE month_start = (SELECT max(month_start) FROM fx_labels_e)""",
+       FROM fx_cl WHERE month_start = (SELECT max(month_start) FROM fx_cl)""",
 )
 def churn_rate_latest(spark, sf):
-    mv = monthly_view(_t(spark, sf).labels_enriched())
+    mv = monthly_view(_t(spark, sf).churn_labels())
     latest = monthly_view(latest_period(mv.source, "month_start"))
     return latest.query({"Churn rate": "churn_rate", "At risk users": "at_risk_users"}).select(
         F.round("churn_rate", 4).alias("churn_rate"), F.col("at_risk_users").cast("bigint")
@@ -51,10 +51,10 @@ def churn_rate_latest(spark, sf):
     "churn_trend",
     f"""SELECT month_start AS month, {xm("CAST(churned AS INT)", 0)} AS churn_rate,
               CAST(count_if(churned) AS BIGINT) AS churned_users, CAST(count(*) AS BIGINT) AS at_risk_users
-       FROM fx_labels_e GROUP BY month_start""",
+       FROM fx_cl GROUP BY month_start""",
 )
 def churn_trend(spark, sf):
-    mv = monthly_view(_t(spark, sf).labels_enriched())
+    mv = monthly_view(_t(spark, sf).churn_labels())
     q = mv.query({"Churn rate": "churn_rate", "Churned users": "churned_users", "At risk users": "at_risk_users"}, by={"Month": "month"})
     return q.select(
         "month", F.round("churn_rate", 4).alias("churn_rate"), F.col("churned_users").cast("bigint"), F.col("at_risk_users").cast("bigint")
@@ -64,10 +64,10 @@ def churn_trend(spark, sf):
 @register(
     "churn_by_geo_latest",
     f"""SELECT geo, {xm("CAST(churned AS INT)", 0)} AS churn_rate
-       FROM fx_labels_e WHERE month_start = (SELECT max(month_start) FROM fx_labels_e) GROUP BY geo""",
+       FROM fx_cl WHERE month_start = (SELECT max(month_start) FROM fx_cl) GROUP BY geo""",
 )
 def churn_by_geo_latest(spark, sf):
-    mv = monthly_view(latest_period(_t(spark, sf).labels_enriched(), "month_start"))
+    mv = monthly_view(latest_period(_t(spark, sf).churn_labels(), "month_start"))
     q = mv.query({"Churn rate": "churn_rate"}, by={"Geo": "geo"})
     return q.select("geo", F.round("churn_rate", 4).alias("churn_rate")).orderBy(F.col("churn_rate").desc(), "geo")
 
@@ -166,8 +166,8 @@ def engagement_by_band(spark, sf):
 @register(
     "kpi_header",
     """SELECT * FROM
-       (SELECT ((2 * 10000 * count_if(churned) + count(*)) // (2 * count(*))) / 100.0 AS churn_rate_pct FROM fx_labels_e
-        WHERE month_start = (SELECT max(month_start) FROM fx_labels_e)) a,
+       (SELECT ((2 * 10000 * count_if(churned) + count(*)) // (2 * count(*))) / 100.0 AS churn_rate_pct FROM fx_cl
+        WHERE month_start = (SELECT max(month_start) FROM fx_cl)) a,
        (SELECT round(coalesce(sum(mrr_usd) FILTER (WHERE is_currently_subscribed), 0.0), 2) AS mrr_at_risk_total,
                round(coalesce(sum(mrr_usd) FILTER (WHERE is_currently_subscribed AND churn_risk_band = 'high'), 0.0), 2) AS mrr_at_risk_high,
                round(coalesce(sum(mrr_usd) FILTER (WHERE is_currently_subscribed AND churn_risk_band = 'medium'), 0.0), 2) AS mrr_at_risk_medium,
@@ -177,7 +177,7 @@ def engagement_by_band(spark, sf):
 )
 def kpi_header_q(spark, sf):
     t = _t(spark, sf)
-    return kpi_header(current_view(t.serving(), t.predictions()), monthly_view(t.labels_enriched()))
+    return kpi_header(current_view(t.serving(), t.predictions()), monthly_view(t.churn_labels()))
 
 
 @register(

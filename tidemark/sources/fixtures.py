@@ -20,16 +20,13 @@ Scale notes
 
 from __future__ import annotations
 
-import datetime as _dt
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import half_up_ratio, risk_band, scaled_int
 from tidemark.operators.sequence import ordered_neighbors
 
 # Fixed values of the fixture mapping (must equal the oracle SQL text).
-CHURN_CUTOFF_MONTH = _dt.date(2000, 8, 1)  # last month a final order month counts as churn
 HOURS_DIVISOR = 25.0  # events.value -> coding hours
 ORDER_HOURS_DIVISOR = 50000.0  # orders.o_totalprice -> monthly avg coding hours
 LAPSE_DAYS = 30  # a finished order's term lapses 30 days after it starts
@@ -68,17 +65,17 @@ class Tables:
     # flags in users_profile read the written user x day usage table, not the
     # raw events again (events is the largest input).
     LEVELS = (
-        ("subscriptions", "touches", "usage", "tickets"),
-        ("users_profile", "labels_enriched"),
-        ("predictions", "monthly_state"),
-        ("serving", "churn_labels"),
+        ("terms", "touches", "usage", "tickets"),
+        ("users_profile", "month_facts"),
+        ("labels_enriched", "monthly_state", "churn_labels"),
+        ("predictions", "serving"),
     )
     MATERIALIZABLE = tuple(n for level in LEVELS for n in level)
     # Gold tables with one row per user or per user x month: written bucketed
     # by user_id so their user joins and per-user aggregates need no shuffle.
     # A user's rows here are bounded by the month span, so a bucket cannot
     # hold a hot user's event volume; per-event tables are left unbucketed.
-    BUCKETED = ("users_profile", "labels_enriched", "predictions", "monthly_state", "serving", "churn_labels")
+    BUCKETED = ("users_profile", "month_facts", "labels_enriched", "predictions", "monthly_state", "serving", "churn_labels")
 
     def materialize(self, names=MATERIALIZABLE, folder: str | None = None, parallel: bool = True) -> dict[str, str]:
         """Write views as parquet tables (silver/gold) and read them back.
@@ -152,7 +149,9 @@ class Tables:
         return self._get(f"raw:{name}", lambda: self.spark.read.parquet(f"{self.root}/{name}.parquet"))
 
     # ------------------------------------------------------------------ users
-    def users(self) -> DataFrame:
+    def user_dims(self) -> DataFrame:
+        """``users`` without what comes from orders."""
+
         def build():
             c = self.raw("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
             geo = (
@@ -160,15 +159,9 @@ class Tables:
                 .join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
                 .select(F.col("n_nationkey"), F.col("r_name").alias("geo"))
             )
-            first_order = (
-                self.raw("orders")
-                .groupBy(F.col("o_custkey"))
-                .agg(F.min("o_orderdate").cast("date").alias("signup_date"))
-            )
             k = F.col("c_custkey")
             return (
                 c.join(geo, c.c_nationkey == geo.n_nationkey, "inner")
-                .join(first_order, k == F.col("o_custkey"), "left")
                 .select(
                     k.alias("user_id"),
                     F.col("geo"),
@@ -178,14 +171,29 @@ class Tables:
                     .otherwise("pro_team_monthly")
                     .alias("plan"),
                     F.lit("pro").alias("tier"),
-                    F.col("signup_date"),
                 )
             )
 
+        return self._get("user_dims", build)
+
+    def users(self) -> DataFrame:
+        def build():
+            first_order = (
+                self.raw("orders")
+                .groupBy(F.col("o_custkey").alias("user_id"))
+                .agg(F.min("o_orderdate").cast("date").alias("signup_date"))
+            )
+            return self.user_dims().join(first_order, "user_id", "left")
+
         return self._get("users", build)
 
     # ----------------------------------------------------------- subscriptions
     def subscriptions(self) -> DataFrame:
+        return self._get("subscriptions", lambda: self.terms().drop("price_cents"))
+
+    def terms(self) -> DataFrame:
+        """``subscriptions`` with the order's price in cents, for monthly behaviour."""
+
         def build():
             o = self.raw("orders").select(
                 F.col("o_orderkey").alias("subscription_id"),
@@ -220,9 +228,10 @@ class Tables:
                 (F.col("st") == "P").alias("is_downgrade"),
                 F.coalesce(F.col("prev") == "F", F.lit(False)).alias("is_reactivation"),
                 F.when(finished, lapse).alias("cancel_date"),
+                scaled_int(F.col("price"), 2).alias("price_cents"),
             )
 
-        return self._get("subscriptions", build)
+        return self._get("terms", build)
 
     # ------------------------------------------------------------------ usage
     def usage(self) -> DataFrame:
@@ -330,71 +339,99 @@ class Tables:
         return self._get("spine", build)
 
     # ----------------------------------------------------------------- labels
-    def _labels_base(self) -> DataFrame:
-        """Spine x monthly behaviour, with ``signup_date`` carried for tenure."""
+    def user_months(self) -> DataFrame:
+        """One row per user and month with any event: orders, term changes, cancels, reactivations, touches, new features.
+
+        Each order gives at most four month events and each touch one, summed
+        before the shuffle; labels, at-risk months, states and features are all
+        made from these rows, so orders are read for the terms and for the
+        touches, line items once.
+        """
 
         def build():
-            month = F.trunc(F.col("o_orderdate").cast("date"), "month")
-            hi_pri = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 1).otherwise(0)
-            monthly = (
-                self.raw("orders")
-                .groupBy(F.col("o_custkey").alias("user_id"), month.alias("month_start"))
-                .agg(
-                    F.count(F.lit(1)).alias("n"),
-                    F.sum(scaled_int(F.col("o_totalprice"), 2)).alias("hc"),
-                    F.sum(hi_pri).alias("k"),
-                    F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("f"),
-                )
-            )
-            tmonthly = self.touches().groupBy("user_id", F.trunc("touch_date", "month").alias("month_start")).agg(
-                F.count(F.lit(1)).alias("tn")
-            )
-            # spine generated with the user's last month kept (no join back to the span)
-            s = self.order_span().select(
-                "user_id", "m1", F.explode(F.sequence("m0", "m1", F.expr("INTERVAL 1 MONTH"))).alias("month_start")
-            )
-            users = self.users().select("user_id", "geo", "signup_date")
-            j = (
-                s.join(users, "user_id")
-                .join(monthly, ["user_id", "month_start"], "left")
-                .join(tmonthly, ["user_id", "month_start"], "left")
+            from tidemark.operators.derive import cover_events
+
+            names = ("month", "n", "hc", "k", "f", "r", "delta", "first_day", "cancel")
+            none = F.lit(None).cast("date")
+
+            def event(month, delta=F.lit(0), cancel=none):
+                return [month, *[F.lit(0).cast("bigint")] * 5, delta, none, cancel]
+
+            start = F.col("term_start_date")
+            own = [F.trunc(start, "month"), F.lit(1).cast("bigint"), F.col("price_cents").cast("bigint")]
+            own += [F.col(c).cast("bigint") for c in ("_annual", "_finished", "is_reactivation")] + [F.lit(0), start, none]
+            changes = [event(e.getField("month"), e.getField("delta")) for e in cover_events()]
+            events = [own, *changes, event(F.trunc("cancel_date", "month"), cancel=F.col("cancel_date"))]
+            flags = {"_annual": F.col("billing_period") == "annual", "_finished": F.col("status") == "canceled"}
+            terms = (
+                self.terms()
+                .withColumns(flags)
+                .select("user_id", F.inline(F.array(*[F.struct(*[c.alias(n) for c, n in zip(e, names)]) for e in events])))
+                .where("month IS NOT NULL")
+                .withColumnRenamed("month", "month_start")
+                .groupBy("user_id", "month_start")
+                .agg(*[F.sum(c).alias(c) for c in ("n", "hc", "k", "f", "r", "delta")], F.min("first_day").alias("first_day"), F.max("cancel").alias("cancel"))
             )
+            # touches of a brand in a month; its first month of the user is a new feature
+            by_brand = self.touches().groupBy("user_id", "campaign_id", F.trunc("touch_date", "month").alias("month_start")).agg(F.count(F.lit(1)).alias("tn"))
+            first = F.min("month_start").over(Window.partitionBy("user_id", "campaign_id"))
+            touched = by_brand.withColumn("new", (F.col("month_start") == first).cast("int")).groupBy("user_id", "month_start").agg(F.sum("tn").alias("tn"), F.sum("new").alias("new"))
+            both = terms.unionByName(touched, allowMissingColumns=True)
+            sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "hc", "k", "f", "r", "delta", "tn", "new")]
+            return both.groupBy("user_id", "month_start").agg(*sums, F.min("first_day").alias("first_day"), F.max("cancel").alias("cancel"))
+
+        return self._get("user_months", build)
+
+    def month_facts(self) -> DataFrame:
+        """Spine x monthly behaviour, at-risk flag (D7), churn (D8), features adopted (D12), trend (D5), tenure."""
+
+        def build():
+            from tidemark.operators.derive import dense_months, mom_ratio, tenure_months
+
+            first = F.min("first_day").over(Window.partitionBy("user_id"))
+            rows = self.user_months().withColumn("signup_date", first)
+            signup = F.max("signup_date").over(Window.partitionBy("user_id"))
+            dense = dense_months(rows, "n", {"open_terms": "delta", "features_adopted": "new"}, ["n", "hc", "k", "f", "r", "tn"], ["cancel", "signup_date"])
+            dense = dense.withColumn("signup_date", signup).join(self.user_dims().select("user_id", "geo", "plan"), "user_id")
+            at_risk = F.col("open_terms") > 0
             zero = F.lit(0.0)
-            return j.select(
+            facts = dense.select(
                 "user_id",
                 "month_start",
                 "geo",
-                ((F.col("month_start") == F.col("m1")) & (F.col("month_start") <= F.lit(CHURN_CUTOFF_MONTH))).alias(
-                    "churned"
-                ),
-                F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("active_days"),
+                (at_risk & F.col("cancel").isNotNull()).alias("churned"),
+                F.col("n").cast("bigint").alias("active_days"),
                 # avg(price) / 50000 to 3 dp and avg(high priority) to 4 dp, exact half-up
-                F.coalesce(half_up_ratio(F.col("hc"), F.col("n") * int(ORDER_HOURS_DIVISOR * 100 / 1000)) / F.lit(1000.0), zero).alias(
-                    "avg_coding_hours"
-                ),
+                F.coalesce(half_up_ratio(F.col("hc"), F.col("n") * int(ORDER_HOURS_DIVISOR * 100 / 1000)) / F.lit(1000.0), zero).alias("avg_coding_hours"),
                 F.coalesce(half_up_ratio(F.col("k") * 10_000, F.col("n")) / F.lit(10_000.0), zero).alias("avg_acceptance_rate"),
-                F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("avg_session_frequency"),
-                F.coalesce(F.col("f"), F.lit(0)).cast("bigint").alias("support_tickets_30d"),
-                F.coalesce(F.col("tn"), F.lit(0)).cast("bigint").alias("crm_touches_30d"),
+                F.col("n").cast("double").alias("avg_session_frequency"),
+                F.col("f").cast("bigint").alias("support_tickets_30d"),
+                F.col("tn").cast("bigint").alias("crm_touches_30d"),
+                at_risk.alias("at_risk"),
+                F.when(at_risk, F.col("cancel")).alias("churn_date"),
+                F.col("features_adopted").cast("bigint").alias("features_adopted"),
+                F.col("r").cast("bigint").alias("reactivation_starts"),
                 "signup_date",
+                "plan",
             )
+            facts = mom_ratio(facts, value="avg_coding_hours", out="coding_hours_trend_30d", value_digits=3)
+            return tenure_months(facts, start="signup_date", at="month_start").drop("signup_date")
+
+        return self._get("month_facts", build)
 
-        return self._get("labels_base", build)
+    #: columns of ``labels``: one churn definition, a cancel inside an at-risk month
+    LABELS = (
+        "user_id", "month_start", "geo", "churned", "active_days", "avg_coding_hours", "avg_acceptance_rate", "avg_session_frequency",
+        "support_tickets_30d", "crm_touches_30d",
+    )
 
     def labels(self) -> DataFrame:
         """One row per user per spine month with monthly behaviour columns."""
-        return self._get("labels", lambda: self._labels_base().drop("signup_date"))
+        return self._get("labels", lambda: self.month_facts().select(*self.LABELS))
 
     def labels_enriched(self) -> DataFrame:
         """``labels`` plus the derived month-over-month trend (D5) and tenure."""
-
-        def build():
-            from tidemark.operators.derive import mom_ratio, tenure_months
-
-            lab = mom_ratio(self._labels_base(), value="avg_coding_hours", out="coding_hours_trend_30d", value_digits=3)
-            return tenure_months(lab, start="signup_date", at="month_start").drop("signup_date")
-
-        return self._get("labels_enriched", build)
+        return self._get("labels_enriched", lambda: self.month_facts().select(*self.LABELS, "coding_hours_trend_30d", "tenure_months"))
 
     # ------------------------------------------------------------ predictions
     def predictions(self) -> DataFrame:
@@ -476,43 +513,11 @@ class Tables:
         def build():
             from tidemark.operators import derive as D
 
-            terms = self.subscriptions()
-            lab = self.labels_enriched().select("user_id", "month_start", "avg_coding_hours")
-            ar = self.at_risk().withColumn("_ar", F.lit(True))
-            cancels = (
-                terms.filter(F.col("cancel_date").isNotNull())
-                .groupBy("user_id", F.trunc("cancel_date", "month").alias("month_start"))
-                .agg(F.max("cancel_date").alias("_cancel"))
-            )
-            reacts = (
-                terms.filter(F.col("is_reactivation"))
-                .groupBy("user_id", F.trunc("term_start_date", "month").alias("month_start"))
-                .agg(F.count(F.lit(1)).alias("reactivation_starts"))
+            facts = self.month_facts().select(
+                "user_id", "month_start", "avg_coding_hours", "plan", "at_risk", "churned", "churn_date", "features_adopted", "reactivation_starts"
             )
-            fa = D.features_adopted(self.feature_days(), self.spine(), date="date").select(
-                "user_id", "month_start", "features_adopted"
-            )
-            prof = self.users_profile().select("user_id", "plan", "power_user_flag")
-            k = ["user_id", "month_start"]
-            at_risk = F.coalesce(F.col("_ar"), F.lit(False))
-            base = (
-                lab.join(ar, k, "left")
-                .join(cancels, k, "left")
-                .join(reacts, k, "left")
-                .join(fa, k, "left")
-                .join(prof, "user_id", "left")
-                .select(
-                    "user_id",
-                    "month_start",
-                    "avg_coding_hours",
-                    "plan",
-                    "power_user_flag",
-                    at_risk.alias("at_risk"),
-                    (at_risk & F.col("_cancel").isNotNull()).alias("churned"),
-                    F.when(at_risk, F.col("_cancel")).alias("churn_date"),
-                    F.coalesce(F.col("features_adopted"), F.lit(0)).cast("bigint").alias("features_adopted"),
-                    "reactivation_starts",
-                )
+            base = facts.join(self.power().select("user_id", "power_user_flag"), "user_id", "left").withColumn(
+                "power_user_flag", F.coalesce(F.col("power_user_flag"), F.lit(False))
             )
             st = D.decline_features(base, "avg_coding_hours", value_digits=3)
             st = D.lapse_state(st, subscribed="at_risk", churned="churned")
@@ -525,16 +530,12 @@ class Tables:
         """Behaviour columns for at-risk user-months, with D8 churn."""
 
         def build():
-            from tidemark.operators.derive import churn_labels
-
-            from tidemark.operators.derive import power_weeks
+            from tidemark.operators.derive import churn_labels, power_weeks
 
-            st = self.monthly_state().filter("at_risk").select("user_id", "month_start", "churned", "churn_date", "features_adopted")
-            lab = self.labels_enriched().drop("churned")
+            facts = self.month_facts()
             pw = power_weeks(self.usage()).select("user_id", "month_start", F.lit(True).alias("_pw"))
-            beh = lab.join(st, ["user_id", "month_start"]).join(pw, ["user_id", "month_start"], "left")
-            beh = beh.withColumn("is_power_user_month", F.coalesce(F.col("_pw"), F.lit(False)))
-            return churn_labels(st, beh).select(
+            beh = facts.join(pw, ["user_id", "month_start"], "left").withColumn("is_power_user_month", F.coalesce(F.col("_pw"), F.lit(False)))
+            return churn_labels(beh).select(
                 "month_start", "user_id", "geo", "churned", "churn_date", "tenure_months", "is_power_user_month", "active_days",
                 "avg_coding_hours", "avg_acceptance_rate", "avg_session_frequency", "coding_hours_trend_30d",
                 "support_tickets_30d", "features_adopted", "crm_touches_30d",

@@ -1,4 +1,4 @@
-"""Data-quality and governance operators.
+"""Data-quality and governance operators.
 
 Each check is a Spark aggregate that returns a small DataFrame (one row per
 check/edge/rule), so nothing but the report itself reaches the driver.
@@ -244,24 +244,6 @@ def column_mismatch(a: DataFrame, b: DataFrame, on: Sequence[str], col: str, b_c
     return j.filter(cond).drop("_b")
 
 
-# ------------------------------------------------------------------------ Q11
-
-
-def check_report(checks: Sequence[tuple[str, DataFrame]]) -> DataFrame:
-    """Q11: ``[(check_name, df_with_bad_and_total), ...]`` -> one DataFrame of
-    (check_name, bad, total, ok)."""
-    out = None
-    for name, df in checks:
-        r = df.select(F.lit(name).alias("check_name"), F.col("bad").cast("bigint"), F.col("total").cast("bigint"))
-        out = r if out is None else out.unionByName(r)
-    return out.withColumn("ok", F.col("bad") == 0)
-
-
-def count_as_check(df: DataFrame, total: DataFrame) -> DataFrame:
-    """A (bad, total) one-row frame from a violations frame and its universe."""
-    return df.agg(F.count(F.lit(1)).cast("bigint").alias("bad")).withColumn("total", total.agg(F.count(F.lit(1)).cast("bigint")).scalar())
-
-
 # ------------------------------------------------------------------------ Q12
 
 

@@ -28,7 +28,9 @@ SELECT subscription_id, user_id, term_start_date,
        CASE WHEN pr IN ('1-URGENT', '2-HIGH') THEN 'annual' ELSE 'monthly' END AS billing_period,
        ((2 * CAST(round(price * 100) AS BIGINT) + 1000) // 2000) / 100.0 AS mrr_usd,
        st = 'P' AS is_downgrade, coalesce(prev = 'F', FALSE) AS is_reactivation,
-       CASE WHEN st = 'F' THEN lapse END AS cancel_date
+       CASE WHEN st = 'F' THEN lapse END AS cancel_date,
+       CASE WHEN st = 'F' THEN CASE substring(pr, 1, 1) WHEN '1' THEN 'price' WHEN '2' THEN 'missing_features' WHEN '3' THEN 'switched'
+                                                        WHEN '4' THEN 'no_longer_needed' ELSE 'other' END END AS cancel_reason
 FROM (SELECT *, CAST(least(term_start_date + INTERVAL 30 DAY, coalesce(nx, term_start_date + INTERVAL 30 DAY)) AS DATE) AS lapse
       FROM (SELECT o_orderkey AS subscription_id, o_custkey AS user_id, CAST(o_orderdate AS DATE) AS term_start_date,
                    o_orderstatus AS st, o_orderpriority AS pr, o_totalprice AS price,
@@ -42,7 +44,8 @@ FX["fx_usage"] = """
 SELECT user_id, CAST(ts AS DATE) AS event_date,
        round(sum(value) / 25, 3) AS coding_hours,
        ((2 * 10000 * sum(CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END) + count(*)) // (2 * count(*))) / 10000.0 AS ai_acceptance_rate,
-       CAST(count(*) AS INT) AS session_frequency
+       CAST(count(*) AS INT) AS session_frequency, CAST(count(*) AS BIGINT) AS suggestions_shown,
+       CAST(sum(CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END) AS BIGINT) AS suggestions_accepted
 FROM events GROUP BY user_id, CAST(ts AS DATE)
 """
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import quality as Q
+from tidemark.operators.integrity import Checked, integrity_report
 from tidemark.plans import specs as S
 from tidemark.plans.catalog import register
 from tidemark.sources import io as IO
@@ -28,6 +29,7 @@ FK_EDGES = [
     ("crm_touches.user_id->users", "fx_touches", "user_id", "fx_users", "user_id"),
     ("crm_touches.campaign_id->crm_campaigns", "fx_touches", "campaign_id", "fx_campaigns", "campaign_id"),
     ("churn_labels.user_id->users", "fx_labels", "user_id", "fx_users", "user_id"),
+    ("feature_adoption.user_id->users", "fx_feat_first", "user_id", "fx_users", "user_id"),
 ]
 
 
@@ -47,7 +49,7 @@ def fk_orphans(spark, sf):
     t = _t(spark, sf)
     views = {
         "fx_subscriptions": t.subscriptions(), "fx_usage": t.usage(), "fx_tickets": t.tickets(), "fx_touches": t.touches(),
-        "fx_users": t.users(), "fx_campaigns": t.campaigns(), "fx_labels": t.labels(),
+        "fx_users": t.users(), "fx_campaigns": t.campaigns(), "fx_labels": t.labels(), "fx_feat_first": t.feature_days(),
     }
     return Q.fk_report([(e, views[c], views[p], ck, pk) for e, c, ck, p, pk in FK_EDGES])
 
@@ -58,6 +60,9 @@ PK_CHECKS = [
     ("usage_events", "fx_usage", ("user_id", "event_date")),
     ("support_tickets", "fx_tickets", ("ticket_id",)),
     ("churn_labels", "fx_labels", ("user_id", "month_start")),
+    ("users", "fx_users", ("user_id",)),
+    ("crm_campaigns", "fx_campaigns", ("campaign_id",)),
+    ("feature_adoption", "fx_feat_first", ("user_id", "feature_key")),
 ]
 
 
@@ -72,7 +77,8 @@ PK_CHECKS = [
 )
 def pk_duplicates(spark, sf):
     t = _t(spark, sf)
-    views = {"fx_touches": t.touches(), "fx_subscriptions": t.subscriptions(), "fx_usage": t.usage(), "fx_tickets": t.tickets(), "fx_labels": t.labels()}
+    views = {"fx_touches": t.touches(), "fx_subscriptions": t.subscriptions(), "fx_usage": t.usage(), "fx_tickets": t.tickets(), "fx_labels": t.labels(), "fx_users": t.users(), "fx_campaigns": t.campaigns()}
+    views["fx_feat_first"] = t.feature_days().groupBy("user_id", "feature_key").agg(F.min("date").alias("first"))
     out = None
     for n, v, k in PK_CHECKS:
         r = Q.pk_duplicates(views[v], k, n)
@@ -223,43 +229,116 @@ def label_geo_mismatch(spark, sf):
     return Q.column_mismatch(t.labels(), t.users(), ["user_id"], "geo")
 
 
-@register(
-    "check_report",
-    """SELECT *, bad = 0 AS ok FROM (SELECT 'fk_orphan_user_ids' AS check_name,
-              CAST((SELECT count(*) FROM (SELECT DISTINCT user_id FROM fx_touches) c WHERE user_id NOT IN (SELECT user_id FROM fx_users)) AS BIGINT) AS bad,
-              CAST((SELECT count(DISTINCT user_id) FROM fx_touches) AS BIGINT) AS total
-       UNION ALL SELECT 'touch_pk_duplicates',
-              CAST((SELECT count(*) FROM fx_touches) - (SELECT count(DISTINCT touch_id) FROM fx_touches) AS BIGINT),
-              CAST((SELECT count(*) FROM fx_touches) AS BIGINT)
-       UNION ALL SELECT 'touches_after_cancel',
-              CAST((SELECT count(*) FROM fx_touches t JOIN (SELECT user_id, max(cancel_date) AS lc FROM fx_subscriptions
-                                                             WHERE cancel_date IS NOT NULL GROUP BY user_id) c ON c.user_id = t.user_id
-                    WHERE t.user_id NOT IN (SELECT user_id FROM fx_subscriptions WHERE is_reactivation) AND t.touch_date > c.lc) AS BIGINT),
-              CAST((SELECT count(*) FROM fx_touches) AS BIGINT)
-       UNION ALL SELECT 'reactivation_count_mismatch',
-              CAST((SELECT count(*) FROM (SELECT user_id, count(*) AS n FROM fx_touches WHERE reactivated GROUP BY user_id) a
-                    FULL JOIN (SELECT user_id, count(*) AS n FROM fx_subscriptions WHERE is_reactivation GROUP BY user_id) b
-                    ON a.user_id = b.user_id WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)) AS BIGINT),
-              CAST((SELECT count(DISTINCT user_id) FROM fx_subscriptions) AS BIGINT)) r""",
-)
+# Cross-column rules of the report and of ``row_rules`` (Q7, Q10).
+USAGE_WINDOW = "event_date BETWEEN DATE '2024-01-01' AND DATE '2024-12-31'"
+USAGE_PLAUSIBLE = "coding_hours BETWEEN 0 AND 16 AND ai_acceptance_rate BETWEEN 0 AND 1 AND session_frequency >= 1 AND suggestions_accepted <= suggestions_shown"
+MAX_REACTIVATIONS = 1
+
+_REPORT_FK = [
+    ("subscriptions", "fx_subscriptions", "user_id", "users", "fx_users"), ("usage_events", "fx_usage", "user_id", "users", "fx_users"),
+    ("feature_adoption", "fx_feature_adoption", "user_id", "users", "fx_users"), ("support_tickets", "fx_tickets", "user_id", "users", "fx_users"),
+    ("crm_touches", "fx_touches", "user_id", "users", "fx_users"), ("churn_labels", "fx_cl", "user_id", "users", "fx_users"),
+    ("crm_touches", "fx_touches", "campaign_id", "crm_campaigns", "fx_campaigns"),
+]
+_REPORT_PK = [
+    ("users", "fx_users_p", ("user_id",)), ("subscriptions", "fx_subscriptions", ("subscription_id",)), ("usage_events", "fx_usage", ("user_id", "event_date")),
+    ("feature_adoption", "fx_feature_adoption", ("user_id", "feature_key", "month_start")), ("support_tickets", "fx_tickets", ("ticket_id",)),
+    ("crm_campaigns", "fx_campaigns", ("campaign_id",)), ("crm_touches", "fx_touches", ("touch_id",)), ("churn_labels", "fx_cl", ("user_id", "month_start")),
+]
+
+
+def _report_sql():
+    rows = [
+        f"""SELECT 'fk {t}.{c} -> {p}.{c}' AS check_name, count(*) FILTER (WHERE p.{c} IS NULL) AS bad, count(*) AS total
+            FROM (SELECT DISTINCT {c} FROM {tv} WHERE {c} IS NOT NULL) t LEFT JOIN {pv} p ON p.{c} = t.{c}"""
+        for t, tv, c, p, pv in _REPORT_FK
+    ]
+    rows += [
+        f"SELECT 'pk {t}({', '.join(k)})', count(*) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(k)} FROM {v}) d), count(*) FROM {v}" for t, v, k in _REPORT_PK
+    ]
+    last = "(SELECT user_id, max(cancel_date) AS lc FROM fx_subscriptions WHERE cancel_date IS NOT NULL GROUP BY user_id)"
+    returned = "(SELECT user_id, count(*) AS n FROM fx_touches WHERE reactivated GROUP BY user_id)"
+    rows += [
+        f"SELECT 'usage in window', count_if(NOT coalesce({USAGE_WINDOW}, FALSE)), count(*) FROM fx_usage",
+        f"SELECT 'usage plausible', count_if(NOT coalesce({USAGE_PLAUSIBLE}, FALSE)), count(*) FROM fx_usage",
+        f"""SELECT 'monthly churn rate', CAST(abs(count_if(churned) / count(*) - CAST({CHURN_TARGET} AS DOUBLE)) > {CHURN_TOLERANCE} AS INT), count(*) FROM fx_cl""",
+        "SELECT 'churn date if churned', count_if(churned AND churn_date IS NULL), count(*) FROM fx_cl",
+        f"""SELECT 'usage after the last cancel', count_if(e.event_date > c.lc), count(*) FROM fx_usage e JOIN {last} c ON c.user_id = e.user_id
+            WHERE e.user_id NOT IN (SELECT user_id FROM fx_subscriptions WHERE is_reactivation)""",
+        """SELECT 'tickets inside a term', (SELECT count(*) FROM fx_tickets t WHERE t.user_id IS NOT NULL AND NOT EXISTS (
+                SELECT 1 FROM fx_subscriptions s WHERE s.user_id = t.user_id AND t.created_date >= s.term_start_date
+                   AND (s.term_end_date IS NULL OR t.created_date <= s.term_end_date))), (SELECT count(*) FROM fx_tickets WHERE user_id IS NOT NULL)""",
+        """SELECT 'reactivated touches = reactivation terms', abs((SELECT count_if(reactivated) FROM fx_touches) - (SELECT count_if(is_reactivation) FROM fx_subscriptions)),
+                (SELECT count_if(reactivated) FROM fx_touches)""",
+        f"SELECT 'reactivations per user <= {MAX_REACTIVATIONS}', count_if(n > {MAX_REACTIVATIONS}), count(*) FROM {returned} r",
+    ]
+    return "SELECT check_name, CAST(bad AS BIGINT) AS bad, CAST(total AS BIGINT) AS total, bad = 0 AS ok FROM (" + " UNION ALL ".join(rows) + ") r"
+
+
+def report_tables(t: Tables) -> list[Checked]:
+    """The eight tables with their keys, references, rules and dated counts."""
+    from tidemark.operators.derive import feature_adoption
+
+    days = t.touches().select("user_id", F.col("touch_date").alias("event_date")).distinct()
+    adoption = feature_adoption(days, t.at_risk(), t.feature_days())
+    user = {"user_id": "users"}
+    return [
+        Checked("users", t.users(), ["user_id"]),
+        Checked(
+            "subscriptions", t.subscriptions(), ["subscription_id"], user,
+            dated=[
+                {"day": "term_start_date", "starts": F.lit(1), "cancel": "cancel_date", "reactivations": "is_reactivation"},
+                {"day": "term_end_date", "ends": "term_end_date IS NOT NULL"},
+            ],
+        ),
+        Checked("usage_events", t.usage(), ["user_id", "event_date"], user, {"usage in window": USAGE_WINDOW, "usage plausible": USAGE_PLAUSIBLE}, dated=[{"day": "event_date", "usage": F.lit(1)}]),
+        Checked("feature_adoption", adoption, ["user_id", "feature_key", "month_start"], user),
+        Checked("support_tickets", t.tickets(), ["ticket_id"], user, dated=[{"day": "created_date", "tickets": F.lit(1)}]),
+        Checked("crm_campaigns", t.campaigns(), ["campaign_id"]),
+        Checked("crm_touches", t.touches(), ["touch_id"], {**user, "campaign_id": "crm_campaigns"}, dated=[{"day": "touch_date", "reactivated": "reactivated"}]),
+        Checked(
+            "churn_labels", t.churn_labels(), ["user_id", "month_start"], user, {"churn date if churned": "NOT churned OR churn_date IS NOT NULL"},
+            rate=("monthly churn rate", "churned", CHURN_TARGET, CHURN_TOLERANCE),
+        ),
+    ]
+
+
+@register("check_report", _report_sql())
 def check_report(spark, sf):
+    """Q11: the 23 integrity lines, all from one aggregate over the records of eight tables."""
+    return integrity_report(report_tables(_t(spark, sf)), MAX_REACTIVATIONS)
+
+
+# Q10: rules that compare columns of a row.
+ROW_RULES = {
+    "usage_events": ("fx_usage", {
+        "accepted_within_shown": "suggestions_accepted <= suggestions_shown",
+        "rate_of_components": "abs(ai_acceptance_rate - CAST(suggestions_accepted AS DOUBLE) / suggestions_shown) < 1e-3",
+    }),
+    "churn_labels": ("fx_cl", {
+        "churn_date_iff_churned": "churned = (churn_date IS NOT NULL)",
+        "churn_date_in_month": "churn_date IS NULL OR date_trunc('month', churn_date) = month_start",
+    }),
+    "subscriptions": ("fx_subscriptions", {"reason_iff_canceled": "(cancel_reason IS NOT NULL) = (cancel_date IS NOT NULL)"}),
+}
+
+
+@register("row_rules", " UNION ALL ".join(_range_sql(name, view, rules) for name, (view, rules) in ROW_RULES.items()))
+def row_rules(spark, sf):
+    """Q10: cross-column rules, one aggregate per table."""
     t = _t(spark, sf)
-    touches, terms = t.touches(), t.subscriptions()
-    orphans = Q.fk_orphans(touches, t.users(), "user_id").select(F.col("orphan_keys").alias("bad"), F.col("child_keys").alias("total"))
-    dupes = Q.pk_duplicates(touches, ["touch_id"]).select(F.col("duplicate_rows").alias("bad"), F.col("total_rows").alias("total"))
-    leak = Q.count_as_check(Q.events_after_cancel(touches, terms, date="touch_date"), touches)
-    mism = Q.count_as_check(
-        Q.count_mismatch(touches.filter("reactivated"), terms.filter("is_reactivation"), "user_id"), terms.select("user_id").distinct()
-    )
-    return Q.check_report(
-        [("fk_orphan_user_ids", orphans), ("touch_pk_duplicates", dupes), ("touches_after_cancel", leak), ("reactivation_count_mismatch", mism)]
-    )
+    views = {"usage_events": t.usage(), "churn_labels": t.churn_labels(), "subscriptions": t.subscriptions()}
+    out = None
+    for name, (_, rules) in ROW_RULES.items():
+        r = Q.range_checks(views[name], rules, name)
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 @register(
     "conformed_subscriptions",
     """SELECT subscription_id, user_id, term_start_date, term_end_date, term_index, status, billing_period, mrr_usd,
-              coalesce(is_downgrade, FALSE) AS is_downgrade, coalesce(is_reactivation, FALSE) AS is_reactivation, cancel_date
+              coalesce(is_downgrade, FALSE) AS is_downgrade, coalesce(is_reactivation, FALSE) AS is_reactivation, cancel_date, cancel_reason
        FROM fx_subscriptions""",
 )
 def conformed_subscriptions(spark, sf):

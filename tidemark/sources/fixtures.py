@@ -29,6 +29,7 @@ from tidemark.operators.sequence import ordered_neighbors
 # Fixed values of the fixture mapping (must equal the oracle SQL text).
 HOURS_DIVISOR = 25.0  # events.value -> coding hours
 ORDER_HOURS_DIVISOR = 50000.0  # orders.o_totalprice -> monthly avg coding hours
+CANCEL_REASONS = ("price", "missing_features", "switched", "no_longer_needed", "other")  # by order priority 1..5
 LAPSE_DAYS = 30  # a finished order's term lapses 30 days after it starts
 SCORE_COEF_HOURS = 0.6  # fixture churn score: 1/(1+exp(0.6*hours - 0.5*tickets - 0.8))
 SCORE_COEF_TICKETS = 0.5
@@ -228,6 +229,7 @@ class Tables:
                 (F.col("st") == "P").alias("is_downgrade"),
                 F.coalesce(F.col("prev") == "F", F.lit(False)).alias("is_reactivation"),
                 F.when(finished, lapse).alias("cancel_date"),
+                F.when(finished, F.element_at(F.array(*map(F.lit, CANCEL_REASONS)), F.substring("pr", 1, 1).cast("int"))).alias("cancel_reason"),
                 scaled_int(F.col("price"), 2).alias("price_cents"),
             )
 
@@ -245,6 +247,8 @@ class Tables:
                 F.round(F.sum("value") / HOURS_DIVISOR, 3).alias("coding_hours"),
                 (half_up_ratio(F.sum(engaged) * 10_000, F.count(F.lit(1))) / F.lit(10_000.0)).alias("ai_acceptance_rate"),
                 F.count(F.lit(1)).cast("int").alias("session_frequency"),
+                F.count(F.lit(1)).cast("bigint").alias("suggestions_shown"),
+                F.sum(engaged).cast("bigint").alias("suggestions_accepted"),
             )
 
         return self._get("usage", build)

@@ -114,11 +114,26 @@ def test_units_give_the_alignment_of_the_whole(monkeypatch):
 def test_spans_of_the_libraries_are_the_cuts():
     """Ends found from offsets and proto spans are those of the decoded bytes."""
     aligner = alignment.Aligner(open(A_PATH, encoding="utf-8").read(), open(B_PATH, "rb").read())
-    for unit in (" don't", " 中文😀é", " क्षि", "\nfoo", "\n\n x", " 😀😀", " é‍"):
-        ids, ends = aligner.a_ends(unit)
-        assert ends == alignment.np.cumsum([len(aligner.a_bytes[i]) for i in ids]).tolist()
-        ids, ends = aligner.b_ends(unit, aligner.b.encode(unit[1:] if unit[0] == " " else unit, return_type="proto"))
-        assert ends == alignment.np.cumsum([len(aligner.b_bytes[i]) for i in ids]).tolist()
+    for unit in (" don't", " 中文😀é", " क्षि", "\nfoo", "\n\n x", " 😀😀", " é‍", " a 中 b\n é"):
+        data = unit.encode()
+        found = aligner.a.encode(unit, add_special_tokens=False)
+        ids, ends = aligner.a_spans(unit, data)
+        assert ends.tolist() == alignment.np.cumsum([len(aligner.a_bytes[i]) for i in ids.tolist()]).tolist()
+        # sure cuts are those of the offsets
+        at = alignment.np.cumsum([0, *(len(c.encode()) for c in unit)])
+        for k, (_, end) in enumerate(found.offsets):
+            assert (k + 1 < len(ids) and found.offsets[k + 1][0] < end) or at[end] == ends[k]
+        ids, ends = aligner.b_spans(unit, data)
+        assert ends.tolist() == alignment.np.cumsum([len(aligner.b_bytes[i]) for i in ids.tolist()]).tolist()
+
+
+def test_refined_ends():
+    np = alignment.np
+    refined = lambda *x: alignment.Aligner.refined(*map(np.array, x)).tolist()
+    # two tokens end inside a character: their coarse ends are its end
+    assert refined([1, 4, 4, 4, 5], [True, False, False, True, True], [1, 1, 1, 1, 1]) == [1, 2, 3, 4, 5]
+    assert refined([3, 3, 4], [False, True, True], [2, 1, 1]) == [2, 3, 4]
+    assert refined([9, 9], [True, True], [2, 3]) == [2, 5]
 
 
 def test_whole_texts_as_units_and_small_caches(monkeypatch):

@@ -37,8 +37,12 @@ MARK = "\u2581"
 #: fixed values: white space of any of the libraries
 BLANKS = "\\s\x1c-\x1f\x85\u180e\u200b\ufeff"
 #: units that a worker remembers, in two generations, and the longest of them
-CACHE_UNITS = 400_000
+CACHE_UNITS = 600_000
 LONGEST_UNIT = 64
+#: marks that are looked for at the end of units
+MARKS = ".,;:!?"
+#: unknown units that go through the libraries at a time
+TOGETHER = 256
 #: links of the documents of a block, counted once per document
 BLOCK_LINKS = 1 << 20
 
@@ -58,6 +62,7 @@ class Aligner:
     """Groups and links of whole texts."""
 
     CUT = re.compile(f"(?<=[^{BLANKS}])(?=\n| [^{BLANKS}])")
+    INNER = re.compile(f"(?: [^{BLANKS}]|\n)(?:.*[^{BLANKS}])?\\Z", re.DOTALL)
 
     def __init__(self, tokenizer: str, model: bytes):
         import sentencepiece
@@ -65,75 +70,103 @@ class Aligner:
 
         self.a = Tokenizer.from_str(tokenizer)
         self.a.encode_special_tokens = True
-        values = byte_values()
+        values = byte_values()  # of the entries' characters
         self.a_bytes = {i: bytes(map(values.__getitem__, t)) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.is_byte = [self.b.is_byte(i) for i in range(len(pieces))]
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if byte else p.replace(MARK, " ").encode() for p, byte in zip(pieces, self.is_byte)]
         self.apart = not any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces)
+        self.marks = self.lone_marks(pieces) if self.apart else {}
         # unit -> (groups, links, ids of A, ids of B), None where the bytes differ
         self.known: dict[str, tuple | None] = {}
         self.older: dict[str, tuple | None] = {}
 
-    # ---- one unit
-
-    def a_ends(self, unit: str) -> tuple[list[int], list[int]]:
-        """Ids of A and the byte at which each ends."""
-        found = self.a.encode(unit, add_special_tokens=False)
-        ids, spans = found.ids, found.offsets
-        at = range(len(unit) + 1) if unit.isascii() else list(chain([0], np.cumsum([len(c.encode("utf-8")) for c in unit]).tolist()))
-        ends, last = [], 0
-        for k, (i, (_, end)) in enumerate(zip(ids, spans)):
-            shared = k + 1 < len(spans) and spans[k + 1][0] < end
-            last = last + len(self.a_bytes[i]) if shared else at[end]
-            ends.append(last)
-        return ids, ends
-
-    def b_ends(self, unit: str, proto) -> tuple[list[int], list[int]]:
-        """Ids of B and the byte of the unit at which each ends."""
-        blank = unit[0] == " "  # the one that B adds; without it, B's mark is no part of the unit
-        ids, ends, last = [], [], 0
-        for k, piece in enumerate(proto.pieces):
-            if k == 0 and not blank:
-                if piece.piece != MARK:
-                    return [], []
+    def lone_marks(self, pieces: list[str]) -> dict[str, tuple[str, bytes]]:
+        """Marks after an ASCII letter that both sides keep apart from it: their group and link.
+
+        A's splitting pattern does so always; of B, no piece may hold a letter
+        and the mark.
+        """
+        out = {}
+        for mark in MARKS:
+            if any(re.search(f"[A-Za-z]{re.escape(mark)}", p) for p in pieces):
                 continue
-            last = last + 1 if self.is_byte[piece.id] else piece.end + blank
-            ids.append(piece.id)
-            ends.append(last)
-        return ids, ends
-
-    def align(self, unit: str, proto) -> tuple | None:
-        """Groups as text, links as packed pairs of ids, and how many ids each side has; None where bytes differ."""
-        data = unit.encode("utf-8")
-        a_ids, a_ends = self.a_ends(unit)
-        b_ids, b_ends = self.b_ends(unit, proto)
-        a_ends = self.checked(data, [self.a_bytes[i] for i in a_ids], a_ends)
-        b_ends = self.checked(data, [self.b_bytes[i] for i in b_ids], b_ends)
-        if not a_ends or not b_ends:
-            return None
-        groups, links = [], []
-        i = j = a_from = b_from = 0
-        while i < len(a_ids):
-            links.append(a_ids[i] << 32 | b_ids[j])
-            a_end, b_end = a_ends[i], b_ends[j]
-            if a_end <= b_end:
-                i += 1
-            if b_end <= a_end:
-                j += 1
-            if a_end == b_end:
-                groups.append(",".join(map(str, a_ids[a_from:i])) + "|" + ",".join(map(str, b_ids[b_from:j])))
-                a_from, b_from = i, j
-        return ";".join(groups), np.array(links, "<i8").tobytes(), len(a_ids), len(b_ids)
+            a, b = self.a_spans(f" x{mark}", f" x{mark}".encode()), self.b_spans(f" x{mark}", f" x{mark}".encode())
+            if a and b and a[1].tolist() == b[1].tolist() == [2, 3]:
+                a_id, b_id = int(a[0][1]), int(b[0][1])
+                out[mark] = (f";{a_id}|{b_id}", np.array([a_id << 32 | b_id], "<i8").tobytes())
+        return out
+
+    # ---- spans
 
     @staticmethod
-    def checked(data: bytes, tokens: list[bytes], ends: list[int]) -> list[int] | None:
-        """Byte ends whose stretches are the tokens' bytes; None where the tokens do not spell ``data``."""
-        if b"".join(tokens) != data:
+    def refined(coarse: np.ndarray, sure: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Byte ends: a library's own where they are sure, from there on by the tokens' decoded bytes."""
+        done = np.cumsum(sizes)
+        at = np.where(sure, np.arange(len(coarse)), -1)
+        last = np.maximum.accumulate(at)  # the last sure cut so far
+        ends = np.where(last >= 0, coarse[last] + done - done[last], done)
+        # a span that the decoded bytes contradict
+        return ends if np.array_equal(ends, done) else done
+
+    def a_spans(self, text: str, data: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of A and the byte at which each ends; None where they do not spell ``data``."""
+        found = self.a.encode(text, add_special_tokens=False)
+        ids, spans = found.ids, np.fromiter(chain.from_iterable(found.offsets), np.int64).reshape(-1, 2)
+        tokens = [self.a_bytes[i] for i in ids]
+        if not ids or b"".join(tokens) != data:
+            return None
+        coarse = spans[:, 1]
+        if len(text) != len(data):
+            coarse = np.concatenate([[0], np.cumsum([len(c.encode("utf-8")) for c in text])])[coarse]
+        # a token that shares a character with the next one ends inside it
+        sure = np.append(spans[1:, 0] >= spans[:-1, 1], True)
+        return np.array(ids, np.int64), self.refined(coarse, sure, np.fromiter(map(len, tokens), np.int64, len(tokens)))
+
+    def b_spans(self, text: str, data: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of B and the byte of ``text`` at which each ends; None where they do not spell ``data``."""
+        blank = text[0] == " "  # the one that B adds; without it, B's mark is no part of the text
+        pieces = list(self.b.encode(text[blank:], return_type="proto").pieces)
+        if not blank and (not pieces or pieces.pop(0).piece != MARK):
             return None
-        sizes = np.cumsum([len(t) for t in tokens]).tolist()
-        return ends if ends == sizes else sizes  # a library's span that its bytes contradict
+        ids = [p.id for p in pieces]
+        tokens = [self.b_bytes[i] for i in ids]
+        if not ids or b"".join(tokens) != data:
+            return None
+        coarse = np.array([p.end for p in pieces], np.int64) + blank
+        sure = ~np.fromiter(map(self.is_byte.__getitem__, ids), bool, len(ids))
+        return np.array(ids, np.int64), self.refined(coarse, sure, np.fromiter(map(len, tokens), np.int64, len(tokens)))
+
+    def align(self, units: list[str]) -> list[tuple] | None:
+        """(groups as text, links as packed pairs of ids, ids of A, of B) of units that follow one another; None where bytes differ."""
+        text = "".join(units)
+        data = text.encode("utf-8")
+        a, b = self.a_spans(text, data), self.b_spans(text, data)
+        if a is None or b is None:
+            return None
+        (a_ids, a_ends), (b_ids, b_ends) = a, b
+        # between two neighbouring ends lies one token of either side: a link
+        ends = np.union1d(a_ends, b_ends)
+        links = (a_ids[np.searchsorted(a_ends, ends)] << 32 | b_ids[np.searchsorted(b_ends, ends)]).astype("<i8").tobytes()
+        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_to, b_to = np.searchsorted(a_ends, common) + 1, np.searchsorted(b_ends, common) + 1
+        a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
+        groups, i, k = [], 0, 0
+        for j, n in zip(a_to.tolist(), b_to.tolist()):
+            groups.append((a_text[i] if j == i + 1 else ",".join(a_text[i:j])) + "|" + (b_text[k] if n == k + 1 else ",".join(b_text[k:n])))
+            i, k = j, n
+        borders = np.cumsum([len(u) for u in units] if len(text) == len(data) else [len(u.encode("utf-8")) for u in units])
+        group_to = np.searchsorted(common, borders) + 1
+        if not np.array_equal(common[group_to - 1], borders):
+            return None
+        link_to = (np.searchsorted(ends, borders) + 1) * 8
+        counts = [np.diff(x[group_to - 1], prepend=0).tolist() for x in (a_to, b_to)]
+        out, g, at = [], 0, 0
+        for g_to, to, n_a, n_b in zip(group_to.tolist(), link_to.tolist(), *counts):
+            out.append((";".join(groups[g:g_to]), links[at:to], n_a, n_b))
+            g, at = g_to, to
+        return out
 
     # ---- whole texts
 
@@ -142,13 +175,31 @@ class Aligner:
         return self.CUT.split(whole) if self.apart else [whole]
 
     def learn(self, new: list[str]) -> None:
-        """Align unknown units, some at a time."""
-        for at in range(0, len(new), 512):
-            some = new[at : at + 512]
-            # B adds the blank that a unit begins with
-            protos = self.b.encode([u[1:] if u[0] == " " else u for u in some], return_type="proto")
-            for u, proto in zip(some, protos):
-                self.known[u] = self.align(u, proto)
+        """Align unknown units, many at a time where one may follow another.
+
+        Those end without white space and begin as units inside a text do.
+        """
+        plain = [u for u in new if self.INNER.match(u) and MARK not in u] if self.apart else []
+        # ended by a mark that is a token of its own in both: aligned without it
+        ended = [u for u in plain if u[-1] in self.marks and u[-2].isascii() and u[-2].isalpha()]
+        if ended:
+            plain = list(set(plain).difference(ended).union(u[:-1] for u in ended).difference(self.known))
+        # B adds a blank to the first one, so that begins with one; characters of several bytes come last
+        plain.sort(key=lambda u: (u[0] != " ", not u.isascii()))
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            found = self.align(some)
+            if found:
+                self.known.update(zip(some, found))
+        for u in ended:
+            stem = self.known.get(u[:-1])
+            if stem:
+                groups, link = self.marks[u[-1]]
+                self.known[u] = (stem[0] + groups, stem[1] + link, stem[2] + 1, stem[3] + 1)
+        for u in new:
+            if u not in self.known:
+                found = self.align([u])
+                self.known[u] = found[0] if found else None
 
     def lines(self, texts: list[str]) -> list[tuple | None]:
         """(groups, links, number of ids of A, of B) of each text; None for empty texts and where bytes differ."""

@@ -133,7 +133,7 @@ def test_streaming_rerun_adds_nothing(spark):
     root = _scratch()
     land = f"{root}/landing"
     spark.createDataFrame(
-        [(1, 5.0, 0.5, 3, d(2025, 1, 1)), (None, 1.0, 0.2, 1, d(2025, 1, 1)), (2, 20.0, 0.1, 2, d(2025, 1, 2))],
+        [(1, 5.0, 0.5, 3, d(2025, 1, 1)), (None, 1.0, 0.2, 1, d(2025, 1, 1)), (2, 30.0, 0.1, 2, d(2025, 1, 2))],
         "user_id long, coding_hours double, ai_suggestion_acceptance_rate double, session_frequency long, event_date date",
     ).write.partitionBy("event_date").parquet(land)
     I.run_pipeline(spark, USAGE_EVENTS, land, root)

@@ -76,6 +76,10 @@ SELECT l.l_orderkey * 10 + l.l_linenumber AS touch_id, p.p_brand AS campaign_id,
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey
 """
 
+FX["fx_touches_u"] = """
+SELECT *, opened AND NOT clicked AND (user_id + CAST(substring(campaign_id, 7) AS INT)) % 13 = 0 AS unsubscribed FROM fx_touches
+"""
+
 FX["fx_span"] = """
 SELECT o_custkey AS user_id, CAST(date_trunc('month', min(o_orderdate)) AS DATE) AS m0,
        CAST(date_trunc('month', max(o_orderdate)) AS DATE) AS m1 FROM orders GROUP BY o_custkey

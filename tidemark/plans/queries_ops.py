@@ -156,6 +156,89 @@ def _land_usage(spark, sf, landing):
     u.write.mode("overwrite").partitionBy("event_date").parquet(landing)
 
 
+def _landing_views(spark, sf):
+    """Spec -> the rows that land for it."""
+    from tidemark.operators.derive import feature_adoption
+    from tidemark.streaming import tables as IT
+
+    t = _t(spark, sf)
+    days = t.touches().select("user_id", F.col("touch_date").alias("event_date")).distinct()
+    return {
+        IT.USERS: t.users_profile(),
+        IT.SUBSCRIPTIONS: t.subscriptions(),
+        IT.FEATURE_ADOPTION: feature_adoption(days, t.at_risk(), t.feature_days()),
+        IT.SUPPORT_TICKETS: t.tickets(),
+        IT.CRM_CAMPAIGNS: t.campaigns(),
+        IT.CRM_TOUCHES: t.touches_with_optout(),
+        IT.CHURN_LABELS: t.churn_labels(),
+    }
+
+
+def _land_all(spark, sf, root):
+    """All eight landing folders; spec -> folder."""
+    from tidemark.streaming import tables as IT
+
+    folders = {}
+    for spec, df in _landing_views(spark, sf).items():
+        folders[spec] = f"{root}/landing/{spec.name}"
+        df.write.mode("overwrite").parquet(folders[spec])
+    folders[IT.USAGE_EVENTS] = f"{root}/landing/usage_events"
+    _land_usage(spark, sf, folders[IT.USAGE_EVENTS])
+    return folders
+
+
+#: table -> (oracle view, the key that the silver rows are summed by)
+SILVER_VIEWS = {
+    "users": ("fx_users_p", "user_id"), "subscriptions": ("fx_subscriptions", "subscription_id"), "feature_adoption": ("fx_feature_adoption", "user_id"),
+    "support_tickets": ("fx_tickets", "ticket_id"), "crm_campaigns": ("fx_campaigns", "offers"), "crm_touches": ("fx_touches_u", "touch_id"),
+    "churn_labels": ("fx_cl", "user_id"), "usage_events": ("fx_usage", "user_id"),
+}
+
+
+@register(
+    "silver_tables",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS dataset, CAST(count(*) AS BIGINT) AS silver_rows, CAST(sum({k}) AS BIGINT) AS key_sum, CAST(count(*) AS BIGINT) AS bronze_rows FROM {v}"
+        for t, (v, k) in SILVER_VIEWS.items()
+    ),
+)
+def silver_tables(spark, sf):
+    """All eight tables through bronze and silver, twice; the second run adds nothing.
+
+    bronze_rows counts bronze rows with their lineage columns set.
+    """
+    from tidemark.streaming.ingest import run_pipelines
+
+    root = _scratch(spark, "ingest_all")
+    folders = _land_all(spark, sf, root)
+    paths = run_pipelines(spark, folders, root)
+    run_pipelines(spark, folders, root)
+    out = None
+    for name, own in paths.items():
+        key = SILVER_VIEWS[name][1]
+        silver = spark.read.parquet(own["silver"]).agg(F.count(F.lit(1)).alias("silver_rows"), F.sum(key).cast("bigint").alias("key_sum"))
+        lineage = F.col("_source_file").isNotNull() & F.col("_ingested_at").isNotNull()
+        bronze = spark.read.parquet(own["bronze"]).agg(F.count_if(lineage))
+        r = silver.select(F.lit(name).alias("dataset"), "silver_rows", "key_sum", bronze.scalar().alias("bronze_rows"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def _rules_sql():
+    from tidemark.streaming import tables as IT
+
+    views = {**{t: v for t, (v, _) in SILVER_VIEWS.items()}, "crm_touches": f"(SELECT *, {IT.OUTCOME} AS outcome FROM fx_touches_u) z"}
+    parts = []
+    for spec in IT.INGEST_SPECS:
+        for action, rules in (("drop", spec.expect_drop), ("keep", spec.expect_keep)):
+            parts += [
+                f"""SELECT '{spec.name}' AS dataset, '{n}' AS rule, '{action}' AS action, CAST(count(*) - count_if(NOT coalesce({r}, FALSE)) AS BIGINT) AS passed,
+                           CAST(count_if(NOT coalesce({r}, FALSE)) AS BIGINT) AS failed FROM {views[spec.name]}"""
+                for n, r in rules.items()
+            ]
+    return " UNION ALL ".join(parts)
+
+
 @register(
     "bronze_silver_stream",
     "SELECT user_id, event_date, coding_hours, ai_acceptance_rate, session_frequency FROM fx_usage WHERE user_id IS NOT NULL",
@@ -173,32 +256,16 @@ def bronze_silver_stream(spark, sf):
     return spark.read.parquet(f"{root}/silver/usage_events").drop("batch_id")
 
 
-@register(
-    "stream_expectation_metrics",
-    """SELECT 'usage_events' AS dataset, rule, action, CAST(sum(passed) AS BIGINT) AS passed, CAST(sum(failed) AS BIGINT) AS failed FROM (
-         SELECT 'valid_user' AS rule, 'drop' AS action, count(*) - count_if(NOT coalesce(user_id IS NOT NULL, FALSE)) AS passed,
-                count_if(NOT coalesce(user_id IS NOT NULL, FALSE)) AS failed FROM fx_usage
-         UNION ALL SELECT 'valid_hours', 'keep', count(*) - count_if(NOT coalesce(coding_hours BETWEEN 0 AND 16, FALSE)),
-                count_if(NOT coalesce(coding_hours BETWEEN 0 AND 16, FALSE)) FROM fx_usage
-         UNION ALL SELECT 'valid_acceptance', 'keep', count(*) - count_if(NOT coalesce(ai_acceptance_rate BETWEEN 0 AND 1, FALSE)),
-                count_if(NOT coalesce(ai_acceptance_rate BETWEEN 0 AND 1, FALSE)) FROM fx_usage
-         UNION ALL SELECT 'valid_sessions', 'keep', count(*) - count_if(NOT coalesce(session_frequency >= 1, FALSE)),
-                count_if(NOT coalesce(session_frequency >= 1, FALSE)) FROM fx_usage) z
-       GROUP BY rule, action""",
-)
+@register("stream_expectation_metrics", _rules_sql())
 def stream_expectation_metrics(spark, sf):
-    """ST3/Q2: per-micro-batch rule counts written by the silver stream,
-    summed per rule (each batch id counted once)."""
-    from tidemark.streaming.ingest import run_pipeline
-    from tidemark.streaming.tables import USAGE_EVENTS
+    """ST3/Q2: rule counts of all eight tables, observed while their micro-batches
+    were written, summed per rule (each batch id counted once)."""
+    from tidemark.streaming.ingest import run_pipelines
 
     root = _scratch(spark, "ingest_metrics")
-    _land_usage(spark, sf, f"{root}/landing")
-    paths = run_pipeline(spark, USAGE_EVENTS, f"{root}/landing", root)
-    m = spark.read.parquet(paths["metrics"])  # one folder per batch id
-    return m.groupBy("dataset", "rule", "action").agg(
-        F.sum("passed").cast("bigint").alias("passed"), F.sum("failed").cast("bigint").alias("failed")
-    )
+    paths = run_pipelines(spark, _land_all(spark, sf, root), root)
+    m = spark.read.parquet(*[f"{own['metrics']}/batch_id=*" for own in paths.values()])
+    return m.groupBy("dataset", "rule", "action").agg(F.sum("passed").cast("bigint").alias("passed"), F.sum("failed").cast("bigint").alias("failed"))
 
 
 # ------------------------------------------------------------------------ ST4

@@ -86,25 +86,22 @@ def pk_duplicates(spark, sf):
     return out
 
 
-def _exp_sql(name, view, spec):
-    parts = []
-    rules = [(n, r, "drop") for n, r in spec.expect_drop.items()] + [(n, r, "keep") for n, r in spec.expect_keep.items()]
-    for n, r, a in rules:
-        parts.append(
-            f"""SELECT '{name}' AS dataset, '{n}' AS rule, '{a}' AS action,
-                       CAST(count(*) - count_if(NOT coalesce({r}, FALSE)) AS BIGINT) AS passed,
-                       CAST(count_if(NOT coalesce({r}, FALSE)) AS BIGINT) AS failed FROM {view}"""
-        )
-    return " UNION ALL ".join(parts)
+def _expectations_sql():
+    from tidemark.plans.queries_ops import _rules_sql
 
+    return _rules_sql()
 
-@register(
-    "expectations",
-    _exp_sql("usage_events", "fx_usage", IT.USAGE_EVENTS) + " UNION ALL " + _exp_sql("support_tickets", "fx_tickets", IT.SUPPORT_TICKETS),
-)
+
+@register("expectations", _expectations_sql())
 def expectations(spark, sf):
-    t = _t(spark, sf)
-    return expectation_report(t.usage(), IT.USAGE_EVENTS).unionByName(expectation_report(t.tickets(), IT.SUPPORT_TICKETS))
+    """Q1-Q3: every rule of the eight tables, one aggregate per table."""
+    from tidemark.plans.queries_ops import _landing_views
+
+    views = _landing_views(spark, sf)
+    out = expectation_report(_t(spark, sf).usage(), IT.USAGE_EVENTS)
+    for spec, df in views.items():
+        out = out.unionByName(expectation_report(df.withColumn("outcome", F.expr(IT.OUTCOME)) if spec is IT.CRM_TOUCHES else df, spec))
+    return out
 
 
 @register(

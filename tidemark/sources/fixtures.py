@@ -30,6 +30,7 @@ from tidemark.operators.sequence import ordered_neighbors
 HOURS_DIVISOR = 25.0  # events.value -> coding hours
 ORDER_HOURS_DIVISOR = 50000.0  # orders.o_totalprice -> monthly avg coding hours
 CANCEL_REASONS = ("price", "missing_features", "switched", "no_longer_needed", "other")  # by order priority 1..5
+OPTOUT_EVERY = 13
 LAPSE_DAYS = 30  # a finished order's term lapses 30 days after it starts
 SCORE_COEF_HOURS = 0.6  # fixture churn score: 1/(1+exp(0.6*hours - 0.5*tickets - 0.8))
 SCORE_COEF_TICKETS = 0.5
@@ -322,6 +323,15 @@ class Tables:
 
         return self._get("touches", build)
 
+    def touches_with_optout(self) -> DataFrame:
+        """Touches with ``unsubscribed``: the user opts out on an opened, not clicked one of every thirteenth user and brand."""
+
+        def build():
+            out = F.col("opened") & ~F.col("clicked") & ((F.col("user_id") + F.substring("campaign_id", 7, 1000).cast("int")) % OPTOUT_EVERY == 0)
+            return self.touches().withColumn("unsubscribed", out)
+
+        return self._get("touches_with_optout", build)
+
     # ------------------------------------------------------------------ spine
     def order_span(self) -> DataFrame:
         """First and last order month per user."""

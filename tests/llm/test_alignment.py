@@ -105,8 +105,8 @@ def test_units_give_the_alignment_of_the_whole(monkeypatch):
         if want is None:
             assert got is None, repr(t)
         else:
-            groups, links, a, b = got
-            assert groups == ";".join(want[0]) and (a, b) == want[2:], repr(t)
+            groups, links, n_groups, a, b = got
+            assert groups == ";".join(want[0]) and n_groups == len(want[0]) and (a, b) == want[2:], repr(t)
             packed = alignment.np.frombuffer(links, "<i8").tolist()
             assert Counter(packed) == Counter(x << 32 | y for x, y in want[1])
 

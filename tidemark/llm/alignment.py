@@ -74,11 +74,15 @@ class Aligner:
         self.a_bytes = {i: bytes(map(values.__getitem__, t)) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.is_byte = [self.b.is_byte(i) for i in range(len(pieces))]
-        self.b_bytes = [bytes([int(p[1:-1], 16)]) if byte else p.replace(MARK, " ").encode() for p, byte in zip(pieces, self.is_byte)]
+        self.is_byte = np.array([self.b.is_byte(i) for i in range(len(pieces))])
+        self.b_bytes = [bytes([int(p[1:-1], 16)]) if byte else p.replace(MARK, " ").encode() for p, byte in zip(pieces, self.is_byte.tolist())]
+        self.a_sizes = np.zeros(max(self.a_bytes) + 1, np.int64)
+        self.a_sizes[list(self.a_bytes)] = [len(t) for t in self.a_bytes.values()]
+        self.b_sizes = np.array([len(t) for t in self.b_bytes], np.int64)
+        self.mark_id = self.b.piece_to_id(MARK)
         self.apart = not any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces)
         self.marks = self.lone_marks(pieces) if self.apart else {}
-        # unit -> (groups, links, ids of A, ids of B), None where the bytes differ
+        # unit -> (groups, links, ids of A), None where the bytes differ
         self.known: dict[str, tuple | None] = {}
         self.older: dict[str, tuple | None] = {}
 
@@ -114,32 +118,32 @@ class Aligner:
         """Ids of A and the byte at which each ends; None where they do not spell ``data``."""
         found = self.a.encode(text, add_special_tokens=False)
         ids, spans = found.ids, np.fromiter(chain.from_iterable(found.offsets), np.int64).reshape(-1, 2)
-        tokens = [self.a_bytes[i] for i in ids]
-        if not ids or b"".join(tokens) != data:
+        if not ids or b"".join(map(self.a_bytes.__getitem__, ids)) != data:
             return None
+        ids = np.array(ids, np.int64)
         coarse = spans[:, 1]
         if len(text) != len(data):
             coarse = np.concatenate([[0], np.cumsum([len(c.encode("utf-8")) for c in text])])[coarse]
         # a token that shares a character with the next one ends inside it
         sure = np.append(spans[1:, 0] >= spans[:-1, 1], True)
-        return np.array(ids, np.int64), self.refined(coarse, sure, np.fromiter(map(len, tokens), np.int64, len(tokens)))
+        return ids, self.refined(coarse, sure, self.a_sizes[ids])
 
     def b_spans(self, text: str, data: bytes) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of B and the byte of ``text`` at which each ends; None where they do not spell ``data``."""
         blank = text[0] == " "  # the one that B adds; without it, B's mark is no part of the text
-        pieces = list(self.b.encode(text[blank:], return_type="proto").pieces)
-        if not blank and (not pieces or pieces.pop(0).piece != MARK):
+        pieces = [(p.id, p.end) for p in self.b.encode(text[blank:], return_type="proto").pieces]
+        if not blank and (not pieces or pieces.pop(0)[0] != self.mark_id):
             return None
-        ids = [p.id for p in pieces]
-        tokens = [self.b_bytes[i] for i in ids]
-        if not ids or b"".join(tokens) != data:
+        if not pieces:
             return None
-        coarse = np.array([p.end for p in pieces], np.int64) + blank
-        sure = ~np.fromiter(map(self.is_byte.__getitem__, ids), bool, len(ids))
-        return np.array(ids, np.int64), self.refined(coarse, sure, np.fromiter(map(len, tokens), np.int64, len(tokens)))
+        ids, coarse = zip(*pieces)
+        if b"".join(map(self.b_bytes.__getitem__, ids)) != data:
+            return None
+        ids = np.array(ids, np.int64)
+        return ids, self.refined(np.array(coarse, np.int64) + blank, ~self.is_byte[ids], self.b_sizes[ids])
 
     def align(self, units: list[str]) -> list[tuple] | None:
-        """(groups as text, links as packed pairs of ids, ids of A, of B) of units that follow one another; None where bytes differ."""
+        """(groups as text, links as packed pairs of ids, number of A's ids) of units that follow one another; None where bytes differ."""
         text = "".join(units)
         data = text.encode("utf-8")
         a, b = self.a_spans(text, data), self.b_spans(text, data)
@@ -161,10 +165,10 @@ class Aligner:
         if not np.array_equal(common[group_to - 1], borders):
             return None
         link_to = (np.searchsorted(ends, borders) + 1) * 8
-        counts = [np.diff(x[group_to - 1], prepend=0).tolist() for x in (a_to, b_to)]
+        counts = np.diff(a_to[group_to - 1], prepend=0)
         out, g, at = [], 0, 0
-        for g_to, to, n_a, n_b in zip(group_to.tolist(), link_to.tolist(), *counts):
-            out.append((";".join(groups[g:g_to]), links[at:to], n_a, n_b))
+        for g_to, to, n_a in zip(group_to.tolist(), link_to.tolist(), counts.tolist()):
+            out.append((";".join(groups[g:g_to]), links[at:to], n_a))
             g, at = g_to, to
         return out
 
@@ -195,14 +199,14 @@ class Aligner:
             stem = self.known.get(u[:-1])
             if stem:
                 groups, link = self.marks[u[-1]]
-                self.known[u] = (stem[0] + groups, stem[1] + link, stem[2] + 1, stem[3] + 1)
+                self.known[u] = (stem[0] + groups, stem[1] + link, stem[2] + 1)
         for u in new:
             if u not in self.known:
                 found = self.align([u])
                 self.known[u] = found[0] if found else None
 
     def lines(self, texts: list[str]) -> list[tuple | None]:
-        """(groups, links, number of ids of A, of B) of each text; None for empty texts and where bytes differ."""
+        """(groups, links, how many groups, ids of A, ids of B) of each text; None for empty texts and where bytes differ."""
         if len(self.known) > CACHE_UNITS // 2:
             self.known, self.older = {}, self.known
         cut = [self.units(t) if t else [] for t in texts]
@@ -219,8 +223,11 @@ class Aligner:
             if not found or None in found:
                 out.append(None)
             else:
-                groups, links, a, b = zip(*found)
-                out.append((";".join(groups), b"".join(links), sum(a), sum(b)))
+                groups, links, a = zip(*found)
+                text, packed, n_a = ";".join(groups), b"".join(links), sum(a)
+                # ends of either side that are not common make one link more than there are groups
+                n_groups = text.count(";") + 1
+                out.append((text, packed, n_groups, n_a, len(packed) // 8 + n_groups - n_a))
         for u in new:
             if len(u) > LONGEST_UNIT:
                 del known[u]
@@ -283,14 +290,11 @@ def blocks(docs: DataFrame, tokenizer: str, model: bytes, id_col: str = "doc_id"
                 yield _batch(rows[k : k + 1024])
             yield _batch([(number, False, None, None, None, None, None, None, links, None, total)])
 
-        for batch in slices(batches, 64):
+        for batch in slices(batches):
             for doc_id, line in zip(batch.column(0).to_pylist(), made(aligner).lines(batch.column(1).to_pylist())):
-                if line is None:
-                    groups, found, a, b = None, b"", 0, 0
-                else:
-                    groups, found, a, b = line
+                groups, found, n_groups, a, b = line or (None, b"", 0, 0, 0)
                 links, times = np.unique(np.frombuffer(found, "<i8"), return_counts=True)
-                kept.append(((doc_id, a, b, groups.count(";") + 1 if groups else 0, len(found) // 8, groups), links, times))
+                kept.append(((doc_id, a, b, n_groups, len(found) // 8, groups), links, times))
                 size += len(links) + (len(groups) if groups else 0) // 16
             if size >= BLOCK_LINKS:
                 yield from close()

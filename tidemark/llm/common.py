@@ -80,6 +80,27 @@ def made(how: Broadcast):
     return kept["made"]
 
 
+#: parts that a join's rows are thought of in: a key with more rows than one is dealt out
+PIECES = 2048
+
+
+def dealt_join(rows: DataFrame, classes: DataFrame, keys: list[str], counted: str, place: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``classes``, which has one row per key and in ``counted`` how many rows have it.
+
+    A key that holds more than one in ``PIECES`` of the ``total`` rows would
+    meet in one task.  There are at most ``PIECES`` such keys, so their list is
+    broadcast; their rows are dealt by a hash of ``place`` over as many pieces
+    as they are too many, and their class is copied to each.  ``classes`` is
+    read more than once and should be a written table.
+    """
+    limit = max(1, total // PIECES)
+    heavy = classes.where(F.col(counted) > limit).select(*keys, F.ceil(F.col(counted) / limit).cast("int").alias("_pieces"))
+    pieces = F.coalesce(F.col("_pieces"), F.lit(1))
+    dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn("_piece", F.pmod(F.xxhash64(*place), pieces).cast("int")).drop("_pieces")
+    copied = classes.join(F.broadcast(heavy), keys, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_pieces")
+    return dealt.join(copied, [*keys, "_piece"], how).drop("_piece")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Cut record batches into pieces of at most ``rows`` rows."""
     for batch in batches:

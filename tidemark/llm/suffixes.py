@@ -14,7 +14,12 @@ each a stretch of bytes at a fixed place from an anchor:
 
 Digits are compared as a 64-bit hash next to the previous digit's (128 bits in
 all).  Every pass is a count by key, combined before the shuffle, and a join
-on it, so a digit that very many suffixes share meets in no single task.
+on it, for which the rows of a digit that very many suffixes share are dealt
+over several tasks (``dealt_join``).
+
+Texts that repeat whole, by the SHA-256 of their bytes, need no passes: all of
+them goes.  One of them stays in the passes for the sake of the other texts, so
+a large group of copies adds the windows of one text.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batched, slices, stored, utf8
+from tidemark.llm.common import batched, dealt_join, slices, stored, utf8
 
 LENGTH = 400
 GRAM = 32
@@ -89,12 +94,27 @@ def text_anchors(text: bytes, length: int, gram: int, powers) -> Iterator[tuple[
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, th, text): rows that agree in both are whole repeats of each other."""
+    """(doc_id, th, sha, text): ``sha`` is equal for texts that repeat whole."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    sha = F.unhex(F.sha2(text.cast("binary"), 256))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), sha.alias("sha"), text.alias("text"))
+
+
+def _with_copies(keyed: DataFrame, length: int) -> DataFrame:
+    """``keyed`` rows of at least ``length`` bytes, with ``copies`` and ``chosen``, one id among them, where a text repeats whole."""
+    long = keyed.where(F.octet_length("text") >= length)
+    counted = long.groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("chosen")).where("copies > 1")
+    return dealt_join(long, stored(counted, "copies"), ["sha"], "copies", ["doc_id"], long.count(), "left")
+
 
+def _distinct(marked: DataFrame) -> DataFrame:
+    """(doc_id, th, text): each text once."""
+    one = marked.where(F.col("copies").isNotNull() & F.col("doc_id").eqNullSafe(F.col("chosen")))
+    one = one.groupBy("sha").agg(F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.first("text").alias("text"))
+    return marked.where("copies IS NULL").select("doc_id", "th", "text").unionAll(one.select("doc_id", "th", "text"))
 
-def _runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
+
+def _runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc_id, th, key, span, at, first, n): first digit and whole bytes of each run."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,17 +135,17 @@ def _runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                 arrays += [pa.array(np.concatenate(c).astype(t)) for c, t in zip(cols[2:], (np.int64, np.int64, np.int32, np.int32, np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "th", "key", "span", "at", "first", "n"])
 
-    return keyed.transform(batched).mapInArrow(make, "doc_id long, th long, key long, span long, at int, first int, n int")
+    return texts.transform(batched).mapInArrow(make, "doc_id long, th long, key long, span long, at int, first int, n int")
 
 
 def _same_doc(a: DataFrame, b: DataFrame):
     return a.doc_id.eqNullSafe(b.doc_id) & (a.th == b.th)
 
 
-def _contexts(keyed: DataFrame, edges: DataFrame, length: int) -> DataFrame:
+def _contexts(texts: DataFrame, edges: DataFrame, length: int) -> DataFrame:
     """(doc_id, th, key, at, first, n, bytes): the bytes of the runs that the first pass left open."""
     by_doc = edges.groupBy("doc_id", "th").agg(F.collect_set(F.struct("key", "at", "first", "n")).alias("runs"))
-    joined = keyed.join(by_doc, _same_doc(keyed, by_doc)).select(keyed.doc_id, keyed.th, "text", "runs")
+    joined = texts.join(by_doc, _same_doc(texts, by_doc)).select(texts.doc_id, texts.th, "text", "runs")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
@@ -199,26 +219,30 @@ def _pass(rows: DataFrame, group: str, digit: str, name: str) -> DataFrame:
     rows go on to the next pass: those not settled and, as their possible
     partners, one row of each settled digit in the same group.
     """
-    twice = rows.groupBy(group).agg(F.count("*").alias("count")).where("count > 1").select(group)
-    met = stored(rows.join(twice, group), name)
+    total = rows.count()
     place = F.struct("doc_id", "th", "first")
-    classes = stored(met.groupBy(group, digit).agg((F.count("*") > 1).alias("settled"), F.min(place).alias("chosen")), f"{name}-digits")
-    mixed = classes.groupBy(group).agg(F.bool_or(~F.col("settled")).alias("mixed"))
-    marked = met.join(classes.join(mixed, group), [group, digit])
+    at = ["doc_id", "th", "first"]
+    twice = stored(rows.groupBy(group).agg(F.count("*").alias("rows")).where("rows > 1"), f"{name}-groups")
+    met = stored(dealt_join(rows, twice, [group], "rows", at, total).drop("rows"), name)
+    classes = met.groupBy(group, digit).agg(F.count("*").alias("rows"), F.min(place).alias("chosen")).withColumn("settled", F.col("rows") > 1)
+    classes = stored(classes, f"{name}-digits")
+    mixed = stored(classes.groupBy(group).agg(F.count("*").alias("digits"), F.bool_or(~F.col("settled")).alias("mixed")), f"{name}-mixed")
+    judged = dealt_join(classes, mixed, [group], "digits", [digit], total).drop("digits")
+    marked = dealt_join(met, judged, [group, digit], "rows", at, total).drop("rows")
     return marked.withColumn("open", F.col("mixed") & (~F.col("settled") | (place == F.col("chosen")))).drop("chosen", "mixed")
 
 
-def repeated_windows(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """(doc_id, th, first, n): runs of window starts whose bytes also start elsewhere."""
     block = min(block, max(1, length // 2))
-    runs = stored(_runs(keyed, length, min(gram, length)), "runs")
+    runs = stored(_runs(texts, length, min(gram, length)), "runs")
     one = stored(_pass(runs, "key", "span", "open-runs"), "settled-runs")
-    contexts = stored(_contexts(keyed, one.where("open"), length), "contexts")
+    contexts = stored(_contexts(texts, one.where("open"), length), "contexts")
     blocks = stored(_blocks(contexts, length, block), "blocks")
     two = stored(_pass(blocks, "core", "span", "open-blocks"), "settled-blocks")
     windows = stored(_windows(contexts, two.where("open"), length), "windows")
-    again = windows.groupBy("core", "whole").agg(F.count("*").alias("count")).where("count > 1").select("core", "whole")
-    three = windows.join(again, ["core", "whole"])
+    again = stored(windows.groupBy("core", "whole").agg(F.count("*").alias("rows")).where("rows > 1"), "again")
+    three = dealt_join(windows, again, ["core", "whole"], "rows", ["doc_id", "th", "first"], windows.count())
     place = ["doc_id", "th", "first"]
     return (
         one.where("settled").select(*place, "n")
@@ -248,15 +272,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     repeat a doc_id or have none; other columns are not read.
     """
     keyed = _keyed(docs, id_col, text_col)
-    found = repeated_windows(keyed, length, gram, block)
+    marked = _with_copies(keyed, length)
+    found = repeated_windows(_distinct(marked), length, gram, block)
     by_doc = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
-    joined = keyed.join(by_doc, _same_doc(keyed, by_doc), "left").select(keyed.doc_id, "text", "runs")
+    single = marked.where("copies IS NULL")
+    none = F.lit(None).cast(by_doc.schema["runs"].dataType)
+    joined = (
+        single.join(by_doc, _same_doc(single, by_doc), "left")
+        .select(single.doc_id, "text", "runs", F.lit(False).alias("whole"))
+        .unionAll(marked.where("copies IS NOT NULL").select("doc_id", "text", none, F.lit(True)))
+        .unionAll(keyed.where(F.octet_length("text") < length).select("doc_id", "text", none, F.lit(False)))
+    )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
             rows = []
-            for doc, text, runs in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
-                gone = removal_runs([r["first"] for r in runs or ()], [r["n"] for r in runs or ()], length)
+            for doc, text, runs, whole in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                gone = [(0, len(text))] if whole else removal_runs([r["first"] for r in runs or ()], [r["n"] for r in runs or ()], length)
                 edges = [0, *[x for run in gone for x in run], len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 rows.append((doc, len(text), len(text) - len(kept), len(gone), kept))
@@ -269,5 +301,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
 
 
 def repeats_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return remove_repeats(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text.
+
+    text is what stays; bytes that a removed run cut off a character are
+    written as U+FFFD there, while the digest is of the bytes themselves.
+    """
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return remove_repeats(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text.alias("text"))

@@ -60,3 +60,18 @@ def test_query_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
     got = catalog.queries()["op5_language_id"](spark, d).where("held_out").join(docs, "doc_id").collect()
     assert sum(r.lang == r.lang_pred for r in got) > 0.95 * len(got)
+
+
+def test_letters():
+    assert all(map(langid.has_letter, ("a", "1 é", "½ ²ª", "中", "٣ب")))
+    assert not any(map(langid.has_letter, ("", "12 ½ ² Ⅷ", "٣", "_-", "́")))
+
+
+def test_every_language_is_learned_and_repeats_are_bounded(spark, monkeypatch):
+    """More languages than any list holds, and one id that has a third of the rows."""
+    seen = {}
+    monkeypatch.setattr(langid.Net, "train", lambda self, windows, labels: seen.update(languages=self.languages, rows=len(labels)))
+    rows = [(i, f"text of language number {i % 230}", f"l{i % 230:03}") for i in range(690)] + [(None, "the same text", "l000")] * 345
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s"))
+    langid.learn(df, sample_rows=2)
+    assert len(seen["languages"]) > 200 and seen["rows"] <= 2 * 230

@@ -98,3 +98,10 @@ def test_query_finds_held_out_toxic_documents(spark):
     got = catalog.queries()["op2_toxicity"](spark, d).where("held_out").join(labels, "doc_id").collect()
     found = [r.predicted for r in got if r.toxic == 1]
     assert sum(found) > 0.5 * len(found)
+
+
+def test_an_id_with_a_third_of_the_rows_gives_one_text(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)] + [(7, f"again {i}") for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    sample = toxicity._sample(docs, labels, 100).collect()
+    assert len(sample) == len({r.id for r in sample}) and {r.id for r in sample} <= set(range(60))

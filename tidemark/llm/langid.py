@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batched, lazy, made, slices, utf8
@@ -22,17 +22,16 @@ WINDOW = 256
 EMBED = 8
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: labelled texts per language that are learned from at most (as expected by a hash of their
-#: ids), windows of each, and languages: the most frequent ones
+#: labelled texts per language that are learned from at most, by a hash of id and text, and windows of each
 SAMPLE_ROWS = 1500
 SAMPLE_WINDOWS = 4
-LANGUAGES = 200
 EPOCHS = 6
 BATCH = 128
 RATE = 3e-3
 #: windows scored at a time
 SCORE_BATCH = 256
 UNKNOWN = "und"
+#: what may be a letter: it also matches other numerals than digits
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -136,13 +135,16 @@ def remainder(column, by: int = 4):
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Net | None:
     """A network of the languages of rows that are not held out; None without any."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(remainder(F.col("doc_id")) != 2)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return None
-    # each language's share of ids that gives ``sample_rows`` rows, by a hash of the id
+    # one row per language
+    counts = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    # about twice as many of each as are learned from, by hash; then exactly so many, repeated rows once
     million = 1_000_000
-    rates = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(million, million * sample_rows // r["count"] + 1)))])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < F.coalesce(F.try_element_at(rates, "lang"), F.lit(0)))
+    key = F.xxhash64("doc_id", "text")
+    rate = F.least(F.lit(million), F.floor(F.lit(2 * million * sample_rows) / F.col("rows")) + 1)
+    some = rows.withColumn("key", key).join(F.broadcast(counts), "lang").where(F.pmod("key", F.lit(million)) < rate)
+    some = some.groupBy("lang", "key").agg(F.first("text").alias("text"))
+    ranked = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")))
+    chosen = ranked.where(F.col("place") <= sample_rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -156,21 +158,26 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Net | None:
 
     found = chosen.select("lang", F.col("text").cast("string")).transform(batched).mapInArrow(cut, "lang string, bytes binary").collect()
     found = sorted((r["lang"], bytes(r["bytes"])) for r in found)
-    net = Net(sorted({lang for lang, _ in found}))
     if not found:
         return None
+    net = Net(sorted({lang for lang, _ in found}))
     names = {lang: k for k, lang in enumerate(net.languages)}
     windows = np.frombuffer(b"".join(x for _, x in found), np.uint8).reshape(-1, WINDOW)
     net.train(windows, np.array([names[lang] for lang, _ in found]))
     return net
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter (general category L)."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def predict(net: Net | None, texts: list[bytes | None]) -> list[tuple[str, float]]:
     """(language, score) of each text; ``und`` and 0 without a letter."""
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
     if net is None:
         return out
-    known = [k for k, t in enumerate(texts) if t and LETTER.search(t.decode())]
+    known = [k for k, t in enumerate(texts) if t and has_letter(t.decode())]
     for some in (known[at : at + 16] for at in range(0, len(known), 16)):
         parts = [text_windows(texts[k]) for k in some]
         scores = net.predict(np.concatenate(parts))

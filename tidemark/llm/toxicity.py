@@ -229,8 +229,9 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     order = [F.xxhash64("id"), F.col("id")]
     chosen = marked.where("toxic").orderBy(*order).limit(rows).unionAll(marked.where("NOT toxic").orderBy(*order).limit(rows))
     narrow = docs.select(F.col("doc_id"), F.col("text"))
-    # at most twice ``rows`` rows of two fixed-width columns
-    return narrow.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "toxic", "text")
+    # at most twice ``rows`` rows of two fixed-width columns; of rows that share an id, one text
+    found = narrow.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    return found.groupBy("id", "toxic").agg(F.min("text").alias("text"))
 
 
 def dictionaries(texts: list[tuple[bool, bytes]]) -> tuple[bytes, bytes]:

@@ -15,11 +15,8 @@ each a stretch of bytes at a fixed place from an anchor:
 Digits are compared as a 64-bit hash next to the previous digit's (128 bits in
 all).  Every pass is a count by key, combined before the shuffle, and a join
 on it, for which the rows of a digit that very many suffixes share are dealt
-over several tasks (``dealt_join``).
-
-Texts that repeat whole, by the SHA-256 of their bytes, need no passes: all of
-them goes.  One of them stays in the passes for the sake of the other texts, so
-a large group of copies adds the windows of one text.
+over several tasks (``dealt_join``).  Whole copies settle in the first pass,
+after which one of them stands for all.
 """
 
 from __future__ import annotations
@@ -94,24 +91,19 @@ def text_anchors(text: bytes, length: int, gram: int, powers) -> Iterator[tuple[
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, th, sha, text): ``sha`` is equal for texts that repeat whole."""
+    """(doc_id, th, text): rows that agree in both are whole repeats of each other."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    sha = F.unhex(F.sha2(text.cast("binary"), 256))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), sha.alias("sha"), text.alias("text"))
-
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
-def _with_copies(keyed: DataFrame, length: int) -> DataFrame:
-    """``keyed`` rows of at least ``length`` bytes, with ``copies`` and ``chosen``, one id among them, where a text repeats whole."""
-    long = keyed.where(F.octet_length("text") >= length)
-    counted = long.groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("chosen")).where("copies > 1")
-    return dealt_join(long, stored(counted, "copies"), ["sha"], "copies", ["doc_id"], long.count(), "left")
 
-
-def _distinct(marked: DataFrame) -> DataFrame:
-    """(doc_id, th, text): each text once."""
-    one = marked.where(F.col("copies").isNotNull() & F.col("doc_id").eqNullSafe(F.col("chosen")))
-    one = one.groupBy("sha").agg(F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.first("text").alias("text"))
-    return marked.where("copies IS NULL").select("doc_id", "th", "text").unionAll(one.select("doc_id", "th", "text"))
+def _with_runs(keyed: DataFrame, runs: DataFrame, name: str, how: str) -> DataFrame:
+    """``keyed`` with the runs of each row's id and text; rows that share both, however many, are dealt over tasks."""
+    same = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    counted = keyed.groupBy(same.alias("same"), "th").agg(F.count("*").alias("rows"))
+    by_doc = runs.groupBy(same.alias("same"), "th").agg(F.collect_set(F.struct(*[c for c in ("key", "at", "first", "n") if c in runs.columns])).alias("runs"))
+    classes = stored(by_doc.join(counted, ["same", "th"]), name)
+    rows = keyed.withColumns({"same": same, "row": F.monotonically_increasing_id()})
+    return dealt_join(rows, classes, ["same", "th"], "rows", ["row"], keyed.count(), how).select("doc_id", "th", "text", "runs")
 
 
 def _runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -144,8 +136,7 @@ def _same_doc(a: DataFrame, b: DataFrame):
 
 def _contexts(texts: DataFrame, edges: DataFrame, length: int) -> DataFrame:
     """(doc_id, th, key, at, first, n, bytes): the bytes of the runs that the first pass left open."""
-    by_doc = edges.groupBy("doc_id", "th").agg(F.collect_set(F.struct("key", "at", "first", "n")).alias("runs"))
-    joined = texts.join(by_doc, _same_doc(texts, by_doc)).select(texts.doc_id, texts.th, "text", "runs")
+    joined = _with_runs(texts, edges, "open-by-text", "inner")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
@@ -272,23 +263,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     repeat a doc_id or have none; other columns are not read.
     """
     keyed = _keyed(docs, id_col, text_col)
-    marked = _with_copies(keyed, length)
-    found = repeated_windows(_distinct(marked), length, gram, block)
-    by_doc = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
-    single = marked.where("copies IS NULL")
-    none = F.lit(None).cast(by_doc.schema["runs"].dataType)
-    joined = (
-        single.join(by_doc, _same_doc(single, by_doc), "left")
-        .select(single.doc_id, "text", "runs", F.lit(False).alias("whole"))
-        .unionAll(marked.where("copies IS NOT NULL").select("doc_id", "text", none, F.lit(True)))
-        .unionAll(keyed.where(F.octet_length("text") < length).select("doc_id", "text", none, F.lit(False)))
-    )
+    found = repeated_windows(keyed, length, gram, block)
+    joined = _with_runs(keyed, found, "found-by-text", "left").select("doc_id", "text", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
             rows = []
-            for doc, text, runs, whole in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                gone = [(0, len(text))] if whole else removal_runs([r["first"] for r in runs or ()], [r["n"] for r in runs or ()], length)
+            for doc, text, runs in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
+                gone = removal_runs([r["first"] for r in runs or ()], [r["n"] for r in runs or ()], length)
                 edges = [0, *[x for run in gone for x in run], len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 rows.append((doc, len(text), len(text) - len(kept), len(gone), kept))

@@ -249,3 +249,47 @@ def test_same_day_openings_merge_and_winback_churn(spark):
     ev = spark.createDataFrame(rows, "user_id long, event_date date, event_type string, n long")
     got = sorted((r.term_index, r.term_start_date, r.term_end_date, r.status) for r in D.build_terms(ev, tiebreak="n").collect())
     assert got == [(0, d(2025, 1, 1), d(2025, 2, 1), "canceled"), (1, d(2025, 3, 1), d(2025, 3, 1), "churned_after_reactivation")]
+
+
+def test_opt_outs_close_a_channel_from_then_on(spark):
+    rules = [("A", "at_risk", "email", "x > 0"), ("B", "any", "in_app", "true"), ("C", "big", "push", "x > 5")]
+    features = spark.createDataFrame([(u, d(2025, m, 1), x) for u, x in ((1, 3), (2, 9), (3, None)) for m in (1, 2, 3)], "user_id long, month_start date, x int")
+    outs = spark.createDataFrame([(1, "email", d(2025, 2, 1)), (1, "email", d(2025, 3, 5)), (2, "push", d(2025, 2, 2)), (2, "in_app", d(2025, 1, 1))], "user_id long, channel string, unsub_date date")
+    got = D.segment_eligibility(features, rules, outs).collect()
+    assert sorted((r.user_id, r.month_start.month, r.campaign_id) for r in got) == sorted(
+        [(1, 1, "A"), *((2, m, "A") for m in (1, 2, 3)), *((u, m, "B") for u in (1, 2, 3) for m in (1, 2, 3)), (2, 1, "C"), (2, 2, "C")]
+    )
+    assert len(D.segment_eligibility(features, rules).collect()) == 6 + 9 + 3
+
+
+def test_one_user_with_all_rows_on_one_day(spark):
+    import statistics
+
+    from tidemark.operators import sequence as SQ
+
+    n, rows = 20_000, 1_000
+    hot = spark.range(n).selectExpr("7L AS user_id", "DATE'2025-01-05' AS day", "xxhash64(id) AS tie", "id AS v")
+    rest = spark.range(300).selectExpr("id % 3 AS user_id", "date_add(DATE'2025-01-01', CAST(id % 9 AS INT)) AS day", "id AS tie", "id AS v")
+    df = hot.unionByName(rest).repartition(8)
+    split = SQ.split_buckets(df, "user_id", F.col("day"), "tie", "b", rows)
+    sizes = [r["count"] for r in split.where("user_id = 7").groupBy("user_id", "b").count().collect()]
+    assert len(sizes) >= n // rows and max(sizes) <= 2 * statistics.median(sizes)
+    got = SQ.ordered_neighbors(
+        df, key="user_id", order=["day", "tie"], bucket=F.col("day"), index="i", lead={"nx": "v"}, lag={"pv": "v"}, count="n", split=rows
+    ).collect()
+    by_user = {}
+    for r in df.collect():
+        by_user.setdefault(r.user_id, []).append((r.day, r.tie, r.v))
+    want = set()
+    for user, own in by_user.items():
+        own.sort()
+        for i, (day, tie, v) in enumerate(own):
+            want.add((user, day, tie, v, i, own[i + 1][2] if i + 1 < len(own) else None, own[i - 1][2] if i else None, len(own)))
+    assert {(r.user_id, r.day, r.tie, r.v, r.i, r.nx, r.pv, r.n) for r in got} == want
+
+
+def test_buckets_without_many_rows_stay_whole(spark):
+    from tidemark.operators import sequence as SQ
+
+    df = spark.range(50).selectExpr("id % 2 AS user_id", "DATE'2025-01-05' AS day", "id AS tie")
+    assert {r.b.piece for r in SQ.split_buckets(df, "user_id", F.col("day"), "tie", "b", 25).collect()} == {0}

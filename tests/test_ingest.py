@@ -88,3 +88,75 @@ def test_outcomes(spark):
     rows = [(False, True, True, True, True), (True, True, True, True, False), (True, True, False, False, True), (True, True, False, False, False), (True, False, False, False, False)]
     df = spark.createDataFrame(rows, "delivered boolean, opened boolean, clicked boolean, reactivated boolean, unsubscribed boolean")
     assert [r[0] for r in df.selectExpr(IT.OUTCOME).collect()] == ["no_response", "reactivated", "unsubscribed", "engaged_no_conversion", "no_response"]
+
+
+# ---------------------------------------------------------------- keyed table
+
+
+def files(path):
+    import os
+
+    return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
+def updates(spark, rows):
+    return spark.createDataFrame(rows, "user_id long, last_touch long, note string")
+
+
+def contents(table, spark):
+    return sorted(map(tuple, table.read(spark).select("user_id", "last_touch", "note").collect()))
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    from tidemark.streaming.keyed import KeyedTable
+
+    table = KeyedTable(f"{tmp_path}/t", buckets=4)
+    assert table.read(spark) is None
+    table.merge(updates(spark, [(i, 10, "a") for i in range(40)] + [(None, 99, "x")]), 0)
+    before = files(table.path)
+    touched = table.merge(updates(spark, [(7, 20, "b"), (7, 15, "c"), (100, 1, "new")]), 1)
+    assert 0 < len(touched) < 4
+    kept = {f for f in before if not any(f"bucket={b}/" in f for b in touched)}
+    assert kept and kept <= files(table.path)
+    rewritten = files(table.path) - before
+    assert all("v=1/" in f and any(f"bucket={b}/" in f for b in touched) for f in rewritten)
+    assert contents(table, spark) == sorted([(i, 10, "a") for i in range(40) if i != 7] + [(7, 20, "b"), (100, 1, "new")])
+
+
+def test_replays_older_updates_and_expiry(spark, tmp_path):
+    from tidemark.streaming.keyed import KeyedTable
+
+    table = KeyedTable(f"{tmp_path}/t", buckets=2, keep=2)
+    for batch in range(6):
+        table.merge(updates(spark, [(i, 10 + batch, "a") for i in range(20)]), batch)
+        assert table.merge(updates(spark, [(1, 999, "replayed")]), batch) == []
+    table.merge(updates(spark, [(3, 1, "late")]), 6)
+    table.merge(updates(spark, []), 7)
+    assert contents(table, spark) == [(i, 15, "a") for i in range(20)]
+    versions = {f.split("/v=")[1].split("/")[0] for f in files(table.path)}
+    assert versions <= {"5", "6"}  # all earlier ones were replaced twice over
+    # a batch that failed before its manifest leaves a folder, which is written anew
+    updates(spark, [(1, 5, "half")]).write.parquet(f"{table.path}/v=8/bucket=0")
+    table.merge(updates(spark, [(1, 50, "z")]), 8)
+    assert contents(table, spark)[1] == (1, 50, "z") and len(contents(table, spark)) == 20
+
+
+def test_equal_times_have_one_winner(spark, tmp_path):
+    from tidemark.streaming.keyed import KeyedTable
+
+    for n, rows in enumerate(([(1, 5, "a"), (1, 5, "b")], [(1, 5, "b"), (1, 5, "a")])):
+        table = KeyedTable(f"{tmp_path}/{n}", buckets=1)
+        table.merge(updates(spark, rows).repartition(2), 0)
+        assert contents(table, spark) == [(1, 5, "b")]
+
+
+def test_a_stream_restarts_where_it_was(spark, tmp_path):
+    from tidemark.streaming.keyed import KeyedTable, start_upserts
+
+    table = KeyedTable(f"{tmp_path}/t", buckets=2)
+    for batch in range(3):
+        updates(spark, [(i, batch, "s") for i in range(5 + batch)]).write.parquet(f"{tmp_path}/in/{batch}")
+        stream = spark.readStream.schema("user_id long, last_touch long, note string").parquet(f"{tmp_path}/in/*")
+        start_upserts(stream, table, f"{tmp_path}/c").awaitTermination()
+    start_upserts(stream, table, f"{tmp_path}/c").awaitTermination()
+    assert contents(table, spark) == [(i, 2, "s") for i in range(7)]

@@ -3,6 +3,7 @@ join of predictions and serving plans without a shuffle."""
 
 from conftest import SF_SMALL
 
+from tidemark.operators import worklist as wl
 from tidemark.plans.metrics import current_source
 from tidemark.sources.fixtures import Tables
 
@@ -23,6 +24,11 @@ def test_bucketed_gold_join_has_no_exchange(spark):
         assert "SortMergeJoin" in plan
         assert "Exchange hashpartitioning" not in plan
         assert sorted(tuple(r) for r in df.collect()) == expected
+        # a point lookup reads one bucket of each table
+        user = expected[0][0]
+        lookup = wl.user_detail(t.predictions(), t.serving(), user)
+        assert lookup._jdf.queryExecution().executedPlan().toString().count("SelectedBucketsCount: 1 out of") == 2
+        assert [r.user_id for r in lookup.collect()] == [user]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")

@@ -64,3 +64,31 @@ def test_gbt_learns_signal(spark):
     assert auc > 0.65
     scored = M.score_latest(model, df, 1)
     assert scored.count() == 400 and set(r.churn_risk_band for r in scored.collect()) <= {"high", "medium", "low"}
+
+
+def test_score_areas_match_all_pairs(spark):
+    import random
+
+    from tidemark.operators import ml as M
+
+    rng = random.Random(3)
+    rows = [(round(rng.random() * 0.6 + 0.2 * y, 2), bool(y)) for y in (int(rng.random() < 0.3) for _ in range(400))] + [(None, True), (0.5, None)]
+    got = M.score_areas(spark.createDataFrame(rows, "churn_score double, label boolean")).first()
+    pos = [s for s, y in rows if y and s is not None]
+    neg = [s for s, y in rows if y is False]
+    pairs = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg)
+    assert got.rows == len(pos) + len(neg) and got.positives == len(pos)
+    assert got.roc_auc == pytest.approx(pairs / len(pos) / len(neg), abs=1e-12)
+    area = sum(sum(q >= p for q in pos) / (sum(q >= p for q in pos) + sum(q >= p for q in neg)) for p in pos) / len(pos)
+    assert got.pr_auc == pytest.approx(area, abs=1e-12)
+
+
+def test_score_areas_of_one_class_and_of_nothing(spark):
+    from tidemark.operators import ml as M
+
+    one = M.score_areas(spark.createDataFrame([(0.1, False), (0.9, False)], "churn_score double, label boolean")).first()
+    assert (one.rows, one.positives, one.roc_auc, one.pr_auc) == (2, 0, None, None)
+    none = M.score_areas(spark.createDataFrame([], "churn_score double, label boolean")).first()
+    assert (none.rows, none.roc_auc) == (0, None)
+    with pytest.raises(ValueError):
+        M.score_areas(spark.createDataFrame([], "churn_score double, label boolean"), digits=9)

@@ -631,32 +631,33 @@ def winback_eligible(
     return df.withColumn("months_since_churn", since).withColumn(out, F.coalesce(ok, F.lit(False)))
 
 
-def segment_eligibility(features: DataFrame, rules: DataFrame, unsubscribes: DataFrame | None = None, key: str = "user_id", segment: str = "target_segment") -> DataFrame:
+#: channels that an opt-out closes
+OPTOUT_CHANNELS = ("email", "push")
+
+
+def segment_eligibility(
+    features: DataFrame,
+    rules: Sequence[tuple[str, str, str, str]],
+    unsubscribes: DataFrame | None = None,
+    key: str = "user_id",
+    month: str = "month_start",
+) -> DataFrame:
     """User-months eligible per campaign segment.
 
-    ``rules`` is a small table (campaign_id, target_segment, channel,
-    condition) where ``condition`` is a SQL predicate over ``features``; each
-    distinct condition becomes a boolean column evaluated once per row, then
-    rows are matched to campaigns.  email/push campaigns drop users who
-    unsubscribed earlier (``left_anti`` on (user, channel))."""
-    conds = {r["condition"] for r in rules.select("condition").distinct().collect()}  # handful of rule texts
-    conds = sorted(conds)
-    flagged = features.withColumns({f"_r{i}": F.expr(c) for i, c in enumerate(conds)})
-    stacked = flagged.select(
-        "*",
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("condition"), F.col(f"_r{i}").alias("ok")) for i, c in enumerate(conds)])
-        ).alias("_rule"),
-    ).filter(F.col("_rule.ok"))
-    stacked = stacked.withColumn("condition", F.col("_rule.condition")).drop("_rule", *[f"_r{i}" for i in range(len(conds))])
-    out = stacked.join(rules, "condition").drop("condition")
-    if unsubscribes is not None:
-        unsub = unsubscribes.select(key, "channel", F.col("unsub_date"))
-        prior = (F.col(key) == F.col("_u")) & (F.col("channel") == F.col("_ch")) & (F.col("_ud") <= F.col("month_start"))
-        u = unsub.select(F.col(key).alias("_u"), F.col("channel").alias("_ch"), F.col("unsub_date").alias("_ud"))
-        suppressed = out.filter(F.col("channel").isin("email", "push")).join(u, prior, "left_anti")
-        out = out.filter(~F.col("channel").isin("email", "push")).unionByName(suppressed)
-    return out
+    ``rules`` are (campaign_id, target_segment, channel, condition), the
+    condition a SQL predicate over ``features``; a row gives a campaign row for
+    each rule that it meets, in one pass.  ``unsubscribes`` (key, channel,
+    unsub_date): a user who opted out of a channel by mail or push on or before
+    the month's first day gets nothing more on it.  That is decided by the first
+    opt-out per user and channel: an aggregate and an equi join, whatever the
+    number of opt-outs.
+    """
+    met = [F.when(F.expr(condition), F.struct(*[F.lit(x).alias(n) for x, n in zip(rule, ("campaign_id", "target_segment", "channel"))])) for *rule, condition in rules]
+    out = features.withColumn("_rule", F.explode(F.filter(F.array(*met), lambda r: r.isNotNull()))).select("*", "_rule.*").drop("_rule")
+    if unsubscribes is None:
+        return out
+    first = unsubscribes.where(F.col("channel").isin(*OPTOUT_CHANNELS)).groupBy(key, "channel").agg(F.min("unsub_date").alias("_closed"))
+    return out.join(first, [key, "channel"], "left").where(F.col("_closed").isNull() | (F.col("_closed") > F.col(month))).drop("_closed")
 
 
 def touch_outcome(df: DataFrame, out: str = "outcome") -> DataFrame:

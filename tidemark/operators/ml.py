@@ -13,10 +13,9 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -108,17 +107,38 @@ def positive_probability(pred: DataFrame) -> DataFrame:
     return pred.withColumn("churn_score", vector_to_array("probability")[1])
 
 
+def score_areas(scored: DataFrame, score: str = "churn_score", label: str = "label", digits: int = 4) -> DataFrame:
+    """U8: exact (rows, positives, base_rate, roc_auc, pr_auc) of scores between 0 and 1, ties counted half.
+
+    Scores are compared as whole numbers of ``digits`` decimals, so what is
+    ordered are the counts per distinct score (at most 10^digits + 1 rows),
+    never the rows: one aggregate, combined before the shuffle, then running
+    sums.  ROC area: of all pairs of a positive and a negative row, the share
+    that the score orders right.  PR area: mean precision at each score,
+    weighted by the recall it adds.  Null areas where a class is missing.
+    """
+    if not 0 <= digits <= 6:
+        raise ValueError("digits must be 0 to 6")
+    level = F.round(F.col(score) * 10**digits).cast("int").alias("level")
+    positive = F.col(label).cast("int")
+    counts = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(level).agg(F.sum(positive).alias("p"), F.sum(1 - positive).alias("n"))
+    # one partition of bounded size
+    down = Window.orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = counts.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
+    pairs = F.sum(F.col("n") * (2 * F.col("tp") - F.col("p")))
+    mean = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    return run.agg(
+        F.coalesce(F.sum(F.col("p") + F.col("n")), F.lit(0)).cast("bigint").alias("rows"),
+        F.coalesce(F.sum("p"), F.lit(0)).cast("bigint").alias("positives"),
+        F.try_divide(F.sum("p").cast("double"), F.sum(F.col("p") + F.col("n"))).alias("base_rate"),
+        F.try_divide(pairs.cast("double"), 2 * F.sum("p").cast("double") * F.sum("n")).alias("roc_auc"),
+        F.try_divide(mean, F.nullif(F.sum("p"), F.lit(0)).cast("double")).alias("pr_auc"),
+    )
+
+
 def evaluate(model: PipelineModel, valid: DataFrame) -> DataFrame:
     """U8: holdout ROC-AUC, PR-AUC and base rate as a one-row DataFrame."""
-    spark = valid.sparkSession
-    pred = model.transform(valid)
-    ev = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label")
-    roc = ev.setMetricName("areaUnderROC").evaluate(pred)
-    pr = ev.setMetricName("areaUnderPR").evaluate(pred)
-    base = pred.agg(F.avg("label").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    return spark.createDataFrame(
-        [(float(roc), float(pr), float(base["b"] or 0.0), int(base["n"]))], "roc_auc double, pr_auc double, base_rate double, rows bigint"
-    )
+    return score_areas(positive_probability(model.transform(valid)), digits=6).select("roc_auc", "pr_auc", "base_rate", "rows")
 
 
 def score_latest(model: PipelineModel, labels: DataFrame, version: int, model_name: str = MODEL_NAME) -> DataFrame:

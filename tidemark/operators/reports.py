@@ -215,6 +215,18 @@ def category_counts(df: DataFrame, col: str, name: str | None = None) -> DataFra
     )
 
 
+def state_at_touch(touches: DataFrame, states: DataFrame, key: str = "user_id", date: str = "touch_date", month: str = "month_start") -> DataFrame:
+    """Touches per state of the user in the touch's month.
+
+    Touches are counted per user and month first, so the join has one row per
+    user-month on both sides; months without a state count as not subscribed.
+    """
+    counts = touches.groupBy(F.col(key), F.trunc(date, "month").alias(month)).agg(F.count(F.lit(1)).alias("_n"))
+    state = F.coalesce(F.col("user_state"), F.lit("not_subscribed")).alias("value")
+    found = counts.join(states.select(key, month, "user_state"), [key, month], "left").groupBy(state).agg(F.sum("_n").cast("bigint").alias("n"))
+    return found.select(F.lit("user_state_at_touch").alias("dimension"), "value", "n")
+
+
 def subscription_mix(terms: DataFrame, users: DataFrame) -> DataFrame:
     """Terms, users, terms per user, downgrade/reactivation terms and
     total revenue (exact cents) in one row."""

@@ -10,6 +10,9 @@ number of buckets (days in the data span), not by the key's row count.
 The bucket expression must be monotone in the order columns (rows of an
 earlier bucket sort before rows of a later one) and the order columns must be
 a total order within the key.
+
+A bucket that alone holds very many rows (one user with all rows on one day)
+is cut again, by ranges of the last order column: see :func:`split_buckets`.
 """
 
 from __future__ import annotations
@@ -19,6 +22,41 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import checkpoint_dir
+
+
+#: a bucket with more rows is cut, and with more than one in MOST of all rows at any size
+SPLIT_ROWS = 2_000_000
+MOST = 4096
+
+
+def split_buckets(df: DataFrame, key: str, bucket: Column, tie: str, out: str, rows: int = SPLIT_ROWS) -> DataFrame:
+    """Add ``out``: the bucket, and the piece of it that a row is in.
+
+    Buckets of more than ``rows`` rows (but never more than ``MOST`` of them:
+    the bound grows with the table) are cut at quantiles of ``tie``, which must
+    order the rows of a bucket.  The cuts are written to the checkpoint folder,
+    so that every evaluation and every retried task sees the same ones; where
+    there are none nothing is written.
+    """
+    day = "_sb_bucket"
+    df = df.withColumn(day, bucket)
+    limit = max(rows, df.count() // MOST)
+    sizes = df.groupBy(key, day).agg(F.count(F.lit(1)).alias("_sb_n")).where(F.col("_sb_n") > limit)
+    largest = sizes.agg(F.max("_sb_n")).first()[0]
+    if largest is None:
+        return df.withColumn(out, F.struct(F.col(day).alias("bucket"), F.lit(0).alias("piece"))).drop(day)
+    checkpoint_dir(df.sparkSession)
+    pieces = -(-largest // limit)
+    marked = df.join(F.broadcast(sizes), [key, day], "left_semi")
+    at = F.percentile_approx(tie, [k / pieces for k in range(1, pieces)], 50 * pieces)
+    # at most MOST rows
+    cuts = marked.groupBy(key, day).agg(at.alias("_sb_cuts")).checkpoint()
+    cut = df.join(F.broadcast(cuts), [key, day], "left")
+    piece = F.coalesce(F.size(F.filter("_sb_cuts", lambda c: c < F.col(tie))), F.lit(0))
+    piece = F.when(F.col("_sb_cuts").isNull(), F.lit(0)).otherwise(piece)
+    return cut.withColumn(out, F.struct(F.col(day).alias("bucket"), piece.alias("piece"))).drop(day, "_sb_cuts")
+
 
 def ordered_neighbors(
     df: DataFrame,
@@ -30,14 +68,18 @@ def ordered_neighbors(
     lead: Mapping[str, str] | None = None,
     lag: Mapping[str, str] | None = None,
     count: str | None = None,
+    split: int | None = None,
 ) -> DataFrame:
     """Add ``index`` (0-based position in key order), ``lead``/``lag`` values
     (``{out_col: src_col}``) and optionally the key's row ``count``.
+
+    split: cut buckets of more than so many rows by the last order column,
+    which must then order the rows of a bucket by itself.
     """
     lead = dict(lead or {})
     lag = dict(lag or {})
     b = "_nb_bucket"
-    df = df.withColumn(b, bucket)
+    df = split_buckets(df, key, bucket, order[-1], b, split) if split else df.withColumn(b, bucket)
     w_in = Window.partitionBy(key, b).orderBy(*order)
     cols = {"_nb_rn": F.row_number().over(w_in)}
     for out, src in lead.items():

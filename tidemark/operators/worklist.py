@@ -7,6 +7,7 @@ tiebreak (T19).  Filters are validated against allow-lists before use.
 
 from __future__ import annotations
 
+import re
 import math
 from collections.abc import Sequence
 
@@ -162,38 +163,31 @@ def do_now_count(predictions: DataFrame, serving: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
+#: columns of a user's detail row besides those of the worklist
+DETAIL_COLS = {
+    "avg_acceptance_rate": "avg_acceptance_rate",
+    "avg_session_frequency": "avg_session_frequency",
+    "support_tickets": "support_tickets_30d",
+    "tenure_months": "tenure_months",
+    "is_currently_subscribed": "is_currently_subscribed",
+}
+
+
 def user_detail(predictions: DataFrame, serving: DataFrame, user_id) -> DataFrame:
-    """One user's joined detail row; the key filter reaches both scans."""
-    if isinstance(user_id, str) and not __import__("re").match(USER_ID_PATTERN, user_id):
+    """One user's joined detail row; the key filter reaches both scans.
+
+    Over gold tables it reads one bucket of each, and of its files the row
+    groups whose Bloom filter and bounds may hold the key."""
+    if isinstance(user_id, str) and not re.match(USER_ID_PATTERN, user_id):
         raise ValueError(f"invalid user id: {user_id}")
-    cols = dict(WORKLIST_COLS)
-    cols.update(
-        {
-            "avg_acceptance_rate": "avg_acceptance_rate",
-            "avg_session_frequency": "avg_session_frequency",
-            "support_tickets": "support_tickets_30d",
-            "tenure_months": "tenure_months",
-            "is_currently_subscribed": "is_currently_subscribed",
-        }
-    )
     p = predictions.filter(F.col("user_id") == F.lit(user_id))
     s = serving.filter(F.col("user_id") == F.lit(user_id))
-    return _project(current_source(s, p), cols)
+    return _project(current_source(s, p), dict(WORKLIST_COLS) | DETAIL_COLS)
 
 
 def user_detail_all(predictions: DataFrame, serving: DataFrame) -> DataFrame:
     """P4 for every user (the same projection, used as a bulk export)."""
-    cols = dict(WORKLIST_COLS)
-    cols.update(
-        {
-            "avg_acceptance_rate": "avg_acceptance_rate",
-            "avg_session_frequency": "avg_session_frequency",
-            "support_tickets": "support_tickets_30d",
-            "tenure_months": "tenure_months",
-            "is_currently_subscribed": "is_currently_subscribed",
-        }
-    )
-    return _project(current_source(serving, predictions), cols)
+    return _project(current_source(serving, predictions), dict(WORKLIST_COLS) | DETAIL_COLS)
 
 
 def coding_history(labels: DataFrame, user_id=None, months=None, key: str = "user_id") -> DataFrame:

@@ -44,6 +44,7 @@ def _load_all() -> None:
     from tidemark.plans import queries_reports  # noqa: F401
     from tidemark.plans import queries_quality  # noqa: F401
     from tidemark.plans import queries_ops  # noqa: F401
+    from tidemark.plans import queries_more  # noqa: F401
 
 
 _loaded = False

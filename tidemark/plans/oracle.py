@@ -45,7 +45,10 @@ SELECT user_id, CAST(ts AS DATE) AS event_date,
        round(sum(value) / 25, 3) AS coding_hours,
        ((2 * 10000 * sum(CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END) + count(*)) // (2 * count(*))) / 10000.0 AS ai_acceptance_rate,
        CAST(count(*) AS INT) AS session_frequency, CAST(count(*) AS BIGINT) AS suggestions_shown,
-       CAST(sum(CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END) AS BIGINT) AS suggestions_accepted
+       CAST(sum(CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END) AS BIGINT) AS suggestions_accepted,
+       CAST(count(*) * 10 + sum(CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END) AS BIGINT) AS lines_of_code_written,
+       CAST(count(DISTINCT event_type) AS INT) AS files_touched,
+       CAST(sum(CASE WHEN event_type IN ('click', 'purchase') THEN 0 ELSE 1 END) AS BIGINT) AS ai_requests
 FROM events GROUP BY user_id, CAST(ts AS DATE)
 """
 
@@ -77,7 +80,8 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_
 """
 
 FX["fx_touches_u"] = """
-SELECT *, opened AND NOT clicked AND (user_id + CAST(substring(campaign_id, 7) AS INT)) % 13 = 0 AS unsubscribed FROM fx_touches
+SELECT *, CASE CAST(substring(campaign_id, 7) AS INT) % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'push' ELSE 'in_app' END AS channel,
+       opened AND NOT clicked AND (user_id + CAST(substring(campaign_id, 7) AS INT)) % 13 = 0 AS unsubscribed FROM fx_touches
 """
 
 FX["fx_span"] = """

@@ -263,6 +263,21 @@ def user_detail(spark, sf):
     return wl.user_detail_all(t.predictions(), t.serving())
 
 
+@register(
+    "user_lookup",
+    """SELECT user_id, geo, persona, plan, mrr_usd AS mrr, churn_score AS score, churn_risk_band AS band,
+              coding_hours_trend_30d AS coding_trend, crm_touches_30d AS crm_touches,
+              avg_acceptance_rate, avg_session_frequency, support_tickets_30d AS support_tickets,
+              tenure_months, is_currently_subscribed
+       FROM fx_current WHERE user_id = (SELECT min(user_id) FROM fx_current WHERE churn_risk_band = 'high')""",
+)
+def user_lookup(spark, sf):
+    """The detail row of one user, by key: the first of the high band."""
+    t = _t(spark, sf)
+    user = t.predictions().where("churn_risk_band = 'high'").agg(F.min("user_id")).first()[0]
+    return wl.user_detail(t.predictions(), t.serving(), user)
+
+
 @register(
     "coding_history",
     """SELECT user_id, month_start AS month, avg_coding_hours AS coding_hours

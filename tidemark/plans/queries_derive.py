@@ -218,8 +218,25 @@ def _rules_sql():
 @register("segment_eligibility", _rules_sql())
 def segment_eligibility(spark, sf):
     st = _t(spark, sf).monthly_state()
-    rules = spark.createDataFrame(SEGMENT_RULES, "campaign_id string, target_segment string, channel string, condition string")
-    return D.segment_eligibility(st, rules).select("user_id", "month_start", "campaign_id", "target_segment", "channel")
+    return D.segment_eligibility(st, SEGMENT_RULES).select("user_id", "month_start", "campaign_id", "target_segment", "channel")
+
+
+@register(
+    "segment_suppression",
+    f"""SELECT e.*, u.closed IS NOT NULL AS opted_out_later
+       FROM ({_rules_sql()}) e
+       LEFT JOIN (SELECT user_id, channel, min(touch_date) AS closed FROM fx_touches_u WHERE unsubscribed GROUP BY user_id, channel) u
+              ON u.user_id = e.user_id AND u.channel = e.channel AND e.channel IN ('email', 'push')
+       WHERE u.closed IS NULL OR u.closed > e.month_start""",
+)
+def segment_suppression(spark, sf):
+    """D22 with opt-outs: eligible user-months whose channel the user has not closed by then."""
+    t = _t(spark, sf)
+    outs = t.touches_with_optout().where("unsubscribed").select("user_id", "channel", F.col("touch_date").alias("unsub_date"))
+    found = D.segment_eligibility(t.monthly_state(), SEGMENT_RULES, outs)
+    ever = outs.where(F.col("channel").isin(*D.OPTOUT_CHANNELS)).select("user_id", "channel").distinct().withColumn("opted_out_later", F.lit(True))
+    columns = ["user_id", "month_start", "campaign_id", "target_segment", "channel"]
+    return found.join(ever, ["user_id", "channel"], "left").select(*columns, F.coalesce("opted_out_later", F.lit(False)).alias("opted_out_later"))
 
 
 @register("user_state", "SELECT user_id, month_start, user_state FROM fx_state")
@@ -241,11 +258,11 @@ def winback_eligible(spark, sf):
     "touch_outcome",
     """SELECT touch_id, user_id, touch_date,
               CASE WHEN NOT delivered THEN 'no_response' WHEN reactivated AND opened AND clicked THEN 'reactivated'
-                   WHEN opened OR clicked THEN 'engaged_no_conversion' ELSE 'no_response' END AS outcome
-       FROM fx_touches""",
+                   WHEN unsubscribed THEN 'unsubscribed' WHEN opened OR clicked THEN 'engaged_no_conversion' ELSE 'no_response' END AS outcome
+       FROM fx_touches_u""",
 )
 def touch_outcome(spark, sf):
-    return D.touch_outcome(_t(spark, sf).touches()).select("touch_id", "user_id", "touch_date", "outcome")
+    return D.touch_outcome(_t(spark, sf).touches_with_optout()).select("touch_id", "user_id", "touch_date", "outcome")
 
 
 @register(

@@ -276,21 +276,20 @@ def stream_expectation_metrics(spark, sf):
     "SELECT user_id, max(CAST(touch_date AS TIMESTAMP)) AS last_touch FROM fx_touches GROUP BY user_id",
 )
 def live_last_touch(spark, sf):
-    """ST4: outreach events arrive as files in two drops; a streaming max per
-    user in update mode is upserted into a keyed table after each run."""
-    from tidemark.streaming.ingest import start_last_touch
+    """ST4: outreach events arrive as files in two drops; each micro-batch rewrites
+    only the buckets of a keyed table that its users are in."""
+    from tidemark.streaming.keyed import KeyedTable, start_upserts
 
     root = _scratch(spark, "last_touch")
-    log = _t(spark, sf).touches().select("user_id", F.col("touch_date").cast("timestamp_ntz").alias("logged_at"))
-    cut = log.agg(F.percentile_approx("logged_at", 0.5)).first()[0]
-    schema = "user_id BIGINT, logged_at TIMESTAMP_NTZ"
-    log.filter(F.col("logged_at") <= F.lit(cut)).write.mode("append").parquet(f"{root}/landing/drop=1")
-    stream = spark.readStream.schema(schema).parquet(f"{root}/landing/*")
-    start_last_touch(stream, f"{root}/table", f"{root}/_ckpt").awaitTermination()
-    log.filter(F.col("logged_at") > F.lit(cut)).write.mode("append").parquet(f"{root}/landing/drop=2")
-    stream = spark.readStream.schema(schema).parquet(f"{root}/landing/*")
-    start_last_touch(stream, f"{root}/table", f"{root}/_ckpt").awaitTermination()
-    return IO.read_snapshot(spark, f"{root}/table")
+    table = KeyedTable(f"{root}/table", buckets=16)
+    log = _t(spark, sf).touches().select("user_id", F.col("touch_date").cast("timestamp_ntz").alias("last_touch"))
+    cut = log.agg(F.percentile_approx("last_touch", 0.5)).first()[0]
+    drops = (F.col("last_touch") <= F.lit(cut), F.col("last_touch") > F.lit(cut))
+    for n, drop in enumerate(drops):
+        log.filter(drop).write.mode("append").parquet(f"{root}/landing/drop={n}")
+        stream = spark.readStream.schema("user_id BIGINT, last_touch TIMESTAMP_NTZ").parquet(f"{root}/landing/*")
+        start_upserts(stream, table, f"{root}/_ckpt").awaitTermination()
+    return table.read(spark)
 
 
 # ------------------------------------------------------------------------ P12
@@ -320,7 +319,9 @@ def _model(spark, sf):
     key = (id(spark), sf)
     if key not in _MODELS:
         root = _scratch(spark, "models")
-        model, valid, holdout = M.train(_t(spark, sf).churn_labels())
+        # the last month is cut short by the end of the data: the one before it is held out
+        labels = _t(spark, sf).churn_labels()
+        model, valid, holdout = M.train(labels.where(F.col("month_start") < labels.agg(F.max("month_start")).scalar()))
         version = M.save_version(spark, model, root)
         loaded, v = M.load_alias(spark, root)
         _MODELS[key] = (loaded, v, valid)
@@ -380,16 +381,44 @@ def gbt_scores(spark, sf):
 
 @register(
     "model_evaluation",
-    """SELECT CAST(count(*) AS BIGINT) AS rows, round(avg(CAST(churned AS DOUBLE)), 6) AS base_rate, TRUE AS areas_in_range
-       FROM fx_cl WHERE month_start = (SELECT max(month_start) FROM fx_cl)""",
+    """SELECT CAST(count(*) AS BIGINT) AS rows, round(avg(CAST(churned AS DOUBLE)), 6) AS base_rate, TRUE AS areas_in_range,
+              TRUE AS beats_chance, TRUE AS beats_base_rate
+       FROM fx_cl WHERE month_start = (SELECT max(month_start) FROM fx_cl WHERE month_start < (SELECT max(month_start) FROM fx_cl))""",
 )
 def model_evaluation(spark, sf):
-    """U8: holdout rows and base rate; the ROC and PR areas lie in [0, 1]."""
+    """U8: on the held-out month the model must order rows better than chance
+    (ROC area) and better than the base rate (PR area).
+
+    The last month of the data is cut off by its end, so the month before it is held out."""
     from tidemark.operators import ml as M
 
-    model, _, valid = _model(spark, sf)
+    labels = _t(spark, sf).churn_labels()
+    labels = labels.where(F.col("month_start") < labels.agg(F.max("month_start")).scalar())
+    model, valid, _ = M.train(labels)
     areas = F.col("roc_auc").between(0, 1) & F.col("pr_auc").between(0, 1)
-    return M.evaluate(model, valid).select("rows", F.round("base_rate", 6).alias("base_rate"), areas.alias("areas_in_range"))
+    return M.evaluate(model, valid).select(
+        "rows", F.round("base_rate", 6).alias("base_rate"), areas.alias("areas_in_range"),
+        (F.col("roc_auc") > 0.5).alias("beats_chance"), (F.col("pr_auc") > F.col("base_rate")).alias("beats_base_rate"),
+    )
+
+
+@register(
+    "score_areas",
+    """WITH s AS (SELECT CAST(round(p.churn_score * 10000) AS INT) AS level, CAST(l.churned AS INT) AS y
+                  FROM fx_predictions p JOIN fx_labels l ON l.user_id = p.user_id AND l.month_start = p.as_of_month),
+            c AS (SELECT level, sum(y) AS p, sum(1 - y) AS n FROM s GROUP BY level),
+            r AS (SELECT *, sum(p) OVER (ORDER BY level DESC) AS tp, sum(n) OVER (ORDER BY level DESC) AS fp FROM c)
+       SELECT CAST(sum(p + n) AS BIGINT) AS rows, CAST(sum(p) AS BIGINT) AS positives, round(sum(p) / sum(p + n), 6) AS base_rate,
+              round(sum(n * (2 * tp - p)) / (2.0 * sum(p) * sum(n)), 6) AS roc_auc, round(sum(p * tp / (tp + fp)) / nullif(sum(p), 0), 6) AS pr_auc
+       FROM r""",
+)
+def score_areas(spark, sf):
+    """U8: exact areas of the given scores against churn in the scored month."""
+    from tidemark.operators import ml as M
+
+    t = _t(spark, sf)
+    scored = t.predictions().withColumnRenamed("as_of_month", "month_start").join(t.labels().select("user_id", "month_start", "churned"), ["user_id", "month_start"])
+    return M.score_areas(scored, label="churned").select("rows", "positives", *[F.round(c, 6).alias(c) for c in ("base_rate", "roc_auc", "pr_auc")])
 
 
 @register(

@@ -106,7 +106,10 @@ def feature_correlations(spark, sf):
     return R.correlations(_t(spark, sf).churn_labels())
 
 
-PROFILE_COLS = ("coding_hours", "ai_acceptance_rate", "session_frequency")
+PROFILE_COLS = [
+    "coding_hours", "ai_acceptance_rate", "session_frequency", "suggestions_shown",
+    "suggestions_accepted", "lines_of_code_written", "files_touched", "ai_requests",
+]
 
 
 @register(
@@ -129,9 +132,17 @@ def numeric_profile(spark, sf):
        UNION ALL SELECT 'persona', persona, count(*) FROM fx_users GROUP BY persona
        UNION ALL SELECT 'plan', plan, count(*) FROM fx_users GROUP BY plan
        UNION ALL SELECT 'status', status, count(*) FROM fx_subscriptions GROUP BY status
-       UNION ALL SELECT 'channel', channel, count(*) FROM fx_tickets GROUP BY channel""",
+       UNION ALL SELECT 'channel', channel, count(*) FROM fx_tickets GROUP BY channel
+       UNION ALL SELECT 'cancel_reason', cancel_reason, count(*) FROM fx_subscriptions WHERE cancel_reason IS NOT NULL GROUP BY cancel_reason
+       UNION ALL SELECT 'outcome', CASE WHEN NOT delivered THEN 'no_response' WHEN reactivated THEN 'reactivated' WHEN unsubscribed THEN 'unsubscribed'
+                                        WHEN opened OR clicked THEN 'engaged_no_conversion' ELSE 'no_response' END, count(*) FROM fx_touches_u GROUP BY 2
+       UNION ALL SELECT 'user_state_at_touch', coalesce(s.user_state, 'not_subscribed'), count(*)
+                 FROM fx_touches t LEFT JOIN fx_state s ON s.user_id = t.user_id AND s.month_start = date_trunc('month', t.touch_date) GROUP BY 2""",
 )
 def category_counts(spark, sf):
+    """Eight categorical distributions, the largest value of each first."""
+    from tidemark.operators.derive import touch_outcome
+
     t = _t(spark, sf)
     u = t.users()
     parts = [
@@ -140,11 +151,15 @@ def category_counts(spark, sf):
         R.category_counts(u, "plan"),
         R.category_counts(t.subscriptions(), "status"),
         R.category_counts(t.tickets(), "channel"),
+        R.category_counts(t.subscriptions().where("cancel_reason IS NOT NULL"), "cancel_reason"),
+        R.category_counts(touch_outcome(t.touches_with_optout()), "outcome"),
+        R.state_at_touch(t.touches(), t.monthly_state()),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    # one row per dimension and value
+    return out.orderBy("dimension", F.col("n").desc(), "value")
 
 
 @register(

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import half_up_ratio, risk_band, scaled_int
-from tidemark.operators.sequence import ordered_neighbors
+from tidemark.operators.sequence import SPLIT_ROWS, ordered_neighbors
 
 # Fixed values of the fixture mapping (must equal the oracle SQL text).
 HOURS_DIVISOR = 25.0  # events.value -> coding hours
@@ -120,6 +120,7 @@ class Tables:
                     # sorted inside each bucket: row-group min/max on user_id are
                     # narrow, so a point lookup skips all but one row group
                     .sortBy("user_id")
+                    .option("parquet.bloom.filter.enabled#user_id", "true")
                     .option("path", path)
                     .saveAsTable(table)
                 )
@@ -213,6 +214,7 @@ class Tables:
                 index="term_index",
                 lead={"nx": "term_start_date"},
                 lag={"prev": "st"},
+                split=SPLIT_ROWS,
             )
             plus30 = F.date_add("term_start_date", LAPSE_DAYS)
             lapse = F.least(plus30, F.coalesce(F.col("nx"), plus30))
@@ -250,6 +252,9 @@ class Tables:
                 F.count(F.lit(1)).cast("int").alias("session_frequency"),
                 F.count(F.lit(1)).cast("bigint").alias("suggestions_shown"),
                 F.sum(engaged).cast("bigint").alias("suggestions_accepted"),
+                (F.count(F.lit(1)) * 10 + F.sum(engaged)).cast("bigint").alias("lines_of_code_written"),
+                F.count_distinct("event_type").cast("int").alias("files_touched"),
+                F.sum(1 - engaged).cast("bigint").alias("ai_requests"),
             )
 
         return self._get("usage", build)
@@ -324,11 +329,13 @@ class Tables:
         return self._get("touches", build)
 
     def touches_with_optout(self) -> DataFrame:
-        """Touches with ``unsubscribed``: the user opts out on an opened, not clicked one of every thirteenth user and brand."""
+        """Touches with their ``channel`` and ``unsubscribed``: the user opts out on an opened, not clicked one of every thirteenth user and brand."""
 
         def build():
-            out = F.col("opened") & ~F.col("clicked") & ((F.col("user_id") + F.substring("campaign_id", 7, 1000).cast("int")) % OPTOUT_EVERY == 0)
-            return self.touches().withColumn("unsubscribed", out)
+            number = F.substring("campaign_id", 7, 1000).cast("int")
+            out = F.col("opened") & ~F.col("clicked") & ((F.col("user_id") + number) % OPTOUT_EVERY == 0)
+            channel = F.when(number % 3 == 0, "email").when(number % 3 == 1, "push").otherwise("in_app")
+            return self.touches().withColumns({"channel": channel, "unsubscribed": out})
 
         return self._get("touches_with_optout", build)
 

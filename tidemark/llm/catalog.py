@@ -90,7 +90,7 @@ def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rankbpe.ranks_report(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-@register("op12_centroids")
+@register("op12_centroids", centroids.ORACLE)
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings in 16 clusters, three rounds."""
     return centroids.clusters_report(read(spark, sf_dir, "embeddings"))

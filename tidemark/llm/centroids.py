@@ -213,3 +213,33 @@ def clusters_report(df: DataFrame) -> DataFrame:
     """``cluster_vectors`` with the digest of each vector's centroid in place of its components."""
     digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
     return cluster_vectors(df).withColumn("centroid_sha256", digest).drop("centroid")
+
+
+def _oracle(centroids: int = CENTROIDS, rounds: int = ROUNDS, seed: int = SEED, dim: int = DIM, scale: int = SCALE) -> str:
+    """DuckDB SQL for ``clusters_report``: a full search, each vector against the stated centroids."""
+    ctes = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INT) AS c, v
+            FROM (SELECT sha256('{seed}:' || vec_id) AS h, v FROM kept ORDER BY h, v LIMIT {centroids}) s)""",
+    ]
+    for i in range(rounds + 1):
+        ctes.append(
+            f"""a{i} AS MATERIALIZED (SELECT vec_id, r, any_value(v) AS v, min(struct_pack(d := d, c := c)) AS best
+                FROM (SELECT k.vec_id, k.r, k.v, c.c, CAST(list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+                      FROM kept k, c{i} c) x GROUP BY vec_id, r)"""
+        )
+        if i < rounds:
+            ctes.append(
+                f"""c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN (
+                    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS v
+                    FROM (SELECT c, p, sum(x) AS s, count(*) AS n
+                          FROM (SELECT best.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM a{i}) u GROUP BY c, p) w GROUP BY c) m ON m.c = o.c)"""
+            )
+    return f"""WITH {", ".join(ctes)}
+        SELECT a.vec_id, a.best.c AS cluster, a.best.d AS distance, CAST(sum(a.best.d) OVER (PARTITION BY a.best.c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(a.best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} c ON c.c = a.best.c"""
+
+
+ORACLE = _oracle()

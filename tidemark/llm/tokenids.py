@@ -37,10 +37,8 @@ END_ID = 2
 BLOCK_IDS = 1 << 16
 LEVEL = 3
 #: units whose ids a worker remembers, and the longest of them
-CACHE_UNITS = 800_000
+CACHE_UNITS = 1_600_000
 LONGEST_UNIT = 64
-#: marks that are looked for at the end of units
-MARKS = ".,;:!?"
 
 CHUNK = (
     "part int, chunk int, n_ids int, width int, kind string, planes array<binary>, "
@@ -88,7 +86,6 @@ class Encoder:
         # units by their word, the blank before it left out; two generations, the older one dropped in time
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
 
     def units(self, text: str) -> list[str] | None:
         """The units of a line feed and the text; None where white space stands together."""
@@ -101,33 +98,7 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
 
     def learn(self, new: list[str]) -> None:
-        """Put the ids of unknown units among the known.
-
-        A punctuation mark that ends a unit after an ASCII letter is a
-        pre-token of its own, so such units share the ids of what is before it.
-        """
-        known = self.known
-        ended = [u for u in new if u[-1] in MARKS and u[-2:-1].isascii() and u[-2:-1].isalpha()]
-        if ended:
-            stems = {u[:-1] for u in ended} - known.keys()
-            for stem in stems & self.older.keys():
-                known[stem] = self.older[stem]
-            self.through([*set(new).difference(ended).union(stems - known.keys())])
-            for u in ended:
-                known[u] = known[u[:-1]] + self.mark(u[-1])
-            for stem in stems:
-                if len(stem) > LONGEST_UNIT:
-                    del known[stem]
-        else:
-            self.through(new)
-
-    def mark(self, mark: str) -> bytes:
-        if mark not in self.marks:
-            self.marks[mark] = self.ids(mark).tobytes()
-        return self.marks[mark]
-
-    def through(self, new: list[str]) -> None:
-        """Units go through the tokenizer."""
+        """Put the ids of unknown units among the known."""
         for at in range(0, len(new), 256):
             units = new[at : at + 256]
             parts = [u if u[0] == "\n" else " " + u for u in units]

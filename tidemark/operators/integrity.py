@@ -8,7 +8,7 @@ records, all checks of all tables alike, and counts them together:
   key sets the lowest bit), the day it is dated and whatever is counted there.
 
 All records meet in one aggregate by (kind, key, day), combined before the
-shuffle, and one window per key over its distinct days: duplicate keys are
+shuffle, and references in one window per key over its distinct days: duplicate keys are
 rows less groups, an orphan is a key whose bits lack the parent's, and running
 sums along a user's days give open terms and what comes after the last cancel.
 No table is read for one check alone, and a key that holds a third of all rows
@@ -119,6 +119,11 @@ def integrity_report(tables: Sequence[Checked], max_reactivations: int = 1, user
         records = r if records is None else records.unionByName(r)
     sums = ["n", *[f"r{i}" for i in range(RULES)], *COUNTED]
     groups = records.groupBy("kind", "kl", "ks", "kd").agg(*[F.sum(c).alias(c) for c in sums], F.bit_or("bits").alias("bits"), F.max("cancel").alias("cancel"))
+    # primary keys are only counted: their groups become one row per table before anything is sorted
+    is_ref = F.col("kind").startswith("fk:")
+    groups = groups.groupBy("kind", *[F.when(is_ref, F.col(c)).alias(c) for c in ("kl", "ks", "kd")]).agg(
+        *[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("keys"), F.bit_or("bits").alias("bits"), F.max("cancel").alias("cancel")
+    )
 
     key = Window.partitionBy("kind", "kl", "ks")
     along = key.orderBy("kd")
@@ -135,8 +140,7 @@ def integrity_report(tables: Sequence[Checked], max_reactivations: int = 1, user
     )
     is_user = F.col("kind") == f"fk:{users}"
     left = is_user & F.col("last_cancel").isNotNull() & ~F.col("came_back")
-    measures = {c: F.sum(c) for c in ("n", *[f"r{i}" for i in range(RULES)])}
-    measures["keys"] = F.count(F.lit(1))
+    measures = {c: F.sum(c) for c in ("n", "keys", *[f"r{i}" for i in range(RULES)])}
     by_parent: dict[str, list[tuple[str, str, str]]] = {}
     for e in edges:
         by_parent.setdefault(e[2], []).append(e)

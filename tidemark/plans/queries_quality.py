@@ -269,7 +269,9 @@ def _report_sql():
                 (SELECT count_if(reactivated) FROM fx_touches)""",
         f"SELECT 'reactivations per user <= {MAX_REACTIVATIONS}', count_if(n > {MAX_REACTIVATIONS}), count(*) FROM {returned} r",
     ]
-    return "SELECT check_name, CAST(bad AS BIGINT) AS bad, CAST(total AS BIGINT) AS total, bad = 0 AS ok FROM (" + " UNION ALL ".join(rows) + ") r"
+    # counts over no rows are 0
+    union = " UNION ALL ".join(rows)
+    return f"SELECT check_name, CAST(coalesce(bad, 0) AS BIGINT) AS bad, CAST(coalesce(total, 0) AS BIGINT) AS total, coalesce(bad, 0) = 0 AS ok FROM ({union}) r"
 
 
 def report_tables(t: Tables) -> list[Checked]:

@@ -38,3 +38,27 @@ def test_at_risk_months_are_the_same_in_any_number_of_tasks(spark):
     spine = D.user_month_spine(bounds, "a", "b")
     plain = sorted(map(tuple, D.at_risk_months(terms, spine.unionByName(spine)).collect()))
     assert plain and sorted(map(tuple, D.at_risk_months(terms, spine, partitions=7).collect())) == plain
+
+
+def test_adoption_counts_from_before_the_spine_and_keeps_repeated_months(spark):
+    d = dt.date
+    spine = spark.createDataFrame([(u, d(2025, m, 1)) for u in (1, 2) for m in (1, 2, 3)] + [(1, d(2025, 1, 1))], "user_id long, month_start date")
+    days = spark.createDataFrame(
+        [(1, "a", d(2024, 12, 3), 4), (1, "b", d(2025, 2, 5), 1), (1, "b", d(2025, 2, 6), 2), (2, "c", d(2025, 4, 5), 1), (None, "a", d(2025, 1, 1), 1), (2, None, d(2025, 1, 1), 1), (2, "a", None, 1)],
+        "user_id long, feature_key string, date date, activations long",
+    )
+    usage = spark.createDataFrame([(1, d(2025, 2, 5)), (1, d(2025, 2, 6)), (1, d(2025, 2, 7)), (2, None)], "user_id long, event_date date")
+    df = D.feature_adoption(usage, spine, days, partitions=3)
+    got = sorted((r.user_id, r.month_start.month, r.feature_key, r.is_adopted, r.first_activation_date, r.activation_count, r.active_days, r.depth_score) for r in df.where("user_id = 1").collect())
+    dec, feb = d(2024, 12, 1), d(2025, 2, 1)
+    a = [(1, m, "a", True, dec, 0, 0, 0.0) for m in (1, 1, 2, 3)]
+    b = [(1, 1, "b", False, None, 0, 0, 0.0)] * 2 + [(1, 2, "b", True, feb, 3, 2, 0.6667), (1, 3, "b", True, feb, 0, 0, 0.0)]
+    assert [g for g in got if g[2] != "c"] == sorted(a + b)
+    assert df.where("user_id = 2 AND NOT is_adopted").count() == df.where("user_id = 2").count() == 9
+
+
+def test_the_feature_grid_is_never_shuffled(spark):
+    df = Tables(spark, SF_CHECK).feature_adoption()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    top = plan.split("Generate posexplode")[0]
+    assert "Generate posexplode" in plan and "Exchange" not in top and "Join" not in top

@@ -237,8 +237,12 @@ def outside_parent_dates(
 
 def column_mismatch(a: DataFrame, b: DataFrame, on: Sequence[str], col: str, b_col: str | None = None, op: str = "!=") -> DataFrame:
     """Rows of ``a`` whose ``col`` disagrees with ``b`` on the same key
-    (``op`` '!=' for equality rules, '>' for 'a <= b' rules)."""
+    (``op`` '!=' for equality rules, '>' for 'a <= b' rules).
+
+    For '>' only rows above the least value of ``b`` meet the join; no others can disagree."""
     bc = b_col or col
+    if op == ">":
+        a = a.where(F.col(col) > b.agg(F.min(bc)).scalar())
     j = a.join(b.select(*on, F.col(bc).alias("_b")), list(on))
     cond = {"!=": ~F.col(col).eqNullSafe(F.col("_b")), ">": F.col(col) > F.col("_b")}[op]
     return j.filter(cond).drop("_b")

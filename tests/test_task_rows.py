@@ -62,3 +62,20 @@ def test_the_feature_grid_is_never_shuffled(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     top = plan.split("Generate posexplode")[0]
     assert "Generate posexplode" in plan and "Exchange" not in top and "Join" not in top
+
+
+def test_tables_that_refer_by_their_key_are_counted_in_place(spark):
+    from tidemark.operators.integrity import Checked, integrity_report
+
+    users = spark.createDataFrame([(1,), (2,)], "user_id long")
+    rows = [(1, "a", True), (1, "a", None), (1, "b", False), (3, "a", True), (None, "a", True), (None, "a", False)]
+    held = spark.createDataFrame(rows, "user_id long, f string, good boolean")
+
+    def tables(more):
+        return [Checked("users", users, ["user_id"]), Checked("held", held, ["user_id", "f"], {"user_id": "users"}, {"good": "good"}, **more)]
+
+    df = integrity_report(tables({}))
+    got = {r.check_name: (r.bad, r.total) for r in df.collect()}
+    assert got == {"fk held.user_id -> users.user_id": (1, 2), "pk users(user_id)": (0, 2), "pk held(user_id, f)": (2, 6), "good": (3, 6)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [user_id" in plan  # by key, below the records

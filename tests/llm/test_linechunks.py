@@ -60,6 +60,23 @@ def test_matches_brute_force(spark, min_bytes):
     assert any(r[2] for r in want)
 
 
+@pytest.mark.parametrize("values", [1, 5, 200])
+def test_chunks_of_one_digest_are_compared_by_their_bytes(spark, monkeypatch, values):
+    def weak(chunk, digest_size):
+        class Digest:
+            def digest(self):
+                return bytes([sum(chunk) % values]) * digest_size
+
+        return Digest()
+
+    rows = many(random.Random(values), 60) + [(900, "a b\nc d\n" * 3), (900, "a b\nc d\n" * 3), (None, "b a\nc d")]
+    monkeypatch.setattr(linechunks, "blake2b", weak)
+    out = linechunks.chunks_report(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute(rows)
+    assert sorted(set(map(tuple, out.collect())), key=str) == sorted(set(want), key=str)
+    assert any(r[2] for r in want)
+
+
 def test_borders_resist_shifts():
     rng = random.Random(9)
     lines = [f"line {rng.randrange(10**9)}".encode() for _ in range(400)]

@@ -4,8 +4,8 @@ Each line is hashed, a rolling hash over the last few line hashes chooses the
 chunk borders.  A passage that is repeated between own lines need not hold two
 such borders, so each two neighbouring lines are a chunk as well, and each long
 line is one.  Chunks that occur again anywhere are removed but for their first
-occurrence, those that overlap together.  Chunks count as equal when the
-128-bit BLAKE2b digests of their bytes are.
+occurrence, those that overlap together.  Chunks that may be equal are found by
+128-bit BLAKE2b digests, then the bytes of those that share one are compared.
 """
 
 from __future__ import annotations
@@ -94,35 +94,92 @@ def _chunk_rows(keyed: DataFrame, window: int, mean: int, min_bytes: int) -> Dat
     return keyed.select("doc_id", "th", "text").transform(batched).mapInArrow(make, schema)
 
 
+MEMBERS = "array<struct<first:int,n:int,again:boolean>>"
+SPANS = "array<struct<first:int,n:int>>"
+
+
 def repeated_chunks(keyed: DataFrame, window: int, mean: int, min_bytes: int) -> DataFrame:
-    """(doc_id, th, first, n): occurrences of chunks after the first of equal bytes.
+    """(doc_id, th, members): the chunks of a row whose digest occurs more than once, as (first, n, again).
 
     Occurrences are counted by digest, combined in each task before the
-    shuffle; the first occurrence is the least (doc_id, th, line).
+    shuffle; the first occurrence is the least (doc_id, th, line), all others
+    are ``again``.
     """
     rows = stored(_chunk_rows(keyed, window, mean, min_bytes), "chunk-places")
-    place = F.struct("doc_id", "th", "first")
+    place = F.struct("doc_id", "th", "first", "n")
     shared = rows.groupBy("high", "low").agg(F.count("*").alias("count"), F.min(place).alias("kept")).where("count > 1")
-    again = rows.join(shared.select("high", "low", "kept"), ["high", "low"]).where(place != F.col("kept"))
-    return again.select("doc_id", "th", "first", "n")
+    found = rows.join(shared.select("high", "low", "kept"), ["high", "low"])
+    member = F.struct("first", "n", (place != F.col("kept")).alias("again"))
+    return found.groupBy("doc_id", "th").agg(F.collect_set(member).alias("members"))
 
 
 def _apart(by_doc: DataFrame) -> DataFrame:
-    """``by_doc`` with each of ``removed`` cut to the lines that none before it has, maybe none."""
+    """``by_doc`` with ``removed``: the members that are ``again``, each cut to the lines that none before it has, maybe none."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
-            for removed in batch.column(2).to_pylist():
+            for members in batch.column(2).to_pylist():
                 at, own = 0, []
-                for first, n in sorted((r["first"], r["n"]) for r in removed):
+                for first, n in sorted((m["first"], m["n"]) for m in members if m["again"]):
                     start, at = max(at, first), max(at, first + n)
                     own.append({"first": start, "n": at - start})
                 out.append(own)
             kind = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["doc_id", "th", "removed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, kind)], names=["doc_id", "th", "members", "removed"])
+
+    return by_doc.select("doc_id", "th", "members").transform(batched).mapInArrow(make, f"doc_id long, th long, members {MEMBERS}, removed {SPANS}")
+
+
+def _with_doc(rows: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
+    """``rows`` with the columns of ``by_doc``, which has one row per doc_id (maybe null) and th."""
+    same = rows.doc_id.eqNullSafe(by_doc.doc_id) & (rows.th == by_doc.th)
+    return rows.join(by_doc, same, how).drop(by_doc.doc_id, by_doc.th)
+
+
+def _member_bytes(rows: DataFrame) -> DataFrame:
+    """(high, low, bytes, doc_id, th, first, n, again) of all members of (doc_id, th, text, members)."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        halves = struct.Struct("<qq").unpack
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+        for batch in slices(batches):
+            out = []
+            for doc, th, text, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist()):
+                lines = (text or b"").split(b"\n")
+                for m in members:
+                    chunk = b"\n".join(lines[m["first"] : m["first"] + m["n"]])
+                    out.append((*halves(blake2b(chunk, digest_size=16).digest()), chunk, doc, th, m["first"], m["n"], m["again"]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["high", "low", "bytes", "doc_id", "th", "first", "n", "again"])
+
+    schema = "high long, low long, bytes binary, doc_id long, th long, first int, n int, again boolean"
+    return rows.where("members IS NOT NULL").select("doc_id", "th", "text", "members").transform(batched).mapInArrow(make, schema)
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """``rows`` whose ``removed`` holds only chunks with bytes that occurred before.
+
+    The bytes of all members are compared by digest, equal ones combined in
+    each task before the shuffle.  A digest with one value of bytes stands for
+    equal chunks.  Of any other, each value keeps its own first occurrence.
+    """
+    found = _member_bytes(rows)
+    values = found.select("high", "low", "bytes").distinct().groupBy("high", "low").count()
+    mixed = stored(values.where("count > 1").select("high", "low"), "chunk-mixed")
+    if mixed.isEmpty():
+        return rows
+    firsts = found.join(mixed, ["high", "low"]).groupBy("high", "low", "bytes").agg(F.min(F.struct("doc_id", "th", "first", "n", "again")).alias("own"))
+    spared = firsts.select("own.*").where("again").groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "n")).alias("spared"))
+    one = rows.where("members IS NOT NULL").groupBy("doc_id", "th").agg(F.first("members").alias("members"))
+
+    def judged(m):
+        again = m["again"] & ~F.array_contains("spared", F.struct(m["first"].alias("first"), m["n"].alias("n")))
+        return F.struct(m["first"].alias("first"), m["n"].alias("n"), again.alias("again"))
 
-    return by_doc.transform(batched).mapInArrow(make, "doc_id long, th long, removed array<struct<first:int,n:int>>")
+    mended = _with_doc(one, spared, "inner").withColumn("members", F.transform("members", judged)).transform(_apart)
+    mended = mended.select("doc_id", "th", F.col("removed").alias("mended"))
+    return _with_doc(rows, mended, "left").withColumn("removed", F.coalesce("mended", "removed"))
 
 
 def remove_chunks(
@@ -143,11 +200,9 @@ def remove_chunks(
     repeat both doc_id and text are one occurrence and lose the same chunks.
     """
     keyed = _keyed(docs, id_col, text_col)
-    found = repeated_chunks(keyed, window, mean, min_bytes)
-    by_doc = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "n")).alias("removed")).transform(_apart)
-    same = keyed.doc_id.eqNullSafe(by_doc.doc_id) & (keyed.th == by_doc.th)
-    joined = keyed.join(by_doc, same, "left").select("doc", "text", "removed")
-    marked = joined.withColumn("lines", F.split("text", "\n", -1))
+    by_doc = repeated_chunks(keyed, window, mean, min_bytes).transform(_apart)
+    rows = stored(_with_doc(keyed, by_doc, "left"), "chunk-texts")
+    marked = _compared(rows).select("doc", "text", "removed").withColumn("lines", F.split("text", "\n", -1))
     kept = F.array_join(
         F.flatten(F.transform(_stretches(), lambda s: F.slice("lines", s["a"] + 1, s["b"] - s["a"]))), "\n"
     )
@@ -155,7 +210,7 @@ def remove_chunks(
         "doc",
         F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept).alias("text"),
         F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"),
-        F.coalesce("removed", F.array().cast("array<struct<first:int,n:int>>")).alias("removed"),
+        F.coalesce("removed", F.array().cast(SPANS)).alias("removed"),
     )
 
 

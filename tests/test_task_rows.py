@@ -64,6 +64,27 @@ def test_the_feature_grid_is_never_shuffled(spark):
     assert "Generate posexplode" in plan and "Exchange" not in top and "Join" not in top
 
 
+def test_active_days_are_those_with_any_feature(spark):
+    d = dt.date
+    spine = spark.createDataFrame([(1, d(2025, m, 1)) for m in (1, 2)], "user_id long, month_start date")
+    rows = [(1, "a", d(2025, 1, 1), 2), (1, "a", d(2025, 1, 31), 1), (1, "b", d(2025, 1, 31), 5), (1, None, d(2025, 1, 9), 1), (1, "c", None, 1), (2, "b", d(2025, 2, 1), 1)]
+    days = spark.createDataFrame(rows, "user_id long, feature_key string, date date, activations long")
+    got = {(r.month_start.month, r.feature_key): (r.is_adopted, r.activation_count, r.active_days, r.depth_score) for r in D.feature_adoption(None, spine, days).collect()}
+    none = (False, 0, 0, 0.0)
+    assert got == {
+        (1, "a"): (True, 3, 2, 0.6667), (1, "b"): (True, 5, 1, 0.3333), (1, "c"): none,
+        (2, "a"): (True, 0, 0, 0.0), (2, "b"): (True, 0, 0, 0.0), (2, "c"): none,
+    }
+
+
+def test_all_plans_of_the_feature_grid_read_the_same_touches(spark, capsys):
+    Tables(spark, SF_CHECK).feature_adoption().explain("formatted")
+    plan = capsys.readouterr().out.split("\n")
+    scans = [k for k, x in enumerate(plan) if "lineitem.parquet]" in x]
+    read = {tuple(x for x in plan[k : k + 3] if x.startswith(("PushedFilters", "ReadSchema"))) for k in scans}
+    assert len(scans) > 1 and len(read) == 1
+
+
 def test_tables_that_refer_by_their_key_are_counted_in_place(spark):
     from tidemark.operators.integrity import Checked, integrity_report
 

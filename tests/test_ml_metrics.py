@@ -3,6 +3,8 @@
 import datetime as dt
 
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidemark.operators import ml as M
@@ -92,3 +94,32 @@ def test_score_areas_of_one_class_and_of_nothing(spark):
     assert (none.rows, none.roc_auc) == (0, None)
     with pytest.raises(ValueError):
         M.score_areas(spark.createDataFrame([], "churn_score double, label boolean"), digits=9)
+
+
+def test_rows_of_equal_bins_train_as_one(spark):
+    """The trees of the merged rows are those of all rows, at the weight of all."""
+    rows = spark.range(6000).selectExpr(
+        "id AS user_id", "DATE'2024-01-01' AS month_start", *[f"CAST(hash(id, {k}) % {3 + k} AS DOUBLE) AS {c}" for k, c in enumerate(M.NUMERIC_FEATURES)][:3],
+        *[f"CAST(id % 2 AS DOUBLE) AS {c}" for c in M.NUMERIC_FEATURES[3:]], "id % 3 = 0 AS is_power_user_month", "hash(id, 1) % 4 + hash(id, 2) % 5 + hash(id, 9) % 3 > 2 AS churned",
+    )
+    rows = M.with_class_weight(M.prepare(rows)).withColumn("held", F.col("user_id") % 10 == 0)
+    params = {"maxIter": 5}
+    model = M.fit(rows, params, validation_col="held")
+    seen = model.stages[:-1]
+    df = rows
+    for stage in seen:
+        df = stage.transform(df)
+    assert df.groupBy("features", "label", "held").count().count() < 2000
+    gbt = GBTClassifier(labelCol="label", weightCol="weight", validationIndicatorCol="held", **(M.GBT_PARAMS | params))
+    whole = gbt.fit(df)
+    assert whole.totalNumNodes > 20 and model.stages[-1].totalNumNodes > 20  # leaves may differ where a split gains nothing
+    both = whole.setProbabilityCol("p").setPredictionCol("q").setRawPredictionCol("r").transform(df)
+    worst = both.select("user_id", F.col("p").alias("p")).join(M.positive_probability(model.transform(rows)).select("user_id", "churn_score"), "user_id")
+    worst = worst.select(F.max(F.abs(vector_to_array("p")[1] - F.col("churn_score")))).first()[0]
+    assert worst < 1e-6
+
+
+def test_few_values_keep_a_bin_each(spark):
+    df = spark.range(2000).selectExpr("CAST(IF(id < 1990, 0, id) AS DOUBLE) AS few", "CAST(id * 1.5 AS DOUBLE) AS many", "1.0D AS one")
+    few, many, one = M.bin_borders(df, ["few", "many", "one"])
+    assert few[1:3] == [995.0, 1990.5] and len(few) == 12 and 30 <= len(many) <= 33 and len(one) == 3

@@ -9,17 +9,19 @@ reference's boosted trees is asserted on ranking quality (AUC), not equality.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.functions.columns import risk_band
+from tidemark.session import scratch_path
 
 # The model's feature contract and leakage guard.
 NUMERIC_FEATURES = [
@@ -38,6 +40,7 @@ FEATURES = NUMERIC_FEATURES + BOOL_FEATURES
 LABEL = "churned"
 LEAKAGE_COLUMNS = frozenset({"churn_date", "user_id", "month_start", "geo", "churned"})
 GBT_PARAMS = {"maxIter": 300, "stepSize": 0.06, "maxDepth": 5, "seed": 1729}
+MAX_BINS = 32  # bins of a feature that Spark's trees split at, their default
 MODEL_NAME = "churn_gbt"
 
 
@@ -65,19 +68,49 @@ def with_class_weight(df: DataFrame, label: str = LABEL, out: str = "weight") ->
     return df.withColumn(out, w)
 
 
-def build_pipeline(params: dict | None = None, weight_col: str | None = "weight", validation_col: str | None = None) -> Pipeline:
-    """Median imputation of numerics, booleans as 0/1, GBT classifier."""
-    p = dict(GBT_PARAMS)
-    p.update(params or {})
-    imputed = [f"{c}__imp" for c in NUMERIC_FEATURES]
-    imputer = Imputer(strategy="median", inputCols=NUMERIC_FEATURES, outputCols=imputed)
-    assembler = VectorAssembler(inputCols=imputed + [f"{b}__num" for b in BOOL_FEATURES], outputCol="features", handleInvalid="keep")
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", **p)
-    if weight_col:
-        gbt.setWeightCol(weight_col)
+def bin_borders(df: DataFrame, columns: Sequence[str], bins: int = MAX_BINS) -> list[list[float]]:
+    """Borders of at most ``bins`` bins per column: between all of its values where they are as few, else at its quantiles.
+
+    The trees choose their splits among as many; here they are taken from all rows, not from a sample.
+    """
+    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    few = [c for c in columns if counts[c] <= bins]
+    values = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in few]).first().asDict() if few else {}
+    cuts = {c: [(a + b) / 2 for a, b in zip(own, own[1:])] for c, own in values.items() if len(own) <= bins}
+    many = [c for c in columns if c not in cuts]
+    if many:
+        quantiles = df.approxQuantile(many, [k / bins for k in range(1, bins)], 0.001)
+        cuts |= {c: sorted(set(own)) for c, own in zip(many, quantiles)}
+    return [[float("-inf"), *(cuts[c] or [0.0]), float("inf")] for c in columns]
+
+
+def fit(train: DataFrame, params: dict | None = None, weight_col: str = "weight", validation_col: str | None = None) -> PipelineModel:
+    """Median imputation of numerics, booleans as 0/1, GBT classifier.
+
+    Trees see no more of a value than its bin.  Rows that agree in all bins,
+    the label and the validation mark are therefore merged into one with the
+    sum of their weights: each round of boosting reads those, and the sums at
+    every node are those of all rows.
+    """
+    imputed, binned = [f"{c}__imp" for c in NUMERIC_FEATURES], [f"{c}__bin" for c in NUMERIC_FEATURES]
+    imputer = Imputer(strategy="median", inputCols=NUMERIC_FEATURES, outputCols=imputed).fit(train)
+    filled = imputer.transform(train)
+    binner = Bucketizer(splitsArray=bin_borders(filled, imputed), inputCols=imputed, outputCols=binned, handleInvalid="keep")
+    features = binned + [f"{b}__num" for b in BOOL_FEATURES]
+    keys = [*features, "label", *([validation_col] if validation_col else [])]
+    merged = written(binner.transform(filled).groupBy(*keys).agg(F.sum(weight_col).alias(weight_col)), "train-merged")
+    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol=weight_col, maxBins=MAX_BINS, **(GBT_PARAMS | (params or {})))
     if validation_col:
         gbt.setValidationIndicatorCol(validation_col)
-    return Pipeline(stages=[imputer, assembler, gbt])
+    return PipelineModel(stages=[imputer, binner, assembler, gbt.fit(assembler.transform(merged))])
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of the shared checkpoint folder, so that the many jobs of a training do not compute it again."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def prepare(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -95,11 +128,11 @@ def train(labels: DataFrame, params: dict | None = None):
     A tenth of the training rows, chosen by a hash of their key, is held back;
     boosting ends early once the loss on them no longer falls."""
     assert_feature_contract(labels.schema)
-    tr, va, holdout = temporal_split(labels)
+    tr, va, holdout = temporal_split(written(labels.select("user_id", "month_start", LABEL, *FEATURES), "train-rows"))
     tr = with_class_weight(prepare(tr)).withColumn(
         "is_validation", F.pmod(F.xxhash64("user_id", "month_start"), F.lit(10)) == 0
     )
-    model = build_pipeline(params, validation_col="is_validation").fit(tr)
+    model = fit(tr, params, validation_col="is_validation")
     return model, prepare(va), holdout
 
 

@@ -79,3 +79,25 @@ def test_query_matches_plain_encoding(spark, sf_small):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet").orderBy("doc_id").collect()
     got = catalog.queries()["op4_token_ids"](spark, sf_small).collect()
     assert sorted(map(tuple, got)) == want([(r.doc_id, r.text) for r in docs])
+
+
+def test_distinct_units_are_looked_up_once_for_all_texts(monkeypatch):
+    e, asked = tokenids.Encoder(PATH), []
+    remembered = e.remembered
+    monkeypatch.setattr(e, "remembered", lambda units: asked.append(sorted(units)) or remembered(units))
+    texts = ["", *["one two two\nthree", "two  two", "two three"] * 300]
+    for got, t in zip(e.encode(texts), texts):
+        assert np.frombuffer(got, e.type).tolist() == plain(t)[:-1]
+    assert asked == [["\none", "\nthree", "\ntwo", "three", "two"]]
+    assert e.encode([]) == [] and e.encode([""]) == [b""]
+
+
+def test_texts_are_gathered_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [2 * i, 2 * i + 1], "text": ["a" * 100, "b"]}) for i in range(10)]
+    monkeypatch.setattr(tokenids, "GATHERED", 300)
+    parts = list(tokenids.gathered(iter(batches)))
+    assert [i for ids, _ in parts for i in ids] == list(range(20))
+    assert [t for _, texts in parts for t in texts] == ["a" * 100, "b"] * 10
+    assert 1 < len(parts) < 10 and list(tokenids.gathered(iter([]))) == []

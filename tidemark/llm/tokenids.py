@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,6 +40,8 @@ LEVEL = 3
 #: units whose ids a worker remembers, and the longest of them
 CACHE_UNITS = 1_600_000
 LONGEST_UNIT = 64
+#: bytes of texts whose distinct units are looked up together: more texts repeat more units
+GATHERED = 4 << 20
 
 CHUNK = (
     "part int, chunk int, n_ids int, width int, kind string, planes array<binary>, "
@@ -87,59 +90,77 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def units(self, text: str) -> list[str] | None:
-        """The units of a line feed and the text; None where white space stands together."""
-        whole = "\n" + text
-        if self.ODD.search(whole):
-            return None
-        return whole.replace("\n", " \n").split(" ")[1:]
-
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
 
     def learn(self, new: list[str]) -> None:
         """Put the ids of unknown units among the known."""
+        sizes = np.array([u[0] != "\n" for u in new], np.int64) + pc.binary_length(pa.array(new, pa.large_string())).to_numpy()
         for at in range(0, len(new), 256):
             units = new[at : at + 256]
-            parts = [u if u[0] == "\n" else " " + u for u in units]
-            text = "".join(parts)
+            text = (" " + " ".join(units)).replace(" \n", "\n")  # no unit holds a blank
             if self.OTHER.search(text) or any(a in text for a in self.added):
                 # white space inside or after a unit, or an added token: neighbours could matter
-                for u, part in zip(units, parts):
-                    self.known[u] = self.ids(part).tobytes()
+                for u in units:
+                    self.known[u] = self.ids(u if u[0] == "\n" else " " + u).tobytes()
                 continue
             found = self.ids(text)
-            ends = np.cumsum(self.spelled[found])
-            sizes = list(map(len, parts)) if text.isascii() else [len(part.encode()) for part in parts]
-            borders = np.searchsorted(ends, np.cumsum(sizes)) + 1
-            data, start = found.tobytes(), 0
-            for u, end in zip(units, (borders * self.width).tolist()):
-                self.known[u] = data[start:end]
-                start = end
+            borders = np.searchsorted(np.cumsum(self.spelled[found]), np.cumsum(sizes[at : at + 256])) + 1
+            data, ends = found.tobytes(), (borders * self.width).tolist()
+            self.known.update(zip(units, map(data.__getitem__, map(slice, [0, *ends], ends))))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian integers of ``width`` bytes."""
+    def remembered(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units, unknown ones put among the known first."""
         if len(self.known) > CACHE_UNITS // 2:
             self.known, self.older = {}, self.known
-        cut = [self.units(t) for t in texts]
-        known, older = self.known, self.older
+        out = list(map(self.known.get, units))
+        missing = [i for i, ids in enumerate(out) if ids is None]
         new = []
-        for u in set().union(*[units for units in cut if units]) - known.keys():
-            ids = older.get(u)
+        for i in missing:
+            ids = self.older.get(units[i])
             if ids is None:
-                new.append(u)
+                new.append(units[i])
             else:
-                known[u] = ids
+                self.known[units[i]] = ids
         self.learn(new)
-        out = []
-        for text, units in zip(texts, cut):
-            if units is None:
-                out.append(b"".join([self.ids(part).tobytes() for part in self.pieces(text)]))
-            else:
-                out.append(b"".join(map(known.__getitem__, units))[self.line :])
+        for i in missing:
+            out[i] = self.known[units[i]]
         for u in new:
             if len(u) > LONGEST_UNIT:
-                del known[u]
+                del self.known[u]
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian integers of ``width`` bytes.
+
+        The units of all texts are numbered by Arrow; each distinct one is
+        looked up once, and the texts' ids are taken from those by numbers.
+        """
+        whole = ["\n" + t for t in texts]
+        even = [self.ODD.search(t) is None for t in whole]
+        out: list[bytes] = []
+        cut = pc.split_pattern(pc.replace_substring(pa.array([t for t, e in zip(whole, even) if e], pa.large_string()), "\n", " \n"), " ")
+        # a blank stands before each text's first unit: an empty unit, without ids
+        coded = cut.flatten().dictionary_encode()
+        distinct = coded.dictionary  # the empty one first; none holds a blank
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(distinct)], distinct), pa.scalar(" ", distinct.type))[0].as_py().split(" ")
+        ids = [b"", *self.remembered(names[1:])]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        at = np.cumsum(sizes) - sizes
+        number = coded.indices.to_numpy()
+        n = sizes[number]
+        ends = np.cumsum(n)
+        take = np.repeat(at[number] - (ends - n), n)
+        take += np.arange(len(take))
+        data = np.frombuffer(b"".join(ids), self.type)[take].tobytes()
+        edges = np.append(0, ends)[cut.offsets.to_numpy()] * self.width
+        spans = zip(edges[:-1].tolist(), edges[1:].tolist())
+        for text, e in zip(texts, even):
+            if e:
+                start, end = next(spans)
+                out.append(data[start + self.line : end])
+            else:
+                out.append(b"".join([self.ids(part).tobytes() for part in self.pieces(text)]))
         return out
 
     def pieces(self, text: str) -> list[str]:
@@ -201,6 +222,20 @@ class _Blocks:
         return row
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """The two columns of neighbouring batches, as lists, once their bytes come to ``GATHERED``."""
+    first, second, size = [], [], 0
+    for batch in batches:
+        first += batch.column(0).to_pylist()
+        second += batch.column(1).to_pylist()
+        size += batch.nbytes
+        if size >= GATHERED:
+            yield first, second
+            first, second, size = [], [], 0
+    if first:
+        yield first, second
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), CHUNK_ARROW)], schema=CHUNK_ARROW)
 
@@ -227,8 +262,8 @@ def write_ids(
         e = made(encoder)
         end = np.array([end_id], e.type).tobytes()
         out = _Blocks(TaskContext.get().partitionId(), e.width, block, kind)
-        for batch in slices(batches):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), e.encode(batch.column(1).to_pylist())):
+        for doc_ids, texts in gathered(slices(batches)):
+            for doc_id, ids in zip(doc_ids, e.encode(texts)):
                 for row in out.add(doc_id, ids + end):
                     yield _rows([row])
         if out.at:
@@ -258,15 +293,14 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             for batch in slices(batches, 4):
                 rows = []
                 for b in batch.to_pylist():
-                    own = [d for d in b["docs"] if (d["size"] == d["n"]) == whole]
-                    if own:
-                        ids = from_planes(b["planes"], b["n_ids"], b["width"], b["kind"]).astype("<u4").tobytes()
-                        rows += [(b["chunk"], d["doc_id"], b["base"] + d["start"], d["n"], ids[4 * d["at"] : 4 * (d["at"] + d["size"])]) for d in own]
+                    ids = from_planes(b["planes"], b["n_ids"], b["width"], b["kind"]).astype("<u4").tobytes()
+                    rows += [(b["chunk"], d["doc_id"], b["base"] + d["start"], d["n"], ids[4 * d["at"] : 4 * (d["at"] + d["size"])]) for d in b["docs"]]
                 if rows:
                     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["chunk", "doc_id", "start", "n", "ids"])
 
-        return placed.mapInArrow(decode, "chunk int, doc_id long, start long, n long, ids binary")
+        own = F.filter("docs", lambda d: (d["size"] == d["n"]) == F.lit(whole))
+        return placed.withColumn("docs", own).where(F.size("docs") > 0).mapInArrow(decode, "chunk int, doc_id long, start long, n long, ids binary")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 16):

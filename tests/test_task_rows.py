@@ -1,12 +1,14 @@
 """What one task holds does not follow the table: many short rows are dealt over as many tasks as their number asks for."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_CHECK
 from tidemark.operators import derive as D
+from tidemark.plans import catalog
 from tidemark.sources import fixtures
 from tidemark.sources.fixtures import Tables
 
@@ -100,3 +102,10 @@ def test_tables_that_refer_by_their_key_are_counted_in_place(spark):
     assert got == {"fk held.user_id -> users.user_id": (1, 2), "pk users(user_id)": (0, 2), "pk held(user_id, f)": (2, 6), "good": (3, 6)}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [user_id" in plan  # by key, below the records
+
+
+def test_score_areas_keeps_the_dealing_of_the_user_months(spark):
+    # a join by user and month would deal them anew, into the session's fixed number of tasks
+    plan = catalog.queries()["score_areas"](spark, SF_CHECK)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    assert not re.findall(r"hashpartitioning\(user_id#\d+L?, (?:month_start|as_of_month)#\d+, \d+\), ENSURE_REQUIREMENTS", plan)

@@ -104,6 +104,20 @@ def test_tables_that_refer_by_their_key_are_counted_in_place(spark):
     assert "Aggregate [user_id" in plan  # by key, below the records
 
 
+def test_records_are_made_per_reference_not_per_key(spark):
+    from tidemark.operators.integrity import Checked, integrity_report
+
+    users = spark.createDataFrame([(u,) for u in range(5)], "user_id long")
+    held = spark.range(5_000).selectExpr("id % 5 AS user_id", "id DIV 5 AS place", "id % 7 > 0 AS good")
+    df = integrity_report([Checked("users", users, ["user_id"]), Checked("held", held.unionByName(held.where("place = 0 AND user_id < 3")), ["user_id", "place"], {"user_id": "users"}, {"good": "good"})])
+    got = {r.check_name: (r.bad, r.total) for r in df.collect()}
+    broken = sum(k % 7 == 0 for k in range(5_000)) + 1
+    assert got == {"fk held.user_id -> users.user_id": (0, 5), "pk users(user_id)": (0, 5), "pk held(user_id, place)": (3, 5_003), "good": (broken, 5_003)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[user_id#\d+L\],", plan)  # the keys of a user, below the records
+    assert "lambdafunction" not in plan  # records are made by compiled code
+
+
 def test_score_areas_keeps_the_dealing_of_the_user_months(spark):
     # a join by user and month would deal them anew, into the session's fixed number of tasks
     plan = catalog.queries()["score_areas"](spark, SF_CHECK)._jdf.queryExecution().executedPlan().toString()

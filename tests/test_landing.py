@@ -44,3 +44,26 @@ def test_the_setting_is_put_back_after_a_failure(spark):
             pass
         assert spark.conf.get(KEY) == value
     spark.conf.unset(KEY)
+
+
+def test_bronze_leaves_the_long_path_to_the_codec(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from tidemark.streaming import ingest
+    from tidemark.streaming.tables import USERS
+
+    spark.range(5_000).selectExpr("id % 5 AS user_id", "'ASIA' AS geo").write.parquet(f"{tmp_path}/in")
+    keys = ("parquet.page.row.count.limit", "parquet.size.statistics.enabled", "parquet.enable.dictionary#_source_file", "parquet.column.statistics.enabled#_source_file")
+    before = [spark.conf.get(k, None) for k in keys]
+    ingest.start_bronze(spark, USERS, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination()
+    assert [spark.conf.get(k, None) for k in keys] == before
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r.user_id, r["count"]) for r in found.where("geo = 'ASIA'").groupBy("user_id").count().collect()) == [(u, 1_000) for u in range(5)]
+    assert found.where("_source_file IS NULL OR _ingested_at IS NULL").isEmpty()
+    for file in glob.glob(f"{tmp_path}/out/*.parquet"):
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        columns = {group.column(k).path_in_schema: group.column(k) for k in range(group.num_columns)}
+        assert all(c.compression == "ZSTD" for c in columns.values())
+        assert not any("DICTIONARY" in e for e in columns["_source_file"].encodings) and columns["user_id"].has_dictionary_page

@@ -67,3 +67,12 @@ def test_bronze_leaves_the_long_path_to_the_codec(spark, tmp_path):
         columns = {group.column(k).path_in_schema: group.column(k) for k in range(group.num_columns)}
         assert all(c.compression == "ZSTD" for c in columns.values())
         assert not any("DICTIONARY" in e for e in columns["_source_file"].encodings) and columns["user_id"].has_dictionary_page
+
+
+def test_the_check_report_reads_written_touches_and_terms(spark, capsys):
+    from tidemark.plans import catalog
+
+    before = spark.conf.get(KEY, None)
+    catalog.queries()["check_report"](spark, SF_SMALL).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "lineitem.parquet" not in plan and "/touches" in plan and "/terms" in plan and spark.conf.get(KEY, None) == before
